@@ -115,11 +115,24 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            node, root = spanning(b.column(0).to_numpy(), b.column(1).to_numpy())
-            keep = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], ["a", "b"])
+    """Stars with the same components as a partition's edges; folded every million edges, so memory stays bounded."""
+    a, b, n = [], [], 0
+
+    def fold() -> None:
+        nonlocal a, b, n
+        node, root = spanning(np.concatenate(a), np.concatenate(b))
+        keep = node != root
+        a, b, n = [node[keep]], [root[keep]], 0
+
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+        n += batch.num_rows
+        if n >= 1_000_000:
+            fold()
+    if a:
+        fold()
+        yield pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(b[0])], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -128,8 +141,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al., 2014). A step takes the least neighbour of each
     node by a pre-aggregated group-by and joins it back, so that a node with very many links is no single group."""
     spark = edges.sparkSession
-    now = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "a long, b long")
-    now = materialise(now.distinct(), "edges")
+    now = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct()
+    now = materialise(now.mapInArrow(_contract, "a long, b long"), "edges")
     before = None
     while True:
         both = now.union(now.select("b", "a"))
