@@ -157,8 +157,9 @@ def encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids) of each text, and a last row for each task with kind 1 and its counts by id."""
+    """kind 0: doc_id, n_tokens, ids, file, place of each row of docs(doc_id, text, file, place); kind 1: a task's counts by id."""
     path = vocabulary(path)
+    names = ["kind", "doc_id", "n_tokens", "ids", "file", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -167,11 +168,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for a, b, data, offsets in K.chunks(batch.column(1)):
                 ids = e.rows(data, offsets)
                 counts += np.bincount(np.concatenate(ids), minlength=len(counts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["kind", "doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), *(batch.column(j).slice(a, b - a) for j in (2, 3))], names)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary())], ["kind", "doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary()), *(pa.array([None], pa.int64()) for _ in range(2))], names)
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, n_tokens long, ids binary")
+    return docs.mapInArrow(run, "kind byte, doc_id long, n_tokens long, ids binary, file long, place long")
 
 
 def ranking(encoded: DataFrame) -> np.ndarray:
@@ -311,15 +312,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(starts, ["part", "k"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_ids(docs: DataFrame, path: str | None = None, out: str | None = None) -> DataFrame:
+def token_ids(docs: DataFrame, path: str | None = None, out: str | None = None, as_laid_out: bool = False) -> DataFrame:
     """Encode docs, write them below `out` (the scratch folder by default) and return what reading them back gives.
 
-    No rows give no rows. Columns other than doc_id and text are ignored."""
+    as_laid_out: keep the order in which the part files of docs hold the rows, rather than that of doc_id; docs must be
+    read from Parquet files that Spark wrote. No rows give no rows. Columns other than doc_id and text are ignored."""
     spark = tuned(docs.sparkSession)
-    encoded = materialise(encode(texts(docs), path), "ids")
+    if as_laid_out:
+        file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), file.alias("file"), F.col("_metadata.row_index").alias("place"))
+    else:
+        rows = texts(docs).select("doc_id", "text", F.lit(None).cast("long").alias("file"), F.lit(None).cast("long").alias("place"))
+    encoded = materialise(encode(rows, path), "ids")
     ranks = ranking(encoded)
     out = out or scratch_path(spark, "tokens")
-    write(encoded, ranks, out)
+    write(encoded, ranks, out, ["file", "place"] if as_laid_out else None)
     drop_scratch(encoded)
     return read(spark, out)
 
