@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -67,8 +68,10 @@ def drop_scratch(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first lets go of Python's references, the second of what they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

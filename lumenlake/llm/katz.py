@@ -79,8 +79,15 @@ class Tokens:
         n = sum(sizes)
         data = np.frombuffer(pa.decompress(body, n, "zstd", asbytes=True) if n else b"", np.uint8)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        h, first = K.word_hashes(data, offsets)
-        rows = len(sizes)
+        hashes, counts = [], [np.zeros(1, np.int64)]
+        a, rows = 0, len(sizes)
+        while a < rows:  # a chunk at a time, for the hashes of bytes are eight times as large
+            b = min(rows, max(a + 1, int(np.searchsorted(offsets, offsets[a] + K.CHUNK, "right")) - 1))
+            h, first = K.word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            hashes.append(h)
+            counts.append(np.diff(first))
+            a = b
+        h, first = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.cumsum(np.concatenate(counts))
         self.first = first + np.arange(rows + 1)
         self.word = np.empty(len(h) + rows, np.uint64)
         ends = self.first[1:] - 1
@@ -98,6 +105,25 @@ class Tokens:
         return np.repeat(~np.array(held, bool), np.diff(self.first))
 
 
+#: Keys are the upper 56 bits of a hash, so that the steps between sorted ones take five bytes.
+KEY = ~np.uint64(0xFF)
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as the bytes that a step takes, then the steps."""
+    steps = np.diff(np.concatenate([np.zeros(1, np.uint64), keys >> np.uint64(8)]))
+    width = max(1, (int(steps[1:].max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + int(steps[0]).to_bytes(8, "little") + steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(x: bytes, n: int) -> np.ndarray:
+    width = x[0]
+    steps = np.zeros((n, 8), np.uint8)
+    steps[0] = np.frombuffer(x, np.uint8, 8, 1)
+    steps[1:, :width] = np.frombuffer(x, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) << np.uint64(8)
+
+
 def _slices(keys: np.ndarray, bits: int) -> np.ndarray:
     """Where the keys of each of 2 ** bits partitions begin in sorted keys, and the end."""
     marks = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -124,13 +150,13 @@ def count_requests(parts: DataFrame, bits: int) -> DataFrame:
             train = t.rows_of(r["held"])
             for kind, key in ((UNI, t.word), (PAIR, t.pairs())):
                 # the lowest bit tells training tokens apart, so that one sort serves for keys and counts
-                both = np.sort(key & ~np.uint64(1) | train.astype(np.uint64))
-                base = both & ~np.uint64(1)
+                both = np.sort(key & KEY | train.astype(np.uint64))
+                base = both & KEY
                 head = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]]))
                 learnt = np.add.reduceat((both & np.uint64(1)).astype(np.int64), head).astype(np.uint32)
                 keys = base[head]
                 cut = _slices(keys, bits)
-                yield _ask([(kind, p, r["block"], int(y - x), keys[x:y].tobytes(), _zip(learnt[x:y])) for p, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x])
+                yield _ask([(kind, p, r["block"], int(y - x), _pack(keys[x:y]), _zip(learnt[x:y])) for p, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x])
 
     return parts.select("block", "held", "sizes", "body").mapInArrow(run, _ASK)
 
@@ -152,7 +178,7 @@ def answer_counts(asked: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, pid, rows in _groups(batches):
-            keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+            keys = np.concatenate([_unpack(r["keys"], r["n"]) for r in rows])
             learnt = np.concatenate([_unzip(r["given"], r["n"], np.uint32) for r in rows]).astype(np.int64)
             order = np.argsort(keys, kind="stable")
             k = keys[order]
@@ -210,17 +236,16 @@ def history_requests(parts: DataFrame, answers: DataFrame, model: dict, bits: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _asked(batches):
             t = Tokens(r["sizes"], r["body"])
-            one = ~np.uint64(1)
-            words, at = np.unique(t.word & one, return_inverse=True)
+            words, at = np.unique(t.word & KEY, return_inverse=True)
             p1 = (_answers(r["told"], UNI, np.uint32)[:, 0] // 2 + 1.0) / model["below"]
-            _, where = np.unique(t.pairs() & one, return_index=True)
+            _, where = np.unique(t.pairs() & KEY, return_index=True)
             told = _answers(r["told"], PAIR, np.uint32)[:, 0].astype(np.int64)
             own = np.flatnonzero((told & 1 == 1) & (told > 1))
             where, c = where[own], told[own] // 2
-            keys, h = np.unique(t.history, return_inverse=True)
+            keys, h = np.unique(t.history & KEY, return_inverse=True)
             sums = np.stack([np.bincount(h[where], x, len(keys)) for x in (_table(model["d"], c) * c, p1[at[where]], c.astype(float))], 1)
             cut = _slices(keys, bits)
-            yield _ask([(HISTORY, p, r["block"], int(y - x), keys[x:y].tobytes(), _zip(sums[x:y].T)) for p, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x])
+            yield _ask([(HISTORY, p, r["block"], int(y - x), _pack(keys[x:y]), _zip(sums[x:y].T)) for p, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x])
 
     return _with(parts, answers).mapInArrow(run, _ASK)
 
@@ -230,7 +255,7 @@ def answer_histories(asked: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, pid, rows in _groups(batches):
-            keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+            keys = np.concatenate([_unpack(r["keys"], r["n"]) for r in rows])
             sums = np.concatenate([_unzip(r["given"], 3 * r["n"], np.float64).reshape(3, -1) for r in rows], 1)
             u, at = np.unique(keys, return_inverse=True)
             a, s, c = (np.bincount(at, x, len(u)) for x in sums)
@@ -251,12 +276,11 @@ def score(parts: DataFrame, answers: DataFrame, histories: DataFrame, model: dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _asked(batches):
             t = Tokens(r["sizes"], r["body"])
-            one = ~np.uint64(1)
-            _, at = np.unique(t.word & one, return_inverse=True)
+            _, at = np.unique(t.word & KEY, return_inverse=True)
             c1 = (_answers(r["told"], UNI, np.uint32)[:, 0] // 2).astype(np.int64)[at]
-            _, at = np.unique(t.pairs() & one, return_inverse=True)
+            _, at = np.unique(t.pairs() & KEY, return_inverse=True)
             c2 = (_answers(r["told"], PAIR, np.uint32)[:, 0] // 2).astype(np.int64)[at]
-            _, at = np.unique(t.history, return_inverse=True)
+            _, at = np.unique(t.history & KEY, return_inverse=True)
             alpha, below = _answers(r["told"], HISTORY, np.float64, 2)[at].T
             p1 = (c1 + 1.0) / model["below"]
             p = np.where(c2 > 0, _table(model["d"], c2) * c2 / np.maximum(below, 1), alpha * p1)

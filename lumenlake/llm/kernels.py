@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that one kernel call works on; a longer text is one call by itself.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: The white space of the contracts: space, and tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
