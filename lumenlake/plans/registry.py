@@ -1,10 +1,352 @@
-"""Queries over the driver's tables by name, each with the SQL that gives the same rows."""
+"""Queries over the driver's tables by name, each with the SQL that gives the same rows.
+
+Stand-ins: a document is a file (its source the folder), an event a metric entry or session event (its type the tool,
+its user the session, its value the tokens), a conversation turn a task, a label a relevance judgement.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import evaluate, graph, metrics, patterns, planning, search, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return _t(spark, d, "events").select(F.col("event_id").alias("metric_id"), F.col("event_type").alias("tool"), F.col("user_id").alias("session_id"), F.floor("value").cast("long").alias("raw_tokens"), k.alias("compressed_tokens"), F.lit(None).cast("long").alias("final_tokens"), F.lit(None).cast("long").alias("saved_tokens"), F.col("ts").alias("created_at"))
+
+
+_E = "(select event_id metric_id, event_type tool, user_id session_id, floor(value)::bigint raw_tokens, (props::json->>'k')::bigint compressed_tokens, greatest(floor(value)::bigint - (props::json->>'k')::bigint, 0) saved_tokens, ts created_at from events)"
+_M = "count(*) n, sum(raw_tokens)::bigint raw_tokens, sum(compressed_tokens)::bigint compressed_tokens, sum(saved_tokens)::bigint saved_tokens, case when sum(raw_tokens) > 0 then round(sum(saved_tokens)::double / sum(raw_tokens)::double * 100, 2) else 0 end savings_pct"
+_LINES = "(select doc_id, source, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from documents)"
+
+# ---- search -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, count(*) n_matches, min(line_no)::int first_line from (select distinct doc_id, line_no, trim(line, ' ') from {_LINES} where contains(lower(line), 'the')) group by 1 order by 2 desc, 1 limit 10")
+def search_literal_topk(spark, d):
+    found = search.grouped(search.match_lines(_t(spark, d, "documents"), "doc_id", "text", "the"), "doc_id")
+    return found.orderBy(F.desc("n_matches"), "doc_id").limit(10)
+
+
+@query(f"select path, count(*) n_matches, least(count(*), 12) * 6 + 10 - 1 as score from (select distinct source || '/' || doc_id || '.py' path, line_no, trim(line, ' ') from {_LINES} where contains(lower(line), 'tion')) group by 1 order by 3 desc, 2 desc, 1 limit 10")
+def search_scored_intent(spark, d):
+    files = _t(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text")
+    return search.search(files, "tion", "explore").select("path", "n_matches", F.col("score").cast("long").alias("score"))
+
+
+@query(f"with g as (select doc_id, count(*) n from {_LINES} where contains(lower(line), 'tion') group by 1) select case when l.toxic = 1 then 'index' when l.quality = 1 then 'graph' else 'text' end boost_source, count(*) n from g left join labels l using (doc_id) group by 1")
+def search_source_breakdown(spark, d):
+    groups = search.match_lines(_t(spark, d, "documents"), "doc_id", "text", "tion").groupBy("doc_id").agg(F.count("*").alias("n_matches")).withColumn("score", F.col("n_matches"))
+    marks = _t(spark, d, "labels")
+    out = search.boosted(groups, marks.where("toxic = 1"), marks.where("quality = 1"), "doc_id")
+    return out.groupBy("boost_source").agg(F.count("*").alias("n"))
+
+
+# ---- metrics ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"select tool, {_M} from {_E} group by 1")
+def metrics_by_tool(spark, d):
+    return metrics.by_tool(metrics.normalised(_entries(spark, d)))
+
+
+@query(f"select tool, {_M} from {_E} group by rollup (tool)")
+def metrics_rollup(spark, d):
+    return metrics.report(metrics.normalised(_entries(spark, d)))
+
+
+@query(f"select tool, {_M} from {_E} where created_at >= (select max(ts) from events) - interval 7 days group by 1")
+def metrics_window_7d(spark, d):
+    e = metrics.normalised(_entries(spark, d))
+    as_of = e.agg(F.max("created_at").alias("as_of"))
+    return metrics.by_tool(metrics.within(e.crossJoin(F.broadcast(as_of)), "7d", F.col("as_of")))  # one row
+
+
+@query("select event_id metric_id, event_type tool, user_id session_id from events order by date_trunc('second', ts) desc, event_id desc limit 20")
+def metrics_latest_n(spark, d):
+    return metrics.latest(_entries(spark, d), 20).select("metric_id", "tool", "session_id")
+
+
+@query("select event_type tool, count(*) n, sum((props::json->>'k')::bigint)::bigint overhead_tokens from events where (props::json->>'k')::bigint > 0 group by 1")
+def metrics_overhead(spark, d):
+    return _entries(spark, d).where("compressed_tokens > 0").groupBy("tool").agg(F.count("*").alias("n"), F.sum("compressed_tokens").alias("overhead_tokens"))
+
+
+@query("select event_type tool, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.95) p95 from events group by 1")
+def latency_percentiles(spark, d):
+    return _t(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(metrics.percentile("value", 0.5).alias("p50"), metrics.percentile("value", 0.95).alias("p95"))
+
+
+@query(f"select tool, {_M} from {_E} where session_id = 7 group by 1 order by saved_tokens desc, n desc, tool limit 3")
+def metrics_session_top3(spark, d):
+    return metrics.by_tool(metrics.normalised(_entries(spark, d)).where("session_id = 7")).orderBy(F.desc("saved_tokens"), F.desc("n"), "tool").limit(3)
+
+
+# ---- sessions ---------------------------------------------------------------------------------------------------------
+
+_RET = "select *, row_number() over (partition by user_id order by date_trunc('second', ts) desc, event_id desc) rn, (select max(ts) from events) - interval 3 days cutoff from events"
+
+
+@query(f"select event_id, user_id from ({_RET}) where rn <= 5 or ts >= cutoff")
+def retention_keep(spark, d):
+    e = _t(spark, d, "events")
+    as_of = e.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("cutoff"))
+    return sessions.retained(e.crossJoin(F.broadcast(as_of)), "user_id", "ts", "event_id", 5, F.col("cutoff")).select("event_id", "user_id")
+
+
+@query(f"select count(*) n_before, count(*) filter (rn <= 5 or ts >= cutoff) n_after, count(*) filter (not (rn <= 5 or ts >= cutoff)) n_deleted from ({_RET})")
+def retention_counts(spark, d):
+    before = _t(spark, d, "events").agg(F.count("*").alias("n_before"))
+    after = retention_keep(spark, d).agg(F.count("*").alias("n_after"))
+    return before.crossJoin(after).withColumn("n_deleted", F.col("n_before") - F.col("n_after"))
+
+
+@query("select event_id from (select event_id, ts, row_number() over (order by date_trunc('second', ts) desc, event_id desc) rn from events) where rn <= 100 or ts >= (select max(ts) from events) - interval 1 day")
+def retention_overall(spark, d):
+    e = _t(spark, d, "events")
+    as_of = e.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("cutoff"))
+    return sessions.retained_overall(e.crossJoin(F.broadcast(as_of)), "ts", "event_id", 100, F.col("cutoff")).select("event_id")
+
+
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) where rn = 1")
+def session_latest(spark, d):
+    return sessions.latest_by_key(_t(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("with f as (select user_id, min(event_id) created, max(event_id) last from events where event_id % 2 = 0 group by 1), g as (select user_id, min(event_id) created, max(event_id) last from events where event_id % 3 = 0 group by 1) select coalesce(f.user_id, g.user_id) user_id, coalesce(f.created, g.created) created, coalesce(g.last, f.last) as last from f full join g on f.user_id = g.user_id")
+def session_upsert(spark, d):
+    e = _t(spark, d, "events")
+    part = lambda n: e.where(F.col("event_id") % n == 0).groupBy("user_id").agg(F.min("event_id").alias("created"), F.max("event_id").alias("last"))
+    return sessions.upsert(part(2), part(3), "user_id", "created")
+
+
+@query("with s as (select user_id session_id, max(ts) updated_at from events group by 1), t as (select * from s order by updated_at desc, session_id desc limit 5), l as (select *, lead(updated_at) over (order by updated_at desc, session_id desc) nx, row_number() over (order by updated_at desc, session_id desc) rn, count(*) over () c from t) select session_id, c candidates, nx is null or updated_at - interval 12 hours >= nx found, not (nx is null or updated_at - interval 12 hours >= nx) ambiguous from l where rn = 1")
+def session_resume_gap(spark, d):
+    return sessions.resume(_t(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("updated_at")))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+
+
+def _terms_sql(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9_.-]+'), lambda w: length(w) >= 3 and not list_contains({_STOP}, w)))"
+
+
+@query(f"with p as (select conv_id, turn, {_terms_sql('text')} t, lag({_terms_sql('text')}) over (partition by conv_id order by turn) u from conversations), q as (select conv_id, turn, len(list_intersect(t, u)) shared, len(t) n from p where u is not null) select conv_id, turn, shared, case when shared >= 3 or (n > 0 and shared / n >= 0.35) then 'aligned' when shared >= 1 or (n > 0 and shared / n >= 0.15) then 'possible_shift' else 'mismatch' end state from q")
+def session_terms_overlap(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = _t(spark, d, "conversations").withColumn("t", T.terms(F.col("text"))).withColumn("u", F.lag("t").over(w)).where("u is not null")
+    shared = F.size(F.array_intersect("t", "u")).cast("long")
+    return t.select("conv_id", "turn", shared.alias("shared"), sessions.continuity(shared, F.size("t")).alias("state"))
+
+
+# ---- text -------------------------------------------------------------------------------------------------------------
+
+
+def _signature_sql(x: str) -> str:
+    return f"array_to_string(list_slice(list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9 \\t\\n]', ' ', 'g'), '[ \\t\\n]+'), lambda w: length(w) > 2), 1, 8), ' ')"
+
+
+@query(f"select conv_id, turn, {_signature_sql('text')} signature from conversations")
+def task_signature(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.task_signature(F.col("text")).alias("signature"))
+
+
+@query("with s as (select conv_id, turn, " + ", ".join("(" + " + ".join(f"contains(lower(text), '{w}')::int" for w in ws) + f") {k}" for k, ws in T.INTENT_WORDS.items()) + " from conversations) select conv_id, turn, case when greatest(" + ", ".join(T.INTENT_WORDS) + ") = 0 then 'explore' " + " ".join(f"when {k} = greatest({', '.join(T.INTENT_WORDS)}) then '{k}'" for k in T.INTENT_WORDS) + " end intent from s")
+def intent_infer(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.infer_intent(F.col("text")).alias("intent"))
+
+
+@query(f"select word, count(*) n from (select unnest({_terms_sql('text')}) word from documents) group by 1 order by 2 desc, 1 limit 50")
+def keyword_extract(spark, d):
+    return _t(spark, d, "documents").select(F.explode(T.terms(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
+
+
+@query(f"with l as (select doc_id, line, line_no, trim(line, ' ') k from {_LINES}), f as (select *, row_number() over (partition by doc_id, k order by line_no) rn from l) select doc_id, string_agg(line, chr(10) order by line_no) as text from f where rn = 1 or k = '' group by 1")
+def unique_lines(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.unique_lines(F.col("text")).alias("text"))
+
+
+@query("select doc_id, case when length(text) > 400 then left(text, 400) || chr(10) || chr(10) || '[truncated ' || (length(text) - 400) || ' chars]' else text end as text from documents")
+def truncate_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.truncate(F.col("text"), 400).alias("text"))
+
+
+@query(f"select d.doc_id, coalesce(string_agg(l.line, chr(10) order by l.line_no), '') as text from documents d left join {_LINES} l on l.doc_id = d.doc_id and (contains(lower(l.line), 'error') or contains(lower(l.line), 'tion')) group by 1")
+def relevant_lines(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.relevant_lines(F.col("text"), ["error", "tion"]).alias("text"))
+
+
+@query("select conv_id, turn, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]'))::int tokens from conversations")
+def token_count(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.token_count(F.col("text")).alias("tokens"))
+
+
+@query("select conv_id, turn from (select conv_id, turn, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) used, row_number() over (partition by conv_id order by turn) rn from conversations) where used <= 600 or rn = 1")
+def budget_prefix(spark, d):
+    items = _t(spark, d, "conversations").withColumn("cost", F.length("text"))
+    return planning.prefix_budget(items, "conv_id", [F.col("turn")], "cost", 600).select("conv_id", "turn")
+
+
+@query("select doc_id, len(regexp_extract_all(text, '\\|'))::int n_bars, upper(lang) lang, left(text, 20) || '...' head from documents where length(text) > 23")
+def shorten_text(spark, d):
+    return _t(spark, d, "documents").where(F.length("text") > 23).select("doc_id", F.regexp_count("text", F.lit(r"\|")).alias("n_bars"), F.upper("lang").alias("lang"), T.shorten(F.col("text"), 23).alias("head"))
+
+
+@query("select page_id, '.../' || array_to_string(string_split(url, '/')[-3:], '/') path from pages where len(string_split(url, '/')) > 3")
+def compact_paths(spark, d):
+    p = _t(spark, d, "pages").where(F.size(F.split("url", "/")) > 3)
+    return p.select("page_id", T.compact_path(F.col("url")).alias("path"))
+
+
+# ---- patterns ---------------------------------------------------------------------------------------------------------
+
+
+def _log(spark, d):
+    return _t(spark, d, "conversations").select(F.col("text").alias("task"), F.col("role").alias("intent"), F.col("turn").alias("accessed_at"), F.concat(F.lit("c/"), (F.col("conv_id") % 20).cast("string")).alias("path"), F.col("turn").alias("position"), F.lit(0.0).alias("relevance"))
+
+
+@query(f"select signature, intent, count(distinct turn) occurrences, max(turn) last_seen from (select {_signature_sql('text')} signature, role intent, turn from conversations) group by 1, 2")
+def pattern_stats(spark, d):
+    return patterns.learn(_log(spark, d))[0]
+
+
+@query("with w as (select item_id k, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) w from benchmark) select a.k, b.k k2, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) similarity from w a join w b on a.k < b.k where len(list_intersect(a.w, b.w)) >= 0.2 * len(list_distinct(list_concat(a.w, b.w)))")
+def pattern_similarity(spark, d):
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
+    return patterns.similar_pairs(_t(spark, d, "benchmark"), "item_id", words, 0.2).select("k", "k2", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def pattern_predict(spark, d):
+    p, f = patterns.learn(_log(spark, d))
+    task = spark.read.parquet(f"{d}/conversations.parquet").where("turn = 0 and role is not null").orderBy("conv_id").select("text", "role").first()
+    return patterns.predict(p, f, task.text, task.role)
+
+
+# ---- index and graph --------------------------------------------------------------------------------------------------
+
+
+@query("select name, count(*) n, min(doc_id) first_doc from (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as name from documents) where length(name) >= 12 group by 1 having count(*) > 1")
+def inverted_index_postings(spark, d):
+    names = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("name")).where(F.length("name") >= 12)
+    index = graph.inverted_index(names.select("name", F.col("doc_id").alias("path"), F.lit(1).alias("line"), F.lit("word").alias("kind")))
+    return index.where("n > 1").select("name", "n", F.col("postings")[0]["path"].alias("first_doc"))
+
+
+_EDGES = "(select distinct a.user_id src, b.user_id dst from (select distinct user_id, floor(value) v from events) a join (select distinct user_id, floor(value) v from events) b using (v) where a.user_id <> b.user_id)"
+
+
+@query(f"select distinct dst as path, 'imports' relation from {_EDGES} where src = 7 union select distinct src, 'importedBy' from {_EDGES} where dst = 7")
+def graph_related(spark, d):
+    e = _t(spark, d, "events").select("user_id", F.floor("value").alias("v")).distinct()
+    edges = e.select(F.col("user_id").alias("src"), "v").join(e.select(F.col("user_id").alias("dst"), "v"), "v").where("src <> dst").select("src", "dst", F.lit("import").alias("kind")).distinct()
+    return graph.related(edges, 7)
+
+
+@query("with h as (select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) host from pages) select host, count(*) n_pages, count(*) * (count(*) - 1) n_neighbour_pairs from h group by 1")
+def graph_neighbors(spark, d):
+    h = _t(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+    n = F.count("*")
+    return h.groupBy("host").agg(n.alias("n_pages"), (n * (n - 1)).alias("n_neighbour_pairs"))
+
+
+@query("with o as (select distinct 'metric:' || sha1(event_type || ':' || event_id) k from events where event_id % 2 = 0), n as (select 'metric:' || sha1(event_type || ':' || event_id) k from events) select count(*) filter (k not in (select k from o)) imported, count(*) filter (k in (select k from o)) skipped from n")
+def idempotent_import(spark, d):
+    k = F.concat(F.lit("metric:"), F.sha1(F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")))).alias("k")
+    e = _t(spark, d, "events")
+    old = e.where("event_id % 2 = 0").select(k).distinct().withColumn("old", F.lit(True))
+    return e.select(k).join(old, "k", "left").agg(F.count_if(F.col("old").isNull()).alias("imported"), F.count_if(F.col("old")).alias("skipped"))
+
+
+@query("with o as (select doc_id path, n_chars mtime from documents where doc_id % 5 > 0), n as (select doc_id path, n_chars + (doc_id % 7 = 0)::int mtime from documents where doc_id % 4 > 0) select coalesce(o.path, n.path) path, case when n.path is null then 'removed' when o.path is null then 'added' else 'changed' end state from o full join n on o.path = n.path where o.path is null or n.path is null or o.mtime <> n.mtime")
+def index_freshness(spark, d):
+    docs = _t(spark, d, "documents")
+    old = docs.where("doc_id % 5 > 0").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("mtime"))
+    new = docs.where("doc_id % 4 > 0").select(F.col("doc_id").alias("path"), (F.col("n_chars") + (F.col("doc_id") % 7 == 0).cast("int")).alias("mtime"))
+    return graph.stale(old, new)
+
+
+# ---- evaluation -------------------------------------------------------------------------------------------------------
+
+
+@query("with x as (select b.item_id task, d.doc_id item from benchmark b join documents d on contains(d.text, b.text)), r as (select task, item, row_number() over (partition by task order by item) rank from x) select task, count(*) n_expected, count(*) filter (rank <= 1) / count(*) recall1, count(*) filter (rank <= 5) / count(*) recall5 from r group by 1")
+def eval_recall_at_k(spark, d):
+    # a benchmark of a fixed size against all texts: the items are the small side, in one block
+    hits = _t(spark, d, "documents").select("doc_id", "text").join(F.broadcast(_t(spark, d, "benchmark").select("item_id", F.col("text").alias("want"))), F.contains("text", F.col("want")))
+    found = hits.select(F.col("item_id").alias("task"), F.col("doc_id").alias("item"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy("item")))
+    return evaluate.recall_at(found, ranked, (1, 5))
+
+
+@query("select count(*) n, round(count(*) filter (quality = 1 and toxic = 0) / count(*), 4) high_pass, round(count(*) filter (quality = 1 and toxic = 1) / count(*), 4) high_fail, round(count(*) filter (quality = 0 and toxic = 0) / count(*), 4) low_pass, round(count(*) filter (quality = 0 and toxic = 1) / count(*), 4) low_fail from labels")
+def eval_calibration(spark, d):
+    return evaluate.calibration(_t(spark, d, "labels").select((F.col("quality") == 1).alias("high"), (F.col("toxic") == 0).alias("passed")))
+
+
+@query("select event_type, count(*) n, round(avg(value / 100), 4) recall, round(avg((value > 50)::int), 4) pass_rate, quantile_disc((event_id % 1000)::double, 0.5) p50, quantile_disc((event_id % 1000)::double, 0.95) p95 from events group by 1")
+def eval_summary(spark, d):
+    e = _t(spark, d, "events").select("event_type", (F.col("value") / 100).alias("recall"), (F.col("value") > 50).alias("passed"), (F.col("event_id") % 1000).alias("latency_ms"))
+    return evaluate.summary(e, "event_type")
+
+
+@query()
+def greedy_plan(spark, d):
+    c = _t(spark, d, "documents").select(F.col("lang").alias("task"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel"), F.element_at(F.array(*(F.lit(x) for x in planning.ROLE_POINTS)), (F.col("doc_id") % 4 + 1).cast("int")).alias("role"), F.col("n_chars").cast("double").alias("utility"))
+    w = Window.partitionBy("task").orderBy(F.desc("utility"), "rel")
+    return planning.greedy(c.withColumn("rn", F.row_number().over(w)).where("rn <= 40").drop("rn"))
+
+
+# ---- Spark's own relational breadth over the star schema ------------------------------------------------------------
+
+_REL = {
+    "rel_pricing_summary": "select l_returnflag, l_linestatus, sum(l_quantity) sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue, count(*) n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2",
+    "rel_top_orders": "select l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue, o_orderdate from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where c_mktsegment = 'BUILDING' group by l_orderkey, o_orderdate order by revenue desc, l_orderkey limit 10",
+    "rel_left_anti": "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "rel_left_semi": "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000)",
+    "rel_full_outer": "select coalesce(a.k, b.k) k, a.n n1, b.n n2 from (select c_nationkey k, count(*) n from customer group by 1) a full join (select s_nationkey k, count(*) n from supplier group by 1) b on a.k = b.k",
+    "rel_cube": "select o_orderstatus, o_orderpriority, count(*) n from orders group by cube (o_orderstatus, o_orderpriority)",
+    "rel_grouping_sets": "select l_returnflag, l_linestatus, count(*) n from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())",
+    "rel_window_rank": "select o_custkey, o_orderkey, r from (select o_custkey, o_orderkey, rank() over (partition by o_custkey order by o_totalprice desc, o_orderkey) r from orders) where r <= 2",
+    "rel_window_frame": "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 2) s from orders",
+    "rel_range_join": "select a.p_partkey, count(*) n from part a join part b on a.p_size = b.p_size and b.p_retailprice between a.p_retailprice - 1 and a.p_retailprice + 1 group by 1",
+    "rel_setops": "select c_nationkey k from customer intersect select s_nationkey from supplier except select n_nationkey from nation where n_regionkey = 0",
+    "rel_scalar_subquery": "select count(*) n from lineitem where l_quantity > (select avg(l_quantity) from lineitem)",
+}
+
+
+def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    names = [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem") if t in text.split() or f"{t} " in text]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        for n in names:
+            _t(spark, d, n).createOrReplaceTempView(n)
+        return spark.sql(text.replace("timestamp '", "timestamp_ntz '"))
+
+    return run
+
+
+for _k, _v in _REL.items():
+    QUERIES[_k], ORACLES[_k] = _sql(_v), _v
