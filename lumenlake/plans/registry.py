@@ -350,3 +350,54 @@ def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 for _k, _v in _REL.items():
     QUERIES[_k], ORACLES[_k] = _sql(_v), _v
+
+# ---- compression and symbols -----------------------------------------------------------------------------------------
+
+from ..operators import compress  # noqa: E402
+from ..streaming import streams  # noqa: E402
+
+
+@query(f"with l as (select doc_id, line, line_no, regexp_matches(line, '(?i)^\\s*(import|export|from|class|function|def|func|fn|interface|type|const|pub|struct|enum|resource|create|#)\\b?') hit from {_LINES}), a as (select doc_id, string_agg(line, chr(10) order by line_no) filter (hit) t from l group by 1) select d.doc_id, coalesce(a.t, d.text) as text from documents d left join a using (doc_id)")
+def compress_fallback(spark, d):
+    return _t(spark, d, "documents").select("doc_id", compress.fallback(F.col("text")).alias("text"))
+
+
+@query()
+def compress_cascade(spark, d):
+    return _t(spark, d, "documents").select("doc_id", compress.cascade(F.col("text"), 200).alias("text"))
+
+
+@query()
+def symbol_index(spark, d):
+    files = _t(spark, d, "pages").select(F.concat("url", F.lit(".js")).alias("path"), F.col("html").alias("text"))
+    return graph.inverted_index(compress.symbols(files))
+
+
+@query()
+def summary_compress(spark, d):
+    e = _t(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.lit("open").alias("status"), F.lit("goal of the session").alias("goal"), F.sort_array(F.collect_list("event_type")).alias("completed"), F.array_distinct(F.sort_array(F.collect_list("event_type"))).alias("decisions"), F.sort_array(F.collect_list(F.col("event_id").cast("string"))).alias("touched_files"))
+    return compress.summary(e, 60)
+
+
+# ---- streams, run to their end -----------------------------------------------------------------------------------------
+
+
+def _stream(spark, d):
+    """A folder that holds the events file alone, as file streams read folders."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("select date_trunc('day', ts)::timestamp as start, event_type, count(*) n from events group by 1, 2")
+def stream_tumbling(spark, d):
+    return streams.drain(streams.tumbling(_stream(spark, d)), spark, "stream_tumbling").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("select s as start, count(*) n from (select unnest([date_trunc('day', ts)::timestamp, date_trunc('day', ts)::timestamp - interval 1 day]) s from events) where true group by 1")
+def stream_sliding(spark, d):
+    return streams.drain(streams.sliding(_stream(spark, d)), spark, "stream_sliding").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("with g as (select *, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 6 hours, true)::int b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) k from g) select min(ts) as start, user_id, count(*) n from s group by user_id, k")
+def stream_sessions(spark, d):
+    return streams.drain(streams.by_session(_stream(spark, d)), spark, "stream_sessions").withColumn("start", F.col("start").cast("timestamp_ntz"))
