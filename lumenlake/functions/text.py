@@ -81,7 +81,7 @@ def relevant_lines(text: Column, patterns: list[str]) -> Column:
 def unique_lines(text: Column) -> Column:
     """The first of lines alike but for white space around them; blank lines all stay."""
     ls = lines(text)
-    trimmed = F.transform(ls, F.trim)
+    trimmed = F.transform(ls, lambda x: F.trim(x))
     keep = F.filter(F.arrays_zip(ls.alias("line"), trimmed.alias("key"), F.sequence(F.lit(1), F.size(ls)).alias("at")), lambda x: (x["key"] == "") | (F.array_position(trimmed, x["key"]) == x["at"]))
     return F.array_join(F.transform(keep, lambda x: x["line"]), "\n")
 

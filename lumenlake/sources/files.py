@@ -26,13 +26,13 @@ def corpus(spark: SparkSession, root: str, extensions: list[str] | None = None,
     kind = "|".join(extensions or CODE)
     wanted = F.col("path").rlike(rf"(?i)\.({kind})$") | F.col("path").rlike(r"(?i)(^|/)dockerfile(\.[^/]*)?$")
     skip = F.col("path").rlike("(^|/)(" + "|".join(x.replace(".", r"\.") for x in IGNORED) + ")/") | F.element_at(F.split("path", "/"), -1).isin(LOCKS)
-    return files.where(wanted & ~skip & (F.col("length") <= most) & ~is_binary(F.col("content"))).select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(wanted & ~skip & (F.col("length") <= most) & ~is_binary(F.col("content"))).select(path.alias("path"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
 
 
 def metric_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, bad lines) of a file of JSON lines; blank lines are skipped before lines are counted."""
     schema = "tool string, action string, target string, sessionId string, rawTokens long, compressedTokens long, finalTokens long, savedTokens long, savingsPct double, latencyMs long, timestamp string, metadata string"
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("at", "line"))
     parsed = lines.withColumn("e", F.from_json("line", schema)).withColumn("ok", F.expr("try_parse_json(line) is not null and line like '{%'"))
     e = F.col("e")
     entries = parsed.where("ok").select(
