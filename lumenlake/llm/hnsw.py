@@ -245,11 +245,13 @@ def _links(vectors: DataFrame, graphs: DataFrame, shards: int, threshold: float)
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            for kind, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for kind, shard, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if kind == 0:
-                    held = pickle.loads(body)
+                    held = (shard, *pickle.loads(body))
                     continue
-                node, n, g, beam = held
+                if held is None or held[0] != shard:  # a shard without vectors has no graph
+                    continue
+                _, node, n, g, beam = held
                 ids, v = pickle.loads(body)
                 row, hit = g.near(v / np.linalg.norm(v, axis=1, keepdims=True), threshold, beam)
                 a, b = ids[row], node[hit]
@@ -267,7 +269,7 @@ def _links(vectors: DataFrame, graphs: DataFrame, shards: int, threshold: float)
     asked = blocks.select(F.lit(1).cast("byte").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "salt", "body")
     told = graphs.select(F.lit(0).cast("byte").alias("kind"), "shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "body")
     met = told.union(asked).repartition(shards * SALTS, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    return met.select("kind", "body").mapInArrow(search, "kind byte, a long, b long")
+    return met.select("kind", "shard", "body").mapInArrow(search, "kind byte, a long, b long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
