@@ -32,8 +32,6 @@ from .common import components, drop_scratch, materialise, release, table, texts
 SKETCH_BITS, BLOCKS = 20, 16
 #: Cost of an entry of an inverted list, its verification included, against that of a subset key.
 LIST_COST = 4.0
-#: Stars before all pairs of what is left; a matter of cost alone.
-ROUNDS = 2
 #: What two sets have left at a shared key must reach the least overlap of their sizes, 3 / 7 of both.
 NEAR = "7 * least(rest, rest2) >= 3 * (n + n2)"
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -151,57 +149,119 @@ def keys(docs: DataFrame, level: np.ndarray, x: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, cls long, n int, rest int")
 
 
-def sets_of(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(cls, shingles) of the classes in need(cls, doc_id); shingles are sorted 64-bit hashes."""
+def _bits(need: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the classes in need(cls), of 2 ** bits bits whatever their number; it may let others through."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << bits, bool)
+        for b in batches:
+            out[(b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["m"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for b in batches:
+            for m in b.column(0).to_pylist():
+                out |= np.frombuffer(m, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["m"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in need.select("cls").mapInArrow(mark, "m binary").coalesce(4).mapInArrow(unite, "m binary").collect():
+        out |= np.frombuffer(r.m, np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _parity(u: np.ndarray) -> bytes:
+    """Whether an odd number of shingles has each value of their low bits; two to four bits a shingle, a power of two."""
+    size = max(64, 2 << (len(u) - 1).bit_length())
+    return np.packbits((np.bincount((u & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def sets_of(docs: DataFrame, need: DataFrame, cut: bool) -> DataFrame:
+    """(cls, shingles) of the classes in need(cls): sorted hashes, or if cut a bitmap of the parity of their low bits.
+
+    The texts are read again where they lie; a bitmap of a fixed size tells nearly all that aren't asked for."""
+    bits = 22
+    shared = docs.sparkSession.sparkContext.broadcast(_bits(need, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            want = batch.column(0).to_pylist()
-            for a, b, data, offsets in K.chunks(batch.column(1)):
-                rows = [(c, u.tobytes()) for c, u in zip(want[a:b], K.shingle_sets(data, offsets)) if _class(u) == c]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([u for _, u in rows], pa.binary())], ["cls", "shingles"])
+            for _, _, data, offsets in K.chunks(batch.column(0)):
+                rows = []
+                for u in K.shingle_sets(data, offsets):
+                    if len(u) and (c := _class(u)) not in done and shared.value[(c % (1 << 64)) >> (64 - bits)]:
+                        if len(done) < 2_000_000:
+                            done.add(c)
+                        rows.append((c, _parity(u) if cut else u.tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["cls", "shingles"])
 
-    return docs.join(need, "doc_id").select("cls", "text").mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
+    found = docs.select("text").mapInArrow(run, "cls long, shingles binary")
+    return found.join(need, "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs(a, b) of classes that are similar."""
+def verify(pairs: DataFrame, sets: DataFrame, cut: bool) -> DataFrame:
+    """The pairs(a, b, n, m) of classes that are similar; by bitmaps, those that may be.
+
+    Two bitmaps differ in no more places than the sets have shingles apart, which are (n + m) / 7 of a similar pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([u, v])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= 75 * (len(u) + len(v) - shared))
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                if cut:
+                    u, v = sorted((np.frombuffer(z, np.uint8) for z in (x, y)), key=len)
+                    while len(v) > len(u):
+                        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+                    keep.append(7 * int(np.bitwise_count(u ^ v).sum()) <= n + m)
+                else:
+                    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    keep.append(100 * shared >= 75 * (n + m - shared))
             mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], ["a", "b", "n", "m"])
 
     joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, n int, m int")
 
 
-def _need(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    return reps.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi")
+def compare(docs: DataFrame, pairs: DataFrame, small: DataFrame) -> DataFrame:
+    """The similar ones of pairs(a, b, n, m): bitmaps leave few to hold against each other in full."""
+    maybe = materialise(verify(pairs, small, True), "maybe")
+    need = maybe.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = materialise(sets_of(docs, need, False), "sets")
+    out = materialise(verify(maybe, sets, False).select("a", "b"), "links")
+    drop_scratch(sets)
+    drop_scratch(maybe)
+    return out
 
 
-def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, edges: DataFrame | None, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(links so far, pairs compared so far) after comparing those pairs that have not been."""
-    pairs = materialise(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    sets = materialise(sets_of(docs, _need(pairs, reps)), "sets")
-    found = verify(pairs, sets)
-    out = materialise(found if edges is None else edges.union(found), "links")
-    every = pairs if done is None else materialise(done.union(pairs), "done")
-    drop_scratch(sets)
-    return out, every
+def stars(docs: DataFrame, level: np.ndarray, x: int) -> DataFrame:
+    """Entries (key, cls, n, rest) of the keys that several classes hold, with the key's centre (cls2, n2, rest2).
 
+    The centre is a class that holds the key early in its order."""
+    w = Window.partitionBy("key")
+    centre = F.min(F.struct((-F.floor(8 * F.col("rest") / F.col("n"))).alias("early"), "cls", "n", "rest")).over(w)
+    entries = keys(docs, level, x).withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).where("lo <> hi").withColumn("c", centre)
+    return entries.select("key", "cls", "n", "rest", F.col("c.cls").alias("cls2"), F.col("c.n").alias("n2"), F.col("c.rest").alias("rest2"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    first = F.col("cls") < F.col("cls2")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return pairs.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"), pick("n", "n2").alias("n"), pick("n2", "n").alias("m")).distinct()
 
-def _relabel(live: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    comp = materialise(components(edges), "comp")
-    live = live.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-    return live.withColumn("component", F.coalesce("component", "cls")).select("key", "cls", "n", "rest", "component"), comp
+
+def rest_pairs(live: DataFrame, comp: DataFrame, star: DataFrame) -> DataFrame:
+    """All pairs that share a key across components and have not been compared."""
+    w = Window.partitionBy("key")
+    left = live.select("key", "cls", "n", "rest").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    left = left.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo <> hi").select("key", "cls", "n", "rest", "component")
+    mate = left.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("component").alias("component2"))
+    return _ordered(left.join(mate, "key").where(f"cls < cls2 and component <> component2 and {NEAR}")).join(star, ["a", "b"], "left_anti")
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -212,32 +272,21 @@ def similar(docs: DataFrame) -> DataFrame:
     rows = prof.where("kind = 0").select("doc_id", "n", "cls")
     x = boundary(prof)
     level = levels(prof)
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    w = Window.partitionBy("key")
-    live = keys(docs.where("doc_id is not null"), level, x).withColumn("component", F.col("cls"))
-    edges = done = None
-    for turn in range(ROUNDS):
-        # keys of one component alone have nothing left to tell; the others' centre holds the key early in its order
-        centre = F.min(F.struct((-F.floor(8 * F.col("rest") / F.col("n"))).alias("early"), F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n", "rest", "component"))
-        now = live.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo <> hi").withColumn("c", centre.over(w))
-        now = materialise(now.select("key", "cls", "n", "rest", "component", F.col("c.cls").alias("cls2"), F.col("c.n").alias("n2"), F.col("c.rest").alias("rest2"), F.col("c.component").alias("component2")), "live")
-        if turn:
-            drop_scratch(live)
-        release(spark)
-        star = now.where(f"component <> component2 and {NEAR}").select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
-        edges, done = _compare(docs, reps, star, edges, done)
-        live, comp = _relabel(now.select("key", "cls", "n", "rest"), edges)
-        live = materialise(live, "live")
-        drop_scratch(now)
-    # what is left: all pairs across components that no star has compared
-    left = live.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo <> hi").select("key", "cls", "n", "rest", "component")
-    mate = left.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("component").alias("component2"))
-    more = left.join(mate, "key").where(f"cls < cls2 and component <> component2 and {NEAR}").select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
-    edges, done = _compare(docs, reps, more, edges, done)
+    named = docs.where("doc_id is not null")
+    live = materialise(stars(named, level, x), "live")
+    release(spark)
+    small = materialise(sets_of(named, live.select("cls").distinct(), True), "small")
+    star = materialise(_ordered(live.where(f"cls <> cls2 and {NEAR}")), "pairs")
+    edges = compare(named, star, small)
     comp = materialise(components(edges), "comp")
-    for t in (live, done):
+    release(spark)
+    more = materialise(rest_pairs(live, comp, star), "pairs")
+    again = compare(named, more, small)
+    for t in (live, small, star, more):
         drop_scratch(t)
     release(spark)
+    if again.limit(1).count():
+        comp = materialise(components(edges.union(again)), "comp")
     joined = rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     joined = joined.where("n > 0 and doc_id is not null")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
