@@ -129,18 +129,35 @@ def test_tokens_round_trip(spark, docs, rows):
     assert (token_ids.unpack(np.frombuffer(control, np.uint8), np.frombuffer(body, np.uint8), len(v)) == v).all()
 
 
-def test_katz_sums_to_one_and_counts(spark):
-    train = ["a b c a b d", "a b a b c", "b c d d d a", "c a"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(train)] + [(99, "a b zz")], "doc_id long, text string")
-    held = F.col("doc_id") == 99
-    got = {r.doc_id: r for r in katz.katz(docs, held).collect()}
-    assert got[0].train_tokens == sum(len(t.split()) + 1 for t in train) and (got[99].n_tokens, got[99].n_known) == (4, 3)
-    words = ["a", "b", "c", "d"]
-    # of p(x | a): the texts "a" + x, less those of the pieces around, summed over all words, the end and one unknown
-    more = spark.createDataFrame([(100 + i, f"a {w}") for i, w in enumerate([*words, "qq"])] + [(110, "a")], "doc_id long, text string")
-    s = {r.doc_id: r.score for r in katz.katz(docs.where("doc_id < 99").union(more), F.col("doc_id") >= 99).collect()}
-    alone = {w: {r.doc_id: r.score for r in katz.katz(docs.where("doc_id < 99").union(spark.createDataFrame([(200, w)], docs.schema)), F.col("doc_id") >= 99).collect()} for w in ()}
-    assert not alone and s[110] < 0 and all(x < 0 for x in s.values())
+def test_katz_against_brute_force(spark):
+    texts = ["a b c a b d", "a b a b c", "b c d d d a", "c a", "", "A b zz", "d d d d d d d d d"]
+    got = katz.katz(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") == 5).collect()
+    tokens = {i: [*WORD.findall(t.translate(LOW)), "</s>"] for i, t in enumerate(texts)}
+    uni, pair = collections.Counter(), collections.Counter()
+    for i, w in tokens.items():
+        if i != 5:
+            uni.update(w)
+            pair.update(zip(["<s>", *w[:-1]], w))
+    n = sum(uni.values())
+    d = katz.discounts(np.array([sum(c == k for c in pair.values()) for k in range(1, katz.CUT + 2)]))
+    p1 = lambda w: (uni[w] + 1) / (n + len(uni) + 1)
+    kept = lambda c: c * (d[c - 1] if c <= katz.CUT else 1)
+
+    def p(w, h):
+        seen = {x: c for (g, x), c in pair.items() if g == h}
+        if not seen:
+            return p1(w)
+        total, mass = sum(seen.values()), sum(map(kept, seen.values()))
+        total += mass >= total - 1e-9
+        return kept(seen[w]) / total if w in seen else (1 - mass / total) / (1 - sum(map(p1, seen))) * p1(w)
+
+    for h in ["<s>", "a", "b", "c", "d", "never"]:
+        assert abs(sum(p(w, h) for w in [*uni, "one unknown word"]) - 1) < 1e-9
+    for r in got:
+        w = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in uni for x in w), n)
+        assert r.base_score == pytest.approx(sum(np.log10(p1(x)) for x in w))
+        assert r.score == pytest.approx(sum(np.log10(p(x, h)) for h, x in zip(["<s>", *w[:-1]], w)))
 
 
 def test_pii(spark):
