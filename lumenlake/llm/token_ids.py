@@ -47,6 +47,14 @@ def vocabulary(path: str | None = None) -> str:
     return path
 
 
+def _marked(n: int, *places) -> np.ndarray:
+    """The distinct places among 0 .. n, ascending; marks in a bitmap cost less than sorting or hashing them."""
+    mark = np.zeros(n + 1, bool)
+    for p in places:
+        mark[p] = True
+    return np.flatnonzero(mark)
+
+
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Ascending places at which pre-tokens end, 0 and the end included; white space beyond ASCII must be absent.
 
@@ -55,7 +63,7 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     before them."""
     s, e, _ = K.words(data, offsets)
     if not len(s):
-        return np.unique(np.concatenate([offsets, [0, len(data)]]))
+        return _marked(len(data), offsets, [0, len(data)])
     began = np.isin(s, offsets, kind="sort")
     before = data[np.maximum(s - 1, 0)]
     lead = ~began & (before == 0x20)
@@ -66,7 +74,7 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     low = data[t - 1]
     latin = (t - 2 >= s) & (data[np.maximum(t - 2, 0)] == 0xC3) & (low >= 0x80) & (low != 0x97) & (low != 0xB7)
     ok = (t < e) & (_ALNUM[low] | latin)
-    return np.unique(np.concatenate([offsets, s - lead, alone, e, t[ok]]))
+    return _marked(len(data), offsets, s - lead, alone, e, t[ok])
 
 
 class Encoder:
