@@ -331,7 +331,7 @@ def token_ids(docs: DataFrame, path: str | None = None, out: str | None = None,
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), file.alias("file"), F.col("_metadata.row_index").alias("place"))
     else:
         rows = texts(docs).select("doc_id", "text", F.lit(None).cast("long").alias("file"), F.lit(None).cast("long").alias("place"))
-    encoded = materialise(encode(rows, path), "ids")
+    encoded = materialise(encode(rows, path), "ids", "zstd")
     ranks = ranking(encoded)
     out = out or scratch_path(spark, "tokens")
     write(encoded, ranks, out, ["file", "place"] if as_laid_out else None)
