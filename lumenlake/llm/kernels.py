@@ -109,6 +109,15 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; np.unique hashes them first, which costs more than the sort."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
     """The sorted distinct k-word shingles of each row; with fewer words the whole sequence is one; without words none."""
     h, first = word_hashes(data, offsets)
@@ -116,7 +125,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.n
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= k:
-            out.append(np.unique(w[a : b - k + 1]))
+            out.append(distinct(w[a : b - k + 1]))
         elif b > a:
             out.append(mix((h[a:b] * PLACE[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
         else:
