@@ -3,9 +3,10 @@
 Tokens are runs of letters and digits, lower-cased; numbers, names (title case inside a sentence) and units (after a
 number) become typed placeholders, runs of numbers or of names one placeholder. Windows of WINDOW canonical tokens
 (items with fewer tokens: the whole item) with at least half literal tokens are hashed and looked up in the windows of
-the benchmark. Matches on one alignment of a text and an item are joined into runs; the slots of a run must be
-consistent: one item value stands for one text value and the other way round. A run of MIN_RUN tokens, or of the whole
-item where that is shorter, marks the text. Thus a question asked again with other numbers or names is found.
+the benchmark. Matches on one alignment of a text and an item are joined into runs, and these split where slots are in
+conflict: within a stretch one item value stands for one text value and the other way round. A stretch of MIN_RUN
+tokens, or of the whole item where that is shorter, marks the text. Thus a question asked again with other numbers or
+names is found, and one in which a value was changed in one of its places only.
 
 Null or empty texts and items match nothing; an item that stands twice under two ids counts for both. The benchmark is
 looked up in slices of SLICE windows at most, each with a pass over the texts, so what is broadcast stays bounded
@@ -141,16 +142,25 @@ class Items:
         a, b = starts[head], ends[np.append(head[1:], len(starts)) - 1]
         rows, items, shift = rows[head], items[head], shift[head]
         long = np.flatnonzero(b - a >= self.need[items])
-        good = [i for i in long.tolist() if self._consistent(slot[a[i] : b[i]], self.slot[a[i] - shift[i] : b[i] - shift[i]])]
-        return rows[good], self.ids[items[good]], (b - a)[good]
-
-    @staticmethod
-    def _consistent(x: np.ndarray, y: np.ndarray) -> bool:
-        filled = (x != 0) | (y != 0)
-        if not filled.any():
-            return True
-        pairs = set(zip(x[filled].tolist(), y[filled].tolist()))
-        return len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs})
+        runs = np.array([_longest(slot[a[i] : b[i]], self.slot[a[i] - shift[i] : b[i] - shift[i]]) for i in long.tolist()], np.int64)
+        good = runs >= self.need[items[long]]
+        return rows[long[good]], self.ids[items[long[good]]], runs[good]
+
+
+def _longest(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens in the longest stretch of aligned slots in which one value of x stands for one of y and the other way round."""
+    filled = np.flatnonzero((x != 0) | (y != 0))
+    there: dict[int, tuple[int, int]] = {}
+    back: dict[int, tuple[int, int]] = {}
+    best = low = 0
+    for i, u, v in zip(filled.tolist(), x[filled].tolist(), y[filled].tolist()):
+        v_, at = there.get(u, (v, -1))
+        u_, to = back.get(v, (u, -1))
+        # a stretch begins behind the last slot that gave either value another partner
+        best = max(best, i - low)
+        low = max(low, at + 1 if v_ != v else 0, to + 1 if u_ != u else 0)
+        there[u], back[v] = (v, i), (u, i)
+    return max(best, len(x) - low)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

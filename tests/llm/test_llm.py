@@ -199,6 +199,25 @@ def test_decontamination(spark):
     assert {r.doc_id: r.item_ids for r in decontamination.decontaminate(docs, bench).collect()} == {1: [7], 2: [7], 3: [], 4: []}
 
 
+def test_decontamination_splits_runs():
+    value = lambda s: np.array([int(c) for c in s], np.uint64)
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        x, y = r.integers(0, 4, (2, int(r.integers(1, 14)))).astype(np.uint64)
+        ok = lambda a, b: len({*zip(x[a:b], y[a:b])} - {(0, 0)}) == len({u for u, v in zip(x[a:b], y[a:b]) if u or v}) == len({v for u, v in zip(x[a:b], y[a:b]) if u or v})  # noqa: B023, E731
+        assert decontamination._longest(x, y) == max(b - a for a in range(len(x)) for b in range(a + 1, len(x) + 1) if ok(a, b))
+    assert decontamination._longest(value("500005"), value("500006")) == 5
+
+
+def test_decontamination_of_one_changed_place(spark):
+    head, tail = "we all know that each of these boxes holds many red and blue pens and", "so how many pens are there in the boxes when nobody takes any of them away"
+    item = f"{head} 5 pens weigh less than 5 books {tail}"
+    docs = spark.createDataFrame([(1, f"see {head} 6 pens weigh less than 5 books {tail}"), (2, f"see {head} 7 pens weigh less than 7 books {tail}"), (3, "so how many pens are there in that box of 5 books")], "doc_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.longest_run) for r in decontamination.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    whole = len(item.split())
+    assert got == {1: ([7], whole - 1 - len(head.split())), 2: ([7], whole), 3: ([], 0)}
+
+
 def test_hnsw_against_brute_force(spark):
     e = table(spark, "/root/testdata/check_s", "embeddings").where("vec_id < 3000").select("vec_id", "embedding")
     got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(e).collect()}
