@@ -3,10 +3,13 @@
 Tokens are runs of letters and digits, lower-cased; numbers, names (title case inside a sentence) and units (after a
 number) become typed placeholders, runs of numbers or of names one placeholder. Windows of WINDOW canonical tokens
 (items with fewer tokens: the whole item) with at least half literal tokens are hashed and looked up in the windows of
-the benchmark. Matches on one alignment of a text and an item are joined into runs, and these split where slots are in
+the benchmark. A match goes on over neighbours that are the same word for word. Matches on one alignment of a text and an item are joined into runs, and these split where slots are in
 conflict: within a stretch one item value stands for one text value and the other way round. A stretch of MIN_RUN
 tokens, or of the whole item where that is shorter, marks the text. Thus a question asked again with other numbers or
-names is found, and one in which a value was changed in one of its places only.
+names is found, and one in which a value was changed in one of its places only. Beside the templates, MIN_RUN tokens as
+they stand (lower-cased, without placeholders; the whole item where it has fewer, down to one token) mark the text too,
+whatever they are made of: so items of numbers and names, short items, and items whose first word looks like a name
+where it stands in the text are found word for word.
 
 Null or empty texts and items match nothing; an item that stands twice under two ids counts for both. The benchmark is
 looked up in slices of SLICE windows at most, each with a pass over the texts, so what is broadcast stays bounded
@@ -42,14 +45,16 @@ UNIT_HASHES = np.sort(_hash(UNITS))
 _ENDS_SENTENCE = np.isin(np.arange(256), [ord(c) for c in ".!?:\n|\"*%$#&"])
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(code, slot value or 0, first token by row, start byte, end byte) of the canonical tokens."""
-    clean = np.where(Q.ALNUM[data], data, np.uint8(32))
-    s, e, first = K.words(clean, offsets)
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first token by row, start byte, end byte) of the tokens as they stand, lower-cased."""
+    s, e, first = K.words(np.where(Q.ALNUM[data], data, np.uint8(32)), offsets)
+    return (K.range_hash(K.prefix_hash(data, K.WORD_KEY), s, e) if len(s) else np.zeros(0, np.uint64)), first, s, e
+
+
+def canonical(data: np.ndarray, raw: np.ndarray, first: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, slot value or 0, first token by row) of the canonical tokens made of tokens()."""
     if not len(s):
-        z = np.zeros(0, np.uint64)
-        return z, z, first, s, e
-    raw = K.range_hash(K.prefix_hash(data, K.WORD_KEY), s, e)
+        return raw, raw, first
     opens = np.zeros(len(s) + 1, bool)
     opens[first[:-1]] = True
     opens = opens[:-1]
@@ -72,10 +77,9 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         group = np.cumsum(~again) - 1
         value = np.zeros(len(head), np.uint64)
         np.add.at(value, group, slot * (np.uint64(2) * (np.arange(len(slot)) - head[group]).astype(np.uint64) + np.uint64(1)))
-        end = np.append(head[1:], len(s)) - 1
         first = np.searchsorted(head, first)
-        return code[head], value, first, s[head], e[end]
-    return code, slot, first, s, e
+        return code[head], value, first
+    return code, slot, first
 
 
 def windows(code: np.ndarray, slot: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +95,56 @@ def windows(code: np.ndarray, slot: np.ndarray, first: np.ndarray, k: int) -> tu
     return h[at], at
 
 
+class Exact:
+    """The windows of MIN_RUN tokens as they stand, and items of fewer tokens whole, sorted by hash for each size."""
+
+    def __init__(self, raw: np.ndarray, first: np.ndarray):
+        n = np.diff(first)
+        self.by_size = {}
+        for k in sorted({min(x, MIN_RUN) for x in n.tolist() if x}):
+            h = K.window_hashes(raw, k)
+            at = np.arange(len(h))
+            item = np.searchsorted(first, at, "right") - 1
+            keep = (at + k <= first[item + 1]) & ((n[item] >= MIN_RUN) if k == MIN_RUN else (n[item] == k))
+            h, at, item = h[keep], at[keep], item[keep]
+            order = np.argsort(h, kind="stable")
+            u, start, count = np.unique(h[order], return_index=True, return_counts=True)
+            some = np.zeros(1 << 22, bool)
+            some[u >> np.uint64(42)] = True
+            self.by_size[k] = (u, start, count, at[order], item[order], some)
+
+    def judge(self, raw: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, item, tokens) of the runs that stand word for word in a text."""
+        for k, (u, start, count, at, item, some) in self.by_size.items():
+            h = K.window_hashes(raw, k)
+            here = np.flatnonzero(some[h >> np.uint64(42)])
+            p = np.minimum(np.searchsorted(u, h[here]), len(u) - 1)
+            row = np.searchsorted(first, here, "right") - 1
+            hit = np.flatnonzero((u[p] == h[here]) & (here + k <= first[row + 1]))
+            p, here, row = p[hit], here[hit], row[hit]
+            if not len(p):
+                continue
+            c = count[p]
+            q = np.repeat(start[p] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            here, row = np.repeat(here, c), np.repeat(row, c)
+            shift, which = here - at[q], item[q]
+            order = np.lexsort((here, shift, which, row))
+            here, row, shift, which = here[order], row[order], shift[order], which[order]
+            # windows of one alignment that begin one after another are one run
+            head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (which[1:] != which[:-1]) | (shift[1:] != shift[:-1]) | (here[1:] != here[:-1] + 1)]))
+            yield row[head], which[head], here[np.append(head[1:], len(here)) - 1] + k - here[head]
+
+
 class Items:
     """The windows of a slice of the benchmark, sorted by hash, and the slots of its items."""
 
     def __init__(self, ids: list[int], item_texts: list[str], sizes: list[int] | None = None):
         data, offsets = K.buffers(pa.array(item_texts, pa.string()))
-        self.code, self.slot, self.first, _, _ = canonical(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        raw, first, s, e = tokens(data, offsets)
+        self.exact = Exact(raw, first)
+        self.code, self.slot, self.first = canonical(data, raw, first, s, e)
+        self.value = np.where(self.slot != 0, self.slot, self.code)
         self.ids = np.array(ids, np.int64)
         n = np.diff(self.first)
         self.need = np.minimum(n, MIN_RUN)
@@ -113,8 +161,13 @@ class Items:
             self.by_size[k] = (u, start, count, at[order], item[order])
 
     def judge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item id, tokens in its longest consistent run) of each marked pair."""
-        code, slot, first, _, _ = canonical(data, offsets)
+        """(row, item id, tokens in its longest consistent stretch, or in a run word for word) of each marked pair."""
+        raw, first, s, e = tokens(data, offsets)
+        found = [*self.exact.judge(raw, first), self._templates(*canonical(data, raw, first, s, e))]
+        row, item, n = (np.concatenate(x) for x in zip(*found))
+        return row, self.ids[item], n
+
+    def _templates(self, code: np.ndarray, slot: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, items, starts, ends, shift = [], [], [], [], []
         for k, (u, start, count, at, item) in self.by_size.items():
             if not len(u):
@@ -135,16 +188,36 @@ class Items:
             z = np.zeros(0, np.int64)
             return z, z, z
         rows, items, starts, ends, shift = (np.concatenate(x) for x in (rows, items, starts, ends, shift))
-        order = np.lexsort((starts, shift, items, rows))
-        rows, items, starts, ends, shift = (x[order] for x in (rows, items, starts, ends, shift))
-        new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (items[1:] != items[:-1]) | (shift[1:] != shift[:-1]) | (starts[1:] > ends[:-1])])
-        head = np.flatnonzero(new)
-        a, b = starts[head], ends[np.append(head[1:], len(starts)) - 1]
-        rows, items, shift = rows[head], items[head], shift[head]
+
+        def runs() -> tuple[np.ndarray, ...]:
+            order = np.lexsort((starts, shift, items, rows))
+            r, i, s, e, d = (x[order] for x in (rows, items, starts, ends, shift))
+            head = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (s[1:] > e[:-1])]))
+            return r[head], i[head], s[head], e[np.append(head[1:], len(s)) - 1], d[head]
+
+        rows, items, starts, ends, shift = runs()
+        # a run goes on over tokens that are the same word for word, be they placeholders on one side or on both
+        value = np.where(slot != 0, slot, code)
+        low, high = np.maximum(first[rows], self.first[items] + shift), np.minimum(first[rows + 1], self.first[items + 1] + shift)
+        live = np.flatnonzero(starts > low)
+        while len(live):
+            live = live[value[starts[live] - 1] == self.value[starts[live] - 1 - shift[live]]]
+            starts[live] -= 1
+            live = live[starts[live] > low[live]]
+        live = np.flatnonzero(ends < high)
+        while len(live):
+            live = live[value[ends[live]] == self.value[ends[live] - shift[live]]]
+            ends[live] += 1
+            live = live[ends[live] < high[live]]
+        rows, items, a, b, shift = runs()
         long = np.flatnonzero(b - a >= self.need[items])
-        runs = np.array([_longest(slot[a[i] : b[i]], self.slot[a[i] - shift[i] : b[i] - shift[i]]) for i in long.tolist()], np.int64)
-        good = runs >= self.need[items[long]]
-        return rows[long[good]], self.ids[items[long[good]]], runs[good]
+        n = np.zeros(len(long), np.int64)
+        for at, i in enumerate(long.tolist()):
+            u, v = slice(a[i], b[i]), slice(a[i] - shift[i], b[i] - shift[i])
+            filled = (slot[u] != 0) | (self.slot[v] != 0)
+            n[at] = _longest(np.where(filled, value[u], np.uint64(0)), np.where(filled, self.value[v], np.uint64(0)))
+        good = n >= self.need[items[long]]
+        return rows[long[good]], items[long[good]], n[good]
 
 
 def _longest(x: np.ndarray, y: np.ndarray) -> int:

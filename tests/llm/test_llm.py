@@ -218,6 +218,19 @@ def test_decontamination_of_one_changed_place(spark):
     assert got == {1: ([7], whole - 1 - len(head.split())), 2: ([7], whole), 3: ([], 0)}
 
 
+def test_decontamination_word_for_word(spark):
+    items = {
+        1: "What is 12 + 7 * 3 - 4", 2: "Quixotic zebras", 3: "Compute the total of all these given long rows now", 4: "Plain words begin here and then come 1 2 3 4 5 6 7 8 9",
+        5: "7 8 15 16 23 42 108 4 8 15 16 23 42 99 98 97",
+    }
+    texts = {
+        1: "he asked What is 12 + 7 * 3 - 4 of us", 2: "there are quixotic ZEBRAS here", 3: "we were told Compute the total of all these given long rows now ok",
+        4: "so plain words begin here and then come 1 2 3 4 5 6 7 8 9 and 10", 5: "see 8 15 16 23 42 108 4 8 15 16 23 42 99 or not", 6: "what is 12 + 7 * 3 - 5", 7: "quixotic and zebras", 8: "see 15 16 23 42 108 4 8 15 16 23 42 99 or",
+    }
+    got = decontamination.decontaminate(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_ids for r in got} == {1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 6: [], 7: [], 8: []}
+
+
 def test_hnsw_against_brute_force(spark):
     e = table(spark, "/root/testdata/check_s", "embeddings").where("vec_id < 3000").select("vec_id", "embedding")
     got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(e).collect()}
