@@ -1,9 +1,8 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word shapes that adds to them.
 
 The field is trained on the driver, from a small labelled table that labelled() makes by rule, by gradient ascent on
-the exact log-likelihood (forward-backward in numpy). It is decoded by Viterbi in numpy batches, over the surroundings
-of every digit or at-sign of a text: what it can mark (numbers without a plus sign, spelt-out addresses, keys) holds
-one. Its spans are added where they overlap no base span. Offsets count code points, the end exclusive. Null and empty
+the exact log-likelihood (forward-backward in numpy). It is decoded by Viterbi in numpy batches, over whole texts: the
+stretches that provably hold no span of the best path are left out. Its spans are added where they overlap no base span. Offsets count code points, the end exclusive. Null and empty
 texts have no spans; each row is judged by itself, so repeated rows give the same answer; other columns are ignored.
 """
 
@@ -56,7 +55,8 @@ def base(text: str) -> list[tuple[int, int, int]]:
 # ---- the field ------------------------------------------------------------------------------------------------------
 
 STATES = ["O", *(f"{b}-{k}" for k in ("email", "phone", "secret") for b in "BI")]
-BUCKETS, LONGEST = 1 << 12, 200
+#: Tokens of the texts that are looked at together, and of the sequences that are decoded together.
+BUCKETS, TOKENS, PADDED = 1 << 12, 100_000, 200_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 #: words whose identity, not only their shape, is a feature
 CUES = {"at", "dot", "token", "key", "password", "secret", "api", "call", "phone", "tel", "mobile", "fax", "mail", "email", "contact", "pwd", "ext"}
@@ -70,18 +70,49 @@ def shape(w: str) -> str:
     return ("x" if w.islower() else "X" if w.isupper() else "Xx" if w[0].isupper() else "xX") + str(min(len(w), 6)) + ("h" if all(c in "abcdefABCDEF" for c in w) else "")
 
 
+#: The mark of each piece (a token and the space before it): hash of the shape, hash of the cue word, glued, length of the space, of all.
+class Marks(dict):
+    def __missing__(self, piece: str) -> tuple[int, int, int, int, int]:
+        w = piece.lstrip()
+        cue = w.lower() if w.lower() in CUES else ""
+        mark = (_code(shape(w)), _code(cue), len(w) == len(piece), len(piece) - len(w), len(piece))
+        if len(self) >= 500_000:
+            self.clear()
+        self[piece] = mark
+        return mark
+
+
+def _code(x: str) -> int:
+    return zlib.crc32(x.encode()) << 31 | zlib.crc32(x.encode() + b"+") >> 1
+
+
+PIECE = re.compile(r"\s*(?:" + TOKEN.pattern + ")")
+PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+MARKS = Marks()
+EDGE = [(_code("^"), _code(""), 0, 0, 0)] * 2, [(_code("$"), _code(""), 0, 0, 0)] * 2
+
+
+def _bucket(j: int, *parts: np.ndarray) -> np.ndarray:
+    h = np.full(len(parts[0]), j, np.uint64)
+    for p, x in zip(PRIMES, parts):
+        h = (h ^ x) * p
+        h ^= h >> np.uint64(29)
+    return ((h * PRIMES[0]) >> np.uint64(32)).astype(np.int64) % BUCKETS
+
+
+def features(marks: np.ndarray) -> np.ndarray:
+    """Buckets of the features of each token between two edge marks on either side: shapes around it, cue words around it, whether space is before it."""
+    s, c, g = (marks[:, k].astype(np.uint64) for k in range(3))
+    n = len(marks) - 4
+    S, C, G = (lambda d, x=x: x[2 + d : 2 + d + n] for x in (s, c, g))
+    f = [(S(0),), (S(-1), G(0), S(0)), (S(0), G(1), S(1)), (S(-2), S(-1), G(0), S(0)), (S(0), G(1), S(1), S(2)), (C(0),), (C(-1), C(-2)), (C(1), C(2)), (G(0), S(0), G(1))]
+    return np.stack([_bucket(j, *x) for j, x in enumerate(f)], 1)
+
+
 def feature_ids(tokens: list[str], glued: list[bool]) -> np.ndarray:
-    """Buckets of the features of each token: shapes around it, cue words around it, whether space is before it."""
-    n = len(tokens)
-    s = ["^", "^", *(shape(t) for t in tokens), "$", "$"]
-    c = ["", "", *((t.lower() if t.lower() in CUES else "") for t in tokens), "", ""]
-    g = [*("+" if x else " " for x in glued), " "]
-    out = np.empty((n, 9), np.int64)
-    for i in range(n):
-        k = i + 2
-        f = (f"0{s[k]}", f"1{s[k - 1]}{g[i]}{s[k]}", f"2{s[k]}{g[i + 1]}{s[k + 1]}", f"3{s[k - 2]} {s[k - 1]}{g[i]}{s[k]}", f"4{s[k]}{g[i + 1]}{s[k + 1]} {s[k + 2]}", f"5{c[k]}", f"6{c[k - 1]}{c[k - 2]}", f"7{c[k + 1]}{c[k + 2]}", f"8{g[i]}{s[k]}{g[i + 1]}")
-        out[i] = [zlib.crc32(x.encode()) % BUCKETS for x in f]
-    return out
+    """features() of tokens."""
+    marks = [MARKS[t if x else " " + t] for t, x in zip(tokens, glued)]
+    return features(np.array([*EDGE[0], *marks, *EDGE[1]], np.int64))
 
 
 def tokenise(text: str) -> tuple[list[str], list[tuple[int, int]], list[bool]]:
@@ -110,6 +141,14 @@ def labelled(n: int = 220, seed: int = 7) -> list[list[tuple[str, str]]]:
         for k in kinds:
             s += [(r.choice(cue[k]), "O"), (make[k](), k), (r.choice(["", ".", ",", "###", "!!"]) + " " + some() + r.choice([".", ""]), "O")]
         out.append([(x, k) for x, k in s if x])
+    # whole texts are mostly prose, in which cue words, names and quotes stand without personal data; some holds an address in words
+    cues = sorted(CUES)
+    part = lambda: r.choice([word, word, word, word, word, lambda: word().title(), lambda: word().title(), lambda: "é" + word(), lambda: word() + "ç" + word(), lambda: word() + ",", lambda: word() + ".", lambda: word() + ":", lambda: f'"{word()}"', lambda: r.choice(cues), lambda: "at " + r.choice(["the " + word(), word(), word() + ".", "all"]), lambda: r.choice("aio"), lambda: word() + "-" + word(), lambda: word().upper(), lambda: f"{r.choice(cues)} {word()} {r.choice(cues)}"])()
+    prose = lambda: " ".join(part() for _ in range(r.randint(2, 25)))
+    for i in range(2 * n):
+        out.append([(prose(), "O")] if i % 4 else [])
+        if i % 4 < 2:
+            out[-1] += [(f"{word()}{r.choice(['', '.' + word()])} {r.choice(['at', 'at', '(at)'])} {r.choice([word(), word(), 'mail', 'email'])}{r.choice([' dot ' + word(), ''])} dot {r.choice(['com', 'org', 'net', word()])}", "email"), (r.choice(["", ".", ","]) + " " + prose(), "O")]
     return out
 
 
@@ -200,13 +239,22 @@ def train(rows: list[list[tuple[str, str]]], steps: int = 70) -> dict[str, np.nd
 
 
 def viterbi(model: dict[str, np.ndarray], seqs: list[np.ndarray]) -> list[np.ndarray]:
-    """The best states of each sequence of feature rows; sequences of like length are decoded together."""
+    """The best states of each sequence of feature rows."""
+    return decode(model, [model["e"][f].sum(1) for f in seqs])
+
+
+def decode(model: dict[str, np.ndarray], seqs: list[np.ndarray]) -> list[np.ndarray]:
+    """The best states of each sequence of emissions; sequences of like length are decoded together."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seqs)
-    order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: len(seqs[i]))
-    for lo in range(0, len(order), 256):
-        part = order[lo : lo + 256]
-        f, n = _pad([seqs[i] for i in part])
-        u = model["e"][f].sum(2)
+    order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: len(seqs[i]), reverse=True)
+    lo = 0
+    while lo < len(order):
+        part = order[lo : lo + max(1, min(1024, PADDED // len(seqs[order[lo]])))]
+        lo += len(part)
+        n = np.array([len(seqs[i]) for i in part])
+        u = np.zeros((len(part), n[0], len(STATES)))
+        for j, i in enumerate(part):
+            u[j, : n[j]] = seqs[i]
         b, t, s = u.shape
         score, back = u[:, 0] + model["first"], np.zeros((b, t, s), np.int8)
         for i in range(1, t):
@@ -225,56 +273,67 @@ def viterbi(model: dict[str, np.ndarray], seqs: list[np.ndarray]) -> list[np.nda
     return out
 
 
-def surroundings(text: str, reach: int = 48) -> list[tuple[int, int]]:
-    """Ranges around all digits and at-signs, cut at white space where there is some near, merged."""
-    out: list[list[int]] = []
-    n, at = len(text), 0
-    while m := TRIGGER.search(text, at):
-        a, b = max(0, m.start() - reach), min(n, m.end() + reach)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-        at = m.end()
-    cut: list[tuple[int, int]] = []
-    for a, b in out:
-        low, high = (cut[-1][1] if cut else 0), min(n, b + 64)
-        while a > low and not text[a - 1].isspace():
-            a -= 1
-        while b < high and not text[b].isspace():
-            b += 1
-        cut.append((max(a, low), b))
-    return cut
+def stretches(model: dict[str, np.ndarray], u: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the stretches of tokens outside which the best path is O all along, so that whole texts need not be decoded.
+
+    A span beats O by the sum over its tokens of emission and incoming transition over those of O, and its way out. With
+    the best state and transition taken for each token, a token can be in a span that wins only if the best sum over
+    some range around it is above 0. Tokens that aren't real (the edges of texts) end every range."""
+    a = model["a"]
+    inward = np.maximum(a[:, 1:].max(0) - a[0, 0], 0)
+    out = max(0.0, float((a[1:, 0] - a[0, 0]).max()))
+    gain = np.where(real, (u[:, 1:] + inward).max(1) - u[:, 0], -1e4)
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+    live = np.concatenate([[False], real & (best + out > -1e-6), [False]])
+    return np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(live[:-1] & ~live[1:])
 
 
 def added(model: dict[str, np.ndarray], rows: list[str], known: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """Spans that the field adds to the base spans of each text."""
-    seqs, where = [], []
-    for r, text in enumerate(rows):
-        for a, b in surroundings(text) if TRIGGER.search(text) else []:
-            tokens, spans, glued = tokenise(text[a:b])
-            f = feature_ids(tokens, glued)
-            for i in range(0, len(tokens), LONGEST):
-                seqs.append(f[i : i + LONGEST])
-                where.append((r, [(a + x, a + y) for x, y in spans[i : i + LONGEST]]))
     out: list[list[tuple[int, int, int]]] = [[] for _ in rows]
-    for y, (r, spans) in zip(viterbi(model, seqs), where):
-        i = 0
-        while i < len(y):
-            if STATES[y[i]][0] == "B":
+    low = 0
+    while low < len(rows):
+        marks, starts, high = [*EDGE[0]], [], low
+        while high < len(rows) and len(marks) < TOKENS:
+            starts.append(len(marks))
+            marks += map(MARKS.__getitem__, PIECE.findall(rows[high]))
+            marks += EDGE[1] + EDGE[0]
+            high += 1
+        first = np.array(starts)
+        m = np.array([*marks, *EDGE[1]], np.int64)
+        m[first, 2] = 0
+        e, u = model["e"], np.zeros((len(m), len(STATES)))
+        for column in features(m).T:
+            u[2:-2] += e[column]
+        real = m[:, 4] > 0
+        ends = np.cumsum(m[:, 4])
+        begins = ends - m[:, 4] + m[:, 3]
+        a, b = stretches(model, u, real)
+        seqs = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            # the neighbours inside the text are O
+            x_, y_ = x - bool(real[x - 1]), y + bool(real[y])
+            v = u[x_:y_].copy()
+            v[: x - x_, 1:] -= 1e6
+            v[y - x_ :, 1:] -= 1e6
+            seqs.append(v)
+        for x, y in zip(a.tolist(), decode(model, seqs)):
+            r = int(np.searchsorted(first, x, "right")) - 1
+            x -= int(real[x - 1])
+            base_at = int(ends[first[r] - 1])
+            for i in np.flatnonzero((y > 0) & np.array([q[0] == "B" for q in STATES])[y]).tolist():
                 kind, j = STATES[y[i]][2:], i + 1
                 while j < len(y) and STATES[y[j]] == f"I-{kind}":
                     j += 1
-                out[r].append((spans[i][0], KINDS.index(kind), spans[j - 1][1]))
-                i = j
-            else:
-                i += 1
+                out[low + r].append((int(begins[x + i]) - base_at, KINDS.index(kind), int(ends[x + j - 1]) - base_at))
+        low = high
     result = []
     for new, old in zip(out, known):
         ends = sorted((s, e) for s, _, e in old)
         kept = []
         for s, k, e in sorted(set(new)):
-            if TRIGGER.search(rows[len(result)], s, e) and all(y <= s or x >= e for x, y in ends) and (not kept or kept[-1][2] <= s):
+            if all(y <= s or x >= e for x, y in ends) and (not kept or kept[-1][2] <= s):
                 kept.append((s, k, e))
         result.append(kept)
     return result
@@ -295,10 +354,7 @@ def personal(docs: DataFrame, rows: list[list[tuple[str, str]]] | None = None) -
         for b in batches:
             texts_ = b.column(1).to_pylist()
             found = [base(t) if TRIGGER.search(t) else [] for t in texts_]
-            live = [i for i, t in enumerate(texts_) if TRIGGER.search(t)]
-            more: list[list] = [[] for _ in texts_]
-            for i, x in zip(live, added(model.value, [texts_[i] for i in live], [found[i] for i in live])):
-                more[i] = x
+            more = added(model.value, texts_, found)
             counts = [pa.array([sum(k == j for _, k, _ in f) for f in found], pa.int64()) for j in range(4)]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array([hashlib.sha256(joined(f).encode()).hexdigest() if f else empty for f in found]), pa.array([joined(sorted(f + m)) for f, m in zip(found, more)]), pa.array([len(m) for m in more], pa.int64())], names)
 

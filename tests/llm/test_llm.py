@@ -172,6 +172,22 @@ def test_pii(spark):
     assert np.mean(np.concatenate([a == b for a, (_, b) in zip(found, held)])) > 0.97
 
 
+def test_pii_of_whole_texts():
+    model = pii.train(pii.labelled())
+    rows = ["we met at noon in the park and looked at the dog", "write to jane at mail dot com please", "", *(f"{'12.5 ' * k}call 555-123-4567 now" for k in range(60, 72)), "é  one\u2003at two\n three "]
+    got = pii.added(model, rows, [[]] * len(rows))
+    assert got[0] == [] and [rows[1][a:b] for a, _, b in got[1]] == ["jane at mail dot com"]
+    for text, spans in zip(rows, got):
+        assert "555" not in text or "555-123-4567" in [text[a:b] for a, _, b in spans]
+    # what is left out of decoding changes nothing
+    texts = [*rows, *("".join(x for x, _ in row) for row in pii.labelled(60, seed=5))]
+    for text, spans in zip(texts, pii.added(model, texts, [[]] * len(texts))):
+        tokens, at, glued = pii.tokenise(text)
+        y = pii.viterbi(model, [pii.feature_ids(tokens, glued)])[0]
+        begins = [i for i, k in enumerate(y) if pii.STATES[k][0] == "B"]
+        assert [a for a, _, _ in spans] == [at[i][0] for i in begins]
+
+
 def test_classifiers_held_out(spark):
     d = "/root/testdata/sf0.01"
     marks = {r.doc_id: r for r in table(spark, d, "labels").collect()}
