@@ -1,14 +1,15 @@
-"""Language-model scores by Katz backoff over bigrams.
+"""Language-model scores by Katz backoff over n-grams, from an order down to single words.
 
-Counts are taken of training texts only (a word's tokens end with an end token; a start mark is the first history).
-p(w | h) is d_c c(h, w) / c(h) where the pair was seen, else a(h) p(w), and p(w) where h was never seen; p(w) is the
-add-one estimate with one unknown word, so it sums to 1. d_c are Good-Turing discounts for counts up to K; a(h) is the
-mass that they leave over the unigram mass of unseen words, so every p(. | h) sums to 1 exactly (a history whose
-counts are all above K gets one more count in its denominator, which makes room).
+Counts are taken of training texts only (a word's tokens end with an end token; start marks are the first history).
+With h' the history h less its first word, p(w | h) is d_c c(h, w) / c(h) where the n-gram was seen, else a(h) p(w | h'),
+and p(w | h') where h was never seen; p(w) is the add-one estimate with one unknown word, so it sums to 1. d_c are
+Good-Turing discounts of each order for counts up to K; a(h) is the mass that they leave over the mass p(. | h') of
+unseen words, so every p(. | h) sums to 1 exactly (a history whose counts are all above K gets one more count in its
+denominator, which makes room). Histories are settled from the short ones to the long ones, a pass for each order.
 
 Texts lie in blocks. A block asks the partition that holds a key for its count, once for each distinct key, in sorted
-arrays; answers come in the order of the keys. So the tables are never broadcast, and a pair that a third of all texts
-hold is one entry a block. One block that asked for a seen pair is told to own it, and adds its shares to the sums by
+arrays; answers come in the order of the keys. So the tables are never broadcast, and an n-gram that a third of all texts
+hold is one entry a block. One block that asked for a seen n-gram is told to own it, and adds its shares to the sums by
 history; these are partitioned and answered alike. At last a block scores its texts from its answers.
 
 Null texts are empty ones (one token: the end). Rows of a repeated doc_id each count and each are scored. Null doc_ids
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import crc_mod, drop_scratch, materialise, release, table, texts, tuned
 
-BLOCK, CUT = 8 << 20, 5
+BLOCK, CUT, ORDER = 8 << 20, 5, 3
 END, START = np.uint64(0x8F1BBCDC5A827999), np.uint64(0x6ED9EBA1CA62C1D6)
-UNI, PAIR, HISTORY = 1, 2, 3
+#: Kinds of requests: counts of n-grams have their n, histories of n-grams HISTORY more.
+HISTORY = 64
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -94,11 +96,23 @@ class Tokens:
         inside = np.ones(len(self.word), bool)
         inside[ends] = False
         self.word[inside], self.word[ends] = h, END
-        self.history = np.concatenate([[START], self.word[:-1]]).astype(np.uint64)
-        self.history[self.first[:-1]] = START
 
-    def pairs(self) -> np.ndarray:
-        return K.mix(self.history * K.PLACE[0] + self.word * K.PLACE[1])
+    def before(self, k: int) -> np.ndarray:
+        """The token k places before each, or the start mark."""
+        out = np.full(len(self.word), START)
+        out[k:] = self.word[: max(0, len(self.word) - k)]
+        for j in range(k):
+            at = self.first[:-1] + j
+            out[at[at < self.first[1:]]] = START
+        return out
+
+    def grams(self, n: int) -> np.ndarray:
+        """A hash of each token and the n - 1 before it."""
+        return self.word if n == 1 else K.mix(sum(self.before(n - 1 - j) * K.PLACE[j] for j in range(n)))
+
+    def histories(self, n: int) -> np.ndarray:
+        """A hash of the n - 1 tokens before each."""
+        return self.before(1) if n == 2 else K.mix(sum(self.before(n - 1 - j) * K.PLACE[j] for j in range(n - 1)))
 
     def rows_of(self, held: list[bool]) -> np.ndarray:
         """Whether each token is of a training row."""
@@ -143,12 +157,13 @@ def _ask(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(k, [pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])], ["kind", "pid", "block", "n", "keys", "given"])
 
 
-def count_requests(parts: DataFrame, bits: int) -> DataFrame:
+def count_requests(parts: DataFrame, order: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _asked(batches):
             t = Tokens(r["sizes"], r["body"])
             train = t.rows_of(r["held"])
-            for kind, key in ((UNI, t.word), (PAIR, t.pairs())):
+            for kind in range(1, order + 1):
+                key = t.grams(kind)
                 # the lowest bit tells training tokens apart, so that one sort serves for keys and counts
                 both = np.sort(key & KEY | train.astype(np.uint64))
                 base = both & KEY
@@ -201,7 +216,7 @@ def answer_counts(asked: DataFrame, bits: int) -> DataFrame:
 
 
 def discounts(of: np.ndarray) -> np.ndarray:
-    """d_1 .. d_CUT from the numbers of pairs seen 1 .. CUT + 1 times; where Good-Turing gives none in (0, 1), c - 1/2 over c."""
+    """d_1 .. d_CUT from the numbers of n-grams seen 1 .. CUT + 1 times; where Good-Turing gives none in (0, 1), c - 1/2 over c."""
     out = np.array([(c - 0.5) / c for c in range(1, CUT + 1)])
     if of[0] > 0:
         rest = (CUT + 1) * of[CUT] / of[0]
@@ -230,24 +245,41 @@ def _with(parts: DataFrame, *answers: DataFrame) -> DataFrame:
     return parts.join(told, "block")
 
 
-def history_requests(parts: DataFrame, answers: DataFrame, model: dict, bits: int) -> DataFrame:
-    """For each history of a block: discounted counts, unigram mass and counts of the pairs that the block owns."""
+def _counts(t: Tokens, told: list[dict], n: int) -> np.ndarray:
+    _, at = np.unique(t.grams(n) & KEY, return_inverse=True)
+    return (_answers(told, n, np.uint32)[:, 0] // 2).astype(np.int64)[at]
+
+
+def _estimates(t: Tokens, told: list[dict], model: dict, order: int) -> Iterator[np.ndarray]:
+    """p of each token by histories of 0, 1 .. order - 1 words."""
+    p = (_counts(t, told, 1) + 1.0) / model["below"]
+    yield p
+    for n in range(2, order + 1):
+        c = _counts(t, told, n)
+        _, at = np.unique(t.histories(n) & KEY, return_inverse=True)
+        alpha, below = _answers(told, HISTORY + n, np.float64, 2)[at].T
+        p = np.where(c > 0, _table(model["d"][n], c) * c / np.maximum(below, 1), alpha * p)
+        yield p
+
+
+def history_requests(parts: DataFrame, answers: list[DataFrame], model: dict, order: int, bits: int) -> DataFrame:
+    """For each history of a block: discounted counts, mass by the shorter history and counts of the n-grams that the block owns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _asked(batches):
             t = Tokens(r["sizes"], r["body"])
-            words, at = np.unique(t.word & KEY, return_inverse=True)
-            p1 = (_answers(r["told"], UNI, np.uint32)[:, 0] // 2 + 1.0) / model["below"]
-            _, where = np.unique(t.pairs() & KEY, return_index=True)
-            told = _answers(r["told"], PAIR, np.uint32)[:, 0].astype(np.int64)
+            for p in _estimates(t, r["told"], model, order - 1):  # noqa: B007  the last is wanted
+                pass
+            _, where = np.unique(t.grams(order) & KEY, return_index=True)
+            told = _answers(r["told"], order, np.uint32)[:, 0].astype(np.int64)
             own = np.flatnonzero((told & 1 == 1) & (told > 1))
             where, c = where[own], told[own] // 2
-            keys, h = np.unique(t.history & KEY, return_inverse=True)
-            sums = np.stack([np.bincount(h[where], x, len(keys)) for x in (_table(model["d"], c) * c, p1[at[where]], c.astype(float))], 1)
+            keys, h = np.unique(t.histories(order) & KEY, return_inverse=True)
+            sums = np.stack([np.bincount(h[where], x, len(keys)) for x in (_table(model["d"][order], c) * c, p[where], c.astype(float))], 1)
             cut = _slices(keys, bits)
-            yield _ask([(HISTORY, p, r["block"], int(y - x), _pack(keys[x:y]), _zip(sums[x:y].T)) for p, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x])
+            yield _ask([(HISTORY + order, pid, r["block"], int(y - x), _pack(keys[x:y]), _zip(sums[x:y].T)) for pid, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if y > x])
 
-    return _with(parts, answers).mapInArrow(run, _ASK)
+    return _with(parts, *answers).mapInArrow(run, _ASK)
 
 
 def answer_histories(asked: DataFrame, bits: int) -> DataFrame:
@@ -272,18 +304,14 @@ def answer_histories(asked: DataFrame, bits: int) -> DataFrame:
     return asked.repartition(1 << bits, "kind", "pid").sortWithinPartitions("kind", "pid", "block").mapInArrow(run, _ASK)
 
 
-def score(parts: DataFrame, answers: DataFrame, histories: DataFrame, model: dict) -> DataFrame:
+def score(parts: DataFrame, answers: list[DataFrame], model: dict, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _asked(batches):
             t = Tokens(r["sizes"], r["body"])
-            _, at = np.unique(t.word & KEY, return_inverse=True)
-            c1 = (_answers(r["told"], UNI, np.uint32)[:, 0] // 2).astype(np.int64)[at]
-            _, at = np.unique(t.pairs() & KEY, return_inverse=True)
-            c2 = (_answers(r["told"], PAIR, np.uint32)[:, 0] // 2).astype(np.int64)[at]
-            _, at = np.unique(t.history & KEY, return_inverse=True)
-            alpha, below = _answers(r["told"], HISTORY, np.float64, 2)[at].T
+            c1 = _counts(t, r["told"], 1)
             p1 = (c1 + 1.0) / model["below"]
-            p = np.where(c2 > 0, _table(model["d"], c2) * c2 / np.maximum(below, 1), alpha * p1)
+            for p in _estimates(t, r["told"], model, order):  # noqa: B007  the last is wanted
+                pass
             add = lambda x: np.add.reduceat(x, t.first[:-1])  # noqa: E731  every row holds its end token
             n = len(r["sizes"])
             yield pa.RecordBatch.from_arrays([
@@ -291,31 +319,32 @@ def score(parts: DataFrame, answers: DataFrame, histories: DataFrame, model: dic
                 pa.array(np.full(n, model["n"], np.int64)), pa.array(add(np.log10(p1))), pa.array(add(np.log10(p)))
             ], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return _with(parts, answers, histories).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _with(parts, *answers).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def katz(docs: DataFrame, held_out: F.Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; rows of held_out aren't learnt from."""
+def katz(docs: DataFrame, held_out: F.Column, order: int = 2) -> DataFrame:
+    """With n-grams of up to order tokens: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; rows of held_out aren't learnt from."""
     spark = tuned(docs.sparkSession)
     parts = materialise(blocks(texts(docs).withColumn("held_out", held_out)), "blocks")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     n = parts.count()
     # a block's keys go to as many partitions as there are blocks, within bounds that keep a request worth its row
     bits = min(12, max(3, (n - 1).bit_length() if n else 3))
-    answers = materialise(answer_counts(count_requests(parts, bits), bits), "answers")
+    answers = [materialise(answer_counts(count_requests(parts, order, bits), bits), "answers")]
     release(spark)
-    # two numbers and a few counts of counts from each partition: at most 2 ** 13 rows
-    stats = {UNI: np.zeros(CUT + 3, np.int64), PAIR: np.zeros(CUT + 3, np.int64)}
-    for r in answers.where("block = -1").collect():
+    # two numbers and a few counts of counts from each partition: at most 2 ** 12 rows for each order
+    stats = {n: np.zeros(CUT + 3, np.int64) for n in range(1, order + 1)}
+    for r in answers[0].where("block = -1").collect():
         stats[r.kind] += _unzip(r.given, r.n, np.int64)
-    model = {"n": int(stats[UNI][0]), "below": float(stats[UNI][0] + stats[UNI][1] + 1), "d": discounts(stats[PAIR][2:])}
-    histories = materialise(answer_histories(history_requests(parts, answers, model, bits), bits), "histories")
-    release(spark)
-    return score(parts, answers, histories, model)
+    model = {"n": int(stats[1][0]), "below": float(stats[1][0] + stats[1][1] + 1), "d": {n: discounts(x[2:]) for n, x in stats.items()}}
+    for n in range(2, order + 1):
+        answers.append(materialise(answer_histories(history_requests(parts, answers, model, n, bits), bits), f"histories{n}"))
+        release(spark)
+    return score(parts, answers, model, order)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz(table(spark, sf_dir, "documents"), crc_mod(7) == 2)
+    return katz(table(spark, sf_dir, "documents"), crc_mod(7) == 2, ORDER)
 
 
 NAME, ORACLE = "op7_katz", None

@@ -160,6 +160,33 @@ def test_katz_against_brute_force(spark):
         assert r.score == pytest.approx(sum(np.log10(p(x, h)) for h, x in zip(["<s>", *w[:-1]], w)))
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_katz_of_any_order(spark, order):
+    texts = ["a b c a b d", "a b a b c", "b c d d d a", "c a", "", "A b zz", "d d d d d d d d d", "a b c a b c a b d"]
+    got = katz.katz(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") == 5, order).collect()
+    tokens = {i: [*["<s>"] * (order - 1), *WORD.findall(t.translate(LOW)), "</s>"] for i, t in enumerate(texts)}
+    grams = [collections.Counter(tuple(w[i - m : i + 1]) for j, w in tokens.items() if j != 5 for i in range(order - 1, len(w))) for m in range(order)]
+    d = [katz.discounts(np.array([sum(c == k for c in g.values()) for k in range(1, katz.CUT + 2)])) for g in grams]
+    uni, n = grams[0], sum(grams[0].values())
+
+    def p(w, h):
+        if not h:
+            return (uni[w,] + 1) / (n + len(uni) + 1)
+        seen = {g[-1]: c for g, c in grams[len(h)].items() if g[:-1] == h}
+        if not seen:
+            return p(w, h[1:])
+        kept = {x: c * (d[len(h)][c - 1] if c <= katz.CUT else 1) for x, c in seen.items()}
+        total, mass = sum(seen.values()), sum(kept.values())
+        total += mass >= total - 1e-9
+        return kept[w] / total if w in seen else (1 - mass / total) / (1 - sum(p(x, h[1:]) for x in seen)) * p(w, h[1:])
+
+    for g in {g[:-1] for g in grams[-1]}:
+        assert abs(sum(p(w, g) for w in [*(x for x, in uni), "one unknown word"]) - 1) < 1e-9
+    for r in got:
+        w = tokens[r.doc_id]
+        assert r.score == pytest.approx(sum(np.log10(p(w[i], tuple(w[i - order + 1 : i]))) for i in range(order - 1, len(w))))
+
+
 def test_pii(spark):
     t = "mail a.b@c.example.com, ip 10.0.0.256 and 10.0.0.25, card 4111 1111 1111 1111, call +1 (743) 555-3824 now"
     got = pii.personal(spark.createDataFrame([(1, t), (2, "no data here in 1999")], "doc_id long, text string")).orderBy("doc_id").collect()
