@@ -2,8 +2,9 @@
 
 Vectors alike in all components are one class, so that a group of exact copies is one node. Classes are dealt to
 shards by hash. A shard builds its graph in batches (searches of a batch run together in numpy; neighbours are chosen
-by the diversity rule of Malkov and Yashunin, 2018) and audits it: a bounded sample of all vectors is searched and held
-against brute force, and the beam is doubled until AUDIT of the links are found. Every vector is then searched in every
+by the diversity rule of Malkov and Yashunin, 2018) and audits it: near copies of a sample of its own rows are searched
+and held against brute force, and the beam is doubled until AUDIT of the links are found in each class of queries with
+like numbers of links, so that a large group doesn't hide what small ones lose. Every vector is then searched in every
 shard; a beam that is full of links is widened until one that is none fits in, so large groups lose no links to its
 width. Cosines of all hits are taken in double precision and those under the threshold dropped. A task hands on counts
 of links, and of the links themselves a spanning forest only; components are joined from the forests.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import components, materialise, spanning, table, tuned
 
-THRESHOLD, AUDIT, AUDIT_ROWS = 0.95, 0.995, 128
+#: The audit takes one row in AUDIT_SHARE of a shard, and AUDIT_ROWS at least.
+THRESHOLD, AUDIT, AUDIT_ROWS, AUDIT_SHARE = 0.95, 0.995, 128, 32
 M, BUILD_BEAM, BEAM, STEP = 12, 40, 24, 4
 #: Vectors of a shard, and the least number of shards.
 SHARD_ROWS, SHARDS = 50_000, 6
@@ -204,20 +206,41 @@ class Graph:
         return rows[exact], members[nodes[exact]]
 
 
-def audit(g: Graph, q: np.ndarray, threshold: float) -> int:
-    """The least beam (by doubling) that finds AUDIT of the links of the sample."""
-    true = int((q @ g.x.T >= threshold).sum())
+def audit(g: Graph, threshold: float) -> int:
+    """The least beam (by doubling) that finds AUDIT of the links of a sample, in each class of queries with like numbers of links.
+
+    A query is a row of the shard turned by an angle within the threshold, as a near copy of it in another shard would
+    be: so each has a link here, and none matches itself. The sample grows with the shard. Of queries with very many
+    links fewer are taken (they cost as many hits, and weigh in their own class alone)."""
+    n, dim = g.x.shape
+    r = np.random.default_rng(n)
+    rows = r.permutation(n)[: max(AUDIT_ROWS, n // AUDIT_SHARE)]
+    away = r.standard_normal((len(rows), dim))
+    away -= np.einsum("bd,bd->b", away, g.x[rows])[:, None] * g.x[rows]
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = r.uniform(threshold + 0.05 * (1 - threshold), 1, (len(rows), 1))
+    q = np.where(size > 1e-9, cosine * g.x[rows] + np.sqrt(1 - cosine**2) * away / np.maximum(size, 1e-9), g.x[rows])
+    true = np.concatenate([(q[lo : lo + 128] @ g.x.T >= threshold).sum(1) for lo in range(0, len(q), 128)])
+    kind = np.log2(np.maximum(true, 1)).astype(int)
+    place = np.empty(len(q), int)
+    for k in np.unique(kind):
+        place[kind == k] = np.arange((kind == k).sum())
+    take = (true > 0) & (place < np.maximum(AUDIT_ROWS * 1024 >> kind, 8))
+    q, true, kind = q[take], true[take], kind[take]
     beam = BEAM
-    while beam < len(g.x) and len(g.near(q, threshold, beam)[0]) < AUDIT * true:
+    while beam < n:
+        found = np.bincount(g.near(q, threshold, beam)[0], minlength=len(q)) if len(q) else np.zeros(0)
+        if (np.bincount(kind, found) >= AUDIT * np.bincount(kind, true)).all():
+            break
         beam *= 2
-    return min(beam, len(g.x))
+    return min(beam, n)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def _shards(vectors: DataFrame, shards: int, sample: np.ndarray, threshold: float) -> DataFrame:
+def _shards(vectors: DataFrame, shards: int, threshold: float) -> DataFrame:
     """(shard, graph) of vectors(id, n, v): a shard's rows are SHARD_ROWS or so, whatever the input."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -225,7 +248,7 @@ def _shards(vectors: DataFrame, shards: int, sample: np.ndarray, threshold: floa
         v = _matrix(t.column("v").chunk(0))
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
         g = Graph(v)
-        blob = pickle.dumps((t.column("id").to_numpy(), t.column("n").to_numpy(), g, audit(g, sample, threshold)), 5)
+        blob = pickle.dumps((t.column("id").to_numpy(), t.column("n").to_numpy(), g, audit(g, threshold)), 5)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([blob], pa.binary())})
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
@@ -287,9 +310,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     for r in classes.groupBy("dim").count().orderBy("dim").collect():
         part = classes.where(F.col("dim") == r.dim)
         shards = max(SHARDS, -(-r["count"] // SHARD_ROWS))
-        sample = part.orderBy(F.xxhash64("id"), "id").limit(AUDIT_ROWS).select("v").toArrow().column(0).combine_chunks()
-        q = _matrix(sample)
-        graphs = materialise(_shards(part, shards, q / np.linalg.norm(q, axis=1, keepdims=True), threshold), "graphs")
+        graphs = materialise(_shards(part, shards, threshold), "graphs")
         found.append(materialise(_links(part, graphs, shards, threshold), "links"))
     tuned(spark)
     if not found:

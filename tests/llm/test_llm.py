@@ -284,6 +284,28 @@ def test_hnsw_against_brute_force(spark):
     assert sum(got.values()) >= 0.9 * n.sum() and all(got[i] <= k for i, k in zip(p.vec_id.tolist(), n.tolist()))
 
 
+def test_hnsw_audit_sees_small_groups():
+    r = np.random.default_rng(1)
+    x = r.standard_normal((3000, 24))
+    x[:1000] = x[0] + 0.01 * r.standard_normal((1000, 24))  # a third of the rows are near copies
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    class Narrow:  # finds the links of rows outside the large group at wide beams only
+        def __init__(self):
+            self.x = x
+
+        def near(self, q, threshold, beam):
+            row, hit = np.nonzero(q @ x.T >= threshold)
+            some = (hit < 1000) | (beam >= 100)
+            return row[some], hit[some]
+
+    assert hnsw.audit(Narrow(), 0.95) == 192
+    # a shard whose rows have no links among themselves is audited too
+    y = r.standard_normal((500, 24))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    assert hnsw.audit(type("Blind", (), {"x": y, "near": lambda self, q, t, beam: (np.zeros(0, int),) * 2})(), 0.95) == 500
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
