@@ -256,6 +256,14 @@ def inverted_index_postings(spark, d):
     return index.where("n > 1").select("name", "n", F.col("postings")[0]["path"].alias("first_doc"))
 
 
+@query(r"select name, doc_id path, count(*) over (partition by name) n from (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as name from documents) where name <> ''")
+def inverted_index_all_postings(spark, d):
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    names = _t(spark, d, "documents").select("doc_id", F.explode(words).alias("name")).where("name <> ''").distinct()
+    index = graph.inverted_index(names.select("name", F.col("doc_id").alias("path"), F.lit(1).alias("line"), F.lit("word").alias("kind")))
+    return index.select("name", F.explode("postings").alias("p"), "n").select("name", "p.path", "n")
+
+
 _EDGES = "(select distinct a.user_id src, b.user_id dst from (select distinct user_id, floor(value) v from events) a join (select distinct user_id, floor(value) v from events) b using (v) where a.user_id <> b.user_id)"
 
 

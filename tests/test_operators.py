@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import text as T
 from lumenlake.operators import compress, graph, metrics, patterns, planning, sessions
+from lumenlake.plans import registry
 from lumenlake.sources import files, store
 
 
@@ -81,3 +82,10 @@ def test_sources_and_store(spark, tmp_path):
     store.write(spark.range(3).toDF("x"), root)
     store.write(spark.range(5).toDF("x"), root)
     assert store.read(spark, root).count() == 5 and store.read(spark, root, 1).count() == 3
+
+
+def test_every_term_and_posting_is_indexed(spark, tmp_path):
+    docs = [(1, "Été 42 cats and 7"), (2, "cats, and an internationalisation"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.QUERIES["inverted_index_all_postings"](spark, str(tmp_path)).collect()}
+    assert got == {("été", 1, 1), ("42", 1, 1), ("cats", 1, 2), ("cats", 2, 2), ("and", 1, 2), ("and", 2, 2), ("7", 1, 1), ("an", 2, 1), ("internationalisation", 2, 1)}
