@@ -142,6 +142,16 @@ def session_upsert(spark, d):
     return sessions.upsert(part(2), part(3), "user_id", "created")
 
 
+@query("with e as (select *, coalesce(ts >= (select max(ts) from events) - interval 1 day, false) late from events), f as (select user_id, min(event_id) created, max(event_id) last from e where not late group by 1), g as (select user_id, min(event_id) created, max(event_id) last from e where late group by 1) select coalesce(f.user_id, g.user_id) user_id, coalesce(f.created, g.created) created, coalesce(g.last, f.last) as last from f full join g on f.user_id = g.user_id")
+def session_upsert_all_events(spark, d):
+    """The sessions as they were a day before the last event, and those of that day over them: each event is on one side."""
+    e = _t(spark, d, "events")
+    cutoff = e.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("cutoff"))
+    e = e.crossJoin(F.broadcast(cutoff)).withColumn("late", F.coalesce(F.col("ts") >= F.col("cutoff"), F.lit(False)))
+    part = lambda late: e.where(F.col("late") == late).groupBy("user_id").agg(F.min("event_id").alias("created"), F.max("event_id").alias("last"))
+    return sessions.upsert(part(False), part(True), "user_id", "created")
+
+
 @query("with s as (select user_id session_id, max(ts) updated_at from events group by 1), t as (select * from s order by updated_at desc, session_id desc limit 5), l as (select *, lead(updated_at) over (order by updated_at desc, session_id desc) nx, row_number() over (order by updated_at desc, session_id desc) rn, count(*) over () c from t) select session_id, c candidates, nx is null or updated_at - interval 12 hours >= nx found, not (nx is null or updated_at - interval 12 hours >= nx) ambiguous from l where rn = 1")
 def session_resume_gap(spark, d):
     return sessions.resume(_t(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("updated_at")))
@@ -297,6 +307,18 @@ def index_freshness(spark, d):
     return graph.stale(old, new)
 
 
+@query("with d as (select doc_id path, n_chars, coalesce(length(text), 0) size, coalesce(source = max(source) over () and source > min(source) over (), false) fresh, coalesce(source = min(source) over () and source < max(source) over (), false) gone from documents), o as (select path, n_chars mtime from d where not fresh), n as (select path, n_chars + (size % 2) mtime from d where not gone) select coalesce(o.path, n.path) path, case when n.path is null then 'removed' when o.path is null then 'added' else 'changed' end state from o full join n on o.path = n.path where o.path is null or n.path is null or o.mtime <> n.mtime")
+def index_freshness_all_documents(spark, d):
+    """The folder that is last by name came after the index was made, the first went away, texts of odd length changed: each document is on a side."""
+    docs = _t(spark, d, "documents")
+    ends = docs.agg(F.min("source").alias("low"), F.max("source").alias("high"))
+    docs = docs.crossJoin(F.broadcast(ends))
+    at = lambda end: F.coalesce((F.col("source") == F.col(end)) & (F.col("low") < F.col("high")), F.lit(False))
+    old = docs.where(~at("high")).select(F.col("doc_id").alias("path"), F.col("n_chars").alias("mtime"))
+    new = docs.where(~at("low")).select(F.col("doc_id").alias("path"), (F.col("n_chars") + F.coalesce(F.length("text"), F.lit(0)) % 2).alias("mtime"))
+    return graph.stale(old, new)
+
+
 # ---- evaluation -------------------------------------------------------------------------------------------------------
 
 

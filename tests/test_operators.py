@@ -89,3 +89,12 @@ def test_every_term_and_posting_is_indexed(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in registry.QUERIES["inverted_index_all_postings"](spark, str(tmp_path)).collect()}
     assert got == {("été", 1, 1), ("42", 1, 1), ("cats", 1, 2), ("cats", 2, 2), ("and", 1, 2), ("and", 2, 2), ("7", 1, 1), ("an", 2, 1), ("internationalisation", 2, 1)}
+
+
+def test_every_row_is_on_a_side(spark, tmp_path):
+    events = [(1, 7, "2024-01-01 00:00:00"), (5, 8, "2024-01-05 00:00:00"), (7, 7, "2024-01-05 00:00:00"), (11, 9, None)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in registry.QUERIES["session_upsert_all_events"](spark, str(tmp_path)).collect()} == {(7, 1, 7), (8, 5, 5), (9, 11, 11)}
+    docs = [(20, "a", "abc", 3), (40, "b", "abcd", 4), (60, "c", "ab", 2), (80, "b", "abc", 3), (100, None, None, 0)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in registry.QUERIES["index_freshness_all_documents"](spark, str(tmp_path)).collect()} == {(20, "removed"), (60, "added"), (80, "changed")}
