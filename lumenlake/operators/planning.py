@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: fixed values: what an item of a place already taken costs, and points by role
 SAME_DIR, SAME_ROLE, ROLE_POINTS = 8.0, 5.0, {"primary": 100.0, "test": 60.0, "dependency": 50.0, "dependent": 45.0}
+#: how many of a role are chosen at most; none of any other role
+ROLE_CAPS = {"primary": 5, "test": 2, "dependency": 3, "dependent": 2}
 
 
 def prefix_budget(items: DataFrame, group: str, order: list[Column], cost: str, budget: int) -> DataFrame:
@@ -28,20 +30,35 @@ def skip_budget(costs: Column, budget: int) -> Column:
     return F.aggregate(costs, start, step, lambda s: s["kept"])
 
 
+def shortlist(candidates: DataFrame, group: str = "task", k: int = 5) -> DataFrame:
+    """What greedy() can choose: of each role, the k best of each of the k folders with the best candidates.
+
+    Within a role and folder all gain and lose alike, so the better goes first; and of k folders one is without a chosen
+    item until k are chosen, so a folder behind these can't be the next. The order of equals is that of greedy()."""
+    names = candidates.columns
+    # among equals, a rel comes before those that it begins with only when it is longer
+    marked = candidates.where(F.col("role").isin(*ROLE_CAPS)).withColumn("__dir", F.regexp_replace("rel", "/?[^/]*$", "")).withColumn("__at", F.concat("rel", F.lit("\U0010ffff")))
+    near = Window.partitionBy(group, "role", "__dir").orderBy(F.desc("utility"), "__at")
+    best = marked.withColumn("__rn", F.row_number().over(near)).withColumn("__first", F.first("utility").over(near)).withColumn("__name", F.first("__at").over(near)).where(F.col("__rn") <= k)
+    return best.withColumn("__rank", F.dense_rank().over(Window.partitionBy(group, "role").orderBy(F.desc("__first"), "__name"))).where(F.col("__rank") <= k).select(*names)
+
+
 def greedy(candidates: DataFrame, group: str = "task", k: int = 5) -> DataFrame:
-    """Repeatedly the candidate(rel, role, utility) whose utility less what resembles the chosen ones is highest.
+    """Repeatedly the candidate(rel, role, utility) whose utility less what resembles the chosen ones is highest, under the caps of the roles.
 
-    The candidates of a task are a few dozen by then (after a top-k), so a group is small by construction."""
+    The candidates of a task are a hundred at most (after shortlist()), so a group is small by construction."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf.sort_values("rel").to_dict("records")
         out: list[dict] = []
-        while left and len(out) < k:
+        room = dict(ROLE_CAPS)
+        while len(out) < k and (left := [c for c in left if room.get(c["role"], 0) > 0]):
             gain = lambda c: c["utility"] + ROLE_POINTS.get(c["role"], 0) - sum(SAME_DIR * (c["rel"].rpartition("/")[0] == o["rel"].rpartition("/")[0]) + SAME_ROLE * (c["role"] == o["role"]) for o in out)  # noqa: B023, E731
             best = max(left, key=lambda c: (gain(c), [-ord(x) for x in c["rel"]]))
             out.append(best | {"place": len(out) + 1, "gain": float(gain(best))})
             left.remove(best)
+            room[best["role"]] -= 1
         return pd.DataFrame(out, columns=[*pdf.columns, "place", "gain"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", place int, gain double"
-    return candidates.groupBy(group).applyInPandas(choose, schema)
+    return shortlist(candidates, group, k).groupBy(group).applyInPandas(choose, schema)

@@ -345,8 +345,7 @@ def eval_summary(spark, d):
 @query()
 def greedy_plan(spark, d):
     c = _t(spark, d, "documents").select(F.col("lang").alias("task"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel"), F.element_at(F.array(*(F.lit(x) for x in planning.ROLE_POINTS)), (F.col("doc_id") % 4 + 1).cast("int")).alias("role"), F.col("n_chars").cast("double").alias("utility"))
-    w = Window.partitionBy("task").orderBy(F.desc("utility"), "rel")
-    return planning.greedy(c.withColumn("rn", F.row_number().over(w)).where("rn <= 40").drop("rn"))
+    return planning.greedy(c)
 
 
 # ---- Spark's own relational breadth over the star schema ------------------------------------------------------------

@@ -98,3 +98,24 @@ def test_every_row_is_on_a_side(spark, tmp_path):
     docs = [(20, "a", "abc", 3), (40, "b", "abcd", 4), (60, "c", "ab", 2), (80, "b", "abc", 3), (100, None, None, 0)]
     spark.createDataFrame(docs, "doc_id long, source string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in registry.QUERIES["index_freshness_all_documents"](spark, str(tmp_path)).collect()} == {(20, "removed"), (60, "added"), (80, "changed")}
+
+
+def test_greedy_of_many_near_equals(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [("t", f"{r.choice('abcdefgh')}/{i}", r.choice([*planning.ROLE_CAPS, "other"]), float(r.randint(990, 1000))) for i in range(400)]
+    rows += [("u", f"m/{i}", "dependent", 1000.0) for i in range(50)] + [("u", "m/last", "primary", 960.0)]
+    frame = spark.createDataFrame(rows, "task string, rel string, role string, utility double")
+    for k in (5, 9):
+        got = {(x.task, x.place): x.rel for x in planning.greedy(frame, k=k).collect()}
+        for task in "tu":
+            left, out = [x[1:] for x in rows if x[0] == task], []
+            while len(out) < k:
+                fits = [x for x in left if sum(o[1] == x[1] for o in out) < planning.ROLE_CAPS.get(x[1], 0)]
+                if not fits:
+                    break
+                gain = lambda x: x[2] + planning.ROLE_POINTS[x[1]] - sum(planning.SAME_DIR * (x[0].split("/")[0] == o[0].split("/")[0]) + planning.SAME_ROLE * (x[1] == o[1]) for o in out)  # noqa: B023, E731
+                out.append(max(fits, key=lambda x: (gain(x), [-ord(c) for c in x[0]])))
+                left.remove(out[-1])
+            assert [got.get((task, i + 1)) for i in range(k)] == [*(x[0] for x in out), *[None] * (k - len(out))]
