@@ -1,107 +1,27 @@
-"""Outlines of source text: symbols by line patterns, structural lines, and the cascade of ever shorter forms."""
+"""Text made to fit: a cascade of ever shorter forms, and the output of commands."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .outline import fallback
 
-_NAME = r"([A-Za-z_$][\w$]*)"
-#: by extension: (kind, pattern of a line whose first group is the name); nested ones are indented
-SYMBOLS = {
-    "py": [("class", rf"^\s*class\s+{_NAME}"), ("function", rf"^\s*(?:async\s+)?def\s+{_NAME}")],
-    "js": [("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}"), ("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+{_NAME}"), ("const", rf"^(?:export\s+)?const\s+{_NAME}"), ("interface", rf"^(?:export\s+)?interface\s+{_NAME}"), ("type", rf"^(?:export\s+)?type\s+{_NAME}")],
-    "go": [("type", rf"^type\s+{_NAME}"), ("function", rf"^func\s+(?:\([^)]*\)\s*)?{_NAME}")],
-    "rs": [("type", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+{_NAME}"), ("function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+{_NAME}")],
-    "java": [("class", rf"^\s*(?:\w+\s+)*(?:class|interface|enum|record)\s+{_NAME}"), ("method", rf"^\s+(?:(?:public|protected|private|static|final)\s+)+[\w<>\[\], ]+\s+{_NAME}\s*\(")],
-    "cs": [("class", rf"^\s*(?:\w+\s+)*(?:class|interface|enum|record|struct)\s+{_NAME}"), ("method", rf"^\s+(?:(?:public|protected|private|internal|static|async|override)\s+)+[\w<>\[\], ?]+\s+{_NAME}\s*\(")],
-    "kt": [("class", rf"^\s*(?:\w+\s+)*(?:class|interface|object)\s+{_NAME}"), ("function", rf"^\s*(?:\w+\s+)*fun\s+(?:[\w.]+\.)?{_NAME}\s*\(")],
-    "php": [("class", rf"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+{_NAME}"), ("function", rf"^\s*(?:\w+\s+)*function\s+{_NAME}")],
-    "swift": [("class", rf"^\s*(?:\w+\s+)*(?:class|struct|enum|protocol|extension)\s+{_NAME}"), ("function", rf"^\s*(?:\w+\s+)*func\s+{_NAME}")],
-    "sql": [("statement", r"(?i)^\s*(create|alter|drop|insert|update|delete|select|with)\b")],
-    "tf": [("block", r'^(resource|variable|output|module|provider|data|locals)\b')],
-    "dockerfile": [("instruction", r"(?i)^(from|run|copy|add|cmd|entrypoint|expose|env|workdir|arg)\b")],
-    "sh": [("function", rf"^\s*(?:function\s+)?{_NAME}\s*\(\)\s*\{{")],
-    "yaml": [("key", r"^([\w.-]+):")], "toml": [("section", r"^\[+([\w.-]+)\]+")],
-}
-ALIKE = {"jsx": "js", "ts": "js", "tsx": "js", "mjs": "js", "cjs": "js", "yml": "yaml"}
-IMPORTS = {"py": r"^\s*(?:from\s+(\S+)\s+import|import\s+(\S+))", "js": r"""(?:from\s+|require\(\s*|^\s*import\s+)['"]([^'"]+)['"]""", "go": r'^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"\s*$', "cs": r"^\s*using\s+([\w.]+);", "kt": r"^\s*import\s+([\w.*]+)", "php": r"^\s*use\s+([\w\\]+)", "swift": r"^\s*import\s+(\w+)"}
-STRUCTURE = r"^\s*(import|export|from|class|function|def|func|fn|interface|type|const|pub|struct|enum|resource|create|#)\b?"
-
-
-def extension(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    out = F.when(T.is_dockerfile(path), "dockerfile")
-    for a, b in ALIKE.items():
-        out = out.when(ext == a, b)
-    return out.otherwise(ext)
-
-
-def symbols(files: DataFrame) -> DataFrame:
-    """(path, name, kind, line, parent) of each declaration; a declaration indented below a class has it as parent."""
-    patterns = {k: [(kind, re.compile(p)) for kind, p in v] for k, v in SYMBOLS.items()}
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for path, ext, text in zip(b["path"], b["ext"], b["text"]):
-                parent, depth = None, 0
-                for n, line in enumerate((text or "").split("\n"), 1):
-                    for kind, p in patterns.get(ext, ()):
-                        if m := p.match(line):
-                            indent = len(line) - len(line.lstrip())
-                            if indent <= depth and parent:
-                                parent = None
-                            out.append((path, m[1], "method" if parent and kind == "function" else kind, n, parent))
-                            if kind == "class":
-                                parent, depth = m[1], indent
-                            break
-            yield pd.DataFrame(out, columns=["path", "name", "kind", "line", "parent"])
-
-    return files.select("path", extension(F.col("path")).alias("ext"), "text").mapInPandas(run, "path string, name string, kind string, line int, parent string")
-
-
-def imports(files: DataFrame) -> DataFrame:
-    """(src, spec) of each import, found in the generated code of one pattern a language."""
-    ext = extension(F.col("path"))
-    line = files.select(F.col("path").alias("src"), ext.alias("ext"), F.explode(T.lines(F.col("text"))).alias("line"))
-    spec = F.lit("")
-    for e, p in IMPORTS.items():
-        groups = 2 if e == "py" else 1
-        got = F.concat_ws("", *(F.regexp_extract("line", p, g) for g in range(1, groups + 1)))
-        spec = F.when(F.col("ext") == e, got).otherwise(spec)
-    return line.withColumn("spec", spec).where("spec <> ''").select("src", "spec").distinct()
-
-
-def fallback(text: Column) -> Column:
-    """Lines that open something; all lines if none does."""
-    kept = F.filter(T.lines(text), lambda x: x.rlike("(?i)" + STRUCTURE))
-    return F.when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(text)
+# fixed values: what tells why a command failed
+TELLING = ["error", "warning", "failed", "exception", "maximum update depth", "entity not found"]
 
 
 def cascade(text: Column, budget: int) -> Column:
-    """The longest of the whole text, its outline, and its cut outline that fits the budget of tokens."""
-    outline = fallback(text)
-    return F.when(T.token_count(text) <= budget, text).when(T.token_count(outline) <= budget, outline).otherwise(T.prefix_by_tokens(outline, budget))
+    """The longest of the whole text, its outline and its signatures that fits the budget of tokens, else the last one cut at a line."""
+    forms = [text, fallback(text, "outline"), fallback(text, "signatures")]
+    out = T.prefix_by_tokens(forms[-1], budget, f"[truncated to fit {budget} token budget]")
+    for form in reversed(forms):
+        out = F.when(T.token_count(form) <= budget, form).otherwise(out)
+    return out
 
 
 def shell_output(text: Column, failed: Column, most: int = 5000) -> Column:
     """Of a failed command the lines that tell why; lines alike once; capped."""
-    relevant = T.relevant_lines(text, ["error", "warning", "fail", "exception"])
+    relevant = T.relevant_lines(text, TELLING)
     return T.truncate(T.unique_lines(F.when(failed & (relevant != ""), relevant).otherwise(text)), most)
-
-
-def summary(sessions: DataFrame, budget: int) -> DataFrame:
-    """compression level and text of each session's summary: lists are shortened step by step until the tokens fit."""
-    steps = [("none", 99, 99), ("trimmed", 3, 5), ("reduced", 1, 2), ("status_only", 0, 0)]
-    out = F.lit(None).cast("struct<level:string,text:string>")
-    for level, n, m in reversed(steps):
-        tail = lambda c, k: F.array_join(F.slice(c, F.greatest(F.size(c) - k + 1, F.lit(1)), F.lit(max(k, 0))), "; ")
-        text = F.concat_ws("\n", "status", *([F.col("goal")] if n else []), tail(F.col("completed"), n), tail(F.col("decisions"), n), tail(F.col("touched_files"), m))
-        fits = T.token_count(text) <= budget if level != "status_only" else F.lit(True)
-        out = F.when(fits, F.struct(F.lit(level).alias("level"), text.alias("text"))).otherwise(out)
-    return sessions.select("session_id", out.alias("s")).select("session_id", "s.level", "s.text")

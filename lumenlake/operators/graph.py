@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXTENSIONS = ["", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.jsx", "/index.ts", "/index.tsx"]
+from ..functions import text as T
+
+# fixed values: what an import may leave out, in order, and where what a test tests may lie
+EXTENSIONS = ["", ".js", ".ts", ".tsx", ".jsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.tsx", "/index.jsx"]
+SOURCES = [".js", ".ts", ".tsx", ".jsx", ".py", ".go", ".rs", ".java", ".cs", ".kt", ".php", ".swift"]
+SIBLINGS = ["src", "lib", "pkg"]
+TEST_END = r"\.(?:test|spec)\.[^.]+$|Tests?\.(cs|kt|swift)$|_test\.(cs|kt)$|Test\.php$"
 
 
 def inverted_index(symbols: DataFrame) -> DataFrame:
@@ -24,11 +30,68 @@ def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
     return hit.groupBy("src", "spec").agg(F.min_by("dst", "rank").alias("dst"))
 
 
-def related(edges: DataFrame, path: str) -> DataFrame:
-    """(path, relation) of what a file imports, what imports it and what tests it."""
+def infer_targets(tests: DataFrame, known: DataFrame) -> DataFrame:
+    """(src, dst) of what test files (path) test: a source of their name beside them, else in a src, lib or pkg beside their folder."""
+    path = F.col("path")
+    folder = T.dirname(path)
+    above = T.dirname(folder)
+    base = F.regexp_replace(T.basename(path), TEST_END, "")
+    here = F.when(folder == ".", F.lit("")).otherwise(F.concat(folder, F.lit("/")))
+    up = F.when(above == ".", F.lit("")).otherwise(F.concat(above, F.lit("/")))
+    places = [F.concat(here, base, F.lit(e)) for e in SOURCES] + [F.concat(up, F.lit(f"{d}/"), base, F.lit(e)) for d in SIBLINGS for e in SOURCES]
+    tries = tests.select(path.alias("src"), F.posexplode(F.array(*places)).alias("rank", "dst"))
+    hit = tries.join(known.select(F.col("path").alias("dst")).distinct(), "dst")
+    return hit.groupBy("src").agg(F.min_by("dst", "rank").alias("dst"))
+
+
+def edges(imports: DataFrame, known: DataFrame) -> DataFrame:
+    """(src, dst, kind) of a corpus: resolved imports; a test's are of what it tests too, and one without any is held against names."""
+    found = resolve_imports(imports, known).select("src", "dst")
+    test = T.is_test_path(F.col("src"))
+    of_tests = found.where(test).select("src", "dst", F.lit("testOf").alias("kind"))
+    rest = known.select("path").where(T.is_test_path(F.col("path"))).join(of_tests.select(F.col("src").alias("path")).distinct(), "path", "left_anti")
+    return found.withColumn("kind", F.lit("import")).union(of_tests).union(infer_targets(rest, known).withColumn("kind", F.lit("testOf")))
+
+
+def lookup(index: DataFrame, names: DataFrame) -> DataFrame:
+    """Postings (name, path, line, kind) of names whatever their case; index: symbols, one row each."""
+    wanted = names.select(F.lower("name").alias("low")).distinct()
+    return index.withColumn("low", F.lower("name")).join(wanted, "low").select("name", "path", "line", "kind")
+
+
+def related(edges: DataFrame, path: str, files: DataFrame | None = None) -> DataFrame:
+    """(path, relation) of what a file imports, what imports it, what tests it, and its neighbours in its folder."""
     out = edges.where((F.col("src") == path) & (F.col("kind") == "import")).select(F.col("dst").alias("path"), F.lit("imports").alias("relation"))
     inn = edges.where(F.col("dst") == path).select(F.col("src").alias("path"), F.when(F.col("kind") == "testOf", "tests").otherwise("importedBy").alias("relation"))
-    return out.union(inn).distinct()
+    found = out.union(inn).distinct()
+    if files is not None:
+        near = files.where((T.dirname(F.col("path")) == T.dirname(F.lit(path))) & (F.col("path") != path)).select("path", F.lit("neighbors").alias("relation"))
+        found = found.union(near.distinct())
+    return found
+
+
+def type_references(text: DataFrame, index: DataFrame) -> DataFrame:
+    """(path, name, at) of the type names in texts(path, text) that the index declares: in the same file if it can be, else in the first one."""
+    names = text.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9_]+"), 0))).alias("name"))
+    there = index.groupBy("name", "path").agg(F.min("line").alias("line")).withColumnRenamed("path", "at")
+    hit = names.join(there, "name")
+    return hit.groupBy("path", "name").agg(F.min_by("at", F.struct(F.when(F.col("at") == F.col("path"), 0).otherwise(1), "at")).alias("at"))
+
+
+def symbol_context(symbols: DataFrame, edges: DataFrame, files: DataFrame, importers: int = 5, tests: int = 3, lines: int = 3) -> DataFrame:
+    """(name, path, relation, other, line_no, line): where the importers and tests of a symbol's file mention it.
+
+    symbols: (name, path). Of each symbol five importers, three tests and three lines of each at most: what is shown."""
+    from pyspark.sql import Window
+
+    kinds = edges.select(F.col("dst").alias("path"), F.col("src").alias("other"), F.when(F.col("kind") == "testOf", "test").otherwise("importer").alias("relation")).distinct()
+    met = symbols.select("name", "path").distinct().join(kinds, "path")
+    w = Window.partitionBy("name", "path", "relation").orderBy("other")
+    few = met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.when(F.col("relation") == "test", tests).otherwise(importers)).drop("rn")
+    text = few.join(files.select(F.col("path").alias("other"), "text"), "other").where(F.expr("contains(text, name)"))
+    line = text.select("name", "path", "relation", "other", F.posexplode(T.lines(F.col("text"))).alias("at", "line")).where(F.expr("contains(line, name)")).withColumn("line_no", F.col("at") + 1)
+    w = Window.partitionBy("name", "path", "relation", "other").orderBy("line_no")
+    return line.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= lines).select("name", "path", "relation", "other", "line_no", F.trim("line").alias("line"))
 
 
 def stale(index: DataFrame, disk: DataFrame) -> DataFrame:

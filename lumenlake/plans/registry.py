@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, graph, metrics, patterns, planning, search, sessions
+from ..operators import compress, evaluate, graph, metrics, outline, patterns, planning, search, sessions, state, symbols
+from ..streaming import streams
+from . import fixed as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,24 +46,53 @@ _LINES = "(select doc_id, source, unnest(string_split(text, chr(10))) line, gene
 # ---- search -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"select doc_id, count(*) n_matches, min(line_no)::int first_line from (select distinct doc_id, line_no, trim(line, ' ') from {_LINES} where contains(lower(line), 'the')) group by 1 order by 2 desc, 1 limit 10")
+@query(f"select doc_id, count(*) n_matches, min(line_no)::int first_line from (select distinct doc_id, line_no, trim(line, {X.BLANK}) from {_LINES} where contains(lower(line), 'the')) group by 1 order by 2 desc, 1 limit 10")
 def search_literal_topk(spark, d):
     found = search.grouped(search.match_lines(_t(spark, d, "documents"), "doc_id", "text", "the"), "doc_id")
     return found.orderBy(F.desc("n_matches"), "doc_id").limit(10)
 
 
-@query(f"select path, count(*) n_matches, least(count(*), 12) * 6 + 10 - 1 as score from (select distinct source || '/' || doc_id || '.py' path, line_no, trim(line, ' ') from {_LINES} where contains(lower(line), 'tion')) group by 1 order by 3 desc, 2 desc, 1 limit 10")
+def _paths(spark, d) -> DataFrame:
+    """The documents as files of several kinds and folders."""
+    id_ = F.col("doc_id").cast("string")
+    kinds = ["/app/src/%s/%s.py", "/packages/%s/%s.yaml", "/tests/fixtures/%s/%s.json", "/docs/%s/readme_%s.md", "/lib/tion/%s-%s.js", "/ops/%s/Dockerfile.%s", "/lib/%s/tion-%s.test.ts"]
+    path = F.element_at(F.array(*(F.concat_ws("", F.lit(k.split("%s")[0]), "source", F.lit(k.split("%s")[1]), id_, F.lit(k.split("%s")[2])) for k in kinds)), (F.col("doc_id") % 7 + 1).cast("int"))
+    return _t(spark, d, "documents").select(path.alias("path"), "text")
+
+
+_PATHS = "(select doc_id, text, case doc_id % 7 when 0 then '/app/src/' || source || '/' || doc_id || '.py' when 1 then '/packages/' || source || '/' || doc_id || '.yaml' when 2 then '/tests/fixtures/' || source || '/' || doc_id || '.json' when 3 then '/docs/' || source || '/readme_' || doc_id || '.md' when 4 then '/lib/tion/' || source || '-' || doc_id || '.js' when 5 then '/ops/' || source || '/Dockerfile.' || doc_id else '/lib/' || source || '/tion-' || doc_id || '.test.ts' end path from documents)"
+_HITS = f"(select path, doc_id, count(*) n from (select path, doc_id, unnest(string_split(text, chr(10))) line from {_PATHS}) where contains(lower(line), 'tion') group by 1, 2)"
+_POINTS = "least(n, 12) * 6 + 8 - 5 + case doc_id % 7 when 0 then w_src + w_source when 1 then 8 + w_config when 2 then w_config + w_test when 3 then w_low when 4 then 16 + w_source when 5 then w_source else 30 + 16 + w_source + w_test end"
+_WEIGHTS = "(values ('implementation', 10, 14, 4, -35, -15), ('debug', 10, 14, 4, -35, -15), ('tests', 5, 10, 0, -35, 10), ('config', 0, 0, 14, -20, -15), ('docs', 0, 4, 4, -10, -15), ('explore', 10, 14, 4, -35, -15)) w(intent, w_src, w_source, w_config, w_low, w_test)"
+
+
+@query(f"select intent, path, n n_matches, {_POINTS} + case when path like '/app/src/%' then 0 else 1 end * case doc_id % 7 when 1 then 1 when 2 then 0 when 3 then 1 when 4 then 1 when 5 then 1 when 6 then 1 else 0 end as score from {_HITS}, {_WEIGHTS}")
+def search_scores(spark, d):
+    """Points of every file that holds the literal, for every intent."""
+    found = search.grouped(search.match_lines(_paths(spark, d), "path", "text", "tion"), "path")
+    each = found.withColumn("intent", F.explode(F.array(*(F.lit(i) for i in T.INTENTS))))
+    return each.select("intent", "path", "n_matches", search.score(F.col("n_matches"), F.col("path"), "tion", F.col("intent")).cast("long").alias("score"))
+
+
+@query(f"select path, n n_matches, {_POINTS} + case when path like '/app/src/%' then 0 else 1 end * case doc_id % 7 when 1 then 1 when 2 then 0 when 3 then 1 when 4 then 1 when 5 then 1 when 6 then 1 else 0 end as score from {_HITS}, {_WEIGHTS} where intent = 'tests' order by 3 desc, 2 desc, 1 limit 10")
 def search_scored_intent(spark, d):
-    files = _t(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text")
-    return search.search(files, "tion", "explore").select("path", "n_matches", F.col("score").cast("long").alias("score"))
+    return search.search(_paths(spark, d), "tion", "tests").select("path", "n_matches", F.col("score").cast("long").alias("score"))
 
 
-@query(f"with g as (select doc_id, count(*) n from {_LINES} where contains(lower(line), 'tion') group by 1) select case when l.toxic = 1 then 'index' when l.quality = 1 then 'graph' else 'text' end boost_source, count(*) n from g left join labels l using (doc_id) group by 1")
+@query(f"with g as (select doc_id, count(*) n from {_LINES} where contains(lower(line), 'tion') group by 1), l as (select doc_id, max(toxic) t, max(quality) q from labels group by 1), b as (select case when t = 1 then 'index' when q = 1 then 'graph' else 'text' end src, n + case when t = 1 then 50 when q = 1 then 25 else 0 end score, n, doc_id from g left join l using (doc_id)), top as (select * from b order by score desc, n desc, doc_id limit 10) select count(*) filter (src = 'text') text_match, count(*) filter (src = 'index') index_boost, count(*) filter (src = 'graph') graph_boost from top")
 def search_source_breakdown(spark, d):
     groups = search.match_lines(_t(spark, d, "documents"), "doc_id", "text", "tion").groupBy("doc_id").agg(F.count("*").alias("n_matches")).withColumn("score", F.col("n_matches"))
     marks = _t(spark, d, "labels")
-    out = search.boosted(groups, marks.where("toxic = 1"), marks.where("quality = 1"), "doc_id")
-    return out.groupBy("boost_source").agg(F.count("*").alias("n"))
+    return search.breakdown(search.ranked(search.boosted(groups, marks.where("toxic = 1"), marks.where("quality = 1"), "doc_id"), "doc_id"))
+
+
+@query(f"with m as (select path, line_no, line from (select path, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) line_no from {_PATHS}) where contains(lower(line), 'tion')), f as (select path, n, {_POINTS} + case when path like '/app/src/%' then 0 else 1 end * case doc_id % 7 when 1 then 1 when 2 then 0 when 3 then 1 when 4 then 1 when 5 then 1 when 6 then 1 else 0 end as score from {_HITS}, {_WEIGHTS} where intent = 'explore'), r as (select *, row_number() over (order by score desc, n desc, path) place from f), s as (select place, m.path, line_no, line, row_number() over (partition by m.path order by line_no) rn from m join r using (path) where place <= 5), t as (select 'query: tion' || chr(10) || 'root: /' || chr(10) || 'total matches: ' || (select sum(n) from f) || chr(10) || 'matched files: ' || (select count(*) from f) || chr(10) || chr(10) || '# Top files' || chr(10) || (select string_agg(n || ' match(es), score ' || score || ' :: ' || path, chr(10) order by place) from r where place <= 10) || chr(10) || chr(10) || '# Sample matches' || chr(10) || (select string_agg(path || ':' || line_no || ':' || line, chr(10) order by place, line_no) from s where rn <= 3) x) select case when length(x) > 5000 then left(x, 5000) || chr(10) || chr(10) || '[truncated ' || (length(x) - 5000) || ' chars]' else x end as text from t")
+def search_compact(spark, d):
+    """What a search prints of many matches."""
+    matches = search.match_lines(_paths(spark, d), "path", "text", "tion")
+    groups = search.grouped(matches, "path")
+    groups = groups.withColumn("score", search.score(F.col("n_matches"), F.col("path"), "tion", "explore"))
+    return search.compact(matches, groups, "tion", "/")
 
 
 # ---- metrics ----------------------------------------------------------------------------------------------------------
@@ -135,15 +166,8 @@ def session_latest(spark, d):
     return sessions.latest_by_key(_t(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("with f as (select user_id, min(event_id) created, max(event_id) last from events where event_id % 2 = 0 group by 1), g as (select user_id, min(event_id) created, max(event_id) last from events where event_id % 3 = 0 group by 1) select coalesce(f.user_id, g.user_id) user_id, coalesce(f.created, g.created) created, coalesce(g.last, f.last) as last from f full join g on f.user_id = g.user_id")
-def session_upsert(spark, d):
-    e = _t(spark, d, "events")
-    part = lambda n: e.where(F.col("event_id") % n == 0).groupBy("user_id").agg(F.min("event_id").alias("created"), F.max("event_id").alias("last"))
-    return sessions.upsert(part(2), part(3), "user_id", "created")
-
-
 @query("with e as (select *, coalesce(ts >= (select max(ts) from events) - interval 1 day, false) late from events), f as (select user_id, min(event_id) created, max(event_id) last from e where not late group by 1), g as (select user_id, min(event_id) created, max(event_id) last from e where late group by 1) select coalesce(f.user_id, g.user_id) user_id, coalesce(f.created, g.created) created, coalesce(g.last, f.last) as last from f full join g on f.user_id = g.user_id")
-def session_upsert_all_events(spark, d):
+def session_upsert(spark, d):
     """The sessions as they were a day before the last event, and those of that day over them: each event is on one side."""
     e = _t(spark, d, "events")
     cutoff = e.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("cutoff"))
@@ -152,12 +176,13 @@ def session_upsert_all_events(spark, d):
     return sessions.upsert(part(False), part(True), "user_id", "created")
 
 
-@query("with s as (select user_id session_id, max(ts) updated_at from events group by 1), t as (select * from s order by updated_at desc, session_id desc limit 5), l as (select *, lead(updated_at) over (order by updated_at desc, session_id desc) nx, row_number() over (order by updated_at desc, session_id desc) rn, count(*) over () c from t) select session_id, c candidates, nx is null or updated_at - interval 12 hours >= nx found, not (nx is null or updated_at - interval 12 hours >= nx) ambiguous from l where rn = 1")
+@query("with s as (select user_id session_id, max(ts) u, arg_max(event_type, ts) status from events group by 1), r as (select *, row_number() over (order by date_trunc('second', u) desc, session_id) rn, lead(u) over (order by date_trunc('second', u) desc, session_id) nx, count(*) over () n from s) select session_id recommended, least(n, 5) candidates, n = 1 or u - nx >= interval 12 hours found, not (n = 1 or u - nx >= interval 12 hours) ambiguous from r where rn = 1")
 def session_resume_gap(spark, d):
-    return sessions.resume(_t(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("updated_at")))
+    s = _t(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("updated_at"))
+    return sessions.resume(s).select("recommended", "candidates", "found", "ambiguous")
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+_STOP = X.TURN_STOP
 
 
 def _terms_sql(x: str) -> str:
@@ -184,7 +209,7 @@ def task_signature(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", T.task_signature(F.col("text")).alias("signature"))
 
 
-@query("with s as (select conv_id, turn, " + ", ".join("(" + " + ".join(f"contains(lower(text), '{w}')::int" for w in ws) + f") {k}" for k, ws in T.INTENT_WORDS.items()) + " from conversations) select conv_id, turn, case when greatest(" + ", ".join(T.INTENT_WORDS) + ") = 0 then 'explore' " + " ".join(f"when {k} = greatest({', '.join(T.INTENT_WORDS)}) then '{k}'" for k in T.INTENT_WORDS) + " end intent from s")
+@query(f"select conv_id, turn, {X.intent('text')} intent from conversations")
 def intent_infer(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", T.infer_intent(F.col("text")).alias("intent"))
 
@@ -194,7 +219,7 @@ def keyword_extract(spark, d):
     return _t(spark, d, "documents").select(F.explode(T.terms(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
-@query(f"with l as (select doc_id, line, line_no, trim(line, ' ') k from {_LINES}), f as (select *, row_number() over (partition by doc_id, k order by line_no) rn from l) select doc_id, string_agg(line, chr(10) order by line_no) as text from f where rn = 1 or k = '' group by 1")
+@query(f"with l as (select doc_id, line, line_no, trim(line, {X.BLANK}) k from {_LINES}), f as (select *, row_number() over (partition by doc_id, k order by line_no) rn from l) select doc_id, string_agg(line, chr(10) order by line_no) as text from f where rn = 1 or k = '' group by 1")
 def unique_lines(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.unique_lines(F.col("text")).alias("text"))
 
@@ -220,14 +245,14 @@ def budget_prefix(spark, d):
     return planning.prefix_budget(items, "conv_id", [F.col("turn")], "cost", 600).select("conv_id", "turn")
 
 
-@query("select doc_id, len(regexp_extract_all(text, '\\|'))::int n_bars, upper(lang) lang, left(text, 20) || '...' head from documents where length(text) > 23")
+@query("select doc_id, len(regexp_extract_all(text, '\\|'))::int n_bars, upper(lang) lang, case when length(text) > 230 then left(text, 227) || '...' else text end head from documents")
 def shorten_text(spark, d):
-    return _t(spark, d, "documents").where(F.length("text") > 23).select("doc_id", F.regexp_count("text", F.lit(r"\|")).alias("n_bars"), F.upper("lang").alias("lang"), T.shorten(F.col("text"), 23).alias("head"))
+    return _t(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\|")).alias("n_bars"), F.upper("lang").alias("lang"), T.shorten(F.col("text"), 230).alias("head"))
 
 
-@query("select page_id, '.../' || array_to_string(string_split(url, '/')[-3:], '/') path from pages where len(string_split(url, '/')) > 3")
+@query("with p as (select page_id, url, list_filter(string_split(url, '/'), lambda x: x <> '') a from pages union all select doc_id, source || '/' || lang, [source, lang] from documents) select page_id, case when len(a) <= 3 and length(url) <= 60 then url else '.../' || array_to_string(a[-3:], '/') end path from p")
 def compact_paths(spark, d):
-    p = _t(spark, d, "pages").where(F.size(F.split("url", "/")) > 3)
+    p = _t(spark, d, "pages").select("page_id", "url").union(_t(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "lang")))
     return p.select("page_id", T.compact_path(F.col("url")).alias("path"))
 
 
@@ -249,46 +274,67 @@ def pattern_similarity(spark, d):
     return patterns.similar_pairs(_t(spark, d, "benchmark"), "item_id", words, 0.2).select("k", "k2", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+_TASKS = "(select distinct text task, role intent from conversations where turn = 0)"
+
+
+@query(f"with l as (select {_signature_sql('text')} s, role i, turn tt, 'c/' || (conv_id % 20) path, conv_id from conversations), p as (select s, i, count(distinct tt) occ from l group by 1, 2 order by occ desc, s, i limit 20), f as (select s, i, path, count(*) n, min(tt * 1000000 + tt) ord from l group by 1, 2, 3), t as (select task, intent, {_signature_sql('task')} sig from {_TASKS}), m as (select t.*, p.s, p.i, p.occ, len(list_intersect(string_split(sig, ' '), string_split(p.s, ' ')))::double / len(list_distinct(list_concat(string_split(sig, ' '), string_split(p.s, ' ')))) + case when occ >= 3 then 0.1 else 0 end sc from t join p on t.intent = p.i where sig <> ''), b as (select *, row_number() over (partition by task, intent order by sc desc, occ desc, s) rn from m where sc >= 0.6), o as (select task, intent, round(sc, 6) score, path, n access_count, row_number() over (partition by task, intent order by n desc, ord, path)::int place from b join f on b.s = f.s and b.i = f.i where rn = 1) select * from o where place <= 8")
 def pattern_predict(spark, d):
+    """The files that the first turn of each conversation is likely to need, by what like turns needed."""
     p, f = patterns.learn(_log(spark, d))
-    task = spark.read.parquet(f"{d}/conversations.parquet").where("turn = 0 and role is not null").orderBy("conv_id").select("text", "role").first()
-    return patterns.predict(p, f, task.text, task.role)
+    tasks = _t(spark, d, "conversations").where("turn = 0").select(F.col("text").alias("task"), F.col("role").alias("intent")).distinct()
+    return patterns.predict(p, f, tasks).select("task", "intent", F.round("score", 6).alias("score"), "path", "access_count", "place")
 
 
 # ---- index and graph --------------------------------------------------------------------------------------------------
 
 
-@query("select name, count(*) n, min(doc_id) first_doc from (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as name from documents) where length(name) >= 12 group by 1 having count(*) > 1")
-def inverted_index_postings(spark, d):
-    names = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("name")).where(F.length("name") >= 12)
-    index = graph.inverted_index(names.select("name", F.col("doc_id").alias("path"), F.lit(1).alias("line"), F.lit("word").alias("kind")))
-    return index.where("n > 1").select("name", "n", F.col("postings")[0]["path"].alias("first_doc"))
-
-
 @query(r"select name, doc_id path, count(*) over (partition by name) n from (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as name from documents) where name <> ''")
-def inverted_index_all_postings(spark, d):
+def inverted_index_postings(spark, d):
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     names = _t(spark, d, "documents").select("doc_id", F.explode(words).alias("name")).where("name <> ''").distinct()
-    index = graph.inverted_index(names.select("name", F.col("doc_id").alias("path"), F.lit(1).alias("line"), F.lit("word").alias("kind")))
-    return index.select("name", F.explode("postings").alias("p"), "n").select("name", "p.path", "n")
+    # a posting is a row: a common name is many rows of a join that can be split, not one list
+    return names.join(names.groupBy("name").agg(F.count("*").alias("n")), "name").select("name", F.col("doc_id").alias("path"), "n")
+
 
+_SRC = "(select doc_id, 'src/m' || (doc_id % 40) || '/f' || doc_id || '.js' path from documents union all select doc_id, 'src/m' || (doc_id % 40) || '/f' || doc_id || '.test.js' from documents where doc_id % 3 = 0)"
 
-_EDGES = "(select distinct a.user_id src, b.user_id dst from (select distinct user_id, floor(value) v from events) a join (select distinct user_id, floor(value) v from events) b using (v) where a.user_id <> b.user_id)"
 
+def _sources(spark, d) -> DataFrame:
+    """Each document as a file that imports the next one of its folder; every third has a test."""
+    docs = _t(spark, d, "documents").select("doc_id")
+    path = F.concat(F.lit("src/m"), (F.col("doc_id") % 40).cast("string"), F.lit("/f"), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", F.concat(path, F.lit(".js")).alias("path")).union(docs.where("doc_id % 3 = 0").select("doc_id", F.concat(path, F.lit(".test.js"))))
 
-@query(f"select distinct dst as path, 'imports' relation from {_EDGES} where src = 7 union select distinct src, 'importedBy' from {_EDGES} where dst = 7")
+
+def _edges(spark, d) -> DataFrame:
+    files = _sources(spark, d)
+    spec = F.concat(F.lit("./f"), (F.col("doc_id") + 40).cast("string"))
+    imports = files.where(~T.is_test_path(F.col("path"))).select(F.col("path").alias("src"), spec.alias("spec"))
+    return graph.edges(imports, files.select("path"))
+
+
+@query(f"select s.path src, t.path dst, 'import' kind from {_SRC} s join {_SRC} t on t.doc_id = s.doc_id + 40 and t.path not like '%.test.js' where s.path not like '%.test.js' union all select s.path, t.path, 'testOf' from {_SRC} s join {_SRC} t using (doc_id) where s.path like '%.test.js' and t.path not like '%.test.js'")
+def graph_edges(spark, d):
+    """Imports resolved by rank, and tests held against the names beside them."""
+    return _edges(spark, d)
+
+
+@query(f"with one as (select 'src/m3/f' || 43 || '.js' p) select path, relation from (select 'src/m3/f83.js' path, 'imports' relation union all select 'src/m3/f3.js', 'importedBy' union all select path, 'neighbors' from {_SRC}, one where path like 'src/m3/%' and path <> p) x, one where path in (select path from {_SRC})")
 def graph_related(spark, d):
-    e = _t(spark, d, "events").select("user_id", F.floor("value").alias("v")).distinct()
-    edges = e.select(F.col("user_id").alias("src"), "v").join(e.select(F.col("user_id").alias("dst"), "v"), "v").where("src <> dst").select("src", "dst", F.lit("import").alias("kind")).distinct()
-    return graph.related(edges, 7)
+    return graph.related(_edges(spark, d), "src/m3/f43.js", _sources(spark, d))
 
 
-@query("with h as (select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) host from pages) select host, count(*) n_pages, count(*) * (count(*) - 1) n_neighbour_pairs from h group by 1")
+@query(f"select path, count(*) - 1 n from (select a.path, b.path other from {_SRC} a join {_SRC} b on regexp_replace(a.path, '/[^/]*$', '') = regexp_replace(b.path, '/[^/]*$', '')) group by 1")
 def graph_neighbors(spark, d):
-    h = _t(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
-    n = F.count("*")
-    return h.groupBy("host").agg(n.alias("n_pages"), (n * (n - 1)).alias("n_neighbour_pairs"))
+    """How many files stand beside each: counts of folders, no pairs."""
+    files = _sources(spark, d).select("path", T.dirname(F.col("path")).alias("dir"))
+    return files.join(files.groupBy("dir").agg(F.count("*").alias("n")), "dir").select("path", (F.col("n") - 1).alias("n"))
+
+
+@query("select event_type \"name\", user_id path, min(event_id) line from events where lower(event_type) in ('click', 'error', 'view') group by 1, 2")
+def index_lookup(spark, d):
+    index = _t(spark, d, "events").groupBy(F.col("event_type").alias("name"), F.col("user_id").alias("path")).agg(F.min("event_id").alias("line")).withColumn("kind", F.lit("event"))
+    return graph.lookup(index, spark.createDataFrame([("CLICK",), ("Error",), ("view",)], "name string")).select("name", "path", "line")
 
 
 @query("with o as (select distinct 'metric:' || sha1(event_type || ':' || event_id) k from events where event_id % 2 = 0), n as (select 'metric:' || sha1(event_type || ':' || event_id) k from events) select count(*) filter (k not in (select k from o)) imported, count(*) filter (k in (select k from o)) skipped from n")
@@ -299,16 +345,8 @@ def idempotent_import(spark, d):
     return e.select(k).join(old, "k", "left").agg(F.count_if(F.col("old").isNull()).alias("imported"), F.count_if(F.col("old")).alias("skipped"))
 
 
-@query("with o as (select doc_id path, n_chars mtime from documents where doc_id % 5 > 0), n as (select doc_id path, n_chars + (doc_id % 7 = 0)::int mtime from documents where doc_id % 4 > 0) select coalesce(o.path, n.path) path, case when n.path is null then 'removed' when o.path is null then 'added' else 'changed' end state from o full join n on o.path = n.path where o.path is null or n.path is null or o.mtime <> n.mtime")
-def index_freshness(spark, d):
-    docs = _t(spark, d, "documents")
-    old = docs.where("doc_id % 5 > 0").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("mtime"))
-    new = docs.where("doc_id % 4 > 0").select(F.col("doc_id").alias("path"), (F.col("n_chars") + (F.col("doc_id") % 7 == 0).cast("int")).alias("mtime"))
-    return graph.stale(old, new)
-
-
 @query("with d as (select doc_id path, n_chars, coalesce(length(text), 0) size, coalesce(source = max(source) over () and source > min(source) over (), false) fresh, coalesce(source = min(source) over () and source < max(source) over (), false) gone from documents), o as (select path, n_chars mtime from d where not fresh), n as (select path, n_chars + (size % 2) mtime from d where not gone) select coalesce(o.path, n.path) path, case when n.path is null then 'removed' when o.path is null then 'added' else 'changed' end state from o full join n on o.path = n.path where o.path is null or n.path is null or o.mtime <> n.mtime")
-def index_freshness_all_documents(spark, d):
+def index_freshness(spark, d):
     """The folder that is last by name came after the index was made, the first went away, texts of odd length changed: each document is on a side."""
     docs = _t(spark, d, "documents")
     ends = docs.agg(F.min("source").alias("low"), F.max("source").alias("high"))
@@ -324,9 +362,7 @@ def index_freshness_all_documents(spark, d):
 
 @query("with x as (select b.item_id task, d.doc_id item from benchmark b join documents d on contains(d.text, b.text)), r as (select task, item, row_number() over (partition by task order by item) rank from x) select task, count(*) n_expected, count(*) filter (rank <= 1) / count(*) recall1, count(*) filter (rank <= 5) / count(*) recall5 from r group by 1")
 def eval_recall_at_k(spark, d):
-    # a benchmark of a fixed size against all texts: the items are the small side, in one block
-    hits = _t(spark, d, "documents").select("doc_id", "text").join(F.broadcast(_t(spark, d, "benchmark").select("item_id", F.col("text").alias("want"))), F.contains("text", F.col("want")))
-    found = hits.select(F.col("item_id").alias("task"), F.col("doc_id").alias("item"))
+    found = evaluate.containing(_t(spark, d, "documents").select(F.col("doc_id").alias("item"), "text"), _t(spark, d, "benchmark").select(F.col("item_id").alias("task"), F.col("text").alias("want"))).select("task", "item")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy("item")))
     return evaluate.recall_at(found, ranked, (1, 5))
 
@@ -342,10 +378,13 @@ def eval_summary(spark, d):
     return evaluate.summary(e, "event_type")
 
 
-@query()
+@query(X.greedy())
 def greedy_plan(spark, d):
-    c = _t(spark, d, "documents").select(F.col("lang").alias("task"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel"), F.element_at(F.array(*(F.lit(x) for x in planning.ROLE_POINTS)), (F.col("doc_id") % 4 + 1).cast("int")).alias("role"), F.col("n_chars").cast("double").alias("utility"))
-    return planning.greedy(c)
+    """Three files for each language, of documents in folders by source: worth less what resembles those chosen before."""
+    role = F.element_at(F.array(*(F.lit(x) for x in planning.ROLES)), (F.col("doc_id") % 4 + 1).cast("int"))
+    points = F.element_at(F.array(F.lit(130), F.lit(85), F.lit(60), F.lit(50)), (F.col("doc_id") % 4 + 1).cast("int"))
+    c = _t(spark, d, "documents").select(F.col("lang").alias("task"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel"), role.alias("role"), (points + F.least(F.col("n_chars"), F.lit(2000)) / 100).cast("double").alias("utility"))
+    return planning.greedy(c, k=3).select("task", "rel", "role", "place", F.round("gain", 6).alias("gain"))
 
 
 # ---- Spark's own relational breadth over the star schema ------------------------------------------------------------
@@ -382,30 +421,42 @@ for _k, _v in _REL.items():
 
 # ---- compression and symbols -----------------------------------------------------------------------------------------
 
-from ..operators import compress  # noqa: E402
-from ..streaming import streams  # noqa: E402
+_MARKED = "(starts_with(t, 'import ') or starts_with(t, 'export ') or contains(t, 'function ') or contains(t, 'const ') or contains(t, 'return (') or contains(t, 'class ') or contains(t, 'def ') or contains(t, 'resource ') or contains(t, 'FROM ') or contains(t, 'fn '))"
+_CODE = "(select doc_id, 'const a' || doc_id || ' = 1' || chr(10) || coalesce(text, '') || chr(10) || chr(9) || 'class K' || (doc_id % 9) || ' ' text from documents)"
+_CUT = "case when length(x) > {0} then left(x, {0}) || chr(10) || chr(10) || '[truncated ' || (length(x) - {0}) || ' chars]' else x end"
+
+
+def _code(spark, d) -> DataFrame:
+    id_ = F.col("doc_id").cast("string")
+    return _t(spark, d, "documents").select("doc_id", F.concat(F.lit("const a"), id_, F.lit(" = 1\n"), F.coalesce("text", F.lit("")), F.lit("\n\tclass K"), (F.col("doc_id") % 9).cast("string"), F.lit(" ")).alias("text"))
 
 
-@query(f"with l as (select doc_id, line, line_no, regexp_matches(line, '(?i)^\\s*(import|export|from|class|function|def|func|fn|interface|type|const|pub|struct|enum|resource|create|#)\\b?') hit from {_LINES}), a as (select doc_id, string_agg(line, chr(10) order by line_no) filter (hit) t from l group by 1) select d.doc_id, coalesce(a.t, d.text) as text from documents d left join a using (doc_id)")
+@query(f"with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) no from {_CODE}), m as (select doc_id, no, line, trim(line, {X.BLANK}) t from l), a as (select doc_id, string_agg(line, chr(10) order by no) x from m where {_MARKED} group by 1) select doc_id, {_CUT.format(5000)} as text from a")
 def compress_fallback(spark, d):
-    return _t(spark, d, "documents").select("doc_id", compress.fallback(F.col("text")).alias("text"))
+    return _code(spark, d).select("doc_id", outline.fallback(F.col("text")).alias("text"))
 
 
-@query()
+_TOK = "len(regexp_extract_all({0}, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]'))"
+
+
+@query(f"with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) no from {_CODE}), m as (select doc_id, no, line, trim(line, {X.BLANK}) t from l), a as (select doc_id, string_agg(line, chr(10) order by no) x from m where {_MARKED} group by 1), o as (select doc_id, {_CUT.format(5000)} o, {_CUT.format(4000)} g from a), c as (select d.doc_id, d.text, o, g, string_split(g, chr(10)) gl from {_CODE} d join o using (doc_id)), r as (select doc_id, gl, list_filter(range(0, len(gl) + 1), lambda i: list_sum(list_transform(list_slice(gl, 1, i), lambda z: {_TOK.format('z')})) <= 60 - 9 or i = 0) fits from c) select c.doc_id, case when {_TOK.format('c.text')} <= 60 then c.text when {_TOK.format('o')} <= 60 then o when {_TOK.format('g')} <= 60 then g else array_to_string(list_append(list_slice(c.gl, 1, list_max(fits)), chr(10) || '[truncated to fit 60 token budget]'), chr(10)) end as text from c join r using (doc_id)")
 def compress_cascade(spark, d):
-    return _t(spark, d, "documents").select("doc_id", compress.cascade(F.col("text"), 200).alias("text"))
+    return _code(spark, d).select("doc_id", compress.cascade(F.col("text"), 60).alias("text"))
 
 
-@query()
+@query(X.symbols())
 def symbol_index(spark, d):
-    files = _t(spark, d, "pages").select(F.concat("url", F.lit(".js")).alias("path"), F.col("html").alias("text"))
-    return graph.inverted_index(compress.symbols(files))
+    """The declarations of files in nine languages that are made of the names of parts."""
+    return symbols.symbols(X.source_files(_t(spark, d, "part"))).select("path", "name", "kind", "line", "parent")
 
 
-@query()
+@query(X.summaries())
 def summary_compress(spark, d):
-    e = _t(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.lit("open").alias("status"), F.lit("goal of the session").alias("goal"), F.sort_array(F.collect_list("event_type")).alias("completed"), F.array_distinct(F.sort_array(F.collect_list("event_type"))).alias("decisions"), F.sort_array(F.collect_list(F.col("event_id").cast("string"))).alias("touched_files"))
-    return compress.summary(e, 60)
+    """Summaries of one session a user that fit without being shortened; shorter ones are held against brute force in tests."""
+    e = _t(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.array_sort(F.collect_set("event_type")).alias("decisions"), F.min("event_id").alias("a"), F.max("event_id").alias("z"))
+    none, text = F.array().cast("array<string>"), lambda c: F.col(c).cast("string")
+    s = e.select("session_id", F.lit("blocked").alias("status"), F.concat(F.lit("goal "), text("a")).alias("goal"), F.lit("").alias("current_focus"), F.lit(" ").alias("why_blocked"), F.lit(None).cast("string").alias("next_step"), none.alias("pinned_context"), none.alias("unresolved_questions"), F.array(text("a"), text("z"), text("a")).alias("completed"), "decisions", F.array(F.lit(""), text("z")).alias("blockers"), F.array(F.concat(F.lit("a/b/c/d/"), text("a"))).alias("touched_files"))
+    return sessions.summary(s, 500).select("session_id", "level", F.get_json_object("text", "$.goal").alias("goal"), F.get_json_object("text", "$.why_blocked").alias("why_blocked"), F.get_json_object("text", "$.hot_files[0]").alias("hot_file"), F.get_json_object("text", "$.completed_count").cast("int").alias("n_completed"), F.array_join(F.from_json(F.get_json_object("text", "$.key_decisions"), "array<string>"), ",").alias("decisions"))
 
 
 # ---- streams, run to their end -----------------------------------------------------------------------------------------
@@ -430,3 +481,6 @@ def stream_sliding(spark, d):
 @query("with g as (select *, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 6 hours, true)::int b from events), s as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) k from g) select min(ts) as start, user_id, count(*) n from s group by user_id, k")
 def stream_sessions(spark, d):
     return streams.drain(streams.by_session(_stream(spark, d)), spark, "stream_sessions").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from . import reading, tasking, upkeep  # noqa: E402, F401  they register their queries

@@ -26,9 +26,20 @@ def manifest(spark: SparkSession, root: str) -> dict | None:
 
 
 def write(df: DataFrame, root: str, partition_by: list[str] | None = None) -> int:
+    """Write a new version. The folder of a version is claimed by creating its mark, which only one writer can; another takes the next."""
     spark = df.sparkSession
     now = manifest(spark, root)
     version = (now["version"] if now else 0) + 1
+    while True:
+        fs, mark = _fs(spark, f"{root}/_claims/v{version}")
+        fs.mkdirs(mark.getParent())
+        try:
+            claimed = fs.createNewFile(mark)
+        except Exception:  # another writer was first
+            claimed = False
+        if claimed:
+            break
+        version += 1
     w = df.write.mode("errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{root}/v{version}")
     spark.createDataFrame([(json.dumps({"version": version, "schema": VERSION}),)], "value string").coalesce(1).write.mode("append").text(f"{root}/_manifest")
@@ -42,3 +53,24 @@ def read(spark: SparkSession, root: str, version: int | None = None) -> DataFram
             return None
         version = now["version"]
     return spark.read.parquet(f"{root}/v{version}")
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions that are whole, in order."""
+    fs, p = _fs(spark, f"{root}/_manifest")
+    if not fs.exists(p):
+        return []
+    return sorted({json.loads(r.value)["version"] for r in spark.read.text(f"{root}/_manifest").collect()})
+
+
+def set_meta(spark: SparkSession, root: str, **values: str) -> int:
+    """Put values under keys; the others stay."""
+    old = read(spark, root)
+    new = spark.createDataFrame(list(values.items()), "key string, value string")
+    return write(new if old is None else old.join(new.select("key"), "key", "left_anti").unionByName(new), root)
+
+
+def get_meta(spark: SparkSession, root: str, key: str) -> str | None:
+    rows = read(spark, root)
+    found = rows.where(rows.key == key).head(1) if rows is not None else []
+    return found[0].value if found else None

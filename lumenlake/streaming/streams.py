@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,8 +60,20 @@ def turns(stream: DataFrame, key: str = "session_id") -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, writes int, block boolean", "open boolean, writes int, saved boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "complete") -> DataFrame:
-    """Run a bounded stream to its end into a table in memory."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "complete", once: bool = False) -> DataFrame:
+    """Run a bounded stream to its end and return the rows of its last batch, which in complete mode are all: each batch is
+    written to a folder that all executors share, none is gathered in the driver. once: as one batch, for streams whose state
+    has timeouts, as these never run out of batches."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        raise ValueError("spark.checkpoint.dir is not set")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    last: list[int] = []
+
+    def put(batch: DataFrame, at: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+        last.append(at)
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(**({"once": True} if once else {"availableNow": True})).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows") if last else spark.createDataFrame([], stream.schema)
