@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
+import re
+import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,13 +39,17 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir (all executors share it).
+    """A folder of this application under spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent, as in local tests, a folder under /tmp serves."""
+    Without that setting only a session on one machine gets a folder of its own; a cluster's would write where others can't read."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        _roots[app] = root = f"{(base or 'file:///tmp/lumenlake-scratch').rstrip('/')}/lumenlake-{app}"
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+            base = f"file://{tempfile.gettempdir()}/lumenlake-scratch"
+        _roots[app] = root = f"{base.rstrip('/')}/lumenlake-{app}"
         atexit.register(_remove, spark, root)
     return _roots[app]
 
@@ -61,6 +69,24 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """Like materialise(), as a table of n buckets by key: joins and groups by the key need no shuffle of such tables."""
+    spark = df.sparkSession
+    path, known = scratch_path(spark, name), f"lumenlake_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "none").saveAsTable(known)
+    atexit.register(_forget, spark, known)
+    out = spark.table(known)
+    out.scratch_path = path
+    return out
+
+
+def _forget(spark: SparkSession, known: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {known}")
+    except Exception:  # the session may have ended
+        pass
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete a table that materialise() wrote, once nothing reads it any more."""
     _remove(df.sparkSession, df.scratch_path)
@@ -87,6 +113,28 @@ def crc_mod(n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _trim() -> None:
+    """Give memory that is free back to the system: Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn for mapInArrow, after whose task the worker keeps no memory that it doesn't use."""
+
+    @functools.wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _trim()
+
+    return run
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,7 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
     node by a pre-aggregated group-by and joins it back, so that a node with very many links is no single group."""
     spark = edges.sparkSession
     now = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct()
-    now = materialise(now.mapInArrow(_contract, "a long, b long"), "edges")
+    now = materialise(now.mapInArrow(lean(_contract), "a long, b long"), "edges")
     before = None
     while True:
         both = now.union(now.select("b", "a"))

@@ -14,7 +14,8 @@ where it stands in the text are found word for word.
 Null or empty texts and items match nothing; an item that stands twice under two ids counts for both. The benchmark is
 looked up in slices of SLICE windows at most, each with a pass over the texts, so what is broadcast stays bounded
 however long the benchmark is. Rows of a repeated doc_id are judged together (their items united); null doc_ids are
-one document. Other columns are ignored.
+one document. Ties (items of one text, runs of one length) all count. Very long texts are read whole. No documents give no
+rows; without items every document is clean. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import quality as Q
-from .common import table, texts, tuned
+from .common import lean, table, texts, tuned
 
 WINDOW, MIN_RUN, SLICE = 8, 13, 1_000_000
 UNITS = "mm cm m km mg g kg t ml l kb mb gb tb ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years inch inches foot feet yard yards mile miles pound pounds ounce ounces percent degree degrees dollar dollars euro euros cent cents usd eur gbp mph kmh watt watts volt volts".split()
@@ -48,7 +49,7 @@ _ENDS_SENTENCE = np.isin(np.arange(256), [ord(c) for c in ".!?:\n|\"*%$#&"])
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first token by row, start byte, end byte) of the tokens as they stand, lower-cased."""
     s, e, first = K.words(np.where(Q.ALNUM[data], data, np.uint8(32)), offsets)
-    return (K.range_hash(K.prefix_hash(data, K.WORD_KEY), s, e) if len(s) else np.zeros(0, np.uint64)), first, s, e
+    return (K.span_hash(K.LOWER[data], s, e) if len(s) else np.zeros(0, np.uint64)), first, s, e
 
 
 def canonical(data: np.ndarray, raw: np.ndarray, first: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,7 +256,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     if len(r):
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + a)), pa.array(item), pa.array(n)], ["doc_id", "item_id", "run"])
 
-        return docs.mapInArrow(run, "doc_id long, item_id long, run long")
+        return docs.mapInArrow(lean(run), "doc_id long, item_id long, run long")
 
     for row in items.toLocalIterator(prefetchPartitions=True):
         held.append((row.item_id, row.text))

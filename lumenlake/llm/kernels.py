@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes that one kernel call works on; a longer text is one call by itself.
 CHUNK = 1 << 20
@@ -15,9 +16,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _rng = np.random.default_rng(20_240_101)
-#: A random 64-bit value for each byte; lower and upper case of A to Z share theirs in the second.
+#: A random 64-bit value for each byte.
 BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-WORD_KEY = BYTE_KEY[LOWER]
 #: Odd multipliers, one for each place in a window of words.
 PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = int(_rng.integers(1, 2**62)) * 8 + 5
@@ -82,20 +82,51 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def prefix_hash(data: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """P with P[i] the polynomial sum of the first i bytes; a range's hash is (P[e] - P[s]) / BASE ** s."""
+    """P with P[i] the polynomial sum of the first i bytes; a range's hash is (P[e] - P[s]) / BASE ** s.
+
+    Texts can be made that collide whatever the base (Thue-Morse strings do), so this serves only where equal hashes
+    of unlike bytes do no harm."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(key[data] * _powers(BASE, len(data)), out=out[1:])
     return out
 
 
-def range_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((prefix[ends] - prefix[starts]) * _powers(_UNBASE, len(prefix))[starts] + (ends - starts).astype(np.uint64))
+#: Ranges up to SHORT bytes are hashed in steps of eight by numpy, longer ones one by one.
+SHORT = 64
+_LENGTH_KEY, _STEP_KEY = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there on as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(SHORT + 8, np.uint8)])
+    return np.ndarray(len(data) + SHORT, "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range, unlike for unlike bytes but by chance: each step of eight bytes is mixed with all before it.
+
+    Ranges of one length up to eight never collide."""
+    size = ends - starts
+    at = eights(data)
+    h = mix((at[starts] & _MASK[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _LENGTH_KEY + np.uint64(salt)))
+    left = np.flatnonzero(size > 8)
+    k = 8
+    while len(left) and k < SHORT:
+        h[left] = mix(h[left] * _STEP_KEY + (at[starts[left] + k] & _MASK[np.minimum(size[left] - k, 8)]))
+        k += 8
+        left = left[size[left] > k]
+    if len(left):
+        raw = data.tobytes()
+        for i in left.tolist():
+            h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], seed=salt)
+    return h
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, index of each row's first word and the number of words at the end)."""
     s, e, first = words(data, offsets)
-    return (range_hash(prefix_hash(data, WORD_KEY), s, e) if len(s) else np.zeros(0, np.uint64)), first
+    return (span_hash(LOWER[data], s, e, salt) if len(s) else np.zeros(0, np.uint64)), first
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -118,9 +149,9 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5, salt: int = 0) -> list[np.ndarray]:
     """The sorted distinct k-word shingles of each row; with fewer words the whole sequence is one; without words none."""
-    h, first = word_hashes(data, offsets)
+    h, first = word_hashes(data, offsets, salt)
     w = window_hashes(h, k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

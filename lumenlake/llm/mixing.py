@@ -9,7 +9,8 @@ follows from it by arithmetic. At every slot each source that still has blocks i
 Nothing is dropped: slots of a source that has run out stay empty, and in_mix tells whether a text lies before the
 first such slot. Running totals of a source are taken in two steps, over hash buckets and within one, so that a source
 with a third of all rows is no single group. Null texts are empty ones; null sources are one source, written as ''.
-Ties of the hash are broken by doc_id; rows alike in all of it get neighbouring places. No rows give no rows.
+Ties of the hash are broken by doc_id; rows alike in all of it get neighbouring places. A text longer than a block lies in
+the block it begins in. No rows give no rows. Other columns are left out, but for those that `carry` names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ samples are bounded (POSITIVES, UNLABELLED), taken by least hash; every text is
 
 Null texts count as empty ones and are scored as such. A doc_id that stands twice is scored twice; labels with a null
 doc_id or quality are ignored, of contradicting labels the lower holds. Without a positive training label all scores
-are the prior (0.5 if there are no labels at all). Columns besides doc_id and text are ignored.
+are the prior (0.5 if there are no labels at all). Ties of the hash go by doc_id and features. A very long text is one row
+of shares like any other. No rows give no rows. Columns besides doc_id and text are ignored, clashing names too.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import crc_mod, materialise, per_batch, table, texts, tuned
+from .common import crc_mod, lean, materialise, per_batch, table, texts, tuned
 
 #: Most rows that the model is fitted on.
 POSITIVES, UNLABELLED = 6_000, 12_000
@@ -47,7 +48,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     out = np.zeros((rows, FEATURES))
     if len(s):
-        h = K.range_hash(K.prefix_hash(data, K.WORD_KEY), s, e)
+        h = K.span_hash(K.LOWER[data], s, e)
         row = np.repeat(np.arange(rows), np.diff(first))
         again = np.concatenate([[False], (h[1:] == h[:-1]) & (row[1:] == row[:-1])])
         order = np.lexsort((h, row))
@@ -74,7 +75,7 @@ def featured(docs: DataFrame) -> DataFrame:
         x = np.concatenate([features(d, o) for _, _, d, o in K.chunks(b.column(1))])
         return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES), pa.int32()), pa.array(x.ravel()))], ["doc_id", "x"])
 
-    return docs.mapInArrow(per_batch(run), "doc_id long, x array<double>")
+    return docs.mapInArrow(lean(per_batch(run)), "doc_id long, x array<double>")
 
 
 def widen(x: np.ndarray) -> np.ndarray:
@@ -132,7 +133,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         f = np.asarray(b.column(1).flatten()).reshape(-1, FEATURES)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(predict(model, prior, f))], ["doc_id", "score"])
 
-    scored = x.mapInArrow(per_batch(run), "doc_id long, score double")
+    scored = x.mapInArrow(lean(per_batch(run)), "doc_id long, score double")
     return scored.select("doc_id", (crc_mod(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -10,6 +10,7 @@ The labelled table marks low quality and toxicity only, so the registered chain
 of 0/1 columns can be given. The models are fitted on the SAMPLE labelled rows of least hash at most; every text is
 scored. Null texts count as empty. Rows of a repeated doc_id are each scored; null labels are ignored, of repeated
 labels the highest holds. A category without both kinds of examples gets its share as a constant (0 without labels).
+A score of exactly 0.5 counts as toxic. Very long texts are read whole. No rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import quality as Q
-from .common import crc_mod, materialise, per_batch, table, texts, tuned
+from .common import crc_mod, lean, materialise, per_batch, table, texts, tuned
 
 SAMPLE, SELECTED, BITS, FOLDS = 8_000, 768, 18, 3
 PREFIXES = (4, 5, 6, 7, 8)
@@ -41,12 +42,12 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         z = np.zeros(0, np.int64)
         return z, z
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    prefix = K.prefix_hash(low, K.BYTE_KEY)
-    rows, out = [row], [K.range_hash(prefix, s, e)]
+    rows, out = [row], [K.span_hash(low, s, e)]
+    start = K.eights(low)[s]
     for n in PREFIXES:
         longer = e - s > n
         rows.append(row[longer])
-        out.append(K.range_hash(prefix, s[longer], s[longer] + n) + np.uint64(n))
+        out.append(K.mix(start[longer] << np.uint64(64 - 8 * n) ^ np.uint64(n)))
     return np.concatenate(rows), (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
@@ -78,7 +79,7 @@ def select(rows: DataFrame, names: list[str]) -> np.ndarray:
                 c += np.frombuffer(x, np.int32).reshape(k + 1, -1)
         yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary())], ["c"])
 
-    part = rows.select("doc_id", "text", *names).mapInArrow(count, "c binary").coalesce(4).mapInArrow(total, "c binary")
+    part = rows.select("doc_id", "text", *names).mapInArrow(lean(count), "c binary").coalesce(4).mapInArrow(lean(total), "c binary")
     c = sum(np.frombuffer(r.c, np.int32).reshape(k + 1, -1).astype(np.int64) for r in part.collect())
     n = np.array(rows.agg(F.count("*"), *(F.sum(x) for x in names)).first()).astype(float)
     chosen = []
@@ -189,7 +190,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN,
             return pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *(b.column(2 + j) for j in range(k))], ["doc_id", "x", *chain])
 
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-        rows = sample.mapInArrow(per_batch(gather), "doc_id long, x binary, " + ", ".join(f"`{c}` int" for c in chain)).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(SAMPLE).toArrow()
+        rows = sample.mapInArrow(lean(per_batch(gather)), "doc_id long, x binary, " + ", ".join(f"`{c}` int" for c in chain)).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(SAMPLE).toArrow()
         x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "<f4").reshape(rows.num_rows, -1)
         models = fit_chain(x, np.array([rows.column(c).to_numpy() for c in chain], float).T)
     shared = spark.sparkContext.broadcast((place, models))
@@ -199,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN,
         p = np.concatenate([apply(models, inputs(d, o, place, n)) for _, _, d, o in K.chunks(b.column(1), 1 << 20)])
         return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, j]) for j in range(k))], ["doc_id", *(f"p_{c}" for c in chain)])
 
-    out = docs.mapInArrow(per_batch(run), "doc_id long, " + ", ".join(f"`p_{c}` double" for c in chain))
+    out = docs.mapInArrow(lean(per_batch(run)), "doc_id long, " + ", ".join(f"`p_{c}` double" for c in chain))
     return out.withColumn("score", F.col(f"p_{chain[-1]}")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
