@@ -8,7 +8,8 @@ and the data bytes. Decoding looks the lengths of four ids up for each control b
 
 Shards are cells of a Parquet folder that Spark writes, for its commit protocol survives lost executors and any store
 that Spark can reach will do; export_shard() gives the bytes of one as a plain file. Empty or null texts hold the end
-id alone; equal doc_ids are ordered by their ids; null doc_ids come first.
+id alone; equal doc_ids are ordered by their ids; null doc_ids come first. A very long text is one text of its shard, and
+a shard holds one text at least. No rows give no shards and no rows. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import drop_scratch, materialise, scratch_path, table, texts, tuned
+from .common import drop_scratch, lean, materialise, scratch_path, table, texts, tuned
 
 END_ID = 2
 #: Ids that a shard holds before the next one begins (the last text is kept whole).
 SHARD_IDS = 2_000_000
-#: Distinct pieces whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct pieces whose ids a worker keeps (others are encoded whenever they come), and the places of a table of short ones.
+CACHE, TABLE_BITS = 1_000_000, 20
 _ODD = re.compile(r"[\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_BYTES = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 _ALNUM = np.zeros(256, bool)
@@ -64,7 +65,9 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     s, e, _ = K.words(data, offsets)
     if not len(s):
         return _marked(len(data), offsets, [0, len(data)])
-    began = np.isin(s, offsets, kind="sort")
+    opens = np.zeros(len(data) + 1, bool)
+    opens[offsets] = True
+    began = opens[s]
     before = data[np.maximum(s - 1, 0)]
     lead = ~began & (before == 0x20)
     alone = s[~began & ~lead] - 1
@@ -77,6 +80,72 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return _marked(len(data), offsets, s - lead, alone, e, t[ok])
 
 
+class Pieces:
+    """The ids of the pieces that a worker has met, told apart by their bytes.
+
+    Pieces of 16 bytes or fewer lie in two tables of fixed size, each piece at a place of either that its hash names;
+    a lookup compares all bytes and the length. Longer pieces, and short ones whose places are taken, are in a dict."""
+
+    def __init__(self, dtype: type):
+        n = 1 << TABLE_BITS
+        self.low, self.high = np.zeros((2, n), np.uint64), np.zeros((2, n), np.uint64)
+        self.length, self.entry = np.zeros((2, n), np.uint8), np.zeros((2, n), np.int32)
+        self.other: dict[bytes, int] = {}
+        self.flat, self.first, self.size = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    @staticmethod
+    def _places(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = K.mix(low ^ K.mix(high ^ size.astype(np.uint64)))
+        return h >> np.uint64(64 - TABLE_BITS), (h >> np.uint64(16)) & np.uint64((1 << TABLE_BITS) - 1)
+
+    def find(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """(entry or -1 of each piece, what put() needs of them)."""
+        size = b - a
+        at = K.eights(data)
+        low = at[a] & K._MASK[np.minimum(size, 8)]
+        high = np.zeros(len(a), np.uint64)
+        more = np.flatnonzero(size > 8)
+        high[more] = at[a[more] + 8] & K._MASK[np.minimum(size[more] - 8, 8)]
+        places = self._places(low, high, size)
+        out = np.full(len(a), -1, np.int64)
+        left = slice(None)
+        for t, p in enumerate(places):
+            p = p[left]
+            hit = (self.low[t][p] == low[left]) & (self.high[t][p] == high[left]) & (self.length[t][p] == size[left]) & (size[left] <= 16)
+            if t == 0:
+                out[hit] = self.entry[t][p[hit]]
+                left = np.flatnonzero(~hit)
+            else:
+                out[left[hit]] = self.entry[t][p[hit]]
+        return out, (low, high, size, *places)
+
+    def put(self, ids: np.ndarray, n: np.ndarray, keys: tuple[np.ndarray, ...], piece) -> np.ndarray:
+        """Entries of new pieces; ids: theirs on end, n: how many each has, keys: what find() gave of each; piece(i): the bytes of one."""
+        at = len(self.size) + np.arange(len(n))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n])
+        self.size = np.concatenate([self.size, n.astype(np.int32)])
+        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+        if len(self.size) <= CACHE:
+            low, high, size, *places = keys
+            left = size <= 16
+            for t, p in enumerate(places):
+                free = np.flatnonzero(left & (self.length[t][p] == 0))
+                _, one = np.unique(p[free], return_index=True)
+                new = free[one]
+                q = p[new]
+                self.low[t][q], self.high[t][q], self.length[t][q], self.entry[t][q] = low[new], high[new], size[new], at[new]
+                left[new] = False
+            for i in np.flatnonzero(left | (size > 16)).tolist():
+                self.other[piece(i)] = int(at[i])
+        return at
+
+    def cut(self, entries: int) -> None:
+        """Forget the entries beyond the bound."""
+        if len(self.size) > max(entries, CACHE):
+            keep = max(entries, CACHE)
+            self.flat, self.first, self.size = self.flat[: self.first[keep]], self.first[:keep], self.size[:keep]
+
+
 class Encoder:
     """Ids of whole texts by the library, each distinct piece encoded once."""
 
@@ -88,7 +157,7 @@ class Encoder:
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = re.compile(b"|".join([_ODD_BYTES, *(re.escape(x.encode()) for x in self.special)]))
-        self.known: dict[int, bytes] = {}
+        self.known = Pieces(self.dtype)
         spaced = self.library.get_vocab()
         self.opens = np.zeros(size, bool)
         self.opens[[i for t, i in spaced.items() if t.startswith("Ġ")]] = True
@@ -96,22 +165,61 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece, as bytes."""
-        out: list[bytes] = [b""] * len(pieces)
-        simple = [i for i, p in enumerate(pieces) if p[0] == 32 and p[1:].isalpha()]
-        for a in range(0, len(simple), 500):
-            part = simple[a : a + 500]
-            ids = np.array(self.library.encode_batch_fast([b"".join(pieces[i] for i in part).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            at = np.append(np.flatnonzero(self.opens[ids]), len(ids))
-            assert len(at) == len(part) + 1
-            for k, i in enumerate(part):
-                out[i] = ids[at[k] : at[k + 1]].tobytes()
-        rest = [i for i, p in enumerate(pieces) if not (p[0] == 32 and p[1:].isalpha())]
-        if rest:
-            for i, e in zip(rest, self.library.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False)):
-                out[i] = np.array(e.ids, self.dtype).tobytes()
-        return out
+    def _joined(self, raw: bytes, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each) of pieces that begin with a space and hold no other, given on end with their lengths.
+
+        A space before other characters opens a pre-token wherever it stands, and only there does an id begin with it."""
+        ends = np.cumsum(n)
+        at = [0, *ends[511:-1:512].tolist(), int(ends[-1])]
+        out = np.concatenate([np.array(self.library.encode_batch_fast([raw[x:y].decode()], add_special_tokens=False)[0].ids, self.dtype) for x, y in zip(at[:-1], at[1:]) if y > x])
+        opens = np.flatnonzero(self.opens[out])
+        if len(opens) != len(n):
+            raise AssertionError("a piece with more than one space")
+        return out, np.diff(np.append(opens, len(out)))
+
+    def _one_by_one(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.library.encode_batch_fast([self._sure(p).decode() for p in pieces], add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((x for g in got for x in g), self.dtype, int(n.sum())), n
+
+    def _learn(self, data: np.ndarray, raw: bytes, a: np.ndarray, b: np.ndarray, spaced: np.ndarray, at: np.ndarray, keys: tuple[np.ndarray, ...]) -> None:
+        """Fill in the entries (-1 in at) of pieces that find() has not found."""
+        miss = np.flatnonzero(at < 0)
+        fast = miss[spaced[miss] & (b[miss] - a[miss] <= 16)]
+        if len(fast):
+            key = K.mix(keys[0][fast] ^ K.mix(keys[1][fast] ^ keys[2][fast].astype(np.uint64)))
+            order = np.argsort(key)
+            f = fast[order]
+            same = lambda k: k[f[1:]] == k[f[:-1]]
+            head = np.concatenate([[True], ~(same(keys[0]) & same(keys[1]) & same(keys[2]))])
+            one = f[head]  # a piece may be there twice if two have one hash: that costs an entry, no more
+            if self.known.other:
+                old = np.array([self.known.other.get(raw[x:y], -1) for x, y in zip(a[one].tolist(), b[one].tolist())])
+            else:
+                old = np.full(len(one), -1)
+            new = np.flatnonzero(old < 0)
+            if len(new):
+                x, n = a[one[new]], b[one[new]] - a[one[new]]
+                where = np.repeat(x - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                ids, m = self._joined(data[where].tobytes(), n)
+                old[new] = self.known.put(ids, m, tuple(k[one[new]] for k in keys), lambda i: raw[x[i] : x[i] + n[i]])
+            at[f] = old[np.cumsum(head) - 1]
+        rest = miss[at[miss] < 0]
+        if len(rest):
+            new_: dict[bytes, list[int]] = {}
+            for i, x, y in zip(rest.tolist(), a[rest].tolist(), b[rest].tolist()):
+                piece = raw[x:y]
+                if (e := self.known.other.get(piece)) is not None:
+                    at[i] = e
+                else:
+                    new_.setdefault(piece, []).append(i)
+            if new_:
+                pieces = list(new_)
+                ids, m = self._one_by_one(pieces)
+                first = np.array([new_[p][0] for p in pieces])
+                entries = self.known.put(ids, m, tuple(k[first] for k in keys), pieces.__getitem__)
+                for p, e in zip(pieces, entries.tolist()):
+                    at[new_[p]] = e
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, the end id appended."""
@@ -127,22 +235,17 @@ class Encoder:
         a, b = cuts[:-1], cuts[1:]
         if not len(a):
             return [np.array([END_ID], self.dtype) for _ in offsets[1:]]
-        h = K.range_hash(K.prefix_hash(data, K.BYTE_KEY), a, b)
-        u, at, back = np.unique(h, return_index=True, return_inverse=True)
-        keys = u.tolist()
-        got = [self.known.get(k) for k in keys]
-        if miss := [i for i, g in enumerate(got) if g is None]:
-            x, y = a[at].tolist(), b[at].tolist()
-            for i, ids in zip(miss, self._pieces([self._sure(raw[x[i] : y[i]]) for i in miss])):
-                got[i] = ids
-                if len(self.known) < CACHE:
-                    self.known[keys[i]] = ids
-        flat = np.frombuffer(b"".join(got), self.dtype)
-        size = np.fromiter(map(len, got), np.int64, len(got)) // flat.itemsize
-        first = np.cumsum(size) - size
-        n = size[back]
+        at, keys = self.known.find(data, a, b)
+        had = len(self.known.size)
+        if (at < 0).any():
+            spaced = (data[a] == 0x20) & (b - a > 1) & ~K.SPACE[data[np.minimum(a + 1, len(data) - 1)]]
+            for r in odd:
+                spaced[np.searchsorted(a, offsets[r]) : np.searchsorted(a, offsets[r + 1])] = False
+            self._learn(data, raw, a, b, spaced, at, keys)
+        n = self.known.size[at].astype(np.int64)
         ends = np.cumsum(n)
-        ids = flat[np.repeat(first[back] - (ends - n), n) + np.arange(ends[-1])]
+        ids = self.known.flat[np.repeat(self.known.first[at] - (ends - n), n) + np.arange(ends[-1])]
+        self.known.cut(had)
         row = np.concatenate([[0], ends])[np.searchsorted(a, offsets)]
         return [np.append(self.whole(raw[offsets[r] : offsets[r + 1]].decode()) if r in odd else ids[row[r] : row[r + 1]], self.dtype(END_ID)) for r in range(len(offsets) - 1)]
 
@@ -180,7 +283,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary()), *(pa.array([None], pa.int64()) for _ in range(2))], names)
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, n_tokens long, ids binary, file long, place long")
+    return docs.mapInArrow(lean(run), "kind byte, doc_id long, n_tokens long, ids binary, file long, place long")
 
 
 def ranking(encoded: DataFrame) -> np.ndarray:
@@ -195,8 +298,8 @@ def ranking(encoded: DataFrame) -> np.ndarray:
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["c"])
 
-    counts = encoded.where("kind = 1").select(F.col("ids").alias("c")).mapInArrow(total, "c binary")
-    rows = counts.coalesce(8).mapInArrow(total, "c binary").collect()
+    counts = encoded.where("kind = 1").select(F.col("ids").alias("c")).mapInArrow(lean(total), "c binary")
+    rows = counts.coalesce(8).mapInArrow(lean(total), "c binary").collect()
     if not rows:
         return np.zeros(0, np.int64)
     c = sum(np.frombuffer(r.c, np.int64) for r in rows)
@@ -292,7 +395,7 @@ def write(encoded: DataFrame, rank_of: np.ndarray, path: str, order: list[str] |
     order = order or ["doc_id"]
     rows = encoded.where("kind = 0").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     rows = rows.sortWithinPartitions(*order, F.xxhash64("ids"), "ids").select("doc_id", "ids", "part")
-    rows.mapInArrow(run, "part int, k int, n_ids long, payload binary").write.option("compression", "none").parquet(f"{path}/shards")
+    rows.mapInArrow(lean(run), "part int, k int, n_ids long, payload binary").write.option("compression", "none").parquet(f"{path}/shards")
     spark.createDataFrame([(rank_of.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
 
 
@@ -301,9 +404,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rank_of = np.frombuffer(spark.read.parquet(f"{path}/ranks").first().ids, "<u4")
     shared = spark.sparkContext.broadcast(rank_of)
     shards = spark.read.schema("part int, k int, n_ids long, payload binary").parquet(f"{path}/shards")
-    w = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
-    #: one row of three numbers for each shard of millions of ids
-    starts = shards.select("part", "k", "n_ids").withColumn("shard_start", F.coalesce(F.sum("n_ids").over(w), F.lit(0))).drop("n_ids")
+    #: what comes before a shard: whole parts (a row for each), then shards of its own part; no task sees all shards
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = parts.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "ahead")
+    own = Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = shards.select("part", "k", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("own")).join(before, "part").select("part", "k", (F.col("ahead") + F.col("own")).alias("shard_start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,7 +421,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([k] * n, pa.int32()), pa.array(docs, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["part", "k", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    rows = shards.select("part", "k", "payload").mapInArrow(run, "part int, k int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "k", "payload").mapInArrow(lean(run), "part int, k int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, ["part", "k"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
