@@ -3,11 +3,14 @@
 The field is trained on the driver, from a small labelled table that labelled() makes by rule, by gradient ascent on
 the exact log-likelihood (forward-backward in numpy). It is decoded by Viterbi in numpy batches, over whole texts: the
 stretches that provably hold no span of the best path are left out. Its spans are added where they overlap no base span. Offsets count code points, the end exclusive. Null and empty
-texts have no spans; each row is judged by itself, so repeated rows give the same answer; other columns are ignored.
+texts have no spans; each row is judged by itself, so repeated rows give the same answer; of spans that tie or overlap the
+base one stays, else the one that begins first. Very long texts are decoded whole. No rows give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -18,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts, tuned
+from .common import lean, table, texts, tuned
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -74,7 +77,7 @@ def shape(w: str) -> str:
 class Marks(dict):
     def __missing__(self, piece: str) -> tuple[int, int, int, int, int]:
         w = piece.lstrip()
-        cue = w.lower() if w.lower() in CUES else ""
+        cue = w.lower() if len(w) < 9 and w.lower() in CUES else ""
         mark = (_code(shape(w)), _code(cue), len(w) == len(piece), len(piece) - len(w), len(piece))
         if len(self) >= 500_000:
             self.clear()
@@ -82,6 +85,7 @@ class Marks(dict):
         return mark
 
 
+@functools.lru_cache(4096)
 def _code(x: str) -> int:
     return zlib.crc32(x.encode()) << 31 | zlib.crc32(x.encode() + b"+") >> 1
 
@@ -240,36 +244,40 @@ def train(rows: list[list[tuple[str, str]]], steps: int = 70) -> dict[str, np.nd
 
 def viterbi(model: dict[str, np.ndarray], seqs: list[np.ndarray]) -> list[np.ndarray]:
     """The best states of each sequence of feature rows."""
-    return decode(model, [model["e"][f].sum(1) for f in seqs])
-
-
-def decode(model: dict[str, np.ndarray], seqs: list[np.ndarray]) -> list[np.ndarray]:
-    """The best states of each sequence of emissions; sequences of like length are decoded together."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(seqs)
-    order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: len(seqs[i]), reverse=True)
+    n = np.array([len(f) for f in seqs], np.int64)
+    if not n.sum():
+        return [np.zeros(0, np.int64) for _ in seqs]
+    y = decode(model, np.concatenate([model["e"][f].sum(1) for f in seqs if len(f)]), n)
+    return np.split(y, np.cumsum(n)[:-1])
+
+
+def decode(model: dict[str, np.ndarray], u: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best states of sequences of n emissions that stand on end in u; sequences of like length are decoded together."""
+    out = np.zeros(len(u), np.int64)
+    first = np.cumsum(n) - n
+    order = np.argsort(-n, kind="stable")
+    order = order[n[order] > 0]
     lo = 0
     while lo < len(order):
-        part = order[lo : lo + max(1, min(1024, PADDED // len(seqs[order[lo]])))]
+        part = order[lo : lo + max(1, min(1024, PADDED // int(n[order[lo]])))]
         lo += len(part)
-        n = np.array([len(seqs[i]) for i in part])
-        u = np.zeros((len(part), n[0], len(STATES)))
-        for j, i in enumerate(part):
-            u[j, : n[j]] = seqs[i]
-        b, t, s = u.shape
-        score, back = u[:, 0] + model["first"], np.zeros((b, t, s), np.int8)
+        size, t = n[part], int(n[part[0]])
+        b, s = len(part), u.shape[1]
+        at = np.minimum(first[part][:, None] + np.arange(t), len(u) - 1)
+        score, back = u[at[:, 0]] + model["first"], np.zeros((t, b, s), np.int8)
+        live = b  # lengths fall: those that go on come first
         for i in range(1, t):
-            m = score[:, :, None] + model["a"]
-            back[:, i] = m.argmax(1)
-            new = m.max(1) + u[:, i]
-            live = (i < n)[:, None]
-            score = np.where(live, new, score)
-            back[:, i] = np.where(live, back[:, i], np.arange(s))
-        y = np.empty((b, t), np.int64)
-        y[:, -1] = score.argmax(1)
-        for i in range(t - 1, 0, -1):
-            y[:, i - 1] = back[np.arange(b), i, y[:, i]]
-        for j, i in enumerate(part):
-            out[i] = y[j, : n[j]]
+            live = int(np.searchsorted(-size, -i, "left"))
+            m = score[:live, :, None] + model["a"]
+            back[i, :live] = m.argmax(1)
+            score[:live] = m.max(1) + u[at[:live, i]]
+        state = score.argmax(1)
+        rows = np.arange(b)
+        for i in range(t - 1, -1, -1):
+            live = int(np.searchsorted(-size, -i, "left"))
+            out[at[:live, i]] = state[:live]
+            if i:
+                state[:live] = back[i, rows[:live], state[:live]]
     return out
 
 
@@ -310,23 +318,26 @@ def added(model: dict[str, np.ndarray], rows: list[str], known: list[list[tuple[
         ends = np.cumsum(m[:, 4])
         begins = ends - m[:, 4] + m[:, 3]
         a, b = stretches(model, u, real)
-        seqs = []
-        for x, y in zip(a.tolist(), b.tolist()):
-            # the neighbours inside the text are O
-            x_, y_ = x - bool(real[x - 1]), y + bool(real[y])
-            v = u[x_:y_].copy()
-            v[: x - x_, 1:] -= 1e6
-            v[y - x_ :, 1:] -= 1e6
-            seqs.append(v)
-        for x, y in zip(a.tolist(), decode(model, seqs)):
-            r = int(np.searchsorted(first, x, "right")) - 1
-            x -= int(real[x - 1])
-            base_at = int(ends[first[r] - 1])
-            for i in np.flatnonzero((y > 0) & np.array([q[0] == "B" for q in STATES])[y]).tolist():
-                kind, j = STATES[y[i]][2:], i + 1
-                while j < len(y) and STATES[y[j]] == f"I-{kind}":
-                    j += 1
-                out[low + r].append((int(begins[x + i]) - base_at, KINDS.index(kind), int(ends[x + j - 1]) - base_at))
+        # the neighbours inside the text are O
+        before, after = real[a - 1], real[b]
+        x = a - before
+        n = b + after - x
+        stop = np.cumsum(n)
+        at = np.repeat(x - (stop - n), n) + np.arange(int(n.sum()))
+        v = u[at]
+        v[(stop - n)[before], 1:] -= 1e6
+        v[(stop - 1)[after], 1:] -= 1e6
+        y = decode(model, v, n)
+        inside = np.array([q[0] == "I" for q in STATES])[y]
+        opens = np.flatnonzero((y > 0) & ~inside)
+        if len(opens):
+            others = np.append(np.flatnonzero(~inside), len(y))  # a span ends before the next token that doesn't carry it on
+            close = others[np.searchsorted(others, opens, "right")] - 1
+            row = np.searchsorted(first, at[opens], "right") - 1
+            base_at = ends[first[row] - 1]
+            kinds = np.array([KINDS.index(q[2:]) if q != "O" else 0 for q in STATES])[y[opens]]
+            for r, start, k, end in zip(row.tolist(), (begins[at[opens]] - base_at).tolist(), kinds.tolist(), (ends[at[close]] - base_at).tolist()):
+                out[low + r].append((start, k, end))
         low = high
     result = []
     for new, old in zip(out, known):
@@ -358,7 +369,7 @@ def personal(docs: DataFrame, rows: list[list[tuple[str, str]]] | None = None) -
             counts = [pa.array([sum(k == j for _, k, _ in f) for f in found], pa.int64()) for j in range(4)]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array([hashlib.sha256(joined(f).encode()).hexdigest() if f else empty for f in found]), pa.array([joined(sorted(f + m)) for f, m in zip(found, more)]), pa.array([len(m) for m in more], pa.int64())], names)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
