@@ -123,3 +123,20 @@ def path_kinds(spark, d):
 
 
 del _CUT
+
+
+@query(f"select count(*) n_files, (select count(*) from ({X.symbols()})) n_symbols from part where p_partkey % {len(X.FILES)} < 9")
+def index_counts(spark, d):
+    """Files that an index keeps, and their symbols."""
+    from .. import api
+
+    return api.index_counts(api.build_index(X.source_files(_t(spark, d, "part")).select("path", "text")))
+
+
+@query("with r as (select conv_id batch, turn place, text, case when length(text) > 12000 then left(text, 12000) || chr(10) || chr(10) || '[truncated ' || (length(text) - 12000) || ' chars]' else text end shown from conversations), t as (select batch, place, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]')) raw, len(regexp_extract_all(shown, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]')) tok from r), k as (select *, sum(tok) over (partition by batch order by place) used, row_number() over (partition by batch order by place) rn, count(*) over (partition by batch) n from t) select batch, count(*) n_read, sum(raw)::bigint raw_tokens, sum(tok)::bigint tokens, (case when sum(raw) > 0 then floor((sum(raw) - sum(tok)) / sum(raw) * 100 + 0.5) else 0 end)::bigint saved_pct, max(n) - count(*) skipped from k where used <= 900 or rn = 1 group by 1")
+def read_batches(spark, d):
+    """The turns of a conversation as files read one after another within 900 tokens."""
+    from .. import api
+
+    c = _t(spark, d, "conversations").select(F.col("conv_id").alias("batch"), F.col("turn").alias("place"), F.concat_ws("/", F.lit("c"), F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".txt"))).alias("path"), "text", F.lit("full").alias("mode"))
+    return api.read_batch(c, 900)[1]

@@ -327,3 +327,27 @@ def test_symbol_mode(spark):
     assert one(spark, outline.only_found(F.col("t")), t=parts) == "--- a ---\n1|a"
     assert one(spark, compress.shell_output(F.col("t"), F.lit(True)), t="ok\nIt Failed\nok") == "It Failed"
     assert one(spark, turns.context_lines(F.lit(" "), F.col("t")), t="x" * 500) == "x" * 420
+
+
+def test_tools(spark):
+    from lumenlake import api
+
+    rows = [
+        ("src/api/auth.js", "import { hash } from '../util.js';\nexport function requireAuth(req) {\n  return hash(req);\n}\n"), ("src/util.js", "export const hash = (x) => x;\n"),
+        ("tests/auth.test.js", "import { requireAuth } from '../src/api/auth.js';\ntest('requireAuth', () => {});\n"), ("src/app.js", "import './api/auth.js';\nrequireAuth();\n"), ("notes.md", "nothing of use\n"),
+    ]
+    files_ = spark.createDataFrame(rows, "path string, text string")
+    index = api.build_index(files_)
+    assert tuple(api.index_counts(index).first()) == (4, 2)
+    kinds = {(r.src, r.dst, r.kind) for r in index.edges.collect()}
+    assert {("src/api/auth.js", "src/util.js", "import"), ("src/app.js", "src/api/auth.js", "import"), ("tests/auth.test.js", "src/api/auth.js", "testOf")} <= kinds
+    best = api.find(files_, "requireAuth", "debug", index).collect()
+    assert [r.boost_source for r in best if r.path == "src/api/auth.js"] == ["index"] and {r.path for r in best if r.boost_source == "graph"} == {"tests/auth.test.js", "src/app.js"}
+    assert api.read_symbols(files_.where("path like '%auth.js' and path like 'src%'"), ["requireAuth"]).first().found.split("\n")[0] == "2|export function requireAuth(req) {"
+    assert {r.path: r.text for r in api.read_lines(files_, 2, 2).collect()}["src/app.js"] == "2|requireAuth();"
+    plan = {r.rel: r.role for r in api.context(files_, index, "fix the error in requireAuth", changed=files_.where("path = 'src/api/auth.js'")).collect()}
+    assert plan == {"src/api/auth.js": "primary", "src/util.js": "dependency", "tests/auth.test.js": "test", "src/app.js": "dependent"}
+    prompts = spark.createDataFrame([(1, "fix the login session cache bug in the auth module", "s"), (2, "write a poem about rivers and mountains today", "s"), (3, "short", "z")], "turn int, prompt string, session_id string")
+    found = spark.createDataFrame([("s", "goal: login session cache", False)], "session_id string, summary string, ambiguous boolean")
+    got = {r.turn: (r.state, r.reuse, r.goal is not None) for r in api.turn_start(prompts, found).collect()}
+    assert got == {1: ("aligned", True, False), 2: ("mismatch", False, True), 3: ("cold_start", False, False)}
