@@ -60,8 +60,12 @@ def read_batch(batches: DataFrame, max_tokens: int | None = None) -> tuple[DataF
     """(files read, totals by batch) of batches(batch, place, path, text, mode): in order while they fit the budget, the first in any case.
 
     Files that can't be read (a null text) cost nothing. Totals: tokens before and after, the share saved, files left out."""
-    forms = [outline.read(batches.where(F.col("mode") == m).select("path", "text"), m).select("path", "mode", F.col("text").alias("shown")) for m in ("full", "outline", "signatures")]
-    every = forms[0].unionByName(forms[1]).unionByName(forms[2]).dropDuplicates(["path", "mode"])
+    asked = {r.mode for r in batches.select("mode").distinct().limit(8).collect()}  # three forms are known
+    every = batches.sparkSession.createDataFrame([], "path string, mode string, shown string")
+    for m in sorted(asked & {"full", "outline", "signatures"}):
+        form = outline.read(batches.where(F.col("mode") == m).select("path", "text"), m)
+        every = every.unionByName(form.select("path", "mode", F.col("text").alias("shown")))
+    every = every.dropDuplicates(["path", "mode"])
     rows = batches.join(every, ["path", "mode"], "left").withColumns({"raw_tokens": T.token_count(F.col("text")), "tokens": T.token_count(F.col("shown"))})
     kept = rows if max_tokens is None else planning.prefix_budget(rows, "batch", [F.col("place")], "tokens", max_tokens)
     n = batches.groupBy("batch").agg(F.count("*").alias("n"))
