@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -66,7 +67,9 @@ def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "comple
     has timeouts, as these never run out of batches."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        raise ValueError("spark.checkpoint.dir is not set")
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/lumenlake-streams"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     last: list[int] = []
 
