@@ -44,3 +44,9 @@ def latest(entries: DataFrame, n: int, ts: str = "created_at", key: str = "metri
 def percentile(x: str, p: float) -> Column:
     """Nearest rank."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})")
+
+
+def of_texts(raw: Column, final: Column) -> Column:
+    """The measures of a text that was made shorter, from its tokens before and after: never less than nothing saved."""
+    saved = F.greatest(raw - final, F.lit(0))
+    return F.struct(raw.alias("raw_tokens"), final.alias("final_tokens"), final.alias("compressed_tokens"), saved.alias("saved_tokens"), percent(saved, raw).alias("savings_pct"))

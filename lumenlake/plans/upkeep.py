@@ -166,6 +166,22 @@ def changed_paths(spark, d):
     return there.select(F.col("path").cast("long").alias("event_id"))
 
 
+@query("select event_id, event_id % 4 <> 1 says from events")
+def update_input(spark, d):
+    """Whether updates say anything."""
+    i = F.col("event_id")
+    u = _t(spark, d, "events").select("event_id", F.when(i % 4 == 0, "planning").alias("status"), F.when(i % 4 == 2, "go").otherwise(" ").alias("next_step"), F.when(i % 4 == 3, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("completed"))
+    return u.select("event_id", sessions.says_something(u).alias("says"))
+
+
+@query("select event_id, greatest(floor(value)::bigint - (props::json->>'k')::bigint, 0) saved_tokens, case when floor(value) > 0 then round(greatest(floor(value)::bigint - (props::json->>'k')::bigint, 0) / floor(value) * 100, 2) else 0 end savings_pct from events where user_id = 7")
+def session_savings(spark, d):
+    """What each entry of one session saved."""
+    e = _t(spark, d, "events").withColumnRenamed("user_id", "session_id")
+    m = metrics.of_texts(F.floor("value").cast("long"), F.get_json_object("props", "$.k").cast("long"))
+    return sessions.by_id(e, 7).withColumn("m", m).select("event_id", "m.saved_tokens", "m.savings_pct")
+
+
 # ---- turns ----------------------------------------------------------------------------------------------------------------------
 
 _COLL = f"trim(regexp_replace({{0}}, '[' || {X.BLANK} || ']+', ' ', 'g'))"
@@ -233,5 +249,3 @@ def turn_overhead(spark, d):
     raw = _t(spark, d, "events").agg(F.sum(F.floor("value").cast("long")).alias("raw"))
     return over.groupBy("tool").agg(F.count("*").alias("n"), F.sum("overhead_tokens").alias("overhead_tokens")).crossJoin(raw).select("tool", "n", "overhead_tokens", F.round(F.lit(100.0) * F.col("overhead_tokens") / F.col("raw"), 2).alias("overhead_pct"))
 
-
-del metrics
