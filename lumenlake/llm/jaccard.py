@@ -13,8 +13,10 @@ Keys that still hold classes of several components are joined in full, so no lin
 first shingle that two sets share, what either has left bounds their overlap; pairs below the least overlap go.
 Verification counts shared shingles exactly.
 
-Null doc_ids link with nothing and are their own component (null). Rows of a repeated doc_id are judged one by one;
-equal ones are copies. Texts without words have an empty set. Extra columns are ignored; no rows give no rows.
+Words, shingles and sets go by 64-bit hashes; sets of one class are held against a second hash, and all is done again with
+another salt should they be unlike. Null doc_ids link with nothing and are their own component (null). Rows of a repeated
+doc_id are judged one by one; equal ones are copies, and of documents in a tie the smallest doc_id names the component.
+Texts without words have an empty set; very long ones are shingled whole. Extra columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, drop_scratch, materialise, release, table, texts, tuned
+from .common import components, drop_scratch, lean, materialise, release, table, texts, tuned
 
 SKETCH_BITS, BLOCKS = 20, 16
 #: Cost of an entry of an inverted list, its verification included, against that of a subset key.
 LIST_COST = 4.0
+#: Classes that a task remembers to have handed on; beyond them copies are handed on again, which costs room and no more.
+KNOWN = 500_000
 #: What two sets have left at a shared key must reach the least overlap of their sizes, 3 / 7 of both.
 NEAR = "7 * least(rest, rest2) >= 3 * (n + n2)"
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -42,28 +47,28 @@ def _least(n: int) -> int:
     return -(-3 * n // 4)
 
 
-def _class(u: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int((K.mix(u * _C1).sum() + K.mix(np.array([len(u)], np.uint64) * _C2)[0]).astype(np.int64)) if len(u) else 0
+def _class(u: np.ndarray, salt: int = 0) -> int:
+    """A 64-bit hash of a sorted set, as a signed number; 0 for the empty one."""
+    return (xxhash.xxh3_64_intdigest(u.tobytes(), seed=salt) ^ 1 << 63) - (1 << 63) if len(u) else 0
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, cls of each row; kind 1: a block of the sketch's counts (doc_id: the block's number)."""
+def profile(docs: DataFrame, salt: int) -> DataFrame:
+    """kind 0: doc_id, n, cls of each row and a second hash of its set; kind 1: a block of the sketch's counts (doc_id: the block's number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "cls", "counts"]
+        names = ["kind", "doc_id", "n", "cls", "check", "counts"]
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for a, b, data, offsets in K.chunks(batch.column(1)):
-                sets = K.shingle_sets(data, offsets)
+                sets = K.shingle_sets(data, offsets, salt=salt)
                 every = np.concatenate(sets)
                 counts += np.bincount((every & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(counts)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), pa.array([len(u) for u in sets], pa.int64()), pa.array([_class(u) for u in sets], pa.int64()), pa.nulls(b - a, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int8)), batch.column(0).slice(a, b - a), pa.array([len(u) for u in sets], pa.int64()), pa.array([_class(u, salt) for u in sets], pa.int64()), pa.array([_class(u, ~salt & 0xFFFF) for u in sets], pa.int64()), pa.nulls(b - a, pa.binary())], names)
         if counts.any():
             parts = [x.tobytes() for x in counts.reshape(BLOCKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array([1] * BLOCKS, pa.int8()), pa.array(range(BLOCKS), pa.int64()), pa.array([0] * BLOCKS, pa.int64()), pa.array([0] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * BLOCKS, pa.int8()), pa.array(range(BLOCKS), pa.int64()), *(pa.array([0] * BLOCKS, pa.int64()) for _ in range(3)), pa.array(parts, pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, n long, cls long, counts binary")
+    return docs.mapInArrow(lean(run), "kind byte, doc_id long, n long, cls long, check long, counts binary")
 
 
 def levels(prof: DataFrame) -> np.ndarray:
@@ -80,8 +85,8 @@ def levels(prof: DataFrame) -> np.ndarray:
 
     spark = prof.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
-    parts = prof.where("kind = 1").select(F.col("doc_id").alias("j"), F.col("counts").alias("c")).mapInArrow(total, "j long, c binary")
-    rows = {r.j: r.c for r in parts.repartition(BLOCKS, "j").mapInArrow(total, "j long, c binary").collect()}
+    parts = prof.where("kind = 1").select(F.col("doc_id").alias("j"), F.col("counts").alias("c")).mapInArrow(lean(total), "j long, c binary")
+    rows = {r.j: r.c for r in parts.repartition(BLOCKS, "j").mapInArrow(lean(total), "j long, c binary").collect()}
     tuned(spark)
     if not rows:
         return np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -107,7 +112,7 @@ def boundary(prof: DataFrame) -> int:
     return min(range(3, 129), key=cost)
 
 
-def keys(docs: DataFrame, level: np.ndarray, x: int) -> DataFrame:
+def keys(docs: DataFrame, level: np.ndarray, x: int, salt: int) -> DataFrame:
     """(key, cls, n, rest): subset keys of small sets, single shingles of the others; a class once a task.
 
     rest: shingles from the key's first one on, in the common order."""
@@ -119,11 +124,11 @@ def keys(docs: DataFrame, level: np.ndarray, x: int) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in K.chunks(batch.column(0)):
                 out, cls, size, rest = [], [], [], []
-                for u in K.shingle_sets(data, offsets):
+                for u in K.shingle_sets(data, offsets, salt=salt):
                     n = len(u)
-                    if not n or (c := _class(u)) in done:
+                    if not n or (c := _class(u, salt)) in done:
                         continue
-                    if len(done) < 2_000_000:
+                    if len(done) < KNOWN:
                         done.add(c)
                     lv = shared.value[(u & mask).astype(np.int64)]
                     if lv.any():
@@ -146,7 +151,7 @@ def keys(docs: DataFrame, level: np.ndarray, x: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size)), pa.array(np.concatenate(rest))], ["key", "cls", "n", "rest"])
 
-    return docs.select("text").mapInArrow(run, "key long, cls long, n int, rest int")
+    return docs.select("text").mapInArrow(lean(run), "key long, cls long, n int, rest int")
 
 
 def _bits(need: DataFrame, bits: int) -> np.ndarray:
@@ -167,7 +172,7 @@ def _bits(need: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["m"])
 
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in need.select("cls").mapInArrow(mark, "m binary").coalesce(4).mapInArrow(unite, "m binary").collect():
+    for r in need.select("cls").mapInArrow(lean(mark), "m binary").coalesce(4).mapInArrow(lean(unite), "m binary").collect():
         out |= np.frombuffer(r.m, np.uint8)
     return np.unpackbits(out).astype(bool)
 
@@ -178,11 +183,12 @@ def _parity(u: np.ndarray) -> bytes:
     return np.packbits((np.bincount((u & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
-def sets_of(docs: DataFrame, need: DataFrame, cut: bool) -> DataFrame:
+def sets_of(docs: DataFrame, need: DataFrame, cut: bool, salt: int) -> DataFrame:
     """(cls, shingles) of the classes in need(cls): sorted hashes, or if cut a bitmap of the parity of their low bits.
 
-    The texts are read again where they lie; a bitmap of a fixed size tells nearly all that aren't asked for."""
-    bits = 22
+    The texts are read again where they lie; a bitmap of a bounded size (16 MB) tells nearly all that aren't asked for,
+    and a semi-join the rest."""
+    bits = min(27, max(18, need.count().bit_length() + 4))
     shared = docs.sparkSession.sparkContext.broadcast(_bits(need, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,15 +196,15 @@ def sets_of(docs: DataFrame, need: DataFrame, cut: bool) -> DataFrame:
         for batch in batches:
             for _, _, data, offsets in K.chunks(batch.column(0)):
                 rows = []
-                for u in K.shingle_sets(data, offsets):
-                    if len(u) and (c := _class(u)) not in done and shared.value[(c % (1 << 64)) >> (64 - bits)]:
-                        if len(done) < 2_000_000:
+                for u in K.shingle_sets(data, offsets, salt=salt):
+                    if len(u) and (c := _class(u, salt)) not in done and shared.value[(c % (1 << 64)) >> (64 - bits)]:
+                        if len(done) < KNOWN:
                             done.add(c)
                         rows.append((c, _parity(u) if cut else u.tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["cls", "shingles"])
 
-    found = docs.select("text").mapInArrow(run, "cls long, shingles binary")
+    found = docs.select("text").mapInArrow(lean(run), "cls long, shingles binary")
     return found.join(need, "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -225,27 +231,27 @@ def verify(pairs: DataFrame, sets: DataFrame, cut: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(4)], ["a", "b", "n", "m"])
 
     joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, n int, m int")
+    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(lean(run), "a long, b long, n int, m int")
 
 
-def compare(docs: DataFrame, pairs: DataFrame, small: DataFrame) -> DataFrame:
+def compare(docs: DataFrame, pairs: DataFrame, small: DataFrame, salt: int) -> DataFrame:
     """The similar ones of pairs(a, b, n, m): bitmaps leave few to hold against each other in full."""
     maybe = materialise(verify(pairs, small, True), "maybe")
     need = maybe.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = materialise(sets_of(docs, need, False), "sets")
+    sets = materialise(sets_of(docs, need, False, salt), "sets")
     out = materialise(verify(maybe, sets, False).select("a", "b"), "links")
     drop_scratch(sets)
     drop_scratch(maybe)
     return out
 
 
-def stars(docs: DataFrame, level: np.ndarray, x: int) -> DataFrame:
+def stars(docs: DataFrame, level: np.ndarray, x: int, salt: int) -> DataFrame:
     """Entries (key, cls, n, rest) of the keys that several classes hold, with the key's centre (cls2, n2, rest2).
 
     The centre is a class that holds the key early in its order."""
     w = Window.partitionBy("key")
     centre = F.min(F.struct((-F.floor(8 * F.col("rest") / F.col("n"))).alias("early"), "cls", "n", "rest")).over(w)
-    entries = keys(docs, level, x).withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).where("lo <> hi").withColumn("c", centre)
+    entries = keys(docs, level, x, salt).withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).where("lo <> hi").withColumn("c", centre)
     return entries.select("key", "cls", "n", "rest", F.col("c.cls").alias("cls2"), F.col("c.n").alias("n2"), F.col("c.rest").alias("rest2"))
 
 
@@ -264,24 +270,26 @@ def rest_pairs(live: DataFrame, comp: DataFrame, star: DataFrame) -> DataFrame:
     return _ordered(left.join(mate, "key").where(f"cls < cls2 and component <> component2 and {NEAR}")).join(star, ["a", "b"], "left_anti")
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def similar(docs: DataFrame, salt: int = 0) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; salt: of all hashes, another one if sets of one class prove unlike."""
     spark = tuned(docs.sparkSession)
     docs = texts(docs)
-    prof = materialise(profile(docs), "profile")
-    rows = prof.where("kind = 0").select("doc_id", "n", "cls")
+    prof = materialise(profile(docs, salt), "profile")
+    rows = prof.where("kind = 0").select("doc_id", "n", "cls", "check")
+    if rows.groupBy("cls").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).where("a <> b or c <> d").limit(1).count():
+        return similar(docs, salt + 1)
     x = boundary(prof)
     level = levels(prof)
     named = docs.where("doc_id is not null")
-    live = materialise(stars(named, level, x), "live")
+    live = materialise(stars(named, level, x, salt), "live")
     release(spark)
-    small = materialise(sets_of(named, live.select("cls").distinct(), True), "small")
+    small = materialise(sets_of(named, live.select("cls").distinct(), True, salt), "small")
     star = materialise(_ordered(live.where(f"cls <> cls2 and {NEAR}")), "pairs")
-    edges = compare(named, star, small)
+    edges = compare(named, star, small, salt)
     comp = materialise(components(edges), "comp")
     release(spark)
     more = materialise(rest_pairs(live, comp, star), "pairs")
-    again = compare(named, more, small)
+    again = compare(named, more, small, salt)
     for t in (live, small, star, more):
         drop_scratch(t)
     release(spark)
