@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; the kernels cut a batch further, by bytes.
 BATCH_ROWS = "1000"
+#: Bytes of a row group of scratch tables: writers and readers hold one at a time.
+ROW_GROUP = 8 << 20
 _roots: dict[str, str] = {}
 
 
@@ -63,7 +65,7 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.scratch_path = path
     return out
@@ -73,7 +75,7 @@ def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     """Like materialise(), as a table of n buckets by key: joins and groups by the key need no shuffle of such tables."""
     spark = df.sparkSession
     path, known = scratch_path(spark, name), f"lumenlake_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "none").saveAsTable(known)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "none").option("parquet.block.size", ROW_GROUP).saveAsTable(known)
     atexit.register(_forget, spark, known)
     out = spark.table(known)
     out.scratch_path = path

@@ -2,10 +2,10 @@
 
 A document's set holds its distinct 5-word shingles. Sets that are alike in all shingles are one class. All sets are
 ordered alike: shingles that many documents hold come last (a count sketch of a fixed size tells), the rest by hash.
-With J >= 0.75 two sets share at least c shingles among the first n - ceil(0.75 n) + c of each. Small sets enumerate
-the 2-subsets of that prefix (c = 2); large ones put its single shingles (c = 1) into inverted lists, which small sets
-near the boundary scan too, as a partner may lie beyond it. The boundary is the size at which the estimated cost of
-subset keys plus list entries is least.
+With J >= 0.75 two sets share at least two shingles among the first n - ceil(0.75 n) + 2 of each. Small sets enumerate
+the 2-subsets of that prefix; large ones put its single shingles into inverted lists, which small sets near the boundary
+scan too, as a partner may lie beyond it, and pairs that meet in one list only go. The boundary is the size at which the
+estimated cost of subset keys plus list entries is least.
 
 Classes that share a key are first compared with one of them, the centre, only; classes that are linked by then need
 no further comparison for the components, so a group of thousands of near copies costs a star, not all its pairs.
@@ -37,8 +37,8 @@ SKETCH_BITS, BLOCKS = 20, 16
 LIST_COST = 4.0
 #: Classes that a task remembers to have handed on; beyond them copies are handed on again, which costs room and no more.
 KNOWN = 500_000
-#: What two sets have left at a shared key must reach the least overlap of their sizes, 3 / 7 of both.
-NEAR = "7 * least(rest, rest2) >= 3 * (n + n2)"
+#: What two sets have left at the first or second shingle they share must reach the least overlap of their sizes, 3 / 7 of both, less one.
+NEAR = "7 * (least(rest, rest2) + 1) >= 3 * (n + n2)"
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -106,14 +106,14 @@ def boundary(prof: DataFrame) -> int:
                 p = n - _least(n) + 2
                 out += k * p * (p - 1) / 2
             if n >= 0.75 * x:
-                out += k * (n - _least(n) + 1) * LIST_COST
+                out += k * (n - _least(n) + 2) * LIST_COST
         return out
 
     return min(range(3, 129), key=cost)
 
 
 def keys(docs: DataFrame, level: np.ndarray, x: int, salt: int) -> DataFrame:
-    """(key, cls, n, rest): subset keys of small sets, single shingles of the others; a class once a task.
+    """(key, shares, cls, n, rest): subset keys of small sets (two shingles shared), single ones of the others; a class once a task.
 
     rest: shingles from the key's first one on, in the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
@@ -123,7 +123,7 @@ def keys(docs: DataFrame, level: np.ndarray, x: int, salt: int) -> DataFrame:
         done: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in K.chunks(batch.column(0)):
-                out, cls, size, rest = [], [], [], []
+                out, shares, cls, size, rest = [], [], [], [], []
                 for u in K.shingle_sets(data, offsets, salt=salt):
                     n = len(u)
                     if not n or (c := _class(u, salt)) in done:
@@ -133,25 +133,28 @@ def keys(docs: DataFrame, level: np.ndarray, x: int, salt: int) -> DataFrame:
                     lv = shared.value[(u & mask).astype(np.int64)]
                     if lv.any():
                         u = u[np.argsort(lv, kind="stable")]
-                    got, at = [], []
+                    got, at, two = [], [], []
+                    p = u[: n - _least(n) + 2]
                     if n >= 0.75 * x:
-                        got.append(K.mix(u[: n - _least(n) + 1] + _C1))
-                        at.append(np.arange(len(got[0])))
+                        got.append(K.mix(p + _C1))
+                        at.append(np.arange(len(p)))
+                        two.append(np.full(len(p), 1, np.int8))
                     if 3 <= n < x:
-                        p = u[: n - _least(n) + 2]
                         i, j = np.triu_indices(len(p), 1)
                         got.append(K.mix(p[i] * _C1 + p[j] * _C2))
                         at.append(i)
+                        two.append(np.full(len(i), 2, np.int8))
                     if got:
                         k = np.concatenate(got)
                         out.append(k)
+                        shares.append(np.concatenate(two))
                         cls.append(np.full(len(k), c))
                         size.append(np.full(len(k), n, np.int32))
                         rest.append((n - np.concatenate(at)).astype(np.int32))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size)), pa.array(np.concatenate(rest))], ["key", "cls", "n", "rest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (shares, cls, size, rest))], ["key", "shares", "cls", "n", "rest"])
 
-    return docs.select("text").mapInArrow(lean(run), "key long, cls long, n int, rest int")
+    return docs.select("text").mapInArrow(lean(run), "key long, shares byte, cls long, n int, rest int")
 
 
 def _bits(need: DataFrame, bits: int) -> np.ndarray:
@@ -246,28 +249,30 @@ def compare(docs: DataFrame, pairs: DataFrame, small: DataFrame, salt: int) -> D
 
 
 def stars(docs: DataFrame, level: np.ndarray, x: int, salt: int) -> DataFrame:
-    """Entries (key, cls, n, rest) of the keys that several classes hold, with the key's centre (cls2, n2, rest2).
+    """Entries (key, shares, cls, n, rest) of the keys that several classes hold, with the key's centre (cls2, n2, rest2).
 
     The centre is a class that holds the key early in its order."""
     w = Window.partitionBy("key")
     centre = F.min(F.struct((-F.floor(8 * F.col("rest") / F.col("n"))).alias("early"), "cls", "n", "rest")).over(w)
     entries = keys(docs, level, x, salt).withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).where("lo <> hi").withColumn("c", centre)
-    return entries.select("key", "cls", "n", "rest", F.col("c.cls").alias("cls2"), F.col("c.n").alias("n2"), F.col("c.rest").alias("rest2"))
+    return entries.select("key", "shares", "cls", "n", "rest", F.col("c.cls").alias("cls2"), F.col("c.n").alias("n2"), F.col("c.rest").alias("rest2"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
+def _ordered(pairs: DataFrame, least: int) -> DataFrame:
+    """(a, b, n, m) of pairs that share `least` shingles by the keys at which they meet."""
     first = F.col("cls") < F.col("cls2")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return pairs.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"), pick("n", "n2").alias("n"), pick("n2", "n").alias("m")).distinct()
+    met = pairs.groupBy(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"), pick("n", "n2").alias("n"), pick("n2", "n").alias("m")).agg(F.sum("shares").alias("shared"))
+    return met.where(F.col("shared") >= least).drop("shared")
 
 
 def rest_pairs(live: DataFrame, comp: DataFrame, star: DataFrame) -> DataFrame:
-    """All pairs that share a key across components and have not been compared."""
+    """All pairs that share keys across components and have not been compared."""
     w = Window.partitionBy("key")
-    left = live.select("key", "cls", "n", "rest").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    left = left.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo <> hi").select("key", "cls", "n", "rest", "component")
+    left = live.select("key", "shares", "cls", "n", "rest").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    left = left.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo <> hi").select("key", "shares", "cls", "n", "rest", "component")
     mate = left.select("key", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("component").alias("component2"))
-    return _ordered(left.join(mate, "key").where(f"cls < cls2 and component <> component2 and {NEAR}")).join(star, ["a", "b"], "left_anti")
+    return _ordered(left.join(mate, "key").where(f"cls < cls2 and component <> component2 and {NEAR}"), 2).join(star, ["a", "b"], "left_anti")
 
 
 def similar(docs: DataFrame, salt: int = 0) -> DataFrame:
@@ -284,7 +289,7 @@ def similar(docs: DataFrame, salt: int = 0) -> DataFrame:
     live = materialise(stars(named, level, x, salt), "live")
     release(spark)
     small = materialise(sets_of(named, live.select("cls").distinct(), True, salt), "small")
-    star = materialise(_ordered(live.where(f"cls <> cls2 and {NEAR}")), "pairs")
+    star = materialise(_ordered(live.where(f"cls <> cls2 and {NEAR}"), 1), "pairs")
     edges = compare(named, star, small, salt)
     comp = materialise(components(edges), "comp")
     release(spark)

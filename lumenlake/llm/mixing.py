@@ -7,8 +7,8 @@ of PERIOD slots, the schedule repeats after PERIOD slots; one period is worked o
 follows from it by arithmetic. At every slot each source that still has blocks is less than one block off its weight.
 
 Nothing is dropped: slots of a source that has run out stay empty, and in_mix tells whether a text lies before the
-first such slot. Running totals of a source are taken in two steps, over hash buckets and within one, so that a source
-with a third of all rows is no single group. Null texts are empty ones; null sources are one source, written as ''.
+first such slot. Running totals of a source are taken in two steps, over hash buckets (more of them for more rows) and within
+one, so that a source with a third of all rows is no single group. The driver holds a number for each source. Null texts are empty ones; null sources are one source, written as ''.
 Ties of the hash are broken by doc_id; rows alike in all of it get neighbouring places. A text longer than a block lies in
 the block it begins in. No rows give no rows. Other columns are left out, but for those that `carry` names.
 """
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import table, tuned
 
-BLOCK, PERIOD, ALPHA, BUCKET_BITS = 1 << 16, 4096, 0.5, 10
+BLOCK, PERIOD, ALPHA = 1 << 16, 4096, 0.5
+#: Rows that a hash bucket of a source is to hold about, and the least and most bits of a bucket's number.
+BUCKET_ROWS, BITS = 256, (10, 24)
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -72,11 +74,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     weights: target weight of each source; by default the bytes of a source to the power ALPHA, which flattens the
     natural mix."""
     spark = tuned(docs.sparkSession)
+    bits = min(BITS[1], max(BITS[0], (docs.count() // BUCKET_ROWS).bit_length()))
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 1
     rows = docs.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long").alias("doc_id"),
         size.alias("size"), *([carry.alias("carried")] if carry is not None else []),
-    ).withColumn("bucket", F.shiftright("h", 64 - BUCKET_BITS))
+    ).withColumn("bucket", F.shiftright("h", 64 - bits))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bytes"))
     found = {r.source: r.b for r in sums.groupBy("source").agg(F.sum("bytes").alias("b")).collect()}
     given = {s: (found[s] ** ALPHA if weights is None else weights.get(s, 0.0)) for s in sorted(found)}
