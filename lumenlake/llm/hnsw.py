@@ -4,9 +4,10 @@ Vectors alike in all components are one class, so that a group of exact copies i
 shards by hash. A shard builds its graph in batches (searches of a batch run together in numpy; neighbours are chosen
 by the diversity rule of Malkov and Yashunin, 2018) and audits it: near copies of a sample of its own rows are searched
 and held against brute force, and the beam is doubled until AUDIT of the links are found in each class of queries with
-like numbers of links, so that a large group doesn't hide what small ones lose. Every vector is then searched in every
-shard; a beam that is full of links is widened until one that is none fits in, so large groups lose no links to its
-width. Cosines of all hits are taken in double precision and those under the threshold dropped. A task hands on counts
+like numbers of links, so that a large group doesn't hide what small ones lose; the recall that the audits measured is
+returned. Every vector is then searched in every shard; a beam that is full of links is widened until one that is none
+fits in, so large groups lose no links to its width. Graphs are walked in single precision; cosines of all hits are taken
+in double precision and those under the threshold dropped. A task hands on counts
 of links, and of the links themselves a spanning forest only; components are joined from the forests.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows without a vec_id, link with nothing (the
@@ -25,14 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, spanning, table, tuned
+from .common import components, lean, materialise, spanning, table, tuned
 
 #: The audit takes one row in AUDIT_SHARE of a shard, and AUDIT_ROWS at least.
 THRESHOLD, AUDIT, AUDIT_ROWS, AUDIT_SHARE = 0.95, 0.995, 128, 32
 M, BUILD_BEAM, BEAM, STEP = 12, 40, 24, 4
+#: An upper layer of at most so many nodes is searched whole, by a matrix product, and those above it need no walk.
+WHOLE = 5000
 #: Vectors of a shard, and the least number of shards.
 SHARD_ROWS, SHARDS = 50_000, 6
-QUERY_ROWS, SALTS = 2048, 4
+#: Vectors of a block of queries, and the blocks that a task searches in a shard.
+QUERY_ROWS, BLOCKS = 2048, 6
+#: What single precision may take from a cosine.
+SLACK = 1e-5
 
 
 def pick(centre: np.ndarray, ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
@@ -115,8 +121,9 @@ def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarr
 class Graph:
     """A navigable small world over unit vectors x; upper layers hold ever fewer of the nodes."""
 
-    def __init__(self, x: np.ndarray, seed: int = 1):
-        self.x, n = x, len(x)
+    def __init__(self, exact: np.ndarray, seed: int = 1):
+        self.exact, n = exact, len(exact)
+        self.x = x = exact.astype(np.float32)
         level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / math.log(M)).astype(int)
         order = np.argsort(-level, kind="stable")
         self.layers: list[tuple[np.ndarray, np.ndarray]] = []  # (members, links among their places), top first
@@ -152,8 +159,32 @@ class Graph:
             links[new] = np.pad(p := pick(q, np.concatenate([found, peers], 1), x, min(M, most)), ((0, 0), (0, most - p.shape[1])), constant_values=-1)
             self._back(x, links, new, most)
             at += size
+        self._reach(links)
         return links
 
+    @staticmethod
+    def _reach(links: np.ndarray, least: int = 4) -> None:
+        """Nodes that fewer than `least` others name (as in a large group of near copies they may be) are named by those that they name first.
+
+        Where there is no room, the one goes that most others name, unless it came so itself."""
+        named = np.bincount(links[links >= 0], minlength=len(links))
+        kept = np.zeros(links.shape, bool)
+        for i in np.flatnonzero((named < least) & (links[:, 0] >= 0)).tolist():
+            for h in links[i][links[i] >= 0].tolist():
+                if named[i] >= least:
+                    break
+                host = links[h]
+                if (host == i).any():
+                    continue
+                free = np.flatnonzero(host < 0)
+                at = int(free[0]) if len(free) else int(np.argmax(np.where(kept[h], -1, named[host])))
+                if host[at] >= 0:
+                    if kept[h, at] or named[host[at]] <= least:
+                        continue
+                    named[host[at]] -= 1
+                host[at], kept[h, at] = i, True
+                named[i] += 1
+
     @staticmethod
     def _back(x: np.ndarray, links: np.ndarray, new: np.ndarray, most: int) -> None:
         src, col = np.nonzero(links[new] >= 0)
@@ -178,11 +209,20 @@ class Graph:
 
     def near(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) of all hits found; beams full of hits are widened until one miss fits in."""
+        exact, q = q, q.astype(np.float32)
+        upper = self.layers[:-1]
+        whole = max((i for i, (members, _) in enumerate(upper) if len(members) <= WHOLE), default=-1)
         entry = np.zeros(len(q), int)
-        for i, (members, links) in enumerate(self.layers[:-1]):
-            ids = beam_search(self.x[members], links, q, entry, 4)
-            entry = members[np.take_along_axis(ids[0], ids[1].argmax(1)[:, None], 1)[:, 0]]
-            entry = self.place[i + 1][entry]
+        for i, (members, links) in enumerate(upper):
+            if i < whole:
+                continue
+            if i == whole:
+                x = self.x[members]
+                best = members[np.concatenate([np.argmax(q[lo : lo + 256] @ x.T, 1) for lo in range(0, len(q), 256)])]
+            else:
+                ids = beam_search(self.x[members], links, q, entry, 4)
+                best = members[np.take_along_axis(ids[0], ids[1].argmax(1)[:, None], 1)[:, 0]]
+            entry = self.place[i + 1][best]
         members, links = self.layers[-1]
         x = self.x[members]
         rows, nodes = [], []
@@ -193,7 +233,7 @@ class Graph:
             for lo in range(0, len(left), 256):
                 part = left[lo : lo + 256]
                 ids, sim = beam_search(x, links, q[part], entry[part], beam)
-                hit = (ids >= 0) & (sim >= threshold - 1e-6)
+                hit = (ids >= 0) & (sim >= threshold - SLACK)
                 full = hit.all(1) & (beam < len(x))
                 again.append(part[full])
                 r, c = np.nonzero(hit & ~full[:, None])
@@ -202,25 +242,26 @@ class Graph:
             left = np.concatenate(again)
             beam *= 2
         rows, nodes = np.concatenate(rows), np.concatenate(nodes)
-        exact = np.einsum("bd,bd->b", q[rows], x[nodes]) >= threshold
-        return rows[exact], members[nodes[exact]]
+        nodes = members[nodes]
+        sure = np.einsum("bd,bd->b", exact[rows], self.exact[nodes]) >= threshold
+        return rows[sure], nodes[sure]
 
 
-def audit(g: Graph, threshold: float) -> int:
-    """The least beam (by doubling) that finds AUDIT of the links of a sample, in each class of queries with like numbers of links.
+def audit(g: Graph, threshold: float) -> tuple[int, float]:
+    """The least beam (by doubling) that finds AUDIT of the links of a sample, in each class of queries with like numbers of links; the least share found there.
 
     A query is a row of the shard turned by an angle within the threshold, as a near copy of it in another shard would
     be: so each has a link here, and none matches itself. The sample grows with the shard. Of queries with very many
     links fewer are taken (they cost as many hits, and weigh in their own class alone)."""
-    n, dim = g.x.shape
+    n, dim = g.exact.shape
     r = np.random.default_rng(n)
     rows = r.permutation(n)[: max(AUDIT_ROWS, n // AUDIT_SHARE)]
     away = r.standard_normal((len(rows), dim))
-    away -= np.einsum("bd,bd->b", away, g.x[rows])[:, None] * g.x[rows]
+    away -= np.einsum("bd,bd->b", away, g.exact[rows])[:, None] * g.exact[rows]
     size = np.linalg.norm(away, axis=1, keepdims=True)
     cosine = r.uniform(threshold + 0.05 * (1 - threshold), 1, (len(rows), 1))
-    q = np.where(size > 1e-9, cosine * g.x[rows] + np.sqrt(1 - cosine**2) * away / np.maximum(size, 1e-9), g.x[rows])
-    true = np.concatenate([(q[lo : lo + 128] @ g.x.T >= threshold).sum(1) for lo in range(0, len(q), 128)])
+    q = np.where(size > 1e-9, cosine * g.exact[rows] + np.sqrt(1 - cosine**2) * away / np.maximum(size, 1e-9), g.exact[rows])
+    true = np.concatenate([(q[lo : lo + 128] @ g.exact.T >= threshold).sum(1) for lo in range(0, len(q), 128)])
     kind = np.log2(np.maximum(true, 1)).astype(int)
     place = np.empty(len(q), int)
     for k in np.unique(kind):
@@ -228,12 +269,13 @@ def audit(g: Graph, threshold: float) -> int:
     take = (true > 0) & (place < np.maximum(AUDIT_ROWS * 1024 >> kind, 8))
     q, true, kind = q[take], true[take], kind[take]
     beam = BEAM
-    while beam < n:
-        found = np.bincount(g.near(q, threshold, beam)[0], minlength=len(q)) if len(q) else np.zeros(0)
-        if (np.bincount(kind, found) >= AUDIT * np.bincount(kind, true)).all():
-            break
+    while True:
+        found = np.bincount(g.near(q, threshold, min(beam, n))[0], minlength=len(q)) if len(q) else np.zeros(0)
+        all_ = np.bincount(kind, true)
+        share = np.bincount(kind, found, len(all_))[all_ > 0] / all_[all_ > 0]
+        if beam >= n or share.min(initial=1.0) >= AUDIT:
+            return min(beam, n), float(share.min(initial=1.0))
         beam *= 2
-    return min(beam, n)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -241,21 +283,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _shards(vectors: DataFrame, shards: int, threshold: float) -> DataFrame:
-    """(shard, graph) of vectors(id, n, v): a shard's rows are SHARD_ROWS or so, whatever the input."""
+    """(shard, graph, recall) of vectors(id, n, v): a shard's rows are SHARD_ROWS or so, whatever the input."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("id").combine_chunks()
         v = _matrix(t.column("v").chunk(0))
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
         g = Graph(v)
-        blob = pickle.dumps((t.column("id").to_numpy(), t.column("n").to_numpy(), g, audit(g, threshold)), 5)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([blob], pa.binary())})
+        beam, recall = audit(g, threshold)
+        blob = pickle.dumps((t.column("id").to_numpy(), t.column("n").to_numpy(), g, beam), 5)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([blob], pa.binary()), "recall": pa.array([recall])})
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(run, "shard int, body binary")
+    return dealt.groupBy("shard").applyInArrow(run, "shard int, body binary, recall double")
 
 
-def _links(vectors: DataFrame, graphs: DataFrame, shards: int, threshold: float) -> DataFrame:
+def _links(vectors: DataFrame, graphs: DataFrame, rows: int, shards: int, threshold: float) -> DataFrame:
     """kind 0: (id, links found in a shard); kind 1: (a, b) of a spanning forest of a batch's links."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +306,7 @@ def _links(vectors: DataFrame, graphs: DataFrame, shards: int, threshold: float)
             for lo in range(0, b.num_rows, QUERY_ROWS):
                 part = b.slice(lo, QUERY_ROWS)
                 ids = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0]) % SALTS], pa.int32()), pa.array([pickle.dumps((ids, _matrix(part.column(1))), 5)], pa.binary())], ["salt", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0]) % salts], pa.int32()), pa.array([pickle.dumps((ids, _matrix(part.column(1))), 5)], pa.binary())], ["salt", "body"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -286,17 +329,18 @@ def _links(vectors: DataFrame, graphs: DataFrame, shards: int, threshold: float)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(some), len(x)]).astype(np.int8)), pa.array(np.concatenate([ids[some], x])), pa.array(np.concatenate([count[some], y]))], ["kind", "a", "b"])
 
     spark = vectors.sparkSession
+    salts = max(1, -(-rows // (QUERY_ROWS * BLOCKS)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(QUERY_ROWS))
-    blocks = materialise(vectors.select("id", "v").mapInArrow(pack, "salt int, body binary"), "queries")
+    blocks = materialise(vectors.select("id", "v").mapInArrow(lean(pack), "salt int, body binary"), "queries")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     asked = blocks.select(F.lit(1).cast("byte").alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "salt", "body")
-    told = graphs.select(F.lit(0).cast("byte").alias("kind"), "shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "body")
-    met = told.union(asked).repartition(shards * SALTS, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    return met.select("kind", "shard", "body").mapInArrow(search, "kind byte, a long, b long")
+    told = graphs.select(F.lit(0).cast("byte").alias("kind"), "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "body")
+    met = told.union(asked).repartition(shards * salts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    return met.select("kind", "shard", "body").mapInArrow(lean(search), "kind byte, a long, b long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of embeddings."""
+    """vec_id, n_links, component_id, kept for each row of embeddings, and the least recall that an audit of a shard measured."""
     spark = tuned(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = "vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)"
@@ -306,15 +350,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     same = classes.groupBy("id").count().where("count > 1").limit(1).count()
     if same:
         classes = materialise(classes.withColumn("id", F.xxhash64("id", "v")), "vectors")
-    found = []
+    found, recall = [], 1.0
     for r in classes.groupBy("dim").count().orderBy("dim").collect():
         part = classes.where(F.col("dim") == r.dim)
         shards = max(SHARDS, -(-r["count"] // SHARD_ROWS))
         graphs = materialise(_shards(part, shards, threshold), "graphs")
-        found.append(materialise(_links(part, graphs, shards, threshold), "links"))
+        recall = min(recall, graphs.agg(F.min("recall")).first()[0])
+        found.append(materialise(_links(part, graphs, r["count"], shards, threshold), "links"))
     tuned(spark)
     if not found:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audited_recall"))
     every = found[0]
     for f in found[1:]:
         every = every.union(f)
@@ -326,7 +371,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     told = told.join(least, "component").select(F.col("v").alias("w"), F.coalesce("links", F.col("n") - 1).alias("links"), "component_id")
     out = rows.where("fine").join(told, F.col("v") == F.col("w"), "left").select("vec_id", F.col("links").alias("n_links"), "component_id")
     alone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.union(alone).withColumns({"kept": F.col("vec_id").eqNullSafe(F.col("component_id")), "audited_recall": F.lit(recall)})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
