@@ -36,7 +36,7 @@ from . import kernels as K
 from .common import bucketed, crc_mod, drop_scratch, lean, materialise, release, table, texts, tuned
 
 #: Bytes of text in a block (its columns stay below what the JVM takes for huge objects), the counts that are discounted, the order, and the tokens that a partition is to hold.
-BLOCK, CUT, ORDER, PARTITION = 3 << 18, 5, 3, 1 << 20
+BLOCK, CUT, ORDER, PARTITION = 3 << 18, 5, 3, 1 << 21
 END = np.uint64(0x8F1BBCDC5A827999)
 _START, _A, _B = np.uint64(0x6ED9EBA1CA62C1D6), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
 #: Kinds of requests: counts of n-grams have their n, weights of the histories of n-grams HISTORY more.
