@@ -9,7 +9,7 @@ from ..functions import text as T
 
 # fixed values: what is walked for the index and for searches, and limits
 IGNORED = ["node_modules", ".git", ".next", "dist", "build", "coverage", ".venv", "venv", "__pycache__", ".terraform"]
-IGNORED_BY_INDEX = [*IGNORED, ".devctx"]
+IGNORED_BY_INDEX = [*IGNORED, ".lumenlake"]
 CODE = ["js", "jsx", "ts", "tsx", "mjs", "cjs", "py", "go", "rs", "java", "cs", "kt", "php", "swift"]
 SEARCHED = ["js", "jsx", "ts", "tsx", "json", "mjs", "cjs", "py", "toml", "yaml", "yml", "md", "graphql", "gql", "sql", "go", "rs", "java", "sh", "bash", "zsh", "tf", "tfvars", "hcl"]
 LOCKS = ["pnpm-lock.yaml", "package-lock.json", "yarn.lock", "bun.lockb", "npm-shrinkwrap.json"]
