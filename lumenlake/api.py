@@ -4,9 +4,9 @@ files have path and text (and mtime); an Index is made of them once and handed t
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import tasks
@@ -16,19 +16,60 @@ from .operators import graph, metrics, outline, planning, search, sessions, symb
 
 @dataclass
 class Index:
-    """Files that declare or import something, their symbols, links and edges."""
+    """Files that declare or import something, their symbols, links and edges; seen: (path, mtime) of all files that were there;
+    scanned: paths that were read for this state of it."""
 
     files: DataFrame
     symbols: DataFrame
     links: DataFrame
     edges: DataFrame
-
-
-def build_index(files: DataFrame) -> Index:
-    found, linked = symbols.symbols(files), symbols.links(files)
-    kept = symbols.indexable(files, found, linked)
-    imports = linked.where("kind = 'import'").select(F.col("path").alias("src"), F.col("name").alias("spec"))
-    return Index(kept, symbols.with_snippets(found, files), linked, graph.edges(imports, kept.select("path")))
+    seen: DataFrame
+    scanned: DataFrame
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> "Index":
+        return Index(*(spark.read.parquet(f"{folder}/{part.name}") for part in fields(Index)))
+
+
+def _imports(links: DataFrame) -> DataFrame:
+    return links.where("kind = 'import'").select(F.col("path").alias("src"), F.col("name").alias("spec"))
+
+
+def build_index(files: DataFrame, old: Index | None = None, folder: str | None = None) -> Index:
+    """An index of files(path, text, mtime); with an old one only what is new to it is read.
+
+    Files that are new or have another time are scanned, and their symbols and links take the place of the old ones; those of
+    files that are gone go. Edges are resolved again for scanned files and for those that a file which came or went may be
+    meant by, so the result is that of a build from nothing. Without a time a file counts as unchanged while its path is there.
+    folder: each part is written there as it is made and read back (Index.read() gives it again), so that every file is scanned once
+    and an index that is brought up to date again and again doesn't hold all it came from."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        if folder is None:
+            return df
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+    stamped = files if "mtime" in files.columns else files.withColumn("mtime", F.lit(0.0))
+    seen = keep(stamped.select("path", "mtime"), "seen")
+    if old is None:
+        found, linked = keep(symbols.with_snippets(symbols.symbols(files), files), "symbols"), keep(symbols.links(files), "links")
+        kept = keep(symbols.indexable(files, found, linked), "files")
+        return Index(kept, found, linked, keep(graph.edges(_imports(linked), kept.select("path")), "edges"), seen, keep(files.select("path"), "scanned"))
+    moved = keep(graph.stale(old.seen, seen), "moved")
+    new = files.join(moved.where("state <> 'removed'"), "path", "left_semi")
+    stay = lambda df: df.join(moved.select("path"), "path", "left_anti")
+    found = keep(symbols.with_snippets(symbols.symbols(new), new), "found")
+    linked = keep(symbols.links(new), "linked")
+    links = keep(stay(old.links).unionByName(linked), "links")
+    kept = keep(stay(old.files).unionByName(symbols.indexable(new, found, linked).select(*old.files.columns)), "files")
+    before, now = old.files.select("path").distinct(), kept.select("path").distinct()
+    turned = before.join(now, "path", "left_anti").union(now.join(before, "path", "left_anti"))
+    again = keep(moved.select("path").union(graph.unsettled(_imports(links), kept, turned)).distinct(), "again")
+    only = again.withColumnRenamed("path", "src")
+    redone = graph.edges(_imports(links).join(only, "src", "left_semi"), kept.select("path"), kept.join(again, "path", "left_semi"))
+    edges = keep(old.edges.join(only, "src", "left_anti").unionByName(redone), "edges")
+    return Index(kept, keep(stay(old.symbols).unionByName(found), "symbols"), links, edges, seen, keep(new.select("path"), "scanned"))
 
 
 def index_counts(index: Index) -> DataFrame:

@@ -19,40 +19,62 @@ def inverted_index(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy(F.lower("name").alias("name")).agg(F.sort_array(F.collect_list(F.struct("path", "line", "kind"))).alias("postings"), F.count("*").alias("n"))
 
 
-def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
-    """Edges (src, dst) of imports(src, spec): relative specifiers only; the first known candidate holds."""
+def import_tries(imports: DataFrame) -> DataFrame:
+    """(src, spec, rank, dst): the paths that each relative specifier of imports(src, spec) may mean, the first best."""
     base = F.regexp_replace("src", "[^/]*$", "")
     joined = F.concat(base, F.col("spec"))
     # a/./b is a/b, and a/x/../b is a/b: steps up are taken out one by one
     path = F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), lambda s, p: F.when(p.isin(".", ""), s).when(p == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(p))), lambda s: F.array_join(s, "/"))
-    tries = imports.where("spec like '.%'").withColumn("stem", path).select("src", "spec", F.posexplode(F.array(*(F.concat(F.col("stem"), F.lit(e)) for e in EXTENSIONS))).alias("rank", "dst"))
-    hit = tries.join(known.select(F.col("path").alias("dst")).distinct(), "dst")
+    return imports.where("spec like '.%'").withColumn("stem", path).select("src", "spec", F.posexplode(F.transform(F.array(*(F.lit(e) for e in EXTENSIONS)), lambda e: F.concat("stem", e))).alias("rank", "dst"))
+
+
+def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges (src, dst) of imports(src, spec): relative specifiers only; the first known candidate holds."""
+    hit = import_tries(imports).join(known.select(F.col("path").alias("dst")).distinct(), "dst")
     return hit.groupBy("src", "spec").agg(F.min_by("dst", "rank").alias("dst"))
 
 
-def infer_targets(tests: DataFrame, known: DataFrame) -> DataFrame:
-    """(src, dst) of what test files (path) test: a source of their name beside them, else in a src, lib or pkg beside their folder."""
+def target_tries(tests: DataFrame) -> DataFrame:
+    """(src, rank, dst): where a source of the name of each test file (path) may lie."""
     path = F.col("path")
     folder = T.dirname(path)
     above = T.dirname(folder)
     base = F.regexp_replace(T.basename(path), TEST_END, "")
     here = F.when(folder == ".", F.lit("")).otherwise(F.concat(folder, F.lit("/")))
     up = F.when(above == ".", F.lit("")).otherwise(F.concat(above, F.lit("/")))
-    places = [F.concat(here, base, F.lit(e)) for e in SOURCES] + [F.concat(up, F.lit(f"{d}/"), base, F.lit(e)) for d in SIBLINGS for e in SOURCES]
-    tries = tests.select(path.alias("src"), F.posexplode(F.array(*places)).alias("rank", "dst"))
-    hit = tries.join(known.select(F.col("path").alias("dst")).distinct(), "dst")
+    parts = tests.select(path.alias("src"), F.concat(here, base).alias("beside"), up.alias("up"), base.alias("base"))
+    ends = F.array(*(F.lit(e) for e in SOURCES))
+    # lambdas over short lists keep the generated code small
+    near = F.transform(ends, lambda e: F.concat(F.col("beside"), e))
+    far = F.flatten(F.transform(F.array(*(F.lit(d) for d in SIBLINGS)), lambda s: F.transform(ends, lambda e: F.concat(F.col("up"), s, F.lit("/"), F.col("base"), e))))
+    return parts.select("src", F.posexplode(F.concat(near, far)).alias("rank", "dst"))
+
+
+def infer_targets(tests: DataFrame, known: DataFrame) -> DataFrame:
+    """(src, dst) of what test files (path) test: a source of their name beside them, else in a src, lib or pkg beside their folder."""
+    hit = target_tries(tests).join(known.select(F.col("path").alias("dst")).distinct(), "dst")
     return hit.groupBy("src").agg(F.min_by("dst", "rank").alias("dst"))
 
 
-def edges(imports: DataFrame, known: DataFrame) -> DataFrame:
-    """(src, dst, kind) of a corpus: resolved imports; a test's are of what it tests too, and one without any is held against names."""
+def edges(imports: DataFrame, known: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """(src, dst, kind) of a corpus: resolved imports; a test's are of what it tests too, and one without any is held against names.
+
+    tests: paths among which test files are looked for, if not all of known."""
     found = resolve_imports(imports, known).select("src", "dst")
     test = T.is_test_path(F.col("src"))
     of_tests = found.where(test).select("src", "dst", F.lit("testOf").alias("kind"))
-    rest = known.select("path").where(T.is_test_path(F.col("path"))).join(of_tests.select(F.col("src").alias("path")).distinct(), "path", "left_anti")
+    rest = (known if tests is None else tests).select("path").where(T.is_test_path(F.col("path"))).join(of_tests.select(F.col("src").alias("path")).distinct(), "path", "left_anti")
     return found.withColumn("kind", F.lit("import")).union(of_tests).union(infer_targets(rest, known).withColumn("kind", F.lit("testOf")))
 
 
+def unsettled(imports: DataFrame, known: DataFrame, moved: DataFrame) -> DataFrame:
+    """Paths whose edges may be others now that files (path) of `moved` came or went: importers that one of them may be meant by, and tests that may be of one."""
+    at = moved.select(F.col("path").alias("dst")).distinct()
+    tests = known.select("path").where(T.is_test_path(F.col("path")))
+    met = import_tries(imports).select("src", "dst").union(target_tries(tests).select("src", "dst")).join(at, "dst", "left_semi")
+    return met.select(F.col("src").alias("path")).distinct()
+
+
 def lookup(index: DataFrame, names: DataFrame) -> DataFrame:
     """Postings (name, path, line, kind) of names whatever their case; index: symbols, one row each."""
     wanted = names.select(F.lower("name").alias("low")).distinct()

@@ -2,7 +2,7 @@
 
 One scanner goes over the lines of a file with the patterns of its language; what differs between languages is how a
 member finds its owner: by indentation, by open braces, or by the last declaration. JavaScript and TypeScript are read
-by line patterns too, not by a syntax tree. Everything runs file by file in Arrow batches, so files are dealt freely."""
+by tokens and brackets (script.py). Everything runs file by file in Arrow batches, so files are dealt freely."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .script import Script
 
 BLANKS = re.compile(r"\s+")
 
@@ -39,17 +40,15 @@ class Language:
 _CS = "public|private|protected|internal|static"
 LANGUAGES = {
     "py": Language(r"^(class|def|async\s+def)\s+(\w+)", owner="indent", imports=r"^(?:from\s+(\S+)\s+import|import\s+(\S+))"),
-    "go": Language(r"^(func|type)\s+(?:\([\w\s*]+\)\s+)?(\w+)\s*(?:\(|\s)", imports=r'"([^"]+)"'),
+    "go": Language(r"^(func)\s+(?:\([\w\s*]+\)\s+)?(\w+)\s*\(|^(type)\s+(\w+)\s", imports=r'"([^"]+)"'),
     "rs": Language(r"^(?:pub\s+)?(?:async\s+)?(fn|struct|enum|trait|type|impl|const|static)\s+(\w+)", owner="impl"),
     "java": Language(r"^(?:public|private|protected|static|final|abstract|\s)*(?:class|interface|enum|record)\s+(\w+)", r"^(?:public|private|protected|static|final|abstract|synchronized|\s)*(?:<[\w\s,?]+>\s+)?[\w<>\[\],\s]+\s+(\w+)\s*\(", kind="class", free=""),
     "cs": Language(rf"^(?:{_CS}|abstract|sealed|partial|\s)*(class|struct|interface|enum|record)\s+(\w+)", rf"^(?:{_CS}|virtual|override|abstract|async|\s)*[\w<>\[\],.\s]+\s+(\w+)\s*\(", owner="braces", imports=r"^using\s+([\w.]+);$", free="", nested="always"),
     "kt": Language(r"^(?:open|abstract|data|sealed|internal|private|protected|\s)*(class|object|interface|enum)\s+(\w+)", r"^(?:(?:public|private|protected|internal|open|override|suspend|inline)\s+)*fun\s+(?:<[^>]+>\s+)?(\w+)\s*\(", owner="braces", imports=r"^import\s+([\w.*]+)$", nested="indent", closes_after_member=True),
     "php": Language(r"^(?:abstract|final|\s)*(class|interface|trait|enum)\s+(\w+)", r"^(?:public|protected|private|static|\s)*function\s+(\w+)\s*\(", owner="braces", imports=r"^use\s+([\w\\]+)(?:\s+as\s+\w+)?;$", closes_after_member=True),
     "swift": Language(r"^(?:public|private|internal|open|final|\s)*(class|struct|enum|protocol|actor)\s+(\w+)", r"^(?:(?:public|private|internal|open|override|static|class|@\w+)\s+)*func\s+(\w+)", owner="braces", imports=r"^import\s+(\w+)$", closes_after_member=True),
-    "js": Language(r"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+|async\s+)?(function|class|interface|type|enum|const|let|var)\b\s*\*?\s*([\w$]+)", r"^(?:(?:public|private|protected|static|readonly|async|override|get|set)\s+)*([\w$]+)\s*(?:<[^>]*>)?\s*(\(|[?!]?\s*[:=;])", owner="script"),
 }
 ALIKE = {"jsx": "js", "ts": "js", "tsx": "js", "mjs": "js", "cjs": "js"}
-NOT_MEMBERS = {"if", "for", "while", "switch", "return", "catch", "constructor", "case", "default", "else", "throw", "new", "await"}
 COLUMNS = "path string, name string, kind string, line int, parent string, signature string"
 
 
@@ -65,6 +64,8 @@ def one_line(text: str, most: int = 200) -> str:
 
 def scan(lang: str, text: str) -> list[tuple[str, str, int, str | None, str | None]]:
     """(name, kind, line, parent, signature) of each declaration of a text."""
+    if lang == "js":
+        return [(name, kind, n, owner, None if said is None else one_line(said)) for name, kind, n, owner, said in Script(text).symbols()]
     if lang not in LANGUAGES:
         return []
     spec = LANGUAGES[lang]
@@ -76,16 +77,6 @@ def scan(lang: str, text: str) -> list[tuple[str, str, int, str | None, str | No
         indent = len(raw) - len(line)
         opened = line.count("{") - line.count("}")
         m = declares.match(line)
-        if lang == "js":
-            if depth == 0 and m:
-                kind = "const" if m[1] in ("let", "var") else m[1]
-                out.append((m[2], kind, n, None, one_line(line.split("{", 1)[0] if "{" in line[1:] else line)))
-                owner = m[2] if kind in ("class", "interface") else None
-            elif depth == 1 and owner and (f := member.match(line)) and f[1] not in NOT_MEMBERS:
-                method = f[2] == "("
-                out.append((f[1], "method" if method else "property", n, owner, one_line(line.split("{", 1)[0]) if method else None))
-            depth = max(0, depth + opened)
-            continue
         if lang == "py":
             if m and m[1] == "class":
                 owner = m[2]
@@ -95,8 +86,8 @@ def scan(lang: str, text: str) -> list[tuple[str, str, int, str | None, str | No
                 out.append((m[2], "method" if owner else "function", n, owner, one_line(re.sub(":$", "", line))))
             continue
         if lang == "go":
-            if m and (m[1] == "type") == (not re.match(r"^func", line)) and (m[1] == "type" or "(" in line):
-                out.append((m[2], "function" if m[1] == "func" else "type", n, None, one_line(line)))
+            if m:
+                out.append((m[2] or m[4], "function" if m[1] else "type", n, None, one_line(line)))
             continue
         if lang == "rs":
             if m:
@@ -140,7 +131,7 @@ def with_snippets(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def links(files: DataFrame) -> DataFrame:
-    """(path, kind import or export, name) of what files take in and give out, in the order of first lines: built-in functions alone."""
+    """(path, kind import or export, name) of what files take in and give out: by built-in functions, but for scripts, whose tokens are read."""
     line = files.select("path", language(F.col("path")).alias("lang"), F.posexplode(T.lines(F.col("text"))).alias("at", "raw"))
     strip = line.withColumn("line", T.strip(F.col("raw")))
     got = F.lit("")
@@ -148,9 +139,8 @@ def links(files: DataFrame) -> DataFrame:
         if spec.imports and lang not in ("go", "py"):
             got = F.when(F.col("lang") == lang, F.regexp_extract("line", spec.imports, 1)).otherwise(got)
     py = F.coalesce(F.nullif(F.regexp_extract("line", LANGUAGES["py"].imports, 1), F.lit("")), F.regexp_extract("line", LANGUAGES["py"].imports, 2))
-    js = F.regexp_extract("line", r"""^(?:import|export)\b[^'"]*?(?:from\s*)?['"]([^'"]+)['"]""", 1)
-    got = F.when(F.col("lang") == "py", py).when(F.col("lang") == "js", js).otherwise(got)
-    imports = strip.where("lang <> 'go'").withColumn("name", got).where("name <> ''").select("path", F.lit("import").alias("kind"), "name")
+    got = F.when(F.col("lang") == "py", py).otherwise(got)
+    imports = strip.where("lang not in ('go', 'js')").withColumn("name", got).where("name <> ''").select("path", F.lit("import").alias("kind"), "name")
     # in Go, a block of imports goes from its opening line to the first line that closes it
     lines = T.lines(F.col("text"))
     trimmed = F.transform(lines, lambda x: T.strip(x))
@@ -163,12 +153,13 @@ def links(files: DataFrame) -> DataFrame:
         return F.struct((opens | (s["inside"] & ~closes)).alias("inside"), F.when(name != "", F.concat(s["out"], F.array(name))).otherwise(s["out"]).alias("out"))
 
     go = go.select("path", F.lit("import").alias("kind"), F.explode(F.aggregate("ls", state, step, lambda s: s["out"])).alias("name"))
-    js_line = strip.where("lang = 'js'")
-    one = F.regexp_extract("line", r"^export\s+(?:declare\s+)?(?:abstract\s+|async\s+)?(?:function|class|const|let|var|interface|type|enum)\b\s*\*?\s*([\w$]+)", 1)
-    named = F.filter(F.transform(F.split(F.regexp_extract("line", r"^export\s*(?:type\s*)?\{([^}]*)\}", 1), ","), lambda x: T.strip(F.regexp_replace(x, r"^.*\sas\s", ""))), lambda x: x != "")
-    default = F.when(F.col("line").rlike(r"^export\s+default\b") & (one == ""), F.array(F.lit("default")))
-    exports = js_line.withColumn("name", F.explode(F.concat(named, F.filter(F.array(one), lambda x: x != ""), F.coalesce(default, F.array().cast("array<string>"))))).select("path", F.lit("export").alias("kind"), "name")
-    return imports.union(go).union(exports)
+    def of_scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, kind, name) for p, text in zip(b["path"], b["text"]) for kind, name in Script(text or "").links()]
+            yield pd.DataFrame(rows, columns=["path", "kind", "name"])
+
+    scripts = files.where(language(F.col("path")) == "js").select("path", "text").mapInPandas(of_scripts, "path string, kind string, name string")
+    return imports.union(go).union(scripts)
 
 
 def indexable(files: DataFrame, found: DataFrame, linked: DataFrame) -> DataFrame:

@@ -249,3 +249,29 @@ def turn_overhead(spark, d):
     raw = _t(spark, d, "events").agg(F.sum(F.floor("value").cast("long")).alias("raw"))
     return over.groupBy("tool").agg(F.count("*").alias("n"), F.sum("overhead_tokens").alias("overhead_tokens")).crossJoin(raw).select("tool", "n", "overhead_tokens", F.round(F.lit(100.0) * F.col("overhead_tokens") / F.col("raw"), 2).alias("overhead_pct"))
 
+
+# ---- folds --------------------------------------------------------------------------------------------------------------------
+
+_UPD = "select user_id s, event_id i, case when event_id % 13 = 5 then 'reset' when event_id % 7 = 0 then 'update' when event_id % 2 = 0 then 'append' else 'auto_append' end a, case when event_id % 5 = 0 then 'g' || event_id else '' end goal, case event_id % 4 when 0 then 'blocked' when 1 then 'nope' when 2 then null else 'completed' end status, case when event_id % 3 = 0 then 'n' || event_id end step, case when event_id % 8 > 2 then ['c' || event_id % 9, event_type, ' ', event_type] end done, case when event_id % 6 = 0 then ['b' || event_id, ''] end blockers from events"
+_OLD = "select distinct user_id, -1, 'stored', 'old goal', 'planning', 'old step', ['x', 'c1', 'x'], ['old'] from events where user_id % 3 = 0"
+
+
+@query(
+    f"with r as ({_UPD} union all {_OLD}), m as (select s, max(i) filter (where a in ('update', 'reset')) m, max((a = 'reset')::int) gone from r group by s), v as (select r.*, gone from r join m using (s) where m is null or i > m or (i = m and a = 'update')), "
+    "c as (select s, coalesce(arg_max(goal, i) filter (where goal <> ''), 'Untitled session') goal, coalesce(arg_max(status, i) filter (where status in ('planning', 'in_progress', 'blocked', 'completed')), 'in_progress') status, coalesce(arg_max(step, i) filter (where step <> ''), '') next_step, coalesce(array_to_string(list_filter(arg_max(blockers, i) filter (where blockers is not null), lambda x: x <> ''), ','), '') blockers, max(gone) gone from v group by s), "
+    "e as (select s, done[p] x, min(i * 10 + p) f from v, range(1, 5) t(p) where p <= len(done) and trim(done[p]) <> '' group by 1, 2), l as (select s, string_agg(x, ',' order by f) completed, count(*)::int n from e group by s) "
+    "select s session_id, goal, status, next_step, blockers, coalesce(completed, '') completed, coalesce(n, 0) completed_count, case when gone = 0 and s % 3 = 0 then 'at ' || s end created from c left join l using (s)"
+)
+def session_fold(spark, d):
+    """All updates of all sessions, of every kind and in their order, over the stored ones and for new ones."""
+    e = _t(spark, d, "events")
+    i = F.col("event_id")
+    text = lambda head: F.concat(F.lit(head), i.cast("string"))
+    action = F.when(i % 13 == 5, "reset").when(i % 7 == 0, "update").when(i % 2 == 0, "append").otherwise("auto_append")
+    done = F.when(i % 8 > 2, F.array(F.concat(F.lit("c"), (i % 9).cast("string")), F.col("event_type"), F.lit(" "), F.col("event_type")))
+    status = F.when(i % 4 == 0, "blocked").when(i % 4 == 1, "nope").when(i % 4 == 3, "completed")
+    new = e.select(F.col("user_id").alias("session_id"), i.alias("at"), action.alias("action"), F.when(i % 5 == 0, text("g")).otherwise("").alias("goal"), status.alias("status"), F.when(i % 3 == 0, text("n")).alias("next_step"), done.alias("completed"), F.when(i % 6 == 0, F.array(text("b"), F.lit(""))).alias("blockers"))
+    lit = lambda *x: F.array(*(F.lit(v) for v in x))
+    old = e.where("user_id % 3 = 0").select(F.col("user_id").alias("session_id")).distinct().select("session_id", F.lit("old goal").alias("goal"), F.lit("planning").alias("status"), F.lit("old step").alias("next_step"), lit("x", "c1", "x").alias("completed"), lit("old").alias("blockers"), F.concat(F.lit("at "), F.col("session_id").cast("string")).alias("created"))
+    out = sessions.fold(old, new, ["at"], kept=("created",))
+    return out.select("session_id", "goal", "status", "next_step", F.array_join("blockers", ",").alias("blockers"), F.array_join("completed", ",").alias("completed"), "completed_count", "created")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import scratch
+
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """A file stream of the events table; its time is made a timestamp, as watermarks ask for."""
@@ -65,12 +65,7 @@ def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "comple
     """Run a bounded stream to its end and return the rows of its last batch, which in complete mode are all: each batch is
     written to a folder that all executors share, none is gathered in the driver. once: as one batch, for streams whose state
     has timeouts, as these never run out of batches."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/lumenlake-streams"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch.folder(spark, name)
     last: list[int] = []
 
     def put(batch: DataFrame, at: int) -> None:
