@@ -497,4 +497,4 @@ def stream_sessions(spark, d):
     return streams.drain(streams.by_session(_stream(spark, d)), spark, "stream_sessions").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from . import indexing, reading, tasking, upkeep  # noqa: E402, F401  they register their queries
+from . import indexing, reading, streaming, tasking, upkeep  # noqa: E402, F401  they register their queries

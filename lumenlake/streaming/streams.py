@@ -61,10 +61,10 @@ def turns(stream: DataFrame, key: str = "session_id") -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, writes int, block boolean", "open boolean, writes int, saved boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "complete", once: bool = False) -> DataFrame:
+def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "complete", once: bool = False, conf: dict[str, str] | None = None) -> DataFrame:
     """Run a bounded stream to its end and return the rows of its last batch, which in complete mode are all: each batch is
     written to a folder that all executors share, none is gathered in the driver. once: as one batch, for streams whose state
-    has timeouts, as these never run out of batches."""
+    has timeouts, as these never run out of batches. conf: settings that hold while it runs."""
     path = scratch.folder(spark, name)
     last: list[int] = []
 
@@ -72,6 +72,13 @@ def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str = "comple
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
         last.append(at)
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(**({"once": True} if once else {"availableNow": True})).start()
-    q.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(**({"once": True} if once else {"availableNow": True})).start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows") if last else spark.createDataFrame([], stream.schema)
