@@ -1,28 +1,37 @@
 """Quality classifier by positive-unlabelled learning.
 
 Features are shares and counts of a whole text (symbols, repeats, capitals, line and word lengths). A linear model
-minimises the non-negative unbiased risk (Kiryo et al., 2017): trusted positives are training rows labelled 1, the
-unlabelled sample is text without a label, and the class prior is the share of ones among training labels. Both
-samples are bounded (POSITIVES, UNLABELLED), taken by least hash; every text is scored.
+minimises the non-negative unbiased risk (Kiryo et al., 2017): trusted positives are training rows labelled 1, a sample
+of at most POSITIVES of them by least hash; the unlabelled text is every row without a label, and the class prior is the share of
+ones among training labels. The risk, its gradient and its curvature over the unlabelled rows are sums that tasks work out, so each
+step of Newton's method is a pass over their features; steps of several lengths are held against each other in one more. Every text is scored.
 
 Null texts count as empty ones and are scored as such. A doc_id that stands twice is scored twice; labels with a null
-doc_id or quality are ignored, of contradicting labels the lower holds. Without a positive training label all scores
-are the prior (0.5 if there are no labels at all). Ties of the hash go by doc_id and features. A very long text is one row
+doc_id or quality are ignored, of contradicting labels the lower holds. If all rows carry labels, the training rows are the
+unlabelled text. Without a positive training label, or without rows, nothing is fitted: all scores
+are the prior (0.5 if there are no labels at all), and `fitted` is false. Ties of the hash go by doc_id and features. A very long text is one row
 of shares like any other. No rows give no rows. Columns besides doc_id and text are ignored, clashing names too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import crc_mod, lean, materialise, per_batch, table, texts, tuned
-
-#: Most rows that the model is fitted on.
-POSITIVES, UNLABELLED = 6_000, 12_000
+from .common import crc_mod, lean, materialise, per_batch, table, tuned
+
+#: Most labelled rows that the model is fitted on.
+POSITIVES = 6_000
+#: Steps of Newton's method at most, lengths that a step is tried in, weight of the squared weights, and change of the risk that ends it.
+STEPS, LENGTHS, RIDGE, ENOUGH = 15, 0.5 ** np.arange(8), 1e-3, 1e-7
+#: Rows of a block of features, and tasks that sums of tasks meet in.
+PACKED, MEET = 4096, 16
 THRESHOLD = 0.7
 FEATURES = 16
 _b = np.arange(256)
@@ -71,34 +80,105 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def featured(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, x of each row of docs(doc_id, rid, text)."""
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.concatenate([features(d, o) for _, _, d, o in K.chunks(b.column(1))])
-        return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES), pa.int32()), pa.array(x.ravel()))], ["doc_id", "x"])
+        x = np.concatenate([features(d, o) for _, _, d, o in K.chunks(b.column(2))])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, FEATURES), pa.int32()), pa.array(x.ravel()))], ["doc_id", "rid", "x"])
 
-    return docs.mapInArrow(lean(per_batch(run)), "doc_id long, x array<double>")
+    return docs.mapInArrow(lean(per_batch(run)), "doc_id long, rid long, x array<double>")
 
 
 def widen(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(x, 0))], 1)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600) -> dict:
-    """Weights that minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss l."""
-    p, u = widen(positive), widen(unlabelled)
-    both = np.concatenate([p, u])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.append(np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1)), 1) for x in (p, u))
-    w = np.zeros(p.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
+def packed(x: DataFrame) -> DataFrame:
+    """part, body: blocks of features of rows x(x), in the order of partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            f = np.asarray(b.column(0).flatten())
+            for k in range(0, len(f), PACKED * FEATURES):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f[k : k + PACKED * FEATURES].tobytes()], pa.binary())], ["part", "body"])
+
+    return x.select("x").mapInArrow(lean(run), "part long, body binary")
+
+
+def summed(blocks: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum of of(features) over all blocks, added up in the tasks, then in MEET of them, then here."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, part = None, 0
+        for b in batches:
+            for p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = of(np.frombuffer(body).reshape(-1, FEATURES))
+                out, part = (got, p) if out is None else (out + got, part)
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["part", "body"])
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int64()), pa.array([sum(np.frombuffer(x) for _, x in rows).tobytes()], pa.binary())], ["part", "body"])
+
+    kind = "part long, body binary"
+    got = blocks.mapInArrow(lean(first), kind).repartition(MEET, "part").mapInArrow(then, kind).collect()  # MEET rows
+    return sum(np.frombuffer(r.body) for r in sorted(got)) if got else None
+
+
+def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float) -> dict | None:
+    """Weights that minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss l.
+
+    unlabelled: blocks of packed(). Where the second part is negative, its gradient counts the other way round, as the method says."""
+    wide = widen(positive)
+    moments = summed(unlabelled, lambda x: np.concatenate([[len(x)], widen(x).sum(0), (widen(x) ** 2).sum(0)]))
+    if moments is None or not len(positive):
+        return None
+    k = wide.shape[1]
+    n = moments[0]
+    total = n + len(wide)
+    mean = (moments[1 : k + 1] + wide.sum(0)) / total
+    scale = np.sqrt(np.maximum((moments[k + 1 :] + (wide**2).sum(0)) / total - mean**2, 0)) + 1e-3
+    ready = lambda x: np.append(np.clip((widen(x) - mean) / scale, -8, 8), np.ones((len(x), 1)), 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
-        pos = -prior * (p * sigmoid(-gp)[:, None]).mean(0)
-        neg = (u * sigmoid(gu)[:, None]).mean(0) - prior * (p * sigmoid(gp)[:, None]).mean(0)
-        risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        grad = (pos + neg if risk >= 0 else -neg) + 2e-3 * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    p = ready(positive)
+    ridge = RIDGE * np.append(np.ones(k), 0)
+    w = np.zeros(k + 1)
+
+    def slope(w: np.ndarray) -> np.ndarray:
+        def of(x: np.ndarray) -> np.ndarray:
+            u = ready(x)
+            s = sigmoid(u @ w)
+            return np.concatenate([(u * s[:, None]).sum(0), ((u * (s * (1 - s))[:, None]).T @ u).ravel()])
+
+        return summed(unlabelled, of) / n
+
+    def losses(ws: np.ndarray) -> np.ndarray:
+        """E_u[l(-g)] for each column of weights."""
+        return summed(unlabelled, lambda x: np.logaddexp(0, ready(x) @ ws).sum(0)) / n
+
+    def risk(ws: np.ndarray, of_u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = p @ ws
+        negative = of_u - prior * np.logaddexp(0, g).mean(0)
+        return prior * np.logaddexp(0, -g).mean(0) + np.maximum(0, negative) + (ridge[:, None] * ws**2).sum(0), negative
+
+    now, negative = risk(w[:, None], np.full(1, np.log(2)))
+    for _ in range(STEPS):
+        got = slope(w)
+        g = p @ w
+        s = sigmoid(g)
+        pos = -prior * (p * (1 - s)[:, None]).mean(0)
+        neg = got[: k + 1] - prior * (p * s[:, None]).mean(0)
+        curve = got[k + 1 :].reshape(k + 1, k + 1) + np.diag(2 * ridge + 1e-6)
+        step = np.linalg.solve(curve, (pos + neg if negative[0] >= 0 else -neg) + 2 * ridge * w)
+        tried = w[:, None] - step[:, None] * LENGTHS
+        after, negatives = risk(tried, losses(tried))
+        best = int(np.argmin(after))
+        if after[best] > now[0] - ENOUGH:
+            break
+        w, now, negative = tried[:, best], after[[best]], negatives[[best]]
     return {"w": w, "mean": mean, "scale": scale}
 
 
@@ -115,26 +195,31 @@ def least(df: DataFrame, n: int) -> np.ndarray:
     return np.asarray(rows.flatten()).reshape(-1, FEATURES)
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
+def quality(docs: DataFrame, labels: DataFrame, rid: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted, fitted for each row of docs; rid: a column of long numbers that goes along."""
     tuned(docs.sparkSession)
-    x = materialise(featured(texts(docs)), "quality")
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(rid) if rid else F.lit(0)).cast("long").alias("rid"), text)
+    x = materialise(featured(rows), "quality")
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     train = marks.where(crc_mod(4) != 2)
     ones, total = train.agg(F.coalesce(F.sum("quality"), F.lit(0)), F.count("*")).first()
     prior = min(0.97, max(0.03, ones / total)) if total else 0.5
-    positive = least(x.join(train.where("quality = 1"), "doc_id", "left_semi"), POSITIVES) if ones else np.zeros((0, FEATURES))
-    unlabelled = least(x.join(marks, "doc_id", "left_anti"), UNLABELLED)
-    if not len(unlabelled):  # all rows carry labels: without them, the training rows are the unlabelled text
-        unlabelled = least(x.where(crc_mod(4) != 2), UNLABELLED)
-    model = fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else None
+    model = None
+    if ones:
+        positive = least(x.join(train.where("quality = 1"), "doc_id", "left_semi"), POSITIVES)
+        rest = x.join(marks, "doc_id", "left_anti")
+        if not rest.limit(1).count():  # all rows carry labels: without them, the training rows are the unlabelled text
+            rest = x.where(crc_mod(4) != 2)
+        model = fit(positive, materialise(packed(rest), "unlabelled"), prior)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        f = np.asarray(b.column(1).flatten()).reshape(-1, FEATURES)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(predict(model, prior, f))], ["doc_id", "score"])
+        f = np.asarray(b.column(2).flatten()).reshape(-1, FEATURES)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(predict(model, prior, f))], ["doc_id", "rid", "score"])
 
-    scored = x.mapInArrow(lean(per_batch(run)), "doc_id long, score double")
-    return scored.select("doc_id", (crc_mod(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = x.mapInArrow(lean(per_batch(run)), "doc_id long, rid long, score double")
+    told = [(crc_mod(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.lit(model is not None).alias("fitted")]
+    return scored.select("doc_id", *(["rid"] if rid else []), *told)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
