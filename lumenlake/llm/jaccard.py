@@ -312,4 +312,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents"))
 
 
-NAME, ORACLE = "op4_jaccard", None
+NAME = "op4_jaccard"
+#: Sets, intersections and reachability spelt out; groups of some hundred documents are no trouble for it.
+ORACLE = r"""
+with recursive d as materialized (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as materialized (select distinct rid, array_to_string(w[i : i + 4], ' ') sh from (select rid, w, unnest(range(1, greatest(len(w) - 3, 2))) i from d where len(w) > 0)),
+n as materialized (select rid, count(*) n from s group by rid),
+p as materialized (select a.rid a, b.rid b, count(*) i from s a join s b on a.sh = b.sh and a.rid < b.rid group by a.rid, b.rid),
+l as materialized (select a, b from p join n x on a = x.rid join n y on b = y.rid where 100 * i >= 75 * (x.n + y.n - i)),
+e as materialized (select a, b from l union all select b, a from l),
+r as (select rid a, rid b from d union select r.a, e.b from r join e on r.b = e.a)
+select d.doc_id, coalesce(n.n, 0) n_shingles, min(o.doc_id) component_id from d join r on r.a = d.rid join d o on o.rid = r.b left join n on n.rid = d.rid group by d.rid, d.doc_id, n.n
+"""
