@@ -1,13 +1,17 @@
 """From raw documents to token files: quality, near duplicates, decontamination, mixing, token ids.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Rows with a null doc_id pass every
-stage but quality, where they are judged together like any rows of a repeated doc_id. Rows of a repeated doc_id are one document to the filters: it goes if all its rows are rejected, or
-if one of them holds a benchmark passage; the near-duplicate stage leaves one row of it. Empty tables stay empty.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Filters judge rows, not ids: where doc_ids are null or
+repeat, rows are numbered first, so a row goes or stays by its own text. Of a group of near duplicates the row of least doc_id stays
+(a null one comes last, equal ones go by their number); rows without words are like no other and stay. Without a model (no positive training
+label) the quality stage keeps all rows. Very long texts are texts like others; null texts are empty ones, which the classifier
+judges. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm.common import materialise, table
@@ -18,37 +22,56 @@ from lumenlake.llm.quality import quality
 from lumenlake.llm.token_ids import token_ids
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in gone(gone_id)."""
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left_anti")
+def _told_apart(docs: DataFrame) -> bool:
+    """Whether each row has a doc_id of its own."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+
+
+def _kept(docs: DataFrame, gone: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Rows of docs without those that gone(docs, key) lists in a column `gone`: by doc_id, or by a number where that doesn't tell rows apart."""
+    names, key = docs.columns, "doc_id"
+    if not _told_apart(docs):
+        key = "row_of_stage"
+        while key in names:
+            key += "_"
+        docs = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    out = materialise(gone(docs, key), "gone")
+    return docs.join(out, F.col(key) == F.col("gone"), "left_anti").select(*(F.col(f"`{c}`") for c in names))
+
+
+def _as_id(docs: DataFrame, key: str) -> DataFrame:
+    """The texts under the column that tells rows apart."""
+    return docs.select(F.col(key).alias("doc_id"), "text")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    judged = materialise(quality(docs, table(spark, sf_dir, "labels")), "judged")
-    return _without(docs, judged.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("predicted").alias("p")).where("p = 0").select("gone_id"))
 
+    def gone(docs: DataFrame, key: str) -> DataFrame:
+        judged = quality(docs, table(spark, sf_dir, "labels"), key if key != "doc_id" else None)
+        return judged.where("fitted and predicted = 0").select(F.col("doc_id" if key == "doc_id" else "rid").alias("gone"))
 
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates stays."""
-    found = materialise(similar(docs), "components")
-    kept = _without(docs, found.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).alias("stays")).where("not stays").select("gone_id"))
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first: Column = F.row_number().over(_by_id())
-        kept = kept.withColumn("__turn", F.when(F.col("doc_id").isNull(), 1).otherwise(first)).where("__turn = 1").drop("__turn")
-    return kept
+    return _kept(docs, gone)
 
 
-def _by_id():
-    from pyspark.sql import Window
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+
+    def gone(docs: DataFrame, key: str) -> DataFrame:
+        found = similar(_as_id(docs, key))
+        if key == "doc_id":
+            return found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+        found = materialise(found.select(F.col("doc_id").alias("__row"), "component_id"), "components")
+        named = found.join(docs.select(F.col(key).alias("__row"), F.col("doc_id").alias("__id")), "__row")
+        first = named.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row"))["__row"].alias("stays"))
+        return found.join(first, "component_id").where("__row <> stays").select(F.col("__row").alias("gone"))
 
-    return Window.partitionBy("doc_id").orderBy("text")
+    return _kept(docs, gone)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, its numbers or names changed or not, go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, materialise(found.where("contaminated and doc_id is not null").select(F.col("doc_id").alias("gone_id")), "contaminated"))
+    return _kept(docs, lambda docs, key: decontaminate(_as_id(docs, key), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("gone")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
