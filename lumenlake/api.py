@@ -125,10 +125,24 @@ def find(files: DataFrame, query: str, intent: str = "explore", index: Index | N
     return search.search(files, query, intent, k=k, hits=hits, related=near.distinct().join(hits, "path", "left_anti"))
 
 
-def context(files: DataFrame, index: Index, task: str, max_tokens: int = 8000, detail: str = "balanced", changed: DataFrame | None = None) -> DataFrame:
+def plan_texts(plan: DataFrame, files: DataFrame, max_tokens: int) -> DataFrame:
+    """The entries of plans (of any number of tasks) that fit the budget, with the texts of their files, each read once in each form."""
+    entry = F.to_json(F.struct(*(c for c in ("rel", "role", "reason", "told", "names", "signatures", "previews") if c in plan.columns)))
+    sized = plan.withColumn("base_tokens", T.token_count(entry).cast("long"))
+    asked = sized.where("read_text").select("task", "rel", "mode")
+    every = plan.sparkSession.createDataFrame([], "path string, mode string, text string")
+    for m in ("full", "outline", "signatures"):
+        some = files.join(asked.where(F.col("mode") == m).select(F.col("rel").alias("path")).distinct(), "path", "left_semi")
+        every = every.unionByName(outline.read(some.select("path", "text"), m).select("path", "mode", "text"))
+    texts = asked.join(every.withColumnRenamed("path", "rel"), ["rel", "mode"]).select("task", "rel", "text")
+    return planning.with_texts(sized, texts, max_tokens)
+
+
+def context(files: DataFrame, index: Index, task: str, max_tokens: int = 8000, detail: str = "balanced", changed: DataFrame | None = None, texts: bool = False) -> DataFrame:
     """What to read for a task: the best files of its queries (six at most), what is linked with them, in what form and why.
 
-    changed: paths that a change touched; they are the seeds then, in their order."""
+    changed: paths that a change touched; they are the seeds then, in their order. texts: the texts of files that the plan wants read
+    come along, in their forms, as far as the budget of tokens goes."""
     spark = files.sparkSession
     job = spark.createDataFrame([(0, task)], "task int, text string")
     row = job.select(tasks.query_candidates(F.col("text")).alias("q"), T.infer_intent(F.col("text")).alias("i")).first()  # six queries
@@ -142,7 +156,8 @@ def context(files: DataFrame, index: Index, task: str, max_tokens: int = 8000, d
             best = find(files, q, row.i, index, 5)  # five rows
             rank = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("n_matches"), "path"))
             hits = hits.union(best.select(F.lit(0), F.lit(at), F.lit(q), rank, "path"))
-    return planning.context(job, hits, index.edges, index.symbols, max_tokens, detail)
+    plan = planning.context(job, hits, index.edges, index.symbols, max_tokens, detail)
+    return plan_texts(plan, files, max_tokens) if texts else plan
 
 
 def report(entries: DataFrame, as_of: Column, window: str = "7d", tool: str | None = None, session: object = None, active: DataFrame | None = None) -> DataFrame:

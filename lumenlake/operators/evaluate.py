@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def recall_at(expected: DataFrame, retrieved: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """expected(task, item), retrieved(task, item, rank): share of expected items within rank k; 1 where none are expected."""
@@ -20,9 +22,13 @@ def calibration(results: DataFrame) -> DataFrame:
 
 
 def summary(results: DataFrame, by: str | None = None) -> DataFrame:
-    """Averages and pass rates of results(recall, tokens, latency_ms, passed), of all or by a column."""
-    rows = results.groupBy(by) if by else results.groupBy()
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg(F.col("passed").cast("int")), 4).alias("pass_rate"), F.expr("percentile_disc(0.5) within group (order by latency_ms)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95"))
+    """Averages and pass rates of results(recall, tokens, latency_ms, passed), of all or by a column, and nearest-rank latencies."""
+    keys = [by] if by else []
+    means = results.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg(F.col("passed").cast("int")), 4).alias("pass_rate"))
+    late = ranks.percentiles(results, "latency_ms", keys, {"p50": 0.5, "p95": 0.95})
+    if not by:
+        return means.join(late, F.lit(True), "left")  # one row each
+    return means.join(late.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
 
 
 #: fixed values: the intent that a kind of task is searched with
@@ -32,13 +38,14 @@ INTENT_OF = {"find-definition": "implementation", "debug": "debug", "review": "i
 def matched(expected: DataFrame, retrieved: DataFrame) -> DataFrame:
     """(task, expected, rank) of expected(task, path) in retrieved(task, path, rank): a path that ends with the expected one is it.
 
-    Ends are compared by an equi-join on the last part of the path first, so tasks with many paths aren't crossed."""
-    e = expected.select("task", F.col("path").alias("expected"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
-    r = retrieved.select("task", F.col("path").alias("got"), "rank", F.regexp_extract("path", r"([^/]*)$", 1).alias("last"))
-    # an expected path with a folder names the last part whole; one without may be the end of a name
-    whole = e.where(F.col("expected").contains("/")).join(r, (e.task == r.task) & (F.col("name") == F.col("last")))
-    part = e.where(~F.col("expected").contains("/")).join(r, e.task == r.task)
-    hit = whole.union(part).where(F.col("got").endswith(F.col("expected"))).groupBy(e.task, "expected").agg(F.min("rank").alias("rank"))
+    Both are met by the end of the last part of the path: whole if the expected path has a folder, else any end of it, which
+    each retrieved path has as many of as its name has letters; no path is held against all of its task."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    e = expected.select("task", F.col("path").alias("expected"), name.alias("end"), F.col("path").contains("/").alias("whole"))
+    r = retrieved.select("task", F.col("path").alias("got"), "rank", name.alias("name"))
+    ends = r.select("task", "got", "rank", F.col("name").alias("end"), F.lit(True).alias("whole"))
+    some = r.where("name <> ''").select("task", "got", "rank", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.right("name", n))).alias("end"), F.lit(False).alias("whole"))
+    hit = e.join(ends.union(some), ["task", "end", "whole"]).where(F.col("got").endswith(F.col("expected"))).groupBy("task", "expected").agg(F.min("rank").alias("rank"))
     return e.select("task", "expected").join(hit, ["task", "expected"], "left")
 
 

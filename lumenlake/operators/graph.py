@@ -116,6 +116,32 @@ def symbol_context(symbols: DataFrame, edges: DataFrame, files: DataFrame, impor
     return line.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= lines).select("name", "path", "relation", "other", "line_no", F.trim("line").alias("line"))
 
 
+#: Lines from a symbol's on in which types that are named belong to it
+NEAR_LINES = 30
+
+
+def types_near(symbols: DataFrame, files: DataFrame, index: DataFrame, lines: int = NEAR_LINES) -> DataFrame:
+    """(path, symbol, name, at, line) of the types that the index declares and that are named within `lines` lines from a symbol's on: each once, where it is named first.
+
+    symbols: (path, name, line); files: (path, text); index: (path, name, line). Symbols and names meet in stretches of `lines` lines, of which
+    a symbol's lie in two, so a long file with many of both is no single group. at: the file itself if it declares the type, else the first that does."""
+    wanted = index.select(F.col("name").alias("type"), F.col("path").alias("at")).where(F.col("type").rlike("^[A-Z][A-Za-z0-9_]+$")).distinct()
+    asked = symbols.select("path", F.col("name").alias("symbol"), F.col("line").alias("from")).distinct()
+    first = F.floor(F.col("from") / lines)
+    asked = asked.withColumn("stretch", F.explode(F.array(first, first + 1)))
+    text = files.select("path", "text").join(symbols.select("path").distinct(), "path", "left_semi")
+    row = text.select("path", F.posexplode(T.lines(F.col("text"))).alias("place", "said"))
+    named = row.select("path", (F.col("place") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("said", F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9_]+"), 0))).alias("type"))
+    named = named.join(wanted.select("type").distinct(), "type", "left_semi").withColumn("stretch", F.floor(F.col("line") / lines))
+    met = named.join(asked, ["path", "stretch"]).where((F.col("line") >= F.col("from")) & (F.col("line") < F.col("from") + lines) & (F.col("type") != F.col("symbol")))
+    seen = met.groupBy("path", "symbol", "type").agg(F.min("line").alias("line"))
+    # where a type is declared: by all files that do, the least path, and by the file itself
+    least = wanted.groupBy("type").agg(F.min("at").alias("least"))
+    own = wanted.select("type", F.col("at").alias("path"), F.lit(True).alias("own"))
+    out = seen.join(least, "type").join(own, ["type", "path"], "left")
+    return out.select("path", "symbol", F.col("type").alias("name"), F.when(F.col("own"), F.col("path")).otherwise(F.col("least")).alias("at"), "line")
+
+
 def stale(index: DataFrame, disk: DataFrame) -> DataFrame:
     """Paths on disk that are missing from the index or have another time, and indexed paths that are gone."""
     both = index.select("path", F.col("mtime").alias("old")).join(disk.select("path", F.col("mtime").alias("new")), "path", "full_outer")

@@ -35,17 +35,38 @@ def prefix_budget(items: DataFrame, group: str, order: list[Column], cost: str,
     return used.where((F.col("__used") <= budget) | (F.col("__rn") == 1)).drop("__rn", "__used")
 
 
-def skip_budget(costs: Column, budget: int) -> Column:
-    """Places (from 1) of the costs taken in order, skipping any that would overflow; the first is exempt."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("kept"))
+def skip_budget(costs: Column, budget: int, used: Column | int = 0, exempt: Column | None = None) -> Column:
+    """Places (from 1) of the costs taken in order, skipping any that would overflow what is `used` already.
+
+    exempt: the place (from 1) that is taken whatever it costs, the first unless told otherwise."""
+    used = F.lit(used) if isinstance(used, int) else used
+    free = F.lit(1) if exempt is None else exempt
+    start = F.struct(used.cast("long").alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("kept"))
 
     def step(s: Column, c: Column) -> Column:
-        ok = (s["at"] == 0) | (s["used"] + c <= budget)
+        ok = (s["at"] + 1 == free) | (s["used"] + c <= budget)
         return F.struct((s["used"] + F.when(ok, c).otherwise(0)).cast("long").alias("used"), (s["at"] + 1).alias("at"), F.when(ok, F.concat(s["kept"], F.array(s["at"] + 1))).otherwise(s["kept"]).alias("kept"))
 
     return F.aggregate(costs, start, step, lambda s: s["kept"])
 
 
+def with_texts(plan: DataFrame, texts: DataFrame, max_tokens: int, group: str = "task") -> DataFrame:
+    """(group, place, rel, ..., text, tokens) of plan(group, place, rel, base_tokens, read_text): what fits a budget of tokens.
+
+    Entries are taken in order as long as their own tokens fit, the first in any case; then the texts of those that ask for one
+    (texts: group, rel, text) in order, skipping what would overflow; the first entry's text is exempt. A group is a plan: some ten entries."""
+    kept = prefix_budget(plan, group, [F.col("place")], "base_tokens", max_tokens)
+    asked = kept.where("read_text").select(group, "place", "rel").join(texts.select(group, "rel", "text"), [group, "rel"]).where(F.col("text") != "")
+    costs = asked.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("place", T.token_count(F.col("text")).cast("long").alias("cost"), "rel", "text"))).alias("asked"))
+    total = kept.groupBy(group).agg(F.sum("base_tokens").alias("__used"), F.min("place").alias("__first"))
+    rows = costs.join(total, group)
+    exempt = F.array_position(F.transform("asked", lambda x: x["place"]), F.col("__first"))
+    chosen = skip_budget(F.transform("asked", lambda x: x["cost"]), max_tokens, F.col("__used"), exempt)
+    given = rows.select(group, F.explode(F.transform(chosen, lambda i: F.element_at("asked", i))).alias("g")).select(group, F.col("g.rel").alias("rel"), F.col("g.text").alias("text"), F.col("g.cost").alias("__cost"))
+    out = kept.join(given, [group, "rel"], "left")
+    return out.withColumn("tokens", F.col("base_tokens") + F.coalesce("__cost", F.lit(0))).drop("__cost")
+
+
 # ---- evidence -------------------------------------------------------------------------------------------------------
 
 
@@ -160,9 +181,8 @@ def with_symbols(candidates: DataFrame, symbols: DataFrame, wanted: DataFrame, g
     return out.withColumn("evidence", F.when(F.col("matched").isNotNull(), clean_evidence(F.concat("evidence", piece))).otherwise(F.col("evidence"))).withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
 
 
-def with_primary(candidates: DataFrame, group: str = "task", lead: int = 10) -> DataFrame:
-    """candidates(group, rel, role, evidence, matched, promotion) with one primary file a task: the most promoted, unless the
-    first primary one is more than `lead` ahead of it (which it is only by not being beaten); others fall back to their link."""
+def with_primary(candidates: DataFrame, group: str = "task") -> DataFrame:
+    """candidates(group, rel, role, evidence, matched, promotion) with one primary file a task, the most promoted; others fall back to their link."""
     w = Window.partitionBy(group)
     best = F.min_by("rel", F.struct(-F.col("promotion"), F.col("rel"))).over(w)
     marked = candidates.withColumn("__best", best)

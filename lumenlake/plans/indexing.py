@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import api
-from ..operators import symbols
+from ..operators import graph, planning, symbols
 from ..sources import scratch
 from .registry import _t, query
 
@@ -76,3 +76,45 @@ def script_symbols(spark, d):
 def script_links(spark, d):
     """What scripts take in and give out, in all forms of import and export."""
     return symbols.links(_scripts(spark, d))
+
+
+_TOP = "(select max(p_partkey) from part)"
+
+
+@query(
+    f"with d as (select p_partkey k, 't/' || p_partkey || '.py' path from part) "
+    "select path, 'f' || k symbol, 'A' || k \"name\", case when k % 4 = 0 then path else 'd/' || k || '.py' end \"at\", 1 line from d "
+    f"union all select path, 'f' || k, 'B' || (k + 1), 'd/' || (k + 1) || '.py', 22 from d where (k + 1) % 2 = 0 and k + 1 <= {_TOP} "
+    f"union all select path, 'g' || k, 'C' || (k + 2), 'd/' || (k + 2) || '.py', 37 from d where (k + 2) % 5 <> 0 and k + 2 <= {_TOP} "
+    "union all select path, 'g' || k, 'A' || k, case when k % 4 = 0 then path else 'd/' || k || '.py' end, 37 from d"
+)
+def symbol_types(spark, d):
+    """Types that are named within thirty lines of a symbol, and where they are declared; those further on are not of it."""
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    s = F.col("k").cast("string")
+    at = lambda n: (F.col("k") + n).cast("string")
+    pad = lambda n: F.repeat(F.lit("    pass\n"), n)
+    text = F.concat(F.lit("def f"), s, F.lit("(a: A"), s, F.lit("):\n"), pad(20), F.lit("    x: B"), at(1), F.lit("\n"), pad(12), F.lit("    y: C"), s, F.lit("\ndef g"), s, F.lit("():\n    return C"), at(2), F.lit(", A"), s)
+    path = F.concat(F.lit("t/"), s, F.lit(".py"))
+    files = part.select(path.alias("path"), text.alias("text"))
+    found = part.select(path.alias("path"), F.explode(F.array(F.struct(F.concat(F.lit("f"), s).alias("name"), F.lit(1).alias("line")), F.struct(F.concat(F.lit("g"), s).alias("name"), F.lit(36).alias("line")))).alias("x")).select("path", "x.*")
+    own = F.concat(F.lit("d/"), s, F.lit(".py"))
+    declared = part.select(own.alias("path"), F.concat(F.lit("A"), s).alias("name")).union(part.where("k % 2 = 0").select(own, F.concat(F.lit("B"), s))).union(part.where("k % 5 <> 0").select(own, F.concat(F.lit("C"), s))).union(part.where("k % 4 = 0").select(path, F.concat(F.lit("A"), s)))
+    return graph.types_near(found, files, declared.withColumn("line", F.lit(1)))
+
+
+@query(
+    "with recursive p as (select o_custkey task, row_number() over (partition by o_custkey order by o_orderkey) place, 5 + o_orderkey % 20 base, case when o_orderkey % 3 <> 0 then o_orderkey % 40 else 0 end cost from orders), "
+    "b as (select *, sum(base) over (partition by task order by place) s from p), kept as (select * from b where s <= 100 or place = 1), "
+    "f as (select task, 0::bigint place, sum(base)::bigint used, false given, 0::bigint base, 0::bigint cost from kept group by task "
+    "union all select k.task, k.place, f.used + case when k.cost > 0 and (k.place = 1 or f.used + k.cost <= 100) then k.cost else 0 end, k.cost > 0 and (k.place = 1 or f.used + k.cost <= 100), k.base, k.cost from f join kept k on k.task = f.task and k.place = f.place + 1) "
+    "select task, place, base + case when given then cost else 0 end tokens, given has_text from f where place > 0"
+)
+def plan_texts(spark, d):
+    """Plans of all customers: entries while they fit a budget, then texts in order, skipping what would overflow."""
+    from pyspark.sql import Window
+
+    k = F.col("o_orderkey")
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("task"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("place"), k.cast("string").alias("rel"), (5 + k % 20).alias("base_tokens"), (k % 3 != 0).alias("read_text"), F.repeat(F.lit("w "), (k % 40).cast("int")).alias("text"))
+    out = planning.with_texts(o.drop("text"), o.select("task", "rel", "text"), 100)
+    return out.select("task", "place", "tokens", F.col("text").isNotNull().alias("has_text"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import compress, evaluate, graph, metrics, outline, patterns, planning, search, sessions, state, symbols
+from ..operators import compress, evaluate, graph, metrics, outline, patterns, planning, ranks, search, sessions, state, symbols
 from ..streaming import streams
 from . import fixed as X
 
@@ -127,7 +127,8 @@ def metrics_overhead(spark, d):
 
 @query("select event_type tool, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.95) p95 from events group by 1")
 def latency_percentiles(spark, d):
-    return _t(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(metrics.percentile("value", 0.5).alias("p50"), metrics.percentile("value", 0.95).alias("p95"))
+    """Exact percentiles by counts of ranges."""
+    return ranks.percentiles(_t(spark, d, "events").withColumnRenamed("event_type", "tool"), "value", ["tool"], {"p50": 0.5, "p95": 0.95})
 
 
 @query(f"select tool, {_M} from {_E} where session_id = 7 group by 1 order by saved_tokens desc, n desc, tool limit 3")

@@ -126,13 +126,13 @@ def seed_merge(spark, d):
     return s.select("task", "rel", "query_at", F.col("rank_at").cast("int").alias("rank_at"), F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["query"], e["rank"].cast("string"))), " ").alias("found"))
 
 
-_SEED = f"(select doc_id % 7 task, path rel, doc_id from {_SRC} where path not like '%.test.js' and doc_id % 11 = 0)"
+_SEED = f"(select doc_id % 7 task, path rel, doc_id from {_SRC} where path not like '%.test.js')"
 _NEAR = f"(select task, rel, 0 o, 'primary' \"role\", null via from {_SEED} union all select s.task, t.path, 1, 'test', s.rel from {_SEED} s join {_SRC} t using (doc_id) where t.path like '%.test.js' union all select s.task, t.path, 2, 'dependency', s.rel from {_SEED} s join {_SRC} t on t.doc_id = s.doc_id + 40 where t.path not like '%.test.js' union all select s.task, t.path, 3, 'dependent', s.rel from {_SEED} s join {_SRC} t on t.doc_id = s.doc_id - 40 where t.path not like '%.test.js')"
 _EXPANDED = f"(select task, rel, arg_min(\"role\", o) \"role\", coalesce(string_agg(case o when 1 then 'testOf' when 2 then 'dependencyOf' else 'dependentOf' end || ':' || via, ' ' order by o, via) filter (via is not null), '') via from {_NEAR} group by 1, 2)"
 
 
 def _expanded(spark, d):
-    seeds = _sources(spark, d).where(~T.is_test_path(F.col("path")) & (F.col("doc_id") % 11 == 0)).select((F.col("doc_id") % 7).alias("task"), F.col("path").alias("rel"))
+    seeds = _sources(spark, d).where(~T.is_test_path(F.col("path"))).select((F.col("doc_id") % 7).alias("task"), F.col("path").alias("rel"))
     return planning.expand(seeds.withColumn("evidence", F.array().cast(planning.EVIDENCE)), _edges(spark, d))
 
 
@@ -181,27 +181,31 @@ def symbol_previews(spark, d):
     return of.select("path", F.array_join(F.transform(shown, lambda p: F.concat_ws(":", p["name"], p["kind"])), ",").alias("shown"))
 
 
-@query(f"select distinct task, rel, 'search' via from {_SEED} union all select t.intent, p.rel, 'prefetch' from (select distinct task intent from {_SEED}) t, (select 'c/1' rel) p where false")
+@query(
+    f"with s as (select distinct task, rel from {_SEED}), p as (select user_id % 7 task, event_type || '/' || event_id % 13 path, round(count(*) filter (value > 35) / count(*), 4) score from events group by 1, 2) "
+    "select task, rel, 'search' via from s union all select p.task, path, 'prefetch' from p join (select distinct task from s) t on p.task = t.task where score >= 0.6 and not exists (select 1 from s where s.task = p.task and s.rel = path)"
+)
 def seed_prefetch(spark, d):
-    """Seeds with the files of predictions: none is sure enough here, so the seeds stay as they are."""
-    seeds = _sources(spark, d).where(~T.is_test_path(F.col("path")) & (F.col("doc_id") % 11 == 0)).select((F.col("doc_id") % 7).alias("task"), F.col("path").alias("rel"))
-    predicted = seeds.select("task", F.lit("c/1").alias("path"), F.lit(0.59).alias("score"))
+    """Seeds with the files of predictions that are sure enough, by shares of events on both sides of the limit."""
+    seeds = _sources(spark, d).where(~T.is_test_path(F.col("path"))).select((F.col("doc_id") % 7).alias("task"), F.col("path").alias("rel"))
+    path = F.concat("event_type", F.lit("/"), (F.col("event_id") % 13).cast("string")).alias("path")
+    predicted = _t(spark, d, "events").groupBy((F.col("user_id") % 7).alias("task"), path).agg(F.round(F.count_if(F.col("value") > 35) / F.count("*"), 4).alias("score"))
     return patterns.prefetched(seeds, predicted)
 
 
 # ---- evaluation ---------------------------------------------------------------------------------------------------------------
 
-_EXPECTED = "(select o_custkey % 50 task, 'm/' || (o_orderkey % 31) || '.js' path from orders where o_orderkey % 9 = 0 group by 1, 2)"
+_EXPECTED = "(select o_custkey % 50 task, 'm/' || (o_orderkey % 31) || '.js' path from orders where o_orderpriority = '1-URGENT' group by 1, 2)"
 _GOT = "(select task, path, row_number() over (partition by task order by p desc, path) rank from (select o_custkey % 50 task, '/app/m/' || (o_orderkey % 31) || '.js' path, max(o_totalprice) p from orders group by 1, 2))"
 
 
 def _retrieved(spark, d):
     from pyspark.sql import Window
 
-    o = _t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("task"), F.concat(F.lit("m/"), (F.col("o_orderkey") % 31).cast("string"), F.lit(".js")).alias("path"), "o_totalprice", "o_orderkey")
+    o = _t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("task"), F.concat(F.lit("m/"), (F.col("o_orderkey") % 31).cast("string"), F.lit(".js")).alias("path"), "o_totalprice", "o_orderpriority")
     got = o.groupBy("task", F.concat(F.lit("/app/"), "path").alias("path")).agg(F.max("o_totalprice").alias("p"))
     got = got.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("p"), "path"))).drop("p")
-    return o.where("o_orderkey % 9 = 0").select("task", "path").distinct(), got
+    return o.where("o_orderpriority = '1-URGENT'").select("task", "path").distinct(), got
 
 
 @query(f"select t.task, coalesce(count(*) filter (g.rank <= 5) / nullif(count(e.path), 0), 1) precision5, coalesce(count(*) filter (g.rank <= 10) / nullif(count(e.path), 0), 1) precision10, count(e.path) > 0 and count(*) filter (g.rank = 1) = 0 wrong_first from (select distinct o_custkey % 50 task from orders) t left join {_EXPECTED} e using (task) left join {_GOT} g on g.task = e.task and ends_with(g.path, e.path) group by 1")

@@ -158,11 +158,11 @@ def log_rotate(spark, d):
     return files.rotated(e, "event_id", most=4000).select("event_id")
 
 
-@query("select event_id from events where event_id % 4 = 0 and event_id % 3 > 0")
+@query("select event_id from events where (event_type = 'click' or value > 60) and event_type <> 'error'")
 def changed_paths(spark, d):
-    """Changed files that are there: listed ones and untracked ones, each once."""
-    e = _t(spark, d, "events").select(F.col("event_id").cast("string").alias("path"), "event_id")
-    there, _ = files.changed_files(e.where("event_id % 8 = 0").select("path"), e.where("event_id % 4 = 0").select("path"), e.where("event_id % 3 > 0").select("path"))
+    """Changed files that are there: listed ones and untracked ones, which overlap in part, each once."""
+    e = _t(spark, d, "events").withColumn("path", F.col("event_id").cast("string"))
+    there, _ = files.changed_files(e.where("event_type in ('click', 'error')").select("path"), e.where("value > 60").select("path"), e.where("event_type <> 'error'").select("path"))
     return there.select(F.col("path").cast("long").alias("event_id"))
 
 
@@ -275,3 +275,31 @@ def session_fold(spark, d):
     old = e.where("user_id % 3 = 0").select(F.col("user_id").alias("session_id")).distinct().select("session_id", F.lit("old goal").alias("goal"), F.lit("planning").alias("status"), F.lit("old step").alias("next_step"), lit("x", "c1", "x").alias("completed"), lit("old").alias("blockers"), F.concat(F.lit("at "), F.col("session_id").cast("string")).alias("created"))
     out = sessions.fold(old, new, ["at"], kept=("created",))
     return out.select("session_id", "goal", "status", "next_step", F.array_join("blockers", ",").alias("blockers"), F.array_join("completed", ",").alias("completed"), "completed_count", "created")
+
+
+# ---- summaries that must shrink -------------------------------------------------------------------------------------------------
+
+
+def _tokens(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]'))"
+
+
+@query(
+    # of the JSON of a summary 34 tokens are left without those of its goal, 27 without the goal at all, 9 of the status alone
+    "with recursive s as (select event_id k, case when event_id % 3 = 0 then repeat('word ', (event_id % 80 + 1)::int) else event_type || ' of a goal with ' || event_id || ' words' end g from events), "
+    f"r as (select k, g, 0 step from s union all select k, g[1 : greatest(4, floor(length(g) * 0.6)::int) - 3] || '...', step + 1 from r where {_tokens('g')} + 34 > 60 and length(g) > 12), "
+    f"f as (select k, arg_max(g, step) g, max(step) n, arg_max({_tokens('g')}, step) t from r group by k) "
+    "select k::varchar session_id, 60 budget, case when n = 0 then 'none' else 'trimmed' end \"level\", t + 34 tokens, g goal, '' omitted from f "
+    "union all select k::varchar, 30, 'reduced', 27, null, 'goal' from s union all select k::varchar, 20, 'status_only', 9, null, 'completed_count,decisions_count,goal,touched_files_count' from s"
+)
+def summary_levels(spark, d):
+    """Summaries of goals of many lengths under three budgets: as they are, shortened step by step, without a goal, and the status alone."""
+    i = F.col("event_id")
+    goal = F.when(i % 3 == 0, F.repeat(F.lit("word "), (i % 80 + 1).cast("int"))).otherwise(F.concat("event_type", F.lit(" of a goal with "), i.cast("string"), F.lit(" words")))
+    none = F.array().cast("array<string>")
+    s = _t(spark, d, "events").select(i.cast("string").alias("session_id"), F.lit("planning").alias("status"), goal.alias("goal"), *(F.lit("").alias(c) for c in ("current_focus", "why_blocked", "next_step")), *(none.alias(c) for c in sessions.LISTS))
+    out = None
+    for budget in (60, 30, 20):
+        got = sessions.summary(s, budget).select("session_id", F.lit(budget).alias("budget"), "level", F.col("tokens").cast("long").alias("tokens"), F.get_json_object("text", "$.goal").alias("goal"), F.array_join("omitted", ",").alias("omitted"))
+        out = got if out is None else out.union(got)
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +26,17 @@ def manifest(spark: SparkSession, root: str) -> dict | None:
     return best if best and best["schema"] == VERSION else None
 
 
-def write(df: DataFrame, root: str, partition_by: list[str] | None = None) -> int:
-    """Write a new version. The folder of a version is claimed by creating its mark, which only one writer can; another takes the next."""
+class Conflict(Exception):
+    """Another writer has the version that was to follow the one read."""
+
+
+def write(df: DataFrame, root: str, partition_by: list[str] | None = None, after: int | None = None) -> int:
+    """Write a new version. The folder of a version is claimed by creating its mark, which only one writer can; another takes the next.
+
+    after: the version that df was made from; if the next one is another writer's, Conflict is raised and nothing written."""
     spark = df.sparkSession
-    now = manifest(spark, root)
-    version = (now["version"] if now else 0) + 1
+    now = manifest(spark, root) if after is None else None
+    version = (after if after is not None else now["version"] if now else 0) + 1
     while True:
         fs, mark = _fs(spark, f"{root}/_claims/v{version}")
         fs.mkdirs(mark.getParent())
@@ -39,6 +46,8 @@ def write(df: DataFrame, root: str, partition_by: list[str] | None = None) -> in
             claimed = False
         if claimed:
             break
+        if after is not None:
+            raise Conflict(version)
         version += 1
     w = df.write.mode("errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{root}/v{version}")
@@ -63,11 +72,20 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted({json.loads(r.value)["version"] for r in spark.read.text(f"{root}/_manifest").collect()})
 
 
-def set_meta(spark: SparkSession, root: str, **values: str) -> int:
-    """Put values under keys; the others stay."""
-    old = read(spark, root)
+def set_meta(spark: SparkSession, root: str, tries: int = 60, **values: str) -> int:
+    """Put values under keys; the others stay, whoever writes at the same time: a version is made from the one just before it, or made again.
+
+    A writer that died with a version claimed and not finished stops the others after `tries` half seconds with TimeoutError."""
     new = spark.createDataFrame(list(values.items()), "key string, value string")
-    return write(new if old is None else old.join(new.select("key"), "key", "left_anti").unionByName(new), root)
+    for _ in range(tries):
+        now = manifest(spark, root)
+        version = now["version"] if now else 0
+        old = read(spark, root, version) if version else None
+        try:
+            return write(new if old is None else old.join(new.select("key"), "key", "left_anti").unionByName(new), root, after=version)
+        except Conflict:
+            time.sleep(0.5)
+    raise TimeoutError(f"version {version + 1} of {root} is claimed and was never finished")
 
 
 def get_meta(spark: SparkSession, root: str, key: str) -> str | None:
