@@ -28,10 +28,10 @@ from .common import crc_mod, lean, materialise, per_batch, table, tuned
 
 #: Most labelled rows that the model is fitted on.
 POSITIVES = 6_000
-#: Steps of Newton's method at most, lengths that a step is tried in, weight of the squared weights, and change of the risk that ends it.
-STEPS, LENGTHS, RIDGE, ENOUGH = 15, 0.5 ** np.arange(8), 1e-3, 1e-7
-#: Rows of a block of features, and tasks that sums of tasks meet in.
-PACKED, MEET = 4096, 16
+#: Steps of Newton's method at most, lengths that a step is tried in, weights of the squared weights, and change of the risk that ends it.
+STEPS, LENGTHS, RIDGES, ENOUGH = 15, 0.5 ** np.arange(8), 1e-3 * 4.0 ** np.arange(9), 1e-6
+#: Rows of a block of features, tasks that sums of tasks meet in, and blocks that are added up without tasks if there are no more.
+PACKED, MEET, FEW = 4096, 16, 16
 THRESHOLD = 0.7
 FEATURES = 16
 _b = np.arange(256)
@@ -106,8 +106,11 @@ def packed(x: DataFrame) -> DataFrame:
     return x.select("x").mapInArrow(lean(run), "part long, body binary")
 
 
-def summed(blocks: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
-    """The sum of of(features) over all blocks, added up in the tasks, then in MEET of them, then here."""
+def summed(blocks: DataFrame | list[bytes], of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum of of(features) over all blocks, added up in the tasks, then in MEET of them, then here; a list of blocks is added up here."""
+    if isinstance(blocks, list):
+        parts = [of(np.frombuffer(x).reshape(-1, FEATURES)) for x in blocks]
+        return sum(parts) if parts else None
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, part = None, 0
@@ -131,8 +134,11 @@ def summed(blocks: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndar
 def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float) -> dict | None:
     """Weights that minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss l.
 
-    unlabelled: blocks of packed(). Where the second part is negative, its gradient counts the other way round, as the method says."""
+    unlabelled: blocks of packed(). The risk without the max() is convex and minimised as it is. Where its second part comes out
+    negative, few positives were learnt by heart, and the ridge grows until it isn't: then both risks are one."""
     wide = widen(positive)
+    few = unlabelled.limit(FEW + 1).collect()
+    unlabelled = [bytes(r.body) for r in few] if len(few) <= FEW else unlabelled
     moments = summed(unlabelled, lambda x: np.concatenate([[len(x)], widen(x).sum(0), (widen(x) ** 2).sum(0)]))
     if moments is None or not len(positive):
         return None
@@ -144,7 +150,7 @@ def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float) -> dict | Non
     ready = lambda x: np.append(np.clip((widen(x) - mean) / scale, -8, 8), np.ones((len(x), 1)), 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     p = ready(positive)
-    ridge = RIDGE * np.append(np.ones(k), 0)
+    bare = np.append(np.ones(k), 0)
     w = np.zeros(k + 1)
 
     def slope(w: np.ndarray) -> np.ndarray:
@@ -159,26 +165,27 @@ def fit(positive: np.ndarray, unlabelled: DataFrame, prior: float) -> dict | Non
         """E_u[l(-g)] for each column of weights."""
         return summed(unlabelled, lambda x: np.logaddexp(0, ready(x) @ ws).sum(0)) / n
 
-    def risk(ws: np.ndarray, of_u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def risk(ws: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+        """The unbiased risk of each column of weights with its ridge, and the part of it that is of negatives."""
         g = p @ ws
-        negative = of_u - prior * np.logaddexp(0, g).mean(0)
-        return prior * np.logaddexp(0, -g).mean(0) + np.maximum(0, negative) + (ridge[:, None] * ws**2).sum(0), negative
-
-    now, negative = risk(w[:, None], np.full(1, np.log(2)))
-    for _ in range(STEPS):
-        got = slope(w)
-        g = p @ w
-        s = sigmoid(g)
-        pos = -prior * (p * (1 - s)[:, None]).mean(0)
-        neg = got[: k + 1] - prior * (p * s[:, None]).mean(0)
-        curve = got[k + 1 :].reshape(k + 1, k + 1) + np.diag(2 * ridge + 1e-6)
-        step = np.linalg.solve(curve, (pos + neg if negative[0] >= 0 else -neg) + 2 * ridge * w)
-        tried = w[:, None] - step[:, None] * LENGTHS
-        after, negatives = risk(tried, losses(tried))
-        best = int(np.argmin(after))
-        if after[best] > now[0] - ENOUGH:
+        negative = losses(ws) - prior * np.logaddexp(0, g).mean(0)
+        return prior * np.logaddexp(0, -g).mean(0) + negative + ridge * (bare[:, None] * ws**2).sum(0), negative
+
+    for ridge in RIDGES:
+        now, negative = risk(w[:, None], ridge)
+        for _ in range(STEPS):
+            got = slope(w)
+            # the loss of a positive less that of a negative is the score itself
+            grad = got[: k + 1] - prior * p.mean(0) + 2 * ridge * bare * w
+            step = np.linalg.solve(got[k + 1 :].reshape(k + 1, k + 1) + np.diag(2 * ridge * bare + 1e-9), grad)
+            tried = w[:, None] - step[:, None] * LENGTHS
+            after, negatives = risk(tried, ridge)
+            best = int(np.argmin(after))
+            if not after[best] < now[0] - ENOUGH:
+                break
+            w, now, negative = tried[:, best], after[[best]], negatives[[best]]
+        if negative[0] >= 0:
             break
-        w, now, negative = tried[:, best], after[[best]], negatives[[best]]
     return {"w": w, "mean": mean, "scale": scale}
 
 
