@@ -166,12 +166,19 @@ def report(entries: DataFrame, as_of: Column, window: str = "7d", tool: str | No
     if tool is not None:
         e = e.where(F.col("tool") == tool)
     if session == "active":
-        e = e.join(F.broadcast(active.select("session_id")), "session_id", "left_semi")
+        e = e.join(F.broadcast(active.select("session_id").limit(1)), "session_id", "left_semi")
     elif session is not None:
         e = e.where(F.col("session_id") == session)
     return metrics.report(e)
 
 
+def full_report(entries: DataFrame, as_of: Column, window: str = "7d", latest: int = 5, **which: object) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals by tool and of all, overhead by tool, the latest entries) of a window; which: as of report()."""
+    e = metrics.within(metrics.normalised(entries), window, as_of)
+    costs = e if "overhead_tokens" in e.columns else e.withColumn("overhead_tokens", F.lit(0).cast("long"))
+    return report(entries, as_of, window, **which), metrics.overhead(costs), metrics.latest(e, latest)
+
+
 def turn_start(prompts: DataFrame, found: DataFrame) -> DataFrame:
     """prompts(turn, prompt, session_id) with the state they begin in, whether the session is gone on with, and a focus for a new one.
 

@@ -14,6 +14,11 @@ def recall_at(expected: DataFrame, retrieved: DataFrame, ks: tuple[int, ...] = (
     return hits.groupBy("task").agg(F.count("*").alias("n_expected"), *((F.count_if(F.col("rank") <= k) / F.count("*")).alias(f"recall{k}") for k in ks))
 
 
+def recall_of_ranks(ranked: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """recall_at() where all that is expected was retrieved: ranked(task, item, rank), read once."""
+    return ranked.groupBy("task").agg(F.count("*").alias("n_expected"), *((F.count_if(F.col("rank") <= k) / F.count("*")).alias(f"recall{k}") for k in ks))
+
+
 def calibration(results: DataFrame) -> DataFrame:
     """results(high boolean, passed boolean): shares of the four combinations."""
     n = F.count("*")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import scratch
 
 # fixed values: what an import may leave out, in order, and where what a test tests may lie
 EXTENSIONS = ["", ".js", ".ts", ".tsx", ".jsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.tsx", "/index.jsx"]
@@ -15,8 +16,14 @@ TEST_END = r"\.(?:test|spec)\.[^.]+$|Tests?\.(cs|kt|swift)$|_test\.(cs|kt)$|Test
 
 
 def inverted_index(symbols: DataFrame) -> DataFrame:
-    """Postings by lower-cased name, in order of path and line."""
-    return symbols.groupBy(F.lower("name").alias("name")).agg(F.sort_array(F.collect_list(F.struct("path", "line", "kind"))).alias("postings"), F.count("*").alias("n"))
+    """symbols(name, ...) by lower-cased name, each row a posting with the number of its name's (n).
+
+    A posting is a row: a common name is many rows of a join that can be split, not one list. What symbols are made from is read once."""
+    spark = symbols.sparkSession
+    path = scratch.folder(spark, "postings")
+    symbols.withColumn("name", F.lower("name")).write.parquet(path)
+    rows = spark.read.schema(symbols.schema).parquet(path)
+    return rows.join(rows.groupBy("name").agg(F.count("*").alias("n")), "name")
 
 
 def import_tries(imports: DataFrame) -> DataFrame:

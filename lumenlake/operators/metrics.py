@@ -32,6 +32,13 @@ def report(entries: DataFrame) -> DataFrame:
     return entries.rollup("tool").agg(*_measures())
 
 
+def overhead(entries: DataFrame, tokens: str = "overhead_tokens") -> DataFrame:
+    """(tool, n, overhead_tokens, overhead_pct) of entries that cost tokens beside what they save: pct of the raw tokens of all entries."""
+    raw = entries.agg(F.sum("raw_tokens").alias("__raw"))  # one row
+    by = entries.where(F.col(tokens) > 0).groupBy("tool").agg(F.count("*").alias("n"), F.sum(tokens).cast("long").alias("overhead_tokens"))
+    return by.crossJoin(F.broadcast(raw)).select("tool", "n", "overhead_tokens", percent(F.col("overhead_tokens"), F.col("__raw")).alias("overhead_pct"))
+
+
 def within(entries: DataFrame, window: str, as_of: Column, ts: str = "created_at") -> DataFrame:
     """Entries of the last 24h, 7d or 30d before as_of, or all; an unknown window counts as 7d."""
     return entries if window == "all" else entries.where(F.col(ts) >= as_of - F.expr(WINDOWS.get(window, WINDOWS["7d"])))

@@ -111,3 +111,11 @@ def compact(matches: DataFrame, files: DataFrame, query: str, root: str, key: st
     head = [F.lit(f"query: {query}"), F.lit(f"root: {root}"), F.concat(F.lit("total matches: "), F.col("total").cast("string")), F.concat(F.lit("matched files: "), F.col("n_files").cast("string")), F.lit(""), F.lit("# Top files")]
     long = F.concat(F.array(*head), get("heads"), F.array(F.lit(""), F.lit("# Sample matches")), get("some"))
     return row.select(T.truncate(F.array_join(F.when(F.coalesce(F.col("total"), F.lit(0)) <= 20, get("all")).otherwise(long), "\n"), 5000).alias("text"))
+
+
+def confidence(passed_over: DataFrame, whole: bool = False) -> DataFrame:
+    """One row: how sure a search is of having seen all: high if it read `whole` tables, else medium, or low if any file was passed over.
+
+    passed_over: (reason, n) of files that were not read."""
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return passed_over.agg(F.when(F.lit(whole), "high").when(n > 0, "low").otherwise("medium").alias("confidence"), n.cast("long").alias("skipped"))

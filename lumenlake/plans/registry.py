@@ -120,9 +120,9 @@ def metrics_latest_n(spark, d):
     return metrics.latest(_entries(spark, d), 20).select("metric_id", "tool", "session_id")
 
 
-@query("select event_type tool, count(*) n, sum((props::json->>'k')::bigint)::bigint overhead_tokens from events where (props::json->>'k')::bigint > 0 group by 1")
+@query("select event_type tool, count(*) n, sum((props::json->>'k')::bigint)::bigint overhead_tokens, round(sum((props::json->>'k')::bigint) / (select sum(floor(value)::bigint) from events) * 100, 2) overhead_pct from events where (props::json->>'k')::bigint > 0 group by 1")
 def metrics_overhead(spark, d):
-    return _entries(spark, d).where("compressed_tokens > 0").groupBy("tool").agg(F.count("*").alias("n"), F.sum("compressed_tokens").alias("overhead_tokens"))
+    return metrics.overhead(_entries(spark, d), "compressed_tokens")
 
 
 @query("select event_type tool, quantile_disc(value, 0.5) p50, quantile_disc(value, 0.95) p95 from events group by 1")
@@ -296,8 +296,7 @@ def pattern_predict(spark, d):
 def inverted_index_postings(spark, d):
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     names = _t(spark, d, "documents").select("doc_id", F.explode(words).alias("name")).where("name <> ''").distinct()
-    # a posting is a row: a common name is many rows of a join that can be split, not one list
-    return names.join(names.groupBy("name").agg(F.count("*").alias("n")), "name").select("name", F.col("doc_id").alias("path"), "n")
+    return graph.inverted_index(names).select("name", F.col("doc_id").alias("path"), "n")
 
 
 _SRC = "(select doc_id, 'src/m' || (doc_id % 40) || '/f' || doc_id || '.js' path from documents union all select doc_id, 'src/m' || (doc_id % 40) || '/f' || doc_id || '.test.js' from documents where doc_id % 3 = 0)"
@@ -368,7 +367,7 @@ def index_freshness(spark, d):
 def eval_recall_at_k(spark, d):
     found = evaluate.containing(_t(spark, d, "documents").select(F.col("doc_id").alias("item"), "text"), _t(spark, d, "benchmark").select(F.col("item_id").alias("task"), F.col("text").alias("want"))).select("task", "item")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy("item")))
-    return evaluate.recall_at(found, ranked, (1, 5))
+    return evaluate.recall_of_ranks(ranked, (1, 5))
 
 
 @query("select count(*) n, round(count(*) filter (quality = 1 and toxic = 0) / count(*), 4) high_pass, round(count(*) filter (quality = 1 and toxic = 1) / count(*), 4) high_fail, round(count(*) filter (quality = 0 and toxic = 0) / count(*), 4) low_pass, round(count(*) filter (quality = 0 and toxic = 1) / count(*), 4) low_fail from labels")

@@ -193,6 +193,16 @@ def seed_prefetch(spark, d):
     return patterns.prefetched(seeds, predicted)
 
 
+@query("with c as (select distinct user_id % 7 task, user_id rel from events), w as (select distinct user_id % 7 task, event_type low from events where event_id % 5 = user_id % 7), h as (select distinct c.task, c.rel, upper(e.event_type) n from c join events e on e.user_id = c.rel join w on w.task = c.task and w.low = e.event_type) select c.task, c.rel, coalesce((select array_to_string(list_sort(list(n))[1:3], ',') from h where h.task = c.task and h.rel = c.rel), '') matched, coalesce((select array_to_string(list_sort(list(n))[1:3], ',') from h where h.task = c.task and h.rel = c.rel), '') evidence from c")
+def symbol_evidence(spark, d):
+    """Candidates with the symbols of their task that they hold, whatever the case, three at most, and evidence of them."""
+    e = _t(spark, d, "events").withColumn("task", F.col("user_id") % 7)
+    candidates = e.select("task", F.col("user_id").alias("rel")).distinct().withColumn("evidence", F.array().cast(planning.EVIDENCE))
+    wanted = e.where("event_id % 5 = user_id % 7").select("task", F.col("event_type").alias("name")).distinct()
+    out = planning.with_symbols(candidates, e.select(F.col("user_id").alias("path"), F.upper("event_type").alias("name")), wanted)
+    return out.select("task", "rel", F.array_join("matched", ",").alias("matched"), F.array_join(F.flatten(F.transform("evidence", lambda x: x["symbols"])), ",").alias("evidence"))
+
+
 # ---- evaluation ---------------------------------------------------------------------------------------------------------------
 
 _EXPECTED = "(select o_custkey % 50 task, 'm/' || (o_orderkey % 31) || '.js' path from orders where o_orderpriority = '1-URGENT' group by 1, 2)"

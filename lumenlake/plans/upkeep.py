@@ -303,3 +303,39 @@ def summary_levels(spark, d):
         got = sessions.summary(s, budget).select("session_id", F.lit(budget).alias("budget"), "level", F.col("tokens").cast("long").alias("tokens"), F.get_json_object("text", "$.goal").alias("goal"), F.array_join("omitted", ",").alias("omitted"))
         out = got if out is None else out.union(got)
     return out
+
+
+# ---- single rules ------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"with s as (select *, (['planning', 'odd', 'blocked', 'completed'])[session_id % 4 + 1] st from {_S}), a as (select case st when 'odd' then 'in_progress' else st end st, u < (select max(u) from s) - interval 2 days stale from s) select st status, count(*) n, count(*) filter (stale) n_stale from a group by 1 union all select null, count(*), count(*) filter (stale) from a")
+def session_totals(spark, d):
+    """Sessions by status and of all, and how many of them are stale (two days here stand for the rule's thirty)."""
+    s = _sessions(spark, d).withColumn("status", F.element_at(F.array(*(F.lit(x) for x in ("planning", "odd", "blocked", "completed"))), (F.col("session_id") % 4 + 1).cast("int")))
+    as_of = s.agg((F.max("updated_at") + F.expr("INTERVAL 28 DAYS")).alias("as_of"))
+    return sessions.totals(s.crossJoin(F.broadcast(as_of)), F.col("as_of"))
+
+
+@query("select doc_id, '2026-02-03-' || left(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), 30) session_id from documents")
+def session_ids(spark, d):
+    """Ids of sessions made from their goals."""
+    goal = F.coalesce("text", F.lit(""))
+    return _t(spark, d, "documents").select("doc_id", T.session_id(goal, F.lit("2026-02-03").cast("date")).alias("session_id"))
+
+
+@query("select event_id, case when event_id % 2 = 0 then 'blocked' else 'in_progress' end || ' next ' || event_id || ' pin ' || event_type || '  ' || case when event_id % 2 = 0 then ' stuck' else ' ' end || ' goal done1 done2 done3  .../x/y/z' said from events")
+def summary_text(spark, d):
+    """All that a summary says, as one text."""
+    i = F.col("event_id")
+    s = i.cast("string")
+    none = F.array().cast("array<string>")
+    rows = _t(spark, d, "events").select("event_id", F.when(i % 2 == 0, "blocked").otherwise("odd").alias("status"), F.concat(F.lit("next "), s).alias("next_step"), F.array(F.concat(F.lit("pin "), "event_type"), F.lit(" ")).alias("pinned_context"), none.alias("unresolved_questions"), F.lit(" ").alias("current_focus"), F.lit("stuck").alias("why_blocked"), F.lit("goal").alias("goal"), F.array(*(F.lit(f"done{k}") for k in range(4))).alias("completed"), none.alias("decisions"), none.alias("blockers"), F.array(F.lit("a/long/path/w/x/y/z")).alias("touched_files"))
+    return rows.withColumn("f", sessions.summary_fields()).select("event_id", sessions.said(F.col("f")).alias("said"))
+
+
+@query("with n as (select event_type || '/' || user_id k, event_id from events where value > 20), o as (select event_type || '/' || user_id k from events where user_id % 3 = 0) select k \"key\", min(event_id) event_id from n where k not in (select k from o) group by 1")
+def insert_once(spark, d):
+    """Entries whose key isn't there yet, each key once."""
+    k = F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("key")
+    e = _t(spark, d, "events")
+    return state.insert_new(e.where("value > 20").select(k, "event_id"), e.where("user_id % 3 = 0").select(k), "key")

@@ -59,6 +59,21 @@ def searched(spark: SparkSession, root: str) -> DataFrame:
     return _walk(spark, root, IGNORED, wanted, MOST_SEARCHED)
 
 
+def passed_over(spark: SparkSession, root: str, most: int = MOST_SEARCHED) -> DataFrame:
+    """(reason, n) of the files below root that a search doesn't read though their kind is wanted: too large, or binary; those of ignored folders don't count."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("path", below(root))
+    skip = F.col("path").rlike("(^|/)(" + "|".join(x.replace(".", r"\.") for x in IGNORED) + ")/")
+    wanted = F.col("path").rlike(rf"\.({'|'.join(SEARCHED)})$") & ~T.basename(F.col("path")).isin(LOCKS)
+    why = F.when(F.col("length") > most, "too large").when(is_binary(F.col("content")), "binary")
+    return every.where(wanted & ~skip).select(why.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def one_file(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """path, mtime, text of one file below root; an error if the path leads out of it."""
+    full = inside(path, root)
+    return spark.read.format("binaryFile").load(full).select(F.lit(path).alias("path"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
+
+
 def metric_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, bad lines) of JSON lines; lines are counted by file, after blank ones are left out.
 

@@ -101,3 +101,35 @@ def test_two_writers_keep_both_keys(spark, tmp_path):
         done = [pool.submit(store.set_meta, spark, root, **{k: "1"}) for k in "bcd"]
         assert sorted(x.result() for x in done) == [2, 3, 4]
     assert {k: store.get_meta(spark, root, k) for k in "abcd"} == {"a": "0", "b": "1", "c": "1", "d": "1"}
+
+
+def test_files_passed_over_and_single_ones(spark, tmp_path):
+    import pytest
+
+    from lumenlake.operators import search
+    from lumenlake.sources import files
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "node_modules").mkdir()
+    for name, body in (("src/a.py", b"x = 1\n"), ("src/b.py", b"x\x00y"), ("src/c.md", b"y" * 2000), ("src/d.bin", b"\x00"), ("node_modules/e.js", b"\x00"), ("yarn.lock", b"z")):
+        (tmp_path / name).write_bytes(body)
+    over = files.passed_over(spark, str(tmp_path), most=1000)
+    assert {(r.reason, r.n) for r in over.collect()} == {("binary", 1), ("too large", 1)}
+    assert tuple(search.confidence(over).first()) == ("low", 2) and tuple(search.confidence(over.limit(0)).first()) == ("medium", 0) and search.confidence(over, whole=True).first().confidence == "high"
+    assert files.one_file(spark, str(tmp_path), "src/../src/a.py").first().text == "x = 1\n"
+    with pytest.raises(ValueError):
+        files.one_file(spark, str(tmp_path), "../a.py")
+
+
+def test_full_report(spark):
+    import datetime as dt
+
+    from lumenlake import api
+
+    day = lambda n: dt.datetime(2026, 1, n)
+    rows = [("read", 100, 20, 0, day(9), 1), ("read", 50, 60, 5, day(8), 2), ("find", 0, 0, 7, day(9), 3), (None, 10, None, 0, day(1), 4)]
+    e = spark.createDataFrame(rows, "tool string, raw_tokens long, final_tokens long, overhead_tokens long, created_at timestamp, metric_id int").withColumns({"compressed_tokens": F.lit(None).cast("long"), "saved_tokens": F.lit(None).cast("long"), "session_id": F.lit("s")})
+    totals, costs, latest = api.full_report(e, F.lit(day(10)), "7d", 2)
+    assert {(r.tool, r.n, r.saved_tokens) for r in totals.collect()} == {("read", 2, 80), ("find", 1, 0), (None, 3, 80)}
+    assert {(r.tool, r.overhead_tokens, r.overhead_pct) for r in costs.collect()} == {("read", 5, 3.33), ("find", 7, 4.67)}
+    assert [r.metric_id for r in latest.collect()] == [3, 1]
