@@ -199,6 +199,11 @@ def session_id(goal: Column, day: Column) -> Column:
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("-"), F.left(F.regexp_replace(F.lower(goal), "[^a-z0-9]+", "-"), F.lit(30)))
 
 
+def to_time(value: Column, fallback: Column) -> Column:
+    """The time that an ISO text says; the fallback (now for what is stored, the epoch for metrics) if it says none."""
+    return F.coalesce(F.try_to_timestamp(value), fallback)
+
+
 def merge_unique(*lists: Column) -> Column:
     """Ordered union of the strings that aren't blank."""
     out = lists[0]

@@ -19,6 +19,25 @@ def normalised(entries: DataFrame) -> DataFrame:
     return entries.withColumns({"tool": F.coalesce("tool", F.lit("unknown")), "raw_tokens": raw, "compressed_tokens": compressed, "saved_tokens": F.coalesce(F.col("saved_tokens").cast("long"), F.greatest(raw - compressed, F.lit(0)))})
 
 
+#: columns of an entry that have a place of their own; all others go to its metadata
+OWN = ["metric_id", "tool", "action", "target", "session_id", "created_at", "raw_tokens", "compressed_tokens", "final_tokens", "saved_tokens", "savings_pct", "latency_ms", "metadata"]
+
+
+def stored(entries: DataFrame) -> DataFrame:
+    """Entries as they are kept: defaults and savings of normalised(), the percentage worked out (one that was given holds where
+    there are no raw tokens), and every other column in the JSON of the metadata, beside what is there."""
+    names = entries.columns
+    rest = [c for c in names if c not in OWN]
+    given = F.col("savings_pct").cast("double") if "savings_pct" in names else F.lit(None).cast("double")
+    out = normalised(entries)
+    pct = F.when(F.col("raw_tokens") > 0, F.round(F.col("saved_tokens") / F.col("raw_tokens") * 100, 2)).otherwise(F.coalesce(given, F.lit(0.0)))
+    had = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>")) if "metadata" in names else F.create_map().cast("map<string,string>")
+    own = F.create_map(*(x for c in rest for x in (F.lit(c), F.col(c).cast("string")))) if rest else F.create_map().cast("map<string,string>")
+    fresh = F.map_filter(own, lambda k, v: v.isNotNull())
+    metadata = F.to_json(F.map_concat(F.map_filter(had, lambda k, v: ~F.map_contains_key(fresh, k)), fresh))
+    return out.withColumns({"savings_pct": pct, "metadata": metadata}).drop(*rest)
+
+
 def _measures() -> list[Column]:
     return [F.count("*").alias("n"), F.sum("raw_tokens").alias("raw_tokens"), F.sum("compressed_tokens").alias("compressed_tokens"), F.sum("saved_tokens").alias("saved_tokens"), percent(F.sum("saved_tokens"), F.sum("raw_tokens")).alias("savings_pct")]
 

@@ -145,6 +145,12 @@ def merge_seeds(hits: DataFrame, group: str = "task", per_query: int = 5) -> Dat
     return out.select(group, "rel", clean_evidence(F.transform("e", lambda x: x["e"])).alias("evidence"), F.col("at.query_at").alias("query_at"), F.col("at.rank").alias("rank_at"))
 
 
+def best_seeds(seeds: DataFrame, points: str = "points", group: str = "task", k: int = 5) -> DataFrame:
+    """The k seeds of most points of each group; of equal ones the least path."""
+    w = Window.partitionBy(group).orderBy(F.desc(points), "rel")
+    return seeds.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn")
+
+
 def expand(seeds: DataFrame, edges: DataFrame, group: str = "task") -> DataFrame:
     """(group, rel, role, evidence): the seeds, and what they import, what imports them and what tests them, a step away.
 
@@ -256,6 +262,14 @@ def freshness(states: DataFrame, group: str, state: str = "state") -> DataFrame:
     return states.groupBy(group).agg(F.when(has("stale"), "stale").when(has("fresh"), "fresh").otherwise("unavailable").alias("freshness"))
 
 
+def index_freshness(known: DataFrame, disk: DataFrame, group: str) -> DataFrame:
+    """(group, freshness) by the times of files: stale if one that the index knows (group, path, mtime) has another time on disk (path, mtime), fresh if none
+    has, unavailable if the index knows none that is there."""
+    met = known.select(group, "path", F.col("mtime").alias("__known")).join(disk.select("path", F.col("mtime").alias("__now")), "path", "left")
+    state = F.when(F.col("__now").isNull(), F.lit(None)).when(F.floor("__known") != F.floor("__now"), "stale").otherwise("fresh")
+    return freshness(met.withColumn("state", state), group)
+
+
 def coverage(files: DataFrame, path: str = "path") -> DataFrame:
     """One row: how much of the graph is known of all these files, the least of what is known of each extension."""
     ext = T.extension(F.col(path))
@@ -319,7 +333,7 @@ def context(tasks_: DataFrame, hits: DataFrame, edges: DataFrame, symbols: DataF
     named = tasks_.select("task", T.infer_intent(F.col("text")).alias("intent"), tasks.path_hints(F.col("text")).alias("hints"), tasks.symbols(F.col("text")).alias("wanted"))
     merged = merge_seeds(hits).join(named, "task")
     merged = merged.withColumn("points", tasks.seed_score(F.col("rel"), F.col("evidence"), F.col("hints"), F.col("intent")))
-    best = merged.withColumn("__rn", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("points"), "rel"))).where("__rn <= 5")
+    best = best_seeds(merged)
     near = with_symbols(expand(best.select("task", "rel", "evidence"), edges), symbols, named.select("task", F.explode("wanted").alias("name"))).join(named.drop("wanted"), "task")
     near = near.withColumn("promotion", promotion(F.col("rel"), F.col("role"), F.col("evidence"), F.col("matched"), F.col("hints"), F.col("intent")))
     near = with_primary(near).withColumn("utility", utility(F.col("role"), F.col("evidence"), F.col("matched"), F.col("intent")).cast("double"))

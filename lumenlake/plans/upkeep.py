@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import metrics, sessions, state, turns
+from ..operators import metrics, planning, search, sessions, state, turns
 from ..sources import files
 from . import fixed as X
 from .registry import _log, _signature_sql, _t, query
@@ -339,3 +339,46 @@ def insert_once(spark, d):
     k = F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("key")
     e = _t(spark, d, "events")
     return state.insert_new(e.where("value > 20").select(k, "event_id"), e.where("user_id % 3 = 0").select(k), "key")
+
+
+@query("select event_id, coalesce(floor(value)::bigint * (event_id % 3 > 0)::int, 0) raw_tokens, case when event_id % 3 > 0 and floor(value) > 0 then round(greatest(floor(value)::bigint - (props::json->>'k')::bigint, 0) / floor(value)::bigint * 100, 2) when event_id % 2 = 0 then 12.5 else 0 end savings_pct, event_type kind, case when event_id % 4 = 0 then 'kept' end note from events")
+def metrics_stored(spark, d):
+    """Entries as they are kept: the percentage that was given where there are no raw tokens, other columns as metadata."""
+    i = F.col("event_id")
+    raw = F.when(i % 3 > 0, F.floor("value").cast("long"))
+    e = _t(spark, d, "events").select("event_id", F.lit(None).cast("string").alias("tool"), raw.alias("raw_tokens"), F.get_json_object("props", "$.k").cast("long").alias("compressed_tokens"), F.lit(None).cast("long").alias("final_tokens"), F.lit(None).cast("long").alias("saved_tokens"), F.when(i % 2 == 0, 12.5).alias("savings_pct"), F.col("event_type").alias("kind"), F.when(i % 4 == 0, '{"note": "kept", "kind": "old"}').alias("metadata"))
+    m = lambda k: F.get_json_object("metadata", f"$.{k}")
+    return metrics.stored(e.withColumnRenamed("event_id", "metric_id")).select(F.col("metric_id").alias("event_id"), "raw_tokens", "savings_pct", m("kind").alias("kind"), m("note").alias("note"))
+
+
+@query("select event_id, case event_id % 3 when 0 then ts when 1 then timestamp '1970-01-01' else timestamp '2026-02-03' end as \"at\" from events")
+def time_fallbacks(spark, d):
+    """Times read from texts; the epoch or a given now where a text says none."""
+    i = F.col("event_id")
+    said = F.when(i % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).when(i % 3 == 1, "no time")
+    other = F.when(i % 3 == 1, F.lit("1970-01-01").cast("timestamp")).otherwise(F.lit("2026-02-03").cast("timestamp"))
+    return _t(spark, d, "events").select("event_id", T.to_time(said, other).cast("timestamp_ntz").alias("at"))
+
+
+@query("with k as (select user_id, event_id, floor(value)::bigint t from events), n as (select event_id, case when event_type = 'error' and event_id % 4 = 0 then floor(value)::bigint + 1 else floor(value)::bigint end t from events where event_type <> 'view') select k.user_id, case when bool_or(n.t <> k.t) then 'stale' when count(n.t) > 0 then 'fresh' else 'unavailable' end freshness from k left join n using (event_id) group by 1")
+def index_times(spark, d):
+    """Whether what an index knows of each user's files is as old as they are."""
+    e = _t(spark, d, "events")
+    known = e.select("user_id", F.col("event_id").alias("path"), F.floor("value").alias("mtime"))
+    moved = F.when((F.col("event_type") == "error") & (F.col("event_id") % 4 == 0), 1).otherwise(0)
+    disk = e.where("event_type <> 'view'").select(F.col("event_id").alias("path"), (F.floor("value") + moved + 0.25).alias("mtime"))
+    return planning.index_freshness(known, disk, "user_id")
+
+
+@query("select user_id task, event_type query, event_id rel, rank from (select *, row_number() over (partition by user_id, event_type order by value desc, event_id)::int rank from events) where rank <= 5")
+def query_ranks(spark, d):
+    """The five best hits of each query of each task."""
+    hits = _t(spark, d, "events").select(F.col("user_id").alias("task"), F.col("event_type").alias("query"), F.col("event_id").alias("rel"), "value")
+    return search.ranked(hits, ["task", "query"], [F.desc("value"), F.col("rel")]).drop("value")
+
+
+@query("select user_id task, event_id rel from (select *, row_number() over (partition by user_id order by floor(value / 10) desc, event_id) rn from events) where rn <= 5")
+def seed_rerank(spark, d):
+    """The five seeds of most points of each task, ties by path."""
+    seeds = _t(spark, d, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("rel"), F.floor(F.col("value") / 10).alias("points"))
+    return planning.best_seeds(seeds).drop("points")
