@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import api
-from ..operators import graph, planning, symbols
+from ..operators import graph, outline, planning, symbols
 from ..sources import scratch
 from .registry import _t, query
 
@@ -118,3 +118,42 @@ def plan_texts(spark, d):
     o = _t(spark, d, "orders").select(F.col("o_custkey").alias("task"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("place"), k.cast("string").alias("rel"), (5 + k % 20).alias("base_tokens"), (k % 3 != 0).alias("read_text"), F.repeat(F.lit("w "), (k % 40).cast("int")).alias("text"))
     out = planning.with_texts(o.drop("text"), o.select("task", "rel", "text"), 100)
     return out.select("task", "place", "tokens", F.col("text").isNotNull().alias("has_text"))
+
+
+#: by form: the ending, the lines (# behind a letter is the key of the part), and the symbols, with comments, strings, nesting and odd lines
+CODE = [
+    ("py", ["# comment with class X:", '"""doc def y("""', "class A#:", '    """text"""', "    LIMIT = 3", "", "    @property", "    def value(self) -> int:", "        def inner():", "            pass", "        return 1", "", "    async def load(", "        self,", "        path: str,", "    ) -> None:", "        pass", "", "class B#(A#, metaclass=M):", "    pass", "", "MAX# = 1", "@wrap", "def top#(a, *b):", "    pass"], [("A#", "class", 3, None), ("value", "method", 8, "A#"), ("inner", "method", 9, "A#"), ("load", "method", 13, "A#"), ("B#", "class", 19, None), ("top#", "function", 24, None)]),
+    ("py", ["def first#(x): return x", 's = "class No:"', "if True:", "    def nested#():", "        pass", "class C#: pass", "async def last#(): ..."], [("first#", "function", 1, None), ("nested#", "function", 4, None), ("C#", "class", 6, None), ("last#", "function", 7, None)]),
+    ("go", ["package p", "// func No() {", "func Plain#(a int) (int, error) {", "\tfunc() { run() }()", "}", "func (r *Recv#) Method#(x string) {", "}", "type (", "\tAlias# = int", ")", "type I# interface {", "}", 'var s = "func Not() {"'], [("Plain#", "function", 3, None), ("Method#", "function", 6, None), ("I#", "type", 11, None)]),
+    ("rs", ["// fn no() {}", "pub(crate) fn hidden#() {}", "pub async fn go#() {", "}", "pub enum E# {", "}", "impl E# {", "    fn a#(&self) {", "    }", "    pub fn b#() {}", "}", "pub trait T# {}", "const K#: i32 = 1;", "fn free#() {}"], [("go#", "fn", 3, None), ("E#", "enum", 5, None), ("E#", "impl", 7, None), ("a#", "method", 8, "E#"), ("b#", "method", 10, "E#"), ("T#", "trait", 12, None), ("K#", "const", 13, None), ("free#", "fn", 14, None)]),
+]
+_PY = ["# Classes and methods", "class A#", "  @decorated def value(self) -> int", "  def inner()", "  async def load(self, path: str,) -> None", "class B#(A#, metaclass=M)", "", "# Classes", "class A#", "class B#(A#, metaclass=M)", "", "# Top-level definitions", "@decorated def top#(a, *b)", "", "# Constants", "const LIMIT", "const MAX#"]
+
+
+def _code(spark, d):
+    n = (F.col("p_partkey") % len(CODE) + 1).cast("int")
+    key = F.col("p_partkey").cast("string")
+    text = F.regexp_replace(F.element_at(F.array(*(F.lit("\n".join(lines)) for _, lines, _ in CODE)), n), F.lit("([A-Za-z])#"), F.concat(F.lit("$1"), key))
+    path = F.concat(F.lit("c/"), key, F.lit("."), F.element_at(F.array(*(F.lit(e) for e, _, _ in CODE)), n))
+    return _t(spark, d, "part").select(path.alias("path"), text.alias("text"))
+
+
+def _code_sql() -> str:
+    end = f"'c/' || p_partkey || '.' || ({[e for e, _, _ in CODE]})[p_partkey % {len(CODE)} + 1]"
+    rows = ", ".join("(" + ", ".join([str(i), *("null" if x is None else repr(x) for x in row)]) + ")" for i, (_, _, found) in enumerate(CODE) for row in found)
+    return f"select {end} path, replace(n, '#', p_partkey::varchar) \"name\", k kind, l::int line, replace(o, '#', p_partkey::varchar) parent from part join (values {rows}) v(i, n, k, l, o) on p_partkey % {len(CODE)} = i"
+
+
+@query(_code_sql())
+def code_symbols(spark, d):
+    """What files of other languages declare, with comments, strings, nested and unfinished lines around it."""
+    return symbols.symbols(_code(spark, d)).select("path", "name", "kind", "line", "parent")
+
+
+@query("select 'c/' || p_partkey || '.py' path, regexp_replace('" + "' || chr(10) || '".join(_PY) + "', '([A-Za-z])#', '\\1' || p_partkey, 'g') as text from part")
+def python_outlines(spark, d):
+    """Outlines of Python files whose headers run over lines and whose definitions are nested, one a part."""
+    key = F.col("p_partkey").cast("string")
+    text = F.regexp_replace(F.lit("\n".join(CODE[0][1])), F.lit("([A-Za-z])#"), F.concat(F.lit("$1"), key))
+    files = _t(spark, d, "part").select(F.concat(F.lit("c/"), key, F.lit(".py")).alias("path"), text.alias("text"))
+    return outline.read(files, "outline").select("path", "text")
