@@ -444,8 +444,11 @@ def katz(docs: DataFrame, held_out: F.Column, order: int = 2) -> DataFrame:
         known = answers[:n] + answers[order:]
         answers.append(bucketed(answer_histories(_met(history_requests(parts, known, model, n, bits), bits)), f"weights{n}", "block", buckets))
         release(spark)
+    # a row for each text: written here, while tables are read a few rows at a time
+    out = materialise(score(parts, answers, model, order), "scores")
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", usual)
-    return score(parts, answers, model, order)
+    tuned(spark)
+    return out
 
 
 def _totals(answers: DataFrame) -> DataFrame:
