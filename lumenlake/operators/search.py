@@ -121,7 +121,7 @@ def confidence(passed_over: DataFrame, whole: bool = False) -> DataFrame:
     return passed_over.agg(F.when(F.lit(whole), "high").when(n > 0, "low").otherwise("medium").alias("confidence"), n.cast("long").alias("skipped"))
 
 
-def ranked(hits: DataFrame, by: list[str], order: list[Column], k: int = 5) -> DataFrame:
+def best_of_queries(hits: DataFrame, by: list[str], order: list[Column], k: int = 5) -> DataFrame:
     """The k first hits of each query, with their rank from 1."""
     w = Window.partitionBy(*by).orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

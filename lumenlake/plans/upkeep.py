@@ -374,7 +374,7 @@ def index_times(spark, d):
 def query_ranks(spark, d):
     """The five best hits of each query of each task."""
     hits = _t(spark, d, "events").select(F.col("user_id").alias("task"), F.col("event_type").alias("query"), F.col("event_id").alias("rel"), "value")
-    return search.ranked(hits, ["task", "query"], [F.desc("value"), F.col("rel")]).drop("value")
+    return search.best_of_queries(hits, ["task", "query"], [F.desc("value"), F.col("rel")]).drop("value")
 
 
 @query("select user_id task, event_id rel from (select *, row_number() over (partition by user_id order by floor(value / 10) desc, event_id) rn from events) where rn <= 5")
