@@ -228,10 +228,10 @@ def test_null_and_repeated_ids_are_judged_by_their_texts(spark):
     rows = [(None, f"before it {item} after it", "en", "a", 1), (None, "clean words that nobody asked about at all", "en", "a", 2), (7, f"again {item}", "en", "a", 3), (7, "other clean words of the same id here", "en", "a", 4)]
     kept = C.decontamination_stage(spark, spark.createDataFrame(rows, SHORT), D).collect()
     assert sorted(r.n_chars for r in kept) == [2, 4] and kept[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
-    good = {r.doc_id: r.text for r in table(spark, D, "documents").collect()}
-    judged = {r.doc_id: r.predicted for r in C.quality(table(spark, D, "documents"), table(spark, D, "labels")).collect()}
-    bad = next(i for i, p in judged.items() if p == 0 and good[i])
-    docs = table(spark, D, "documents").union(spark.createDataFrame([(None, good[bad], "en", "a", -1)], SHORT))
-    kept = C.quality_stage(spark, docs, D)
-    assert kept.where("n_chars = -1").count() == 0 and kept.count() == sum(judged.values())
-    assert kept.where(F.col("doc_id") == bad).count() == 0
+    larger = "/root/testdata/sf0.01"
+    docs, labels = table(spark, larger, "documents"), table(spark, larger, "labels")
+    worst = C.quality(docs, labels).join(docs.select("doc_id", "text"), "doc_id").where("text <> ''").orderBy("score").first()
+    docs = docs.union(spark.createDataFrame([(None, worst.text, "en", "a", -1)], SHORT))
+    kept = C.quality_stage(spark, docs, larger)
+    assert worst.predicted == 0 and kept.where("n_chars = -1").count() == 0 and kept.where(F.col("doc_id") == worst.doc_id).count() == 0
+    assert kept.count() == C.quality(docs, labels).where("predicted = 1").count()
