@@ -5,8 +5,8 @@ shards by hash. A shard builds its graph in batches (searches of a batch run tog
 by the diversity rule of Malkov and Yashunin, 2018) and audits it: near copies of a sample of its own rows are searched
 and held against brute force, and the beam is doubled until AUDIT of the links are found in each class of queries with
 like numbers of links, so that a large group doesn't hide what small ones lose; the recall that the audits measured is
-returned. Every vector is then searched in every shard; a beam that is full of links is widened until one that is none
-fits in, so large groups lose no links to its width. Graphs are walked in single precision; cosines of all hits are taken
+returned. Every vector is then searched in every shard; from a beam that is full of links the graph is followed, both ways,
+from link to link, so large groups lose no links to its width. Graphs are walked in single precision; cosines of all hits are taken
 in double precision and those under the threshold dropped. A task hands on counts
 of links, and of the links themselves a spanning forest only; components are joined from the forests.
 
@@ -33,12 +33,20 @@ THRESHOLD, AUDIT, AUDIT_ROWS, AUDIT_SHARE = 0.95, 0.995, 128, 32
 M, BUILD_BEAM, BEAM, STEP = 12, 40, 24, 4
 #: An upper layer of at most so many nodes is searched whole, by a matrix product, and those above it need no walk.
 WHOLE = 5000
+#: Nodes of the layer above from which a layer is entered.
+ENTRIES = 8
 #: Vectors of a shard, and the least number of shards.
 SHARD_ROWS, SHARDS = 50_000, 6
 #: Vectors of a block of queries, and the blocks that a task searches in a shard.
 QUERY_ROWS, BLOCKS = 2048, 6
+#: Tasks of a shard beyond which each takes more blocks.
+SALTS = 8
 #: What single precision may take from a cosine.
 SLACK = 1e-5
+#: Cosines by which a node may miss the threshold and still be followed from a beam that is full of links.
+FRINGE = 0.02
+#: Hits that a search hands on at once, those whose vectors are compared at once, and cells of a beam search's tables.
+HITS, CHUNK, CELLS = 1 << 18, 1 << 14, 1 << 20
 
 
 def pick(centre: np.ndarray, ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
@@ -66,15 +74,17 @@ def pick(centre: np.ndarray, ids: np.ndarray, x: np.ndarray, most: int) -> np.nd
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int, live: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, cosines) of the beam best nodes found for each query, -1 where there are fewer."""
+    """(ids, cosines) of the beam best nodes found for each query, -1 where there are fewer; entry: a node for each query, or several in a row."""
     b, n = len(q), len(x)
     seen = np.zeros((b, n), bool)
     rows = np.arange(b)
     ids = np.full((b, beam), -1)
     sim = np.full((b, beam), -np.inf)
     fresh = np.zeros((b, beam), bool)
-    ids[:, 0], sim[:, 0], fresh[:, 0] = entry, np.einsum("bd,bd->b", q, x[entry]), True
-    seen[rows, entry] = True
+    entry = entry.reshape(b, -1)[:, :beam]
+    k = entry.shape[1]
+    ids[:, :k], sim[:, :k], fresh[:, :k] = entry, np.einsum("bd,bed->be", q, x[entry]), True
+    seen[rows[:, None], entry] = True
     act = rows
     while len(act):
         s = np.where(fresh[act], sim[act], -np.inf)
@@ -118,6 +128,25 @@ def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarr
     return ids, sim
 
 
+def flood(x: np.ndarray, links: np.ndarray, named: tuple[np.ndarray, np.ndarray], q: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
+    """The nodes that reach the threshold among those that links lead to from ids, either way, over nodes that miss it by FRINGE at most.
+
+    named: the nodes that name each node, and where those of each begin. Each node is looked at once, where a beam that is widened to hold n hits costs n steps of its own width."""
+    seen = np.zeros(len(x), bool)
+    seen[ids] = True
+    out, new = [], ids
+    while len(new):
+        sim = x[new] @ q
+        out.append(new[sim >= threshold])
+        go = new[sim >= threshold - FRINGE]
+        first, n = named[1][go], named[1][go + 1] - named[1][go]
+        back = named[0][np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        new = np.concatenate([links[go].ravel(), back])
+        new = np.unique(new[(new >= 0) & ~seen[new]])
+        seen[new] = True
+    return np.concatenate(out)
+
+
 class Graph:
     """A navigable small world over unit vectors x; upper layers hold ever fewer of the nodes."""
 
@@ -130,9 +159,7 @@ class Graph:
         for l in range(level.max(initial=0), -1, -1):
             members = order[level[order] >= l]
             self.layers.append((members, self._grow(x[members], 2 * M if l == 0 else M)))
-        self.place = [np.full(n, -1) for _ in self.layers]
-        for p, (members, _) in zip(self.place, self.layers):
-            p[members] = np.arange(len(members))
+        self._places()
 
     def _grow(self, x: np.ndarray, most: int) -> np.ndarray:
         n = len(x)
@@ -207,44 +234,71 @@ class Graph:
             r = full[lo : lo + 512]
             links[u[r]] = pick(x[u[r]], np.concatenate([links[u[r]], more[r]], 1), x, most)
 
+    def __getstate__(self) -> dict:
+        """Without what follows from the rest: graphs are sent to many tasks."""
+        return {"exact": self.exact, "layers": [(m.astype(np.int32), links.astype(np.int32)) for m, links in self.layers]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.exact, self.layers = state["exact"], state["layers"]
+        self.x = self.exact.astype(np.float32)
+        self._places()
+
+    def _places(self) -> None:
+        self.place = [np.full(len(self.exact), -1, np.int32) for _ in self.layers]
+        for p, (members, _) in zip(self.place, self.layers):
+            p[members] = np.arange(len(members))
+        self.low = self.x[self.layers[-1][0]]
+        src, col = np.nonzero(self.layers[-1][1] >= 0)
+        to = self.layers[-1][1][src, col]
+        self.named = src[np.argsort(to, kind="stable")].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(to, minlength=len(self.low)))])
+
     def near(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of all hits found; beams full of hits are widened until one miss fits in."""
+        """(query, node) of all hits found."""
+        found = list(self.hits(q, threshold, beam))
+        return tuple(np.concatenate(x) if found else np.zeros(0, int) for x in (zip(*found) if found else ((), ())))
+
+    def hits(self, q: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) of all hits found, by parts of HITS or so, or of one query; from beams full of hits the graph is followed from hit to hit."""
         exact, q = q, q.astype(np.float32)
         upper = self.layers[:-1]
         whole = max((i for i, (members, _) in enumerate(upper) if len(members) <= WHOLE), default=-1)
-        entry = np.zeros(len(q), int)
+        entry = np.zeros((len(q), 1), int)
         for i, (members, links) in enumerate(upper):
             if i < whole:
                 continue
             if i == whole:
                 x = self.x[members]
-                best = members[np.concatenate([np.argmax(q[lo : lo + 256] @ x.T, 1) for lo in range(0, len(q), 256)])]
+                some = min(ENTRIES, len(x))
+                best = members[np.concatenate([np.argpartition(q[lo : lo + 256] @ -x.T, some - 1, 1)[:, :some] for lo in range(0, len(q), 256)])] if len(q) else np.zeros((0, some), int)
             else:
-                ids = beam_search(self.x[members], links, q, entry, 4)
-                best = members[np.take_along_axis(ids[0], ids[1].argmax(1)[:, None], 1)[:, 0]]
+                best = members[beam_search(self.x[members], links, q, entry, ENTRIES)[0]]
             entry = self.place[i + 1][best]
         members, links = self.layers[-1]
-        x = self.x[members]
-        rows, nodes = [], []
-        left = np.arange(len(q))
-        while len(left):
-            beam = min(beam, len(x))
-            again = []
-            for lo in range(0, len(left), 256):
-                part = left[lo : lo + 256]
-                ids, sim = beam_search(x, links, q[part], entry[part], beam)
-                hit = (ids >= 0) & (sim >= threshold - SLACK)
-                full = hit.all(1) & (beam < len(x))
-                again.append(part[full])
-                r, c = np.nonzero(hit & ~full[:, None])
-                rows.append(part[r])
-                nodes.append(ids[r, c])
-            left = np.concatenate(again)
-            beam *= 2
-        rows, nodes = np.concatenate(rows), np.concatenate(nodes)
-        nodes = members[nodes]
-        sure = np.einsum("bd,bd->b", exact[rows], self.exact[nodes]) >= threshold
-        return rows[sure], nodes[sure]
+        x, beam = self.low, min(beam, len(self.low))
+
+        def sure(rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            nodes = members[nodes]
+            parts = [np.einsum("bd,bd->b", exact[rows[lo : lo + CHUNK]], self.exact[nodes[lo : lo + CHUNK]]) >= threshold for lo in range(0, len(rows), CHUNK)]
+            keep = np.concatenate(parts) if parts else np.zeros(0, bool)
+            return rows[keep], nodes[keep]
+
+        size = int(np.clip(CELLS // (beam + STEP * links.shape[1] + len(x) // 16), 8, 256))
+        for lo in range(0, len(q), size):
+            part = np.arange(lo, min(lo + size, len(q)))
+            ids, sim = beam_search(x, links, q[part], entry[part], beam)
+            hit = (ids >= 0) & (sim >= threshold - SLACK)
+            full = hit.all(1) & (beam < len(x))
+            r, c = np.nonzero(hit & ~full[:, None])
+            rows, nodes, held = [part[r]], [ids[r, c]], len(r)
+            for k in np.flatnonzero(full):
+                nodes.append(flood(x, links, self.named, q[part[k]], ids[k], threshold - SLACK))
+                rows.append(np.full(len(nodes[-1]), part[k]))
+                held += len(nodes[-1])
+                if held >= HITS:
+                    yield sure(np.concatenate(rows), np.concatenate(nodes))
+                    rows, nodes, held = [], [], 0
+            if held:
+                yield sure(np.concatenate(rows), np.concatenate(nodes))
 
 
 def audit(g: Graph, threshold: float) -> tuple[int, float]:
@@ -319,17 +373,21 @@ def _links(vectors: DataFrame, graphs: DataFrame, rows: int, shards: int, thresh
                     continue
                 _, node, n, g, beam = held
                 ids, v = pickle.loads(body)
-                row, hit = g.near(v / np.linalg.norm(v, axis=1, keepdims=True), threshold, beam)
-                a, b = ids[row], node[hit]
-                other = a != b
-                count = np.bincount(row, n[hit] - ~other, len(ids)).astype(np.int64)
+                count, x, y = np.zeros(len(ids), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for row, hit in g.hits(v / np.linalg.norm(v, axis=1, keepdims=True), threshold, beam):
+                    a, b = ids[row], node[hit]
+                    other = a != b
+                    count += np.bincount(row, n[hit] - ~other, len(ids)).astype(np.int64)
+                    if other.any():  # links are folded as they come: those of a large group are never held together
+                        x, y = spanning(np.concatenate([x, a[other]]), np.concatenate([y, b[other]]))
+                        x, y = x[x != y], y[x != y]
                 some = np.flatnonzero(count)
-                x, y = spanning(a[other], b[other]) if other.any() else (np.zeros(0, np.int64),) * 2
-                x, y = x[x != y], y[x != y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(some), len(x)]).astype(np.int8)), pa.array(np.concatenate([ids[some], x])), pa.array(np.concatenate([count[some], y]))], ["kind", "a", "b"])
 
     spark = vectors.sparkSession
     salts = max(1, -(-rows // (QUERY_ROWS * BLOCKS)))
+    if salts > SALTS:  # a graph goes to each salt: a task's queries grow until they weigh as much as its graph
+        salts = max(SALTS, -(-rows // SHARD_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(QUERY_ROWS))
     blocks = materialise(vectors.select("id", "v").mapInArrow(lean(pack), "salt int, body binary"), "queries")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
