@@ -142,12 +142,13 @@ def numbered(items: Column, first: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat((first + i).cast("string"), F.lit("|"), x)), "\n")
 
 
-def line_range(text: Column, start: Column | None = None, end: Column | None = None, most: int = 12000) -> Column:
-    """Lines from start to end (counted from 1, both optional), numbered, capped."""
+def line_range(text: Column, start: Column | None = None, end: Column | None = None, most: int | None = 12000) -> Column:
+    """Lines from start to end (counted from 1, both optional), numbered, capped unless most is None."""
     ls = lines(text)
     a = F.greatest(F.lit(0), F.coalesce(start if start is not None else F.lit(None).cast("int"), F.lit(1)) - 1)
     z = F.coalesce(end if end is not None else F.lit(None).cast("int"), F.size(ls))
-    return truncate(numbered(F.slice(ls, a + 1, F.greatest(z - a, F.lit(0))), a + 1), most)
+    out = numbered(F.slice(ls, a + 1, F.greatest(z - a, F.lit(0))), a + 1)
+    return out if most is None else truncate(out, most)
 
 
 def prefix_by_tokens(text: Column, most: int, marker: str = "[truncated]") -> Column:
