@@ -424,11 +424,20 @@ for _k, _v in _REL.items():
 
 
 def rel_range_join(spark, d):
-    """Parts of one size within a price of each other: prices go in steps as wide as the band, so a key is a size and a step."""
-    p = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice", F.floor("p_retailprice").alias("step"))
-    near = p.select("p_size", F.col("p_retailprice").alias("other"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    met = p.join(near, ["p_size", "step"]).where("other between p_retailprice - 1 and p_retailprice + 1")
-    return met.groupBy("p_partkey").agg(F.count("*").alias("n"))
+    """Parts of one size within a price of each other, counted and not paired: how many have a price up to the upper bound, less those below the lower one.
+
+    A size's prices go in steps of one, each alike price once; running numbers within a step and of the steps before add up to the rank of a bound."""
+    p = _t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    price = F.col("p_retailprice")
+    sums = p.where("p_size is not null and p_retailprice is not null").groupBy("p_size", "p_retailprice").agg(F.count("*").alias("c"))
+    # a lower bound comes before the prices that equal it, an upper one behind them
+    point = lambda at, order, c: F.struct(at.alias("at"), F.lit(order).alias("order"), c.alias("c"))
+    points = sums.select("p_size", price.alias("of"), F.explode(F.array(point(price - 1, 0, F.lit(0).cast("long")), point(price, 1, F.col("c")), point(price + 1, 2, F.lit(0).cast("long")))).alias("x")).select("p_size", "of", "x.*").withColumn("step", F.floor("at"))
+    within = points.withColumn("n", F.sum("c").over(Window.partitionBy("p_size", "step").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    steps = points.groupBy("p_size", "step").agg(F.sum("c").alias("c")).withColumn("before", F.sum("c").over(Window.partitionBy("p_size").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c"))
+    rank = F.col("n") + F.col("before")
+    met = within.where("order <> 1").join(steps.drop("c"), ["p_size", "step"]).groupBy("p_size", F.col("of").alias("p_retailprice")).agg(F.sum(F.when(F.col("order") == 2, rank).otherwise(-rank)).alias("n"))
+    return p.join(met, ["p_size", "p_retailprice"]).groupBy("p_partkey").agg(F.sum("n").alias("n"))
 
 
 QUERIES["rel_range_join"] = rel_range_join
