@@ -85,9 +85,9 @@ def search_queries(task: Column) -> Column:
     """Three queries at most: names that look like code, then keywords; alike ones but for case once."""
     names = F.filter(symbols(task), lambda s: like_code(s) & ~F.lower(s).isin(LOW_SIGNAL + STOP_WORDS))
     every = F.transform(F.concat(names, keywords(task)), lambda q, i: F.struct(F.lower(q).alias("key"), i.alias("at"), q.alias("q")))
-    sorted_ = F.array_sort(every)
     none = F.lit(None).cast("struct<key:string,at:int,q:string>")
-    pairs = F.arrays_zip(sorted_.alias("me"), F.concat(F.array(none), F.slice(sorted_, F.lit(1), F.greatest(F.size(sorted_) - 1, F.lit(0)))).alias("before"))
+    # names and words are worked out once, though sorted and held against their neighbours
+    pairs = T.let(F.array_sort(every), lambda s: F.arrays_zip(s.alias("me"), F.concat(F.array(none), F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).alias("before")))
     first = F.filter(pairs, lambda p: p["me"].isNotNull() & (p["before"]["key"].isNull() | (p["me"]["key"] != p["before"]["key"])))
     return F.slice(F.transform(F.array_sort(F.transform(first, lambda p: F.struct(p["me"]["at"].alias("at"), p["me"]["q"].alias("q")))), lambda p: p["q"]), 1, QUERIES)
 
@@ -103,7 +103,9 @@ def fallback_query(task: Column) -> Column:
 
 def query_candidates(task: Column) -> Column:
     """Up to six queries in the order in which their hits count."""
-    every = F.concat(expanded_queries(task), search_queries(task), keywords(task, True), F.array(fallback_query(task)))
+    words = F.struct(symbols(task).alias("names"), keywords(task, True).alias("words"))
+    last = lambda w: F.coalesce(F.get(F.filter(w["names"], like_code), F.lit(0)), F.get(w["words"], F.lit(0)), T.strip(task))
+    every = T.let(words, lambda w: F.concat(expanded_queries(task), search_queries(task), w["words"], F.array(last(w))))
     return F.slice(F.array_distinct(F.filter(every, lambda q: q != "")), 1, CANDIDATES)
 
 
@@ -125,8 +127,11 @@ def _total(items: Column, points) -> Column:
 def seed_score(rel: Column, evidence: Column, hints: Column, intent: Column) -> Column:
     """Points of a file as the primary one of a task; evidence: array of structs with type, query and rank; hints: path_hints()."""
     low = F.lower(rel)
-    base = F.regexp_replace(T.basename(low), r"(?<=.)\.[^.]*$", "")
-    tokens = path_tokens(low)
+    path = F.struct(low.alias("low"), F.regexp_replace(T.basename(low), r"(?<=.)\.[^.]*$", "").alias("base"), path_tokens(low).alias("tokens"))
+    return T.let(path, lambda p: _seed_points(p["low"], p["base"], p["tokens"], evidence, hints, intent))
+
+
+def _seed_points(low: Column, base: Column, tokens: Column, evidence: Column, hints: Column, intent: Column) -> Column:
     hits = F.filter(evidence, lambda e: e["type"] == "searchHit")
 
     def hit(e: Column) -> Column:
@@ -135,12 +140,15 @@ def seed_score(rel: Column, evidence: Column, hints: Column, intent: Column) ->
         return F.greatest(F.lit(0), 40 - (F.coalesce(e["rank"], F.lit(1)) - 1) * 8) + named
 
     known = lambda h: F.when(base == h, 28).when(F.contains(low, h) | F.array_contains(tokens, h), 18).otherwise(0)
-    of_hints = _total(hints, known)
     api = F.array_contains(hints, "api") | F.array_contains(hints, "routes")
     in_src = low.startswith("src/")
-    return (
-        F.coalesce(_total(hits, hit), F.lit(0)) + of_hints
-        + F.when(api & low.rlike("(^|/)(api|routes)(/|$)"), 28).otherwise(0) - F.when(api & low.rlike("(^|/)(models?|schemas?)(/|$)"), 12).otherwise(0)
-        + F.when(low.rlike(TEST_FOLDER), F.when(intent == "tests", 24).otherwise(-40)).when(intent == "tests", -10).otherwise(0)
-        + F.when(in_src, F.when(intent == "implementation", 10).when(intent.isin("debug", "review"), 8).otherwise(0) + F.when(of_hints > 0, 6).otherwise(0)).otherwise(0)
-    )
+
+    def total(of_hints: Column) -> Column:
+        return (
+            F.coalesce(_total(hits, hit), F.lit(0)) + of_hints
+            + F.when(api & low.rlike("(^|/)(api|routes)(/|$)"), 28).otherwise(0) - F.when(api & low.rlike("(^|/)(models?|schemas?)(/|$)"), 12).otherwise(0)
+            + F.when(low.rlike(TEST_FOLDER), F.when(intent == "tests", 24).otherwise(-40)).when(intent == "tests", -10).otherwise(0)
+            + F.when(in_src, F.when(intent == "implementation", 10).when(intent.isin("debug", "review"), 8).otherwise(0) + F.when(of_hints > 0, 6).otherwise(0)).otherwise(0)
+        )
+
+    return T.let(_total(hints, known), total)

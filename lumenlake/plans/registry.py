@@ -34,6 +34,13 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table in a small file, dealt out over all cores: few bytes of it make texts that take long to read, and would lie in few tasks."""
+    rows = _t(spark, d, name)
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, *rows.columns[:1])
+
+
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return _t(spark, d, "events").select(F.col("event_id").alias("metric_id"), F.col("event_type").alias("tool"), F.col("user_id").alias("session_id"), F.floor("value").cast("long").alias("raw_tokens"), k.alias("compressed_tokens"), F.lit(None).cast("long").alias("final_tokens"), F.lit(None).cast("long").alias("saved_tokens"), F.col("ts").alias("created_at"))
@@ -470,7 +477,7 @@ def compress_cascade(spark, d):
 @query(X.symbols())
 def symbol_index(spark, d):
     """The declarations of files in nine languages that are made of the names of parts."""
-    return symbols.symbols(X.source_files(_t(spark, d, "part"))).select("path", "name", "kind", "line", "parent")
+    return symbols.symbols(X.source_files(_dealt(spark, d, "part"))).select("path", "name", "kind", "line", "parent")
 
 
 @query(X.summaries())

@@ -8,7 +8,7 @@ from ..functions import tasks
 from ..functions import text as T
 from ..operators import evaluate, patterns, planning, symbols
 from . import fixed as X
-from .registry import _SRC, _edges, _sources, _t, query
+from .registry import _SRC, _dealt, _edges, _sources, _t, query
 
 # tasks: what parts are named after, put into sentences
 _NAMES = ["fix the jwt secret in getUserName", "create user for the api routes", "please find parse_config and loadYAML", "why does the docker image deploy fail", "add tests for order totals 42", "HTTPServer session cache", "refactor the invoice exporter application", "explain nothing", "user-creation and jwt-secret jwt"]
@@ -18,7 +18,7 @@ _TASK = "(select p_partkey k, replace(([" + ", ".join(f"'{n}'" for n in _NAMES)
 def _tasks(spark, d):
     names = F.array(*(F.lit(n) for n in _NAMES))
     key = F.col("p_partkey")
-    return _t(spark, d, "part").select(key.alias("k"), F.replace(F.element_at(names, (key % len(_NAMES) + 1).cast("int")), F.lit("order"), F.concat(F.lit("order"), key.cast("string"))).alias("task"))
+    return _dealt(spark, d, "part").select(key.alias("k"), F.replace(F.element_at(names, (key % len(_NAMES) + 1).cast("int")), F.lit("order"), F.concat(F.lit("order"), key.cast("string"))).alias("task"))
 
 
 _WORDS = "(select k, task, lower(w) w from (select k, task, unnest(regexp_extract_all(task, '[a-zA-Z0-9_]+')) w from " + _TASK + "))"
@@ -100,9 +100,10 @@ _HINT_POINTS = f"(select s.k, s.rel, sum(case when base = h then 28 when contain
 @query(f"with x as (select s.k, s.rel, lower(s.rel) low, {X.intent('s.task')} intent, coalesce(h.p, 0) p, coalesce(h.api, false) api, 40 - (i - 1) * 8 hit from {_SEEDS} s left join {_HINT_POINTS} h on s.k = h.k and s.rel = h.rel) select k, rel, (greatest(0, hit) + case when low = 'dockerfile' then 0 when contains(low, 'user') then 18 else 0 end + p + case when api and regexp_matches(low, '(^|/)(api|routes)(/|$)') then 28 else 0 end - case when api and regexp_matches(low, '(^|/)(models?|schemas?)(/|$)') then 12 else 0 end + case when regexp_matches(low, '(^|/)(tests?|__tests__)/') then case when intent = 'tests' then 24 else -40 end when intent = 'tests' then -10 else 0 end + case when starts_with(low, 'src/') then case intent when 'implementation' then 10 when 'debug' then 8 else 0 end + case when p > 0 then 6 else 0 end else 0 end + case when contains(low, 'user') and regexp_extract(low, '([^/]*)\\.[^.]*$', 1) = 'user' then 10 else 0 end)::int points from x")
 def seed_points(spark, d):
     """Points of files as the primary one of each task; each was found by 'user' at a rank of its own."""
-    s = _seeds(spark, d)
+    # what a task says of paths is worked out once, before its places
+    s = _tasks(spark, d).select("k", tasks.path_hints(F.col("task")).alias("hints"), T.infer_intent(F.col("task")).alias("intent")).select("*", F.posexplode(F.array(*(F.lit(p) for p in _PLACES))).alias("i", "rel"))
     e = F.array(F.struct(F.lit("searchHit").alias("type"), F.lit("user").alias("query"), (F.col("i") + 1).alias("rank")))
-    return s.select("k", "rel", tasks.seed_score(F.col("rel"), e, tasks.path_hints(F.col("task")), T.infer_intent(F.col("task"))).cast("int").alias("points"))
+    return s.select("k", "rel", tasks.seed_score(F.col("rel"), e, F.col("hints"), F.col("intent")).cast("int").alias("points"))
 
 
 # ---- hits, seeds, candidates ------------------------------------------------------------------------------------------------
