@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import api
 from ..operators import graph, outline, planning, symbols
 from ..sources import scratch
-from .registry import _t, query
+from .registry import _dealt, _t, query
 
 
 def _versions(part):
@@ -32,7 +32,7 @@ def _versions(part):
 )
 def index_increment(spark, d):
     """An index brought up to date: symbols and edges as of a build from nothing, and the files that were read for it."""
-    first, second = _versions(_t(spark, d, "part"))
+    first, second = _versions(_dealt(spark, d, "part"))
     at = scratch.folder(spark, "index")
     now = api.build_index(second, api.build_index(first, folder=f"{at}/1"), f"{at}/2")
     edges = now.edges.select("kind", F.col("src").alias("path"), F.col("dst").alias("other"))
@@ -63,7 +63,7 @@ def _scripts(spark, d):
     text = F.element_at(F.array(*(F.lit("\n".join(lines)) for lines, _, _ in FORMS)), (F.col("p_partkey") % len(FORMS) + 1).cast("int"))
     text = F.regexp_replace(text, F.lit("([A-Za-z])#"), F.concat(F.lit("$1"), key))
     path = F.concat(F.lit("s/"), key, F.when(F.col("p_partkey") % 2 == 0, ".ts").otherwise(".jsx"))
-    return _t(spark, d, "part").select(path.alias("path"), text.alias("text"))
+    return _dealt(spark, d, "part").select(path.alias("path"), text.alias("text"))
 
 
 @query(_forms_sql(1, "replace(n, '#', p_partkey::varchar) \"name\", k kind, l::int line, replace(o, '#', p_partkey::varchar) parent", "n, k, l, o"))
@@ -90,7 +90,7 @@ _TOP = "(select max(p_partkey) from part)"
 )
 def symbol_types(spark, d):
     """Types that are named within thirty lines of a symbol, and where they are declared; those further on are not of it."""
-    part = _t(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    part = _dealt(spark, d, "part").select(F.col("p_partkey").alias("k"))
     s = F.col("k").cast("string")
     at = lambda n: (F.col("k") + n).cast("string")
     pad = lambda n: F.repeat(F.lit("    pass\n"), n)
@@ -135,7 +135,7 @@ def _code(spark, d):
     key = F.col("p_partkey").cast("string")
     text = F.regexp_replace(F.element_at(F.array(*(F.lit("\n".join(lines)) for _, lines, _ in CODE)), n), F.lit("([A-Za-z])#"), F.concat(F.lit("$1"), key))
     path = F.concat(F.lit("c/"), key, F.lit("."), F.element_at(F.array(*(F.lit(e) for e, _, _ in CODE)), n))
-    return _t(spark, d, "part").select(path.alias("path"), text.alias("text"))
+    return _dealt(spark, d, "part").select(path.alias("path"), text.alias("text"))
 
 
 def _code_sql() -> str:
@@ -155,5 +155,5 @@ def python_outlines(spark, d):
     """Outlines of Python files whose headers run over lines and whose definitions are nested, one a part."""
     key = F.col("p_partkey").cast("string")
     text = F.regexp_replace(F.lit("\n".join(CODE[0][1])), F.lit("([A-Za-z])#"), F.concat(F.lit("$1"), key))
-    files = _t(spark, d, "part").select(F.concat(F.lit("c/"), key, F.lit(".py")).alias("path"), text.alias("text"))
+    files = _dealt(spark, d, "part").select(F.concat(F.lit("c/"), key, F.lit(".py")).alias("path"), text.alias("text"))
     return outline.read(files, "outline").select("path", "text")
