@@ -81,6 +81,12 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")), F.lit(0))
 
 
+def fits_tokens(text: Column, most: int) -> Column:
+    """Whether a text has `most` tokens or fewer. A start of it has no more than the whole, so long texts are mostly told by theirs."""
+    head = F.left(text, F.lit(16 * most))
+    return F.when((F.length(text) > 16 * most) & (token_count(head) > most), F.lit(False)).otherwise(token_count(text) <= most)
+
+
 def task_signature(text: Column) -> Column:
     words = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9 \t\n]", " "), "[ \t\n]+")
     return F.array_join(F.slice(F.filter(words, lambda w: F.length(w) > SIGNATURE_LEAST), 1, SIGNATURE_WORDS), " ")
@@ -156,11 +162,12 @@ def prefix_by_tokens(text: Column, most: int, marker: str = "[truncated]") -> Co
     import re
 
     room = max(1, most - len(re.findall(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", marker, re.ASCII)))
-    ls = lines(text)
     # how many lines fit: running sums stop at the first that overflows
-    step = lambda s, x: F.when(s["over"] | (s["used"] + token_count(x) > room), F.struct(s["used"], F.lit(True).alias("over"), s["n"])).otherwise(F.struct((s["used"] + token_count(x)).alias("used"), F.lit(False).alias("over"), (s["n"] + 1).alias("n")))
-    n = F.aggregate(ls, F.struct(F.lit(0).alias("used"), F.lit(False).alias("over"), F.lit(0).alias("n")), step, lambda s: s["n"])
-    return F.array_join(F.concat(F.slice(ls, F.lit(1), n), F.array(F.lit("\n" + marker))), "\n")
+    state = lambda used, over, n: F.struct(used.alias("used"), over.alias("over"), n.alias("n"))
+    more = lambda s, used: F.when(used > room, state(s["used"], F.lit(True), s["n"])).otherwise(state(used, F.lit(False), s["n"] + 1))
+    step = lambda s, x: F.when(s["over"], state(s["used"], s["over"], s["n"])).otherwise(let(s["used"] + token_count(x), lambda used: more(s, used)))
+    n = lambda ls: F.aggregate(ls, state(F.lit(0), F.lit(False), F.lit(0)), step, lambda s: s["n"])
+    return let(lines(text), lambda ls: F.array_join(F.concat(F.slice(ls, F.lit(1), n(ls)), F.array(F.lit("\n" + marker))), "\n"))
 
 
 def is_test_path(path: Column) -> Column:
