@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .outline import fallback
+from .outline import OUTLINE, SIGNATURES, marked
 
 # fixed values: what tells why a command failed
 TELLING = ["error", "warning", "failed", "exception", "maximum update depth", "entity not found"]
@@ -14,11 +14,12 @@ TELLING = ["error", "warning", "failed", "exception", "maximum update depth", "e
 
 def cascade(text: Column, budget: int) -> Column:
     """The longest of the whole text, its outline and its signatures that fits the budget of tokens, else the last one cut at a line."""
-    forms = [text, fallback(text, "outline"), fallback(text, "signatures")]
-    out = T.prefix_by_tokens(forms[-1], budget, f"[truncated to fit {budget} token budget]")
-    for form in reversed(forms):
-        out = F.when(T.token_count(form) <= budget, form).otherwise(out)
-    return out
+    cut = lambda t: T.prefix_by_tokens(t, budget, f"[truncated to fit {budget} token budget]")
+    fits = lambda t: T.fits_tokens(t, budget)
+    # forms are worked out once, and only if the longer ones don't fit
+    signatures = lambda kept: T.let(T.truncate(kept, SIGNATURES), lambda t: F.when(fits(t), t).otherwise(cut(t)))
+    outline = lambda kept: T.let(T.truncate(kept, OUTLINE), lambda t: F.when(fits(t), t).otherwise(signatures(kept)))
+    return F.when(fits(text), text).otherwise(T.let(marked(text), outline))
 
 
 def shell_output(text: Column, failed: Column, most: int = 5000) -> Column:
