@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources import scratch
 
 # fixed values: what an import may leave out, in order, and where what a test tests may lie
 EXTENSIONS = ["", ".js", ".ts", ".tsx", ".jsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.tsx", "/index.jsx"]
@@ -15,15 +18,41 @@ SIBLINGS = ["src", "lib", "pkg"]
 TEST_END = r"\.(?:test|spec)\.[^.]+$|Tests?\.(cs|kt|swift)$|_test\.(cs|kt)$|Test\.php$"
 
 
-def inverted_index(symbols: DataFrame) -> DataFrame:
-    """symbols(name, ...) by lower-cased name, each row a posting with the number of its name's (n).
+#: Postings that a task gathers before it sends them on by name
+GATHERED = 1_000_000
+
+
+def inverted_index(docs: DataFrame) -> DataFrame:
+    """(name, path, n) of docs(path, names): each distinct pair of a name and a path that has it, with the number of paths of the name.
+
+    Paths travel in lists, one for each name and million postings, so a posting costs the shuffle little more than its path, and a common
+    name is many lists and never one. That pairs are distinct follows from paths being so; rows of paths that come again are united first."""
+    again = docs.groupBy("path").count().where("count > 1").select("path")
+    if not again.isEmpty():
+        same = docs["path"].eqNullSafe(again["path"])
+        united = docs.join(again, same, "left_semi").select("path", F.explode("names").alias("name")).distinct().groupBy("path").agg(F.collect_list("name").alias("names"))
+        docs = docs.join(again, same, "left_anti").unionByName(united)
+    kind = docs.schema["path"].dataType.simpleString()
 
-    A posting is a row: a common name is many rows of a join that can be split, not one list. What symbols are made from is read once."""
-    spark = symbols.sparkSession
-    path = scratch.folder(spark, "postings")
-    symbols.withColumn("name", F.lower("name")).write.parquet(path)
-    rows = spark.read.schema(symbols.schema).parquet(path)
-    return rows.join(rows.groupBy("name").agg(F.count("*").alias("n")), "name")
+    def folded(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        lists = pa.concat_tables(held).group_by("name").aggregate([("path", "list")])
+        yield from lists.select(["name", "path_list"]).rename_columns(["name", "paths"]).to_batches()
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            names = b.column("names")
+            held.append(pa.table({"name": pc.list_flatten(names), "path": b.column("path").take(pc.list_parent_indices(names))}))
+            n += held[-1].num_rows
+            if n >= GATHERED:
+                yield from folded(held)
+                held, n = [], 0
+        if n:
+            yield from folded(held)
+
+    lists = docs.select("path", F.array_distinct(F.filter("names", lambda x: x.isNotNull())).alias("names")).mapInArrow(gathered, f"name string, paths array<{kind}>")
+    counted = lists.withColumn("n", F.sum(F.size("paths")).over(Window.partitionBy("name")))
+    return counted.select("name", F.explode("paths").alias("path"), "n")
 
 
 def import_tries(imports: DataFrame) -> DataFrame:
@@ -111,8 +140,6 @@ def symbol_context(symbols: DataFrame, edges: DataFrame, files: DataFrame, impor
     """(name, path, relation, other, line_no, line): where the importers and tests of a symbol's file mention it.
 
     symbols: (name, path). Of each symbol five importers, three tests and three lines of each at most: what is shown."""
-    from pyspark.sql import Window
-
     kinds = edges.select(F.col("dst").alias("path"), F.col("src").alias("other"), F.when(F.col("kind") == "testOf", "test").otherwise("importer").alias("relation")).distinct()
     met = symbols.select("name", "path").distinct().join(kinds, "path")
     w = Window.partitionBy("name", "path", "relation").orderBy("other")

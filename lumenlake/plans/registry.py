@@ -301,9 +301,9 @@ def pattern_predict(spark, d):
 
 @query(r"select name, doc_id path, count(*) over (partition by name) n from (select distinct doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as name from documents) where name <> ''")
 def inverted_index_postings(spark, d):
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    names = _t(spark, d, "documents").select("doc_id", F.explode(words).alias("name")).where("name <> ''").distinct()
-    return graph.inverted_index(names).select("name", F.col("doc_id").alias("path"), "n")
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("path"), F.filter(words, lambda x: x != "").alias("names"))
+    return graph.inverted_index(docs)
 
 
 _SRC = "(select doc_id, 'src/m' || (doc_id % 40) || '/f' || doc_id || '.js' path from documents union all select doc_id, 'src/m' || (doc_id % 40) || '/f' || doc_id || '.test.js' from documents where doc_id % 3 = 0)"
