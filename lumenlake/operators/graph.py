@@ -131,9 +131,11 @@ def related(edges: DataFrame, path: str, files: DataFrame | None = None) -> Data
 def type_references(text: DataFrame, index: DataFrame) -> DataFrame:
     """(path, name, at) of the type names in texts(path, text) that the index declares: in the same file if it can be, else in the first one."""
     names = text.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])[A-Z][A-Za-z0-9_]+"), 0))).alias("name"))
-    there = index.groupBy("name", "path").agg(F.min("line").alias("line")).withColumnRenamed("path", "at")
-    hit = names.join(there, "name")
-    return hit.groupBy("path", "name").agg(F.min_by("at", F.struct(F.when(F.col("at") == F.col("path"), 0).otherwise(1), "at")).alias("at"))
+    # a name that many files declare and many name meets its first file and the file itself, never all of them
+    there = index.select("name", "path").where("name is not null and path is not null").distinct()
+    least = there.groupBy("name").agg(F.min("path").alias("least"))
+    hit = names.distinct().join(there.withColumn("own", F.lit(True)), ["name", "path"], "left").join(least, "name")
+    return hit.select("path", "name", F.when(F.col("own"), F.col("path")).otherwise(F.col("least")).alias("at"))
 
 
 def symbol_context(symbols: DataFrame, edges: DataFrame, files: DataFrame, importers: int = 5, tests: int = 3, lines: int = 3) -> DataFrame:
