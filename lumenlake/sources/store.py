@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,20 @@ class Conflict(Exception):
     """Another writer has the version that was to follow the one read."""
 
 
+def _claim(fs, mark) -> bool:
+    """Create a mark that isn't there yet; False if it is. Hadoop's local file system looks first and creates then, so two writers could both do so."""
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.close(os.open(mark.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        return fs.createNewFile(mark)
+    except Exception:  # another writer was first
+        return False
+
+
 def write(df: DataFrame, root: str, partition_by: list[str] | None = None, after: int | None = None) -> int:
     """Write a new version. The folder of a version is claimed by creating its mark, which only one writer can; another takes the next.
 
@@ -40,11 +55,7 @@ def write(df: DataFrame, root: str, partition_by: list[str] | None = None, after
     while True:
         fs, mark = _fs(spark, f"{root}/_claims/v{version}")
         fs.mkdirs(mark.getParent())
-        try:
-            claimed = fs.createNewFile(mark)
-        except Exception:  # another writer was first
-            claimed = False
-        if claimed:
+        if _claim(fs, mark):
             break
         if after is not None:
             raise Conflict(version)
