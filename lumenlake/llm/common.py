@@ -71,14 +71,17 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    """Like materialise(), as a table of n buckets by key: joins and groups by the key need no shuffle of such tables."""
+def bucketed(df: DataFrame, name: str, key: str, n: int, onto: DataFrame | None = None) -> DataFrame:
+    """Like materialise(), as a table of n buckets by key: joins and groups by the key need no shuffle of such tables.
+
+    onto, a table that this function gave for the same key and n, gets the rows too, and is returned with them."""
     spark = df.sparkSession
-    path, known = scratch_path(spark, name), f"lumenlake_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "none").option("parquet.block.size", ROW_GROUP).saveAsTable(known)
-    atexit.register(_forget, spark, known)
+    path, known = (onto.scratch_path, onto.scratch_name) if onto is not None else (scratch_path(spark, name), f"lumenlake_{name}_{uuid.uuid4().hex}")
+    df.repartition(n, key).write.mode("append").bucketBy(n, key).sortBy(key).option("path", path).option("compression", "none").option("parquet.block.size", ROW_GROUP).saveAsTable(known)
+    if onto is None:
+        atexit.register(_forget, spark, known)
     out = spark.table(known)
-    out.scratch_path = path
+    out.scratch_path, out.scratch_name = path, known
     return out
 
 

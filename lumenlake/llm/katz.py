@@ -37,6 +37,8 @@ from .common import bucketed, crc_mod, drop_scratch, lean, materialise, release,
 
 #: Bytes of text in a block (its columns stay below what the JVM takes for huge objects), the counts that are discounted, the order, and the tokens that a partition is to hold.
 BLOCK, CUT, ORDER, PARTITION = 3 << 18, 5, 3, 1 << 21
+#: Partitions of keys that a task sorts, and blocks of a bucket: both lie in the JVM's memory as a whole.
+TASK, BUCKET = 4, 32
 END = np.uint64(0x8F1BBCDC5A827999)
 _START, _A, _B = np.uint64(0x6ED9EBA1CA62C1D6), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
 #: Kinds of requests: counts of n-grams have their n, weights of the histories of n-grams HISTORY more.
@@ -181,7 +183,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             r = b.slice(i, 1).to_pylist()[0]
-            r["told"] = [x for k in list(r) if k.startswith("told") for x in r.pop(k) or []]
+            r["told"] = r.get("told") or []
             yield r
 
 
@@ -223,8 +225,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[
 
 
 def _met(asked: DataFrame, bits: int) -> DataFrame:
-    """Requests in the order of their partitions, eight of which a task has, whatever the input."""
-    return asked.repartition(max(8, (1 << bits) // 8), "pid").sortWithinPartitions("kind", "pid", "block")
+    """Requests in the order of their partitions, TASK of which a task has, whatever the input."""
+    return asked.repartition(max(8, (1 << bits) // TASK), "pid").sortWithinPartitions("kind", "pid", "block")
 
 
 def answer_counts(asked: DataFrame) -> DataFrame:
@@ -232,15 +234,16 @@ def answer_counts(asked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, pid, rows in _groups(batches):
-            keys = np.concatenate([_unpack(r["keys"], r["n"]) for r in rows])
-            given = np.concatenate([_unzip(r["given"], r["n"]) for r in rows])
+            keys = np.concatenate([_unpack(r.pop("keys"), r["n"]) for r in rows])
+            given = np.concatenate([_unzip(r.pop("given"), r["n"]) for r in rows])
             order = np.argsort(keys)
-            k = keys[order]
-            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            total = np.add.reduceat(given[order] >> 1, head)
-            wanted = np.bitwise_or.reduceat(given[order] & 1, head)
+            keys, given = keys[order], given[order]
+            head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            total = np.add.reduceat(given >> 1, head)
+            wanted = np.bitwise_or.reduceat(given & 1, head)
+            del given
             value = np.empty(len(keys), np.int64)
-            value[order] = np.repeat(total << 2 | wanted << 1, np.diff(np.append(head, len(k))))
+            value[order] = np.repeat(total << 2 | wanted << 1, np.diff(np.append(head, len(keys))))
             value[order[head]] |= 1
             at = 0
             out = []
@@ -277,12 +280,12 @@ def _answers(rows: list[dict], kind: int, dtype: type = np.int64) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype), *(_unzip(g, n, dtype) for _, n, g in got)])
 
 
-def _with(parts: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """The blocks with what they were told; all tables are in buckets by block, so nothing is shuffled."""
-    for i, a in enumerate(answers):
-        told = a.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "pid", "n", "given")).alias(f"told{i}"))
-        parts = parts.join(told, "block", "left")
-    return parts
+def _with(parts: DataFrame, answers: DataFrame) -> DataFrame:
+    """The blocks with what they were told; both tables are in buckets by block, so nothing is shuffled.
+
+    All answers lie in one table: with one for each kind, a task would group, sort and join as many at once."""
+    told = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "pid", "n", "given")).alias("told"))
+    return parts.join(told, "block", "left")
 
 
 class Level:
@@ -327,7 +330,7 @@ def _levels(t: Tokens, told: list[dict], model: dict, order: int, settled: int)
     return first, below, last
 
 
-def history_requests(parts: DataFrame, answers: list[DataFrame], model: dict, order: int, bits: int) -> DataFrame:
+def history_requests(parts: DataFrame, answers: DataFrame, model: dict, order: int, bits: int) -> DataFrame:
     """By history: what the discounts leave of the counts of the n-grams that the block owns and their mass by the shorter
     history, where that matters, and whether the block wants its weight."""
 
@@ -400,7 +403,7 @@ def answer_histories(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(lean(run), _ASK)
 
 
-def score(parts: DataFrame, answers: list[DataFrame], model: dict, order: int) -> DataFrame:
+def score(parts: DataFrame, answers: DataFrame, model: dict, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             t = Tokens(r)
@@ -419,30 +422,31 @@ def katz(docs: DataFrame, held_out: F.Column, order: int = 2) -> DataFrame:
     """With n-grams of up to order tokens: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; rows of held_out aren't learnt from."""
     spark = tuned(docs.sparkSession)
     parts = materialise(blocks(texts(docs).withColumn("held_out", held_out)), "blocks")
-    buckets = max(4, -(-parts.count() // 48))
+    buckets = max(4, -(-parts.count() // BUCKET))
     plain, parts = parts, bucketed(parts, "blocks", "block", buckets)
     drop_scratch(plain)
     release(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     usual = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "8")  # rows hold up to a megabyte
     count = parts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
     tokens = int(count[0] or 0)
     bits = max(3, (tokens // PARTITION).bit_length())
-    answers: list[DataFrame] = []
+    answers: DataFrame | None = None
     # the counts of one order after another, so that only the requests of one are on disk at once
     for orders in [(n,) for n in range(1, order + 1)]:
-        answers.append(bucketed(answer_counts(_met(count_requests(parts, orders, bits), bits)), f"counts{orders[-1]}", "block", buckets))
+        answers = bucketed(answer_counts(_met(count_requests(parts, orders, bits), bits)), "answers", "block", buckets, answers)
         release(spark)
     stats = {n: np.zeros(CUT + 3, np.int64) for n in range(1, order + 1)}
     # two numbers and a few counts of counts, added up by partition of the answers
-    for r in [r for a in answers for r in _totals(a).collect()]:
+    for r in _totals(answers).collect():
         stats[r.kind] += np.frombuffer(r.sums, np.int64)
     model = {"n": int(stats[1][0]), "docs": int(count[1] or 0), "below": float(stats[1][0] + stats[1][1] + 1), "d": {n: discounts(x[2:]) for n, x in stats.items()}}
     for n in range(2, order + 1):
         # up to the order in question the counts are needed, and the weights of all shorter histories
-        known = answers[:n] + answers[order:]
-        answers.append(bucketed(answer_histories(_met(history_requests(parts, known, model, n, bits), bits)), f"weights{n}", "block", buckets))
+        known = answers.where((F.col("kind") <= n) | (F.col("kind") > HISTORY))
+        answers = bucketed(answer_histories(_met(history_requests(parts, known, model, n, bits), bits)), "answers", "block", buckets, answers)
         release(spark)
     # a row for each text: written here, while tables are read a few rows at a time
     out = materialise(score(parts, answers, model, order), "scores")
