@@ -109,6 +109,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A small table of what the driver holds. From Arrow the JVM reads it; rows of Python would go through Python workers of their own."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever else docs carries; a null text is an empty one."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

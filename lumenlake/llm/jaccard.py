@@ -167,15 +167,8 @@ def _bits(need: DataFrame, bits: int) -> np.ndarray:
         if out.any():
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], ["m"])
 
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(1 << (bits - 3), np.uint8)
-        for b in batches:
-            for m in b.column(0).to_pylist():
-                out |= np.frombuffer(m, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["m"])
-
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in need.select("cls").mapInArrow(lean(mark), "m binary").coalesce(4).mapInArrow(lean(unite), "m binary").collect():
+    for r in need.select("cls").coalesce(4).mapInArrow(lean(mark), "m binary").collect():
         out |= np.frombuffer(r.m, np.uint8)
     return np.unpackbits(out).astype(bool)
 

@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tuned
+from .common import held, table, tuned
 
 BLOCK, PERIOD, ALPHA = 1 << 16, 4096, 0.5
 #: Rows that a hash bucket of a source is to hold about, and the least and most bits of a bucket's number.
@@ -89,14 +90,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     blocks = {s: -(-found[s] // block) for s in found}
     #: slot of the first block that a source lacks
     end = min((plan[s][blocks[s] % slots[s]] + blocks[s] // slots[s] * period for s in found), default=0)
-    table_ = spark.createDataFrame([(s, k, t, slots[s]) for s in plan for k, t in enumerate(plan[s])], "source string, k long, at long, of long")
+    listed = [(s, k, t, slots[s]) for s in plan for k, t in enumerate(plan[s])]
+    table_ = held(spark, **{c: pa.array([r[i] for r in listed], kind) for i, (c, kind) in enumerate((("source", pa.string()), ("k", pa.int64()), ("at", pa.int64()), ("of", pa.int64())))})
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.withColumn("before", F.coalesce(F.sum("bytes").over(w), F.lit(0))).select("source", "bucket", "before", F.lit(0).alias("of0")).drop("of0")
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, ["source", "bucket"])
     placed = placed.withColumn("block", F.floor((F.col("before") + F.col("inside")) / block).cast("long"))
     #: one row of four numbers for each slot of a period: a size that is fixed, or the number of sources
-    of = spark.createDataFrame([(s, n) for s, n in slots.items()], "source string, of long")
+    of = held(spark, source=pa.array(list(slots), pa.string()), of=pa.array(list(slots.values()), pa.int64()))
     placed = placed.join(F.broadcast(of), "source").withColumn("k", F.pmod("block", "of")).drop("of").join(F.broadcast(table_), ["source", "k"])
     placed = placed.withColumn("slot", F.floor(F.col("block") / F.col("of")).cast("long") * period + F.col("at")).withColumn("in_mix", F.col("slot") < end)
     return placed.select(*(["carried"] if carry is not None else []), "doc_id", "source", "block", "slot", "in_mix", "h")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import drop_scratch, lean, materialise, scratch_path, table, texts, tuned
+from .common import drop_scratch, held, lean, materialise, scratch_path, table, texts, tuned
 
 END_ID = 2
 #: Ids that a shard holds before the next one begins (the last text is kept whole).
@@ -298,8 +298,8 @@ def ranking(encoded: DataFrame) -> np.ndarray:
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["c"])
 
-    counts = encoded.where("kind = 1").select(F.col("ids").alias("c")).mapInArrow(lean(total), "c binary")
-    rows = counts.coalesce(8).mapInArrow(lean(total), "c binary").collect()
+    # one step of Python: two on end in a task would take two workers, each of which then keeps an encoder
+    rows = encoded.where("kind = 1").select(F.col("ids").alias("c")).coalesce(8).mapInArrow(lean(total), "c binary").collect()
     if not rows:
         return np.zeros(0, np.int64)
     c = sum(np.frombuffer(r.c, np.int64) for r in rows)
@@ -396,7 +396,7 @@ def write(encoded: DataFrame, rank_of: np.ndarray, path: str, order: list[str] |
     rows = encoded.where("kind = 0").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     rows = rows.sortWithinPartitions(*order, F.xxhash64("ids"), "ids").select("doc_id", "ids", "part")
     rows.mapInArrow(lean(run), "part int, k int, n_ids long, payload binary").write.option("compression", "none").parquet(f"{path}/shards")
-    spark.createDataFrame([(rank_of.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
+    held(spark, ids=pa.array([rank_of.astype("<u4").tobytes()], pa.binary())).coalesce(1).write.parquet(f"{path}/ranks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
